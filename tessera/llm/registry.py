@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tessera.llm import op02_toxicity, op03_html, op04_jaccard, op05_decontaminate, op06_bpe, op08_langid, op09_secrets, op10_exact_dedup
+from tessera.llm import op02_toxicity, op03_html, op04_jaccard, op05_decontaminate, op06_bpe, op07_pii, op08_langid, op09_secrets, op10_exact_dedup
 
-MODULES = (op02_toxicity, op03_html, op04_jaccard, op05_decontaminate, op06_bpe, op08_langid, op09_secrets, op10_exact_dedup)
+MODULES = (op02_toxicity, op03_html, op04_jaccard, op05_decontaminate, op06_bpe, op07_pii, op08_langid, op09_secrets, op10_exact_dedup)
 
 
 def queries() -> dict:
