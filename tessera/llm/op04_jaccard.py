@@ -6,8 +6,8 @@ sets form a class, and only one of each class goes on.
 *Sketch.* For a band of sizes, the universe of shingles is cut into blocks by
 hash; the sketch holds, for each block, the XOR of the 64-bit hashes of the
 set's shingles in it. A shingle changes one block, so the number of blocks that
-differ (and the Hamming distance of the plain 256-bit parity sketch, one bit a
-shingle) is no more than the symmetric difference.
+differ (and the Hamming distance of plain parity sketches, one bit a shingle) is
+no more than the symmetric difference.
 
 *Pigeonhole.* J >= 3/4 means a symmetric difference of at most (a + b) / 7, so
 at most a / 3 for the smaller set a. Bands grow by 4/3: partners are in the same
@@ -20,10 +20,11 @@ until each of its sets has enough of them.
 
 *Candidates.* Keys (joint band, block, XOR) are summed to their smallest and
 largest class; only keys with two classes matter. A Bloom filter of those, of
-fixed size, lets a second pass emit just their members. First each class meets
-the pivot (smallest class) it shares most keys with, and is verified; components
-follow. Then, for keys whose members still are in several components, members
-of different components meet, if their sizes and parity sketches allow a link.
+fixed size, lets a second pass emit just their members. Pairs of which the sizes
+or the Hamming distance of the parity sketches rule out a link go, before any
+text moves. First each class meets the pivot (a key's smallest class) it shares
+most keys with, and is verified; components follow. Then, for keys whose members
+still are in several components, members of different components meet.
 So no group of copies is expanded into all pairs, and no link between
 components is missed.
 
@@ -50,7 +51,8 @@ from tessera.llm.components import components
 K = 5
 #: Blocks of a joint band as a multiple of its largest lower size; 0: one block a shingle.
 FINENESS = (0.5, 1.0, 4.0, 0.0)
-PARITY_WORDS = 4
+#: Words of the parity sketch that goes with a class into joins; the full one has about a bit a shingle.
+PARITY_WORDS = 8
 #: Bits of the Bloom filter over shared keys.
 BLOOM_BITS = 1 << 26
 
@@ -125,14 +127,33 @@ def parity(h: np.ndarray) -> np.ndarray:
     return np.packbits(on, bitorder="little").view(np.int64)
 
 
+def full_parity(h: np.ndarray) -> np.ndarray:
+    """The same over as many bits as the next power of two has, so that it can be folded."""
+    bits = 64
+    while bits < len(h):
+        bits *= 2
+    on = np.bincount((h % np.uint64(bits)).astype(np.int64), minlength=bits).astype(np.uint8) & 1
+    return np.packbits(on, bitorder="little").view(np.int64)
+
+
+def distance(x: np.ndarray, y: np.ndarray) -> int:
+    """Hamming distance of two full parity sketches, the longer one folded to the shorter."""
+    while len(x) > len(y):
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    while len(y) > len(x):
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    return int(np.bitwise_count((x ^ y).view(np.uint64)).sum())  # of signed words it would count the absolute values
+
+
 def profile(rows: DataFrame) -> DataFrame:
-    """_row, doc_id, n, d1, d2 (digest of the set), p0.. (parity), l0, l1 (fineness for its joint bands)."""
+    """_row, doc_id, n, d1, d2 (digest of the set), p0.. (parity), l0, l1 (fineness for its joint bands), sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
+            out, sketches = [], []
             for sets in shingle_sets(batch.column("text")):
                 for h in sets:
+                    sketches.append(full_parity(h))
                     if not len(h):
                         out.append((0, 0, 0, *[0] * PARITY_WORDS, 0, 0))
                         continue
@@ -141,9 +162,9 @@ def profile(rows: DataFrame) -> DataFrame:
                     out.append((len(h), int(d1.view(np.int64)), int(d2.view(np.int64)), *parity(h).tolist(), need[0], need[1] if len(need) > 1 else 0))
             names = ["n", "d1", "d2", *(f"p{i}" for i in range(PARITY_WORDS)), "l0", "l1"]
             cols = np.array(out, np.int64).reshape(-1, len(names)).T
-            yield pa.RecordBatch.from_pydict({"_row": batch.column("_row"), "doc_id": batch.column("doc_id")} | {k: pa.array(c) for k, c in zip(names, cols)})
+            yield pa.RecordBatch.from_pydict({"_row": batch.column("_row"), "doc_id": batch.column("doc_id")} | {k: pa.array(c) for k, c in zip(names, cols)} | {"sketch": pa.array(sketches, pa.list_(pa.int64()))})
 
-    schema = "_row long, doc_id long, n long, d1 long, d2 long, " + "".join(f"p{i} long, " for i in range(PARITY_WORDS)) + "l0 long, l1 long"
+    schema = "_row long, doc_id long, n long, d1 long, d2 long, " + "".join(f"p{i} long, " for i in range(PARITY_WORDS)) + "l0 long, l1 long, sketch array<long>"
     return rows.select("_row", F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, schema)
 
 
@@ -199,6 +220,21 @@ def bloom_of(shared: DataFrame):
     return shared.sparkSession.sparkContext.broadcast(table.tobytes())
 
 
+def near(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+    """a, b of those pairs (a, b) whose full sketches (rep, n, sketch) allow a link."""
+    x = sketches.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("x"))
+    y = sketches.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("y"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            total = batch.column("na").to_numpy() + batch.column("nb").to_numpy()
+            x, y = ([v.values.to_numpy(zero_copy_only=False) for v in batch.column(c)] for c in "xy")
+            keep = pa.array([7 * distance(u, v) <= t for u, v, t in zip(x, y, total)], pa.bool_())
+            yield pa.RecordBatch.from_pydict({"a": batch.column("a").filter(keep), "b": batch.column("b").filter(keep)})
+
+    return pairs.join(x, "a").join(y, "b").select("a", "b", "na", "nb", "x", "y").mapInArrow(run, "a long, b long")
+
+
 def verified(pairs: DataFrame, reps: DataFrame) -> DataFrame:
     """a, b of those pairs (a, b: _row) whose sets link: 100 * intersection >= 75 * union."""
     nodes = common.written(pairs.select(F.explode(F.array("a", "b")).alias("_row")).distinct())
@@ -232,7 +268,7 @@ def linked(docs: DataFrame) -> DataFrame:
     profiles = common.written(profile(rows))
     some = profiles.where("n > 0")
     sets = [F.min("_row").alias("rep"), F.min("doc_id").alias("least"), *(F.min(f"p{i}").alias(f"p{i}") for i in range(PARITY_WORDS))]
-    classes = common.written(some.groupBy("n", "d1", "d2").agg(*sets, F.count("*").alias("size")))
+    classes = common.written(some.groupBy("n", "d1", "d2").agg(*sets, F.min("sketch").alias("sketch"), F.count("*").alias("size")))
     copies = common.written(some.join(classes.where("size > 1").select("n", "d1", "d2", "rep"), ["n", "d1", "d2"]).where("_row <> rep").select("_row", "rep"))
     reps = common.drop_ids(rows, copies, "_row")
     levels = fineness_by_band(profiles)
@@ -242,10 +278,14 @@ def linked(docs: DataFrame) -> DataFrame:
     members = common.written(keys(reps, levels, bloom).join(shared, "key").select("key", "rep", "pivot"))
     facts = classes.select("rep", "n", *(f"p{i}" for i in range(PARITY_WORDS)))
 
-    # first the pivot that a class shares most keys with
+    # first the pivot that a class shares most keys with, of those that it could link to
+    sketches = classes.select("rep", "n", "sketch")
     votes = members.where("rep <> pivot").groupBy("rep", "pivot").count()
-    best = votes.groupBy("rep").agg(F.min(F.struct((-F.col("count")).alias("c"), "pivot")).alias("x")).select("rep", F.col("x.pivot").alias("pivot"))
-    first = common.written(best.select(F.col("rep").alias("b"), F.col("pivot").alias("a")))
+    x, y = votes.join(facts, "rep").alias("x"), facts.alias("y")
+    could = x.join(y, (F.col("x.pivot") == F.col("y.rep")) & _could_link("x", "y")).select(F.col("x.pivot").alias("a"), F.col("x.rep").alias("b"), "count")
+    could = common.written(could)
+    best = could.join(near(could.select("a", "b"), sketches), ["a", "b"]).groupBy("b").agg(F.min(F.struct((-F.col("count")).alias("c"), "a")).alias("x"))
+    first = common.written(best.select(F.col("x.a").alias("a"), "b"))
     edges = common.written(verified(first, reps))
     roots = common.written(components(edges))
 
@@ -256,7 +296,7 @@ def linked(docs: DataFrame) -> DataFrame:
     x, y = left.alias("x"), left.alias("y")
     pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.root") != F.col("y.root")) & _could_link("x", "y")).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
     told = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    second = common.written(pairs.distinct().join(told, ["a", "b"], "left_anti"))
+    second = common.written(near(pairs.distinct().join(told, ["a", "b"], "left_anti"), sketches))
     if not second.isEmpty():
         edges = common.written(edges.unionByName(verified(second, reps)))
         roots = common.written(components(edges))
