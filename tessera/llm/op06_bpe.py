@@ -25,6 +25,7 @@ import hashlib
 import os
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
@@ -144,10 +145,10 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None,
                     said.append(hashlib.sha256(c.listed(ids).encode()).hexdigest())
                     back.append(hashlib.sha256(c.decode(ids)).hexdigest())
                     if with_ids:
-                        every.append(pa.array(ids, pa.int32()))
+                        every.append(np.array(ids, np.int32))
                 cols = {"doc_id": batch.column("doc_id").slice(a, 256), "n_tokens": pa.array(n, pa.int64())}
                 if with_ids:
-                    cols["ids"] = pa.array([x.to_pylist() for x in every], pa.list_(pa.int32()))
+                    cols["ids"] = pa.array(every, pa.list_(pa.int32()))
                 yield pa.RecordBatch.from_pydict(cols | {"ids_sha256": pa.array(said), "decoded_sha256": pa.array(back)})
 
     docs = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
