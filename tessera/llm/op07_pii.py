@@ -139,7 +139,8 @@ def disclosing(docs: DataFrame, said: DataFrame) -> DataFrame:
     # documents that hold each such term: all documents are read, and summed before the shuffle
     words = F.array_distinct(F.filter(F.split(F.lower(common.text_or_empty()), r"[^\p{L}\p{M}]+"), lambda w: w != ""))
     every = docs.select(F.explode(words).alias("term"))
-    df = every.groupBy("term").count().withColumnRenamed("count", "n_term").join(F.broadcast(terms) if few else terms, "term", "left_semi")
+    # an inner join (terms are distinct): a semi join would be pushed below the sums, where it makes a row an occurrence
+    df = every.groupBy("term").count().withColumnRenamed("count", "n_term").join(F.broadcast(terms) if few else terms, "term")
     total = float(docs.count())
     p_entity = F.col("n_entity") / total
     pmi = F.log2(F.least(F.col("both") / F.col("n_term"), F.lit(1.0)) / p_entity)
