@@ -164,8 +164,9 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
         lut[(m["hash"] >> np.uint64(64 - _LUT_BITS)).astype(np.int64)] = 0
         for batch in batches:
             s = [np.zeros(0)]
+            same = 1 / (1 + np.exp(-m["bias"])) if np.isfinite(m["bias"]) else 0.0  # of texts without a known word
             for a, b, raw, off in textnum.slices(batch.column("text")):
-                s.append(score_batch(raw, off, m, lut) if len(m["hash"]) else np.full(b - a, 1 / (1 + np.exp(-np.clip(m["bias"], -700, 700)))))
+                s.append(score_batch(raw, off, m, lut) if len(m["hash"]) else np.full(b - a, same))
             s = np.concatenate(s)
             yield pa.RecordBatch.from_pydict({k: batch.column(k) for k in ("doc_id", *keep)} | {"score": pa.array(s), "predicted": pa.array((s >= THRESHOLD).astype(np.int32))})
 
