@@ -97,22 +97,23 @@ def naming_theta_join(spark, d):
     return resolve.naming_join(n, r, "n_name", "r_name", n.n_regionkey == r.r_regionkey).select("n_name", "r_name")
 
 
-@query("lexical_ancestors", ", tree AS (SELECT 'o' || o_orderkey AS id, 'c' || o_custkey AS up FROM orders WHERE o_orderkey % 10 = 0 UNION ALL SELECT 'c' || c_custkey, 'n' || c_nationkey FROM customer UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation), closure AS (SELECT id, up, 1 AS depth FROM tree UNION SELECT c.id, t.up, c.depth + 1 FROM closure c JOIN tree t ON t.id = c.up) SELECT id AS entity_id, up AS ancestor_id, depth FROM closure")
+@query("lexical_ancestors", ", tree AS (SELECT 'o' || o_orderkey AS id, 'c' || o_custkey AS up FROM orders UNION ALL SELECT 'c' || c_custkey, 'n' || c_nationkey FROM customer UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation), closure AS (SELECT id, up, 1 AS depth FROM tree UNION SELECT c.id, t.up, c.depth + 1 FROM closure c JOIN tree t ON t.id = c.up) SELECT id AS entity_id, up AS ancestor_id, depth FROM closure")
 def lexical_ancestors(spark, d):
     s = lambda c: F.col(c).cast("string")
-    o = model.table(spark, d, "orders").where("o_orderkey % 10 = 0").select(F.concat(F.lit("o"), s("o_orderkey")).alias("entity_id"), F.concat(F.lit("c"), s("o_custkey")).alias("parent_id"))
+    o = model.table(spark, d, "orders").select(F.concat(F.lit("o"), s("o_orderkey")).alias("entity_id"), F.concat(F.lit("c"), s("o_custkey")).alias("parent_id"))
     c = model.table(spark, d, "customer").select(F.concat(F.lit("c"), s("c_custkey")).alias("entity_id"), F.concat(F.lit("n"), s("c_nationkey")).alias("parent_id"))
     n = model.table(spark, d, "nation").select(F.concat(F.lit("n"), s("n_nationkey")).alias("entity_id"), F.concat(F.lit("r"), s("n_regionkey")).alias("parent_id"))
     return graph.ancestors(o.unionByName(c).unionByName(n))
 
 
-_CALLS = ", c AS (SELECT l_orderkey AS call_id, l_linenumber AS site, p_name AS callee FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_orderkey % 20 = 0), t AS (SELECT p_name AS name, count(*) AS n, min('p' || p_partkey) AS target FROM part GROUP BY p_name)"
+_CALLS = ", named AS (SELECT p_partkey, CASE WHEN p_size < 25 THEN p_name || '_' || p_partkey ELSE p_name END AS name FROM part), c AS (SELECT DISTINCT l_orderkey AS call_id, l_linenumber AS site, name AS callee FROM lineitem JOIN named ON p_partkey = l_partkey), t AS (SELECT name, count(*) AS n, min('p' || p_partkey) AS target FROM named GROUP BY name), hit AS (SELECT call_id, site, target FROM c JOIN t ON t.name = c.callee WHERE n = 1)"
 
 
-@query("resolve_calls", _CALLS + " SELECT call_id, site, target AS target_id, 'HEURISTIC' AS trust_class, 'unique_global_name_without_import_binding' AS reason FROM c JOIN t ON t.name = c.callee WHERE n = 1")
+@query("resolve_calls", _CALLS + " SELECT call_id, site, min(target) AS target_id, 'HEURISTIC' AS trust_class, 'unique_global_name_without_import_binding' AS reason FROM hit GROUP BY call_id, site")
 def resolve_calls(spark, d):
     line, part = model.table(spark, d, "lineitem"), model.table(spark, d, "part")
-    calls = line.where("l_orderkey % 20 = 0").join(part, line.l_partkey == part.p_partkey).select(F.col("l_orderkey").alias("call_id"), F.col("l_linenumber").alias("site"), F.lit("caller").alias("source_id"), F.lit("src").alias("file_id"), F.lit("FUNCTION").alias("source_kind"), F.lit(None).cast("string").alias("source_parent"), F.col("p_name").alias("callee"), F.lit(None).cast("string").alias("receiver"), F.lit(None).cast("string").alias("receiver_type"))
+    part = part.withColumn("p_name", F.when(F.col("p_size") < 25, F.concat_ws("_", "p_name", F.col("p_partkey").cast("string"))).otherwise(F.col("p_name")))
+    calls = line.join(part, line.l_partkey == part.p_partkey).select(F.col("l_orderkey").alias("call_id"), F.col("l_linenumber").alias("site"), F.lit("caller").alias("source_id"), F.lit("src").alias("file_id"), F.lit("FUNCTION").alias("source_kind"), F.lit(None).cast("string").alias("source_parent"), F.col("p_name").alias("callee"), F.lit(None).cast("string").alias("receiver"), F.lit(None).cast("string").alias("receiver_type"))
     targets = part.select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("entity_id"), F.col("p_name").alias("name"), F.lit("FUNCTION").alias("kind"), F.lit(None).cast("string").alias("parent_id"), F.lit("lib").alias("file_id"))
     return resolve.resolve(calls, targets, targets.select("entity_id", "parent_id").limit(0), ["call_id", "site"]).select("call_id", "site", "target_id", "trust_class", "reason")
 

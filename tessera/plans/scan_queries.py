@@ -40,11 +40,11 @@ def generation_scan(spark, d):
     return model.files(spark, d).where(F.col("generation_id") == wanted).select("file_id", "rel_path", "content_hash")
 
 
-@query("point_lookup", "SELECT repo_id, generation_id, sequence FROM generations WHERE is_active AND generation_id % 10 = 3")
+@query("point_lookup", "SELECT repo_id, generation_id, sequence FROM generations WHERE is_active AND repo_id IN (1, 2, 3, 5, 8)")
 def point_lookup(spark, d):
     g = model.generations(spark, d)
     active = g.where("is_active").select("generation_id")
-    return g.where("generation_id % 10 = 3").join(active, "generation_id", "left_semi").select("repo_id", "generation_id", "sequence")
+    return g.where(F.col("repo_id").isin(1, 2, 3, 5, 8)).join(active, "generation_id", "left_semi").select("repo_id", "generation_id", "sequence")
 
 
 @query("active_semi", "SELECT g.repo_id, count(*) AS n FROM generations g WHERE g.repo_id IN (SELECT repo_id FROM generations WHERE is_active AND sequence > 5) GROUP BY g.repo_id")
@@ -58,11 +58,11 @@ def upsert_last_wins(spark, d):
     return storage.last_wins(model.table(spark, d, "events"), ["user_id"], ["ts", "event_id"], {"v": "event_id"}).select(F.col("user_id").alias("k"), "v")
 
 
-@query("replace_by_key", "SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN n_chars + 1 ELSE n_chars END AS n FROM documents WHERE doc_id % 3 <> 0 OR doc_id % 5 = 0", False)
+@query("replace_by_key", "SELECT doc_id, CASE WHEN lang = 'en' THEN n_chars + 1 ELSE n_chars END AS n FROM documents", False)
 def replace_by_key(spark, d):
-    t = model.table(spark, d, "documents").select("doc_id", F.col("n_chars").alias("n"))
-    old = t.where("doc_id % 3 <> 0")
-    return storage.replace(old, t.where("doc_id % 5 = 0").withColumn("n", F.col("n") + 1), ["doc_id"])
+    t = model.table(spark, d, "documents").select("doc_id", "lang", F.col("n_chars").alias("n"))
+    new = t.where("lang = 'en'").withColumn("n", F.col("n") + 1)
+    return storage.replace(t, new, ["doc_id"]).drop("lang")
 
 
 @query("file_chunks", "SELECT file_id, chunk_id FROM chunks WHERE rel_path LIKE 'src1/en/%'")
@@ -197,7 +197,7 @@ def path_intersect(spark, d):
     return files.select("rel_path").intersect(_previous(files).select("rel_path"))
 
 
-@query("id_symdiff", "SELECT doc_id, 'only_files' AS side FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) UNION ALL SELECT doc_id, 'only_labels' FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE doc_id % 9 <> 0) AND doc_id NOT IN (SELECT doc_id FROM documents)", False)
+@query("id_symdiff", "SELECT doc_id, 'only_files' AS side FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) UNION ALL SELECT doc_id, 'only_labels' FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents)", False)
 def id_symdiff(spark, d):
     a, b = (model.table(spark, d, t).select("doc_id") for t in ("documents", "labels"))
     return storage.symmetric_difference(a, b, "only_files", "only_labels")
