@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -24,7 +26,9 @@ def shared_dir(spark: SparkSession) -> str:
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="tessera-")
+        local = tempfile.mkdtemp(prefix="tessera-")
+        atexit.register(shutil.rmtree, local, ignore_errors=True)
+        root = "file://" + local
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/tessera-{uuid.uuid4().hex}"
 
