@@ -220,21 +220,6 @@ def bloom_of(shared: DataFrame):
     return shared.sparkSession.sparkContext.broadcast(table.tobytes())
 
 
-def near(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
-    """a, b of those pairs (a, b) whose full sketches (rep, n, sketch) allow a link."""
-    x = sketches.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("x"))
-    y = sketches.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("y"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            total = batch.column("na").to_numpy() + batch.column("nb").to_numpy()
-            x, y = ([v.values.to_numpy(zero_copy_only=False) for v in batch.column(c)] for c in "xy")
-            keep = pa.array([7 * distance(u, v) <= t for u, v, t in zip(x, y, total)], pa.bool_())
-            yield pa.RecordBatch.from_pydict({"a": batch.column("a").filter(keep), "b": batch.column("b").filter(keep)})
-
-    return pairs.join(x, "a").join(y, "b").select("a", "b", "na", "nb", "x", "y").mapInArrow(run, "a long, b long")
-
-
 def verified(pairs: DataFrame, reps: DataFrame) -> DataFrame:
     """a, b of those pairs (a, b: _row) whose sets link: 100 * intersection >= 75 * union."""
     nodes = common.written(pairs.select(F.explode(F.array("a", "b")).alias("_row")).distinct())
@@ -256,10 +241,19 @@ def verified(pairs: DataFrame, reps: DataFrame) -> DataFrame:
 
 
 def _could_link(x: str, y: str):
-    """Sizes and parity sketches of two profiles allow J >= 3/4."""
+    """Sizes and parity sketches of two classes allow J >= 3/4; evaluated within a join, before it makes a row.
+
+    Sizes that allow a link differ by less than two, so the longer full sketch
+    is folded once at most.
+    """
     n, m = F.col(f"{x}.n"), F.col(f"{y}.n")
     apart = sum((F.bit_count(F.col(f"{x}.p{i}").bitwiseXOR(F.col(f"{y}.p{i}"))) for i in range(PARITY_WORDS)), F.lit(0))
-    return (4 * F.least(n, m) >= 3 * F.greatest(n, m)) & (7 * apart <= n + m)
+    u, v = F.col(f"{x}.sketch"), F.col(f"{y}.sketch")
+    words = F.least(F.size(u), F.size(v))
+    xor = lambda a, b: a.bitwiseXOR(b)
+    folded = lambda s: F.when(F.size(s) == words, s).otherwise(F.zip_with(F.slice(s, 1, words), F.slice(s, words + 1, words), xor))
+    differ = F.aggregate(F.zip_with(folded(u), folded(v), xor), F.lit(0), lambda a, w: a + F.bit_count(w))
+    return (4 * F.least(n, m) >= 3 * F.greatest(n, m)) & (7 * apart <= n + m) & (7 * differ <= n + m)
 
 
 def linked(docs: DataFrame) -> DataFrame:
@@ -276,15 +270,13 @@ def linked(docs: DataFrame) -> DataFrame:
     shared = common.written(keys(reps, levels).groupBy("key").agg(F.min("rep").alias("pivot"), F.max("rep").alias("last")).where("pivot < last").select("key", "pivot"))
     bloom = bloom_of(shared)
     members = common.written(keys(reps, levels, bloom).join(shared, "key").select("key", "rep", "pivot"))
-    facts = classes.select("rep", "n", *(f"p{i}" for i in range(PARITY_WORDS)))
+    facts = classes.select("rep", "n", "sketch", *(f"p{i}" for i in range(PARITY_WORDS)))
 
     # first the pivot that a class shares most keys with, of those that it could link to
-    sketches = classes.select("rep", "n", "sketch")
     votes = members.where("rep <> pivot").groupBy("rep", "pivot").count()
     x, y = votes.join(facts, "rep").alias("x"), facts.alias("y")
     could = x.join(y, (F.col("x.pivot") == F.col("y.rep")) & _could_link("x", "y")).select(F.col("x.pivot").alias("a"), F.col("x.rep").alias("b"), "count")
-    could = common.written(could)
-    best = could.join(near(could.select("a", "b"), sketches), ["a", "b"]).groupBy("b").agg(F.min(F.struct((-F.col("count")).alias("c"), "a")).alias("x"))
+    best = could.groupBy("b").agg(F.min(F.struct((-F.col("count")).alias("c"), "a")).alias("x"))
     first = common.written(best.select(F.col("x.a").alias("a"), "b"))
     edges = common.written(verified(first, reps))
     roots = common.written(components(edges))
@@ -296,10 +288,10 @@ def linked(docs: DataFrame) -> DataFrame:
     x, y = left.alias("x"), left.alias("y")
     pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.root") != F.col("y.root")) & _could_link("x", "y")).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
     told = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    second = common.written(near(pairs.distinct().join(told, ["a", "b"], "left_anti"), sketches))
-    if not second.isEmpty():
-        edges = common.written(edges.unionByName(verified(second, reps)))
-        roots = common.written(components(edges))
+    second = common.written(pairs.distinct().join(told, ["a", "b"], "left_anti"))
+    more = common.written(verified(second, reps))
+    if not more.isEmpty():
+        roots = common.written(components(edges.unionByName(more)))
 
     named = classes.select("rep", "least").join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("rep", "least", F.coalesce("root", "rep").alias("component"))
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
