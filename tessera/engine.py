@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tessera import runtime
 from tessera.functions import identity, spans
 from tessera.operators import graph, resolve, search, segment, storage
 from tessera.sources import syntax, tree
@@ -52,6 +53,7 @@ class Engine:
         self.spark, self.repo, self.store = spark, os.path.realpath(repo), store
         self.repo_id = "repo_" + hashlib.sha256(self.repo.encode()).hexdigest()[:16]
         os.makedirs(store, exist_ok=True)
+        runtime.ship(spark)
 
     # ---- generations
 
