@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tessera import runtime
 from tessera.llm import common
 from tessera.llm import op04_jaccard as jaccard
 from tessera.llm import op05_decontaminate as benchmark
@@ -43,11 +44,11 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [
-    ("language_id", known_language),
-    ("exact_dedup", exact_copies),
-    ("ngram_jaccard", near_copies),
-    ("decontamination", leaks),
-    ("byte_bpe", tokens),
+    ("language_id", runtime.shipped(known_language)),
+    ("exact_dedup", runtime.shipped(exact_copies)),
+    ("ngram_jaccard", runtime.shipped(near_copies)),
+    ("decontamination", runtime.shipped(leaks)),
+    ("byte_bpe", runtime.shipped(tokens)),
 ]
 
 #: Language identification and tokens are no SQL; tests hold the pipeline against a brute-force version.
