@@ -3,10 +3,11 @@
 Confirmed toxic documents are the positives; all other training text, toxic or
 not, is unlabelled. Numpy logistic classifiers over the words of a text minimise
 the class-prior-corrected risk  pi*R+(P) + max(0, R-(U) - pi*R-(P));  where the
-bracket turns negative the step goes the other way, which keeps the classifier
-from fitting the unlabelled set as if it were negative. ``VOTES`` classifiers
-are trained from different orders and averaged. The class prior is the share of
-toxic among labelled training documents.
+bracket turns negative it counts as 0, which keeps the classifier from fitting
+the unlabelled set as if it were negative. ``VOTES`` classifiers are trained from
+different orders and averaged; the offset then makes the mean score of the
+unlabelled sample the class prior, which is the share of toxic among labelled
+training documents.
 
 The fit reads at most ``MAX_POSITIVE`` positives and ``MAX_UNLABELLED`` other
 documents, drawn by a hash of the id; every document's whole text is scored.
@@ -33,7 +34,7 @@ MAX_POSITIVE, MAX_UNLABELLED = 4000, 12000
 MIN_DOCS, MAX_WORDS = 3, 1 << 16
 #: Standard errors by which a word's rates in positives and in other text must differ.
 MIN_APART = 5.0
-VOTES, EPOCHS, BATCH, RATE, DECAY = 3, 8, 256, 0.05, 1e-2
+VOTES, EPOCHS, BATCH, RATE, DECAY = 3, 16, 1024, 0.05, 1e-2
 THRESHOLD = 0.3
 _LUT_BITS = 22
 
@@ -123,9 +124,8 @@ def fit(sets: list[np.ndarray], positive: np.ndarray, prior: float) -> dict:
                 if negative >= 0:  # gradient of  pi*R+(P) + R-(U) - pi*R-(P)
                     g[: len(p)] = prior * (sp - 1) / len(p) - prior * sp / len(p)
                     g[len(p) :] = su / len(u)
-                else:  # step back from the bracket alone
-                    g[: len(p)] = prior * sp / len(p)
-                    g[len(p) :] = -su / len(u)
+                else:  # the bracket counts as 0: only pi*R+(P) is left
+                    g[: len(p)] = prior * (sp - 1) / len(p)
                 gv = np.bincount(cols, g[at], minlength=len(use)) * scale + DECAY * (v - 0.5) / max(1, len(use))
                 gb = g.sum()
                 t += 1
@@ -136,7 +136,13 @@ def fit(sets: list[np.ndarray], positive: np.ndarray, prior: float) -> dict:
                 b -= k * mb / (np.sqrt(sb) + 1e-6)
         total += v * scale
         bias_total += b
-    return {"hash": names[use], "weight": (total / VOTES).astype(np.float32), "bias": bias_total / VOTES}
+    weight, bias = total / VOTES, bias_total / VOTES
+    if len(other):
+        z, low, high = logits(other, weight)[0], -40.0, 40.0
+        for _ in range(60):
+            bias = (low + high) / 2
+            low, high = (bias, high) if (1 / (1 + np.exp(-np.clip(z + bias, -30, 30)))).mean() < prior else (low, bias)
+    return {"hash": names[use], "weight": weight.astype(np.float32), "bias": bias}
 
 
 def score_batch(raw: np.ndarray, off: np.ndarray, model: dict, lut: np.ndarray) -> np.ndarray:
