@@ -56,8 +56,8 @@ def test_scores_are_probabilities():
             if 1 in here:
                 at = int(np.flatnonzero(here == 1)[0])
                 x, gate = mixing._inputs(model, [k[at : at + 1] for k in s], check[at : at + 1], None)
-                z = (model["w"][gate + mixing.GATES * j].T * x).sum(axis=0)
-                q, _, _ = mixing._refined(model["apm"], z, mixing._squash(z), some.last[here][at : at + 1], j)
+                z = mixing._mixed(model["w"], gate + mixing.GATES * j, x)
+                q, _, _ = mixing._refined(mixing.refinement(model["apm"]), z, mixing._squash(z), some.last[here][at : at + 1], j)
                 p *= float(q[0] if bit[at] else 1 - q[0])
         total += p
     assert total == pytest.approx(1, abs=1e-4)
