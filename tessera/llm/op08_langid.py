@@ -29,7 +29,7 @@ from tessera.llm import common, textnum
 #: Slots of the hashed n-gram table.
 SLOTS = 1 << 17
 #: About as many documents of each language are fitted on, a fifth of them for the temperature.
-PER_LANG = 1500
+PER_LANG = 1000
 ALPHA, BETA, L1, L2, EPOCHS, BATCH = 0.5, 1.0, 1e-3, 1e-5, 4, 32
 #: Relative frequencies are small; all are multiplied by this.
 SCALE = 50
@@ -149,7 +149,7 @@ class Ftrl:
 
 
 def _row(slots, counts, idf) -> tuple[np.ndarray, np.ndarray]:
-    s = np.asarray(slots, np.int64)
+    s = np.asarray(slots, np.int32)
     c = np.asarray(counts, np.float32)
     return s, c / max(1.0, float(c.sum())) * idf[s] * SCALE
 
@@ -188,6 +188,7 @@ def fit(docs: DataFrame) -> dict:
         rows.append(_row(s.values.to_numpy(zero_copy_only=False), c.values.to_numpy(zero_copy_only=False), idf))
         y.append(code[lang.as_py()])
         parts.append(p.as_py())
+    del sample
     # the sample arrives in any order; the updates go by content, so a rerun learns the same
     order = sorted(range(len(rows)), key=lambda i: (y[i], len(rows[i][0]), rows[i][0].tobytes()))
     rows, y, parts = [rows[i] for i in order], np.array([y[i] for i in order]), np.array([parts[i] for i in order])
