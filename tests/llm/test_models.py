@@ -66,7 +66,7 @@ def test_scores_are_probabilities():
 def test_held_out_text_costs_less_than_base(spark, sf_dir):
     path = sf_dir.replace("sf0.001", "sf0.01")
     got = mixing.op1_mixing(spark, path).where("held_out").agg(F.sum("score").alias("s"), F.sum("base_score").alias("b"), F.sum("n_tokens").alias("n")).first()
-    assert got.s / got.n > got.b / got.n - 0.05  # small training text; at sf0.1 it is 0.2 better
+    assert got.s / got.n > got.b / got.n + 0.03  # with more training text it is 0.2 better
 
 
 def test_toxic_documents_are_found(spark, sf_dir):
