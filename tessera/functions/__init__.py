@@ -1 +1 @@
-"""See the package README for what lives here."""
+"""Column expressions: identifiers and spans."""

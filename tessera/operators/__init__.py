@@ -1 +1 @@
-"""See the package README for what lives here."""
+"""DataFrame operators: search, ranking, graph, segmentation, packing, storage."""

@@ -1 +1 @@
-"""See the package README for what lives here."""
+"""The registered queries, each with its SQL, over the tables of ``model``."""

@@ -1 +1 @@
-"""See the package README for what lives here."""
+"""Sources: a source tree as a table, and syntax extraction from its files."""

@@ -1 +1 @@
-"""See the package README for what lives here."""
+"""Nothing here yet: freshness is by pull, each query compares the tree's digest with the active generation's."""
