@@ -7,6 +7,10 @@ import os
 import tempfile
 import zipfile
 
+#: Settings, their defaults, and what is set instead where the default holds: whole texts
+#: make rows long, so fewer go to a Python worker at a time.
+SMALLER = (("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "1000"),)
+
 _shipped: set[str] = set()
 
 
@@ -16,6 +20,9 @@ def ship(spark) -> None:
     Workers import functions by name; neither a working folder nor a search
     path of the driver's needs to exist on their machines.
     """
+    for key, usual, ours in SMALLER:
+        if spark.conf.get(key, usual) == usual:
+            spark.conf.set(key, ours)
     sc = spark.sparkContext
     if sc.applicationId in _shipped:
         return
