@@ -7,6 +7,7 @@ import shutil
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -79,5 +80,38 @@ def keep_ids(docs: DataFrame, keep: DataFrame, key: str) -> DataFrame:
 
 
 def with_row_id(docs: DataFrame, name: str = "_row") -> DataFrame:
-    """A number for each row of a stored table, the same in each scan of it."""
+    """A number for each row, for one scan only.
+
+    Another scan of the same files may be split elsewhere, as by the cores there
+    are when it is planned; what is read again needs ``numbered``.
+    """
     return docs.withColumn(name, F.monotonically_increasing_id())
+
+
+def numbered(docs: DataFrame, name: str = "_row") -> DataFrame:
+    """``docs`` with a number for each row that each later scan finds again, however files are split.
+
+    For rows read from files, it is the file's number and the row's place in the
+    file; other rows are stored with their number.
+    """
+    if not _plain_scan(docs):
+        return written(with_row_id(docs, name))
+    paths = [p.replace(":///", ":/", 1) for p in docs.inputFiles()]  # as _metadata has them
+    files = docs.sparkSession.createDataFrame(list(zip(sorted(paths), range(len(paths)))), "_path string, _file long")
+    at = docs.select("*", F.replace("_metadata.file_path", F.lit(":///"), F.lit(":/")).alias("_path"), F.col("_metadata.row_index").alias("_place"))
+    known = F.coalesce("_file", F.raise_error(F.concat(F.lit("not among the input files: "), "_path")).cast("long"))
+    return at.join(F.broadcast(files), "_path", "left").select(*docs.columns, (F.shiftleft(known, 40) + F.col("_place")).alias(name))
+
+
+def _plain_scan(docs: DataFrame) -> bool:
+    """Whether each row of docs is a row of a Parquet file, and none is there twice."""
+    plan = docs._jdf.queryExecution().analyzed()
+    while plan.nodeName() in ("Project", "Filter", "SubqueryAlias"):
+        plan = plan.children().head()
+    if plan.children().nonEmpty() or not plan.nodeName().startswith(("LogicalRelation", "Relation")):
+        return False
+    try:
+        docs.select("_metadata.file_path", "_metadata.row_index")
+    except AnalysisException:
+        return False
+    return True

@@ -256,9 +256,8 @@ def _could_link(x: str, y: str):
     return (4 * F.least(n, m) >= 3 * F.greatest(n, m)) & (7 * apart <= n + m) & (7 * differ <= n + m)
 
 
-def linked(docs: DataFrame) -> DataFrame:
-    """_row, doc_id, n_shingles, component (a _row), component_id of each row of docs (doc_id, text)."""
-    rows = common.with_row_id(docs.select("doc_id", "text"))
+def linked(rows: DataFrame) -> DataFrame:
+    """_row, doc_id, n_shingles, component (a _row), component_id of each of the numbered rows (_row, doc_id, text)."""
     profiles = common.written(profile(rows))
     some = profiles.where("n > 0")
     sets = [F.min("_row").alias("rep"), F.min("doc_id").alias("least"), *(F.min(f"p{i}").alias(f"p{i}") for i in range(PARITY_WORDS))]
@@ -307,15 +306,16 @@ def linked(docs: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id of each row of docs."""
-    return linked(docs).select("doc_id", "n_shingles", "component_id")
+    return linked(common.numbered(docs.select("doc_id", "text"))).select("doc_id", "n_shingles", "component_id")
 
 
 def representatives(docs: DataFrame) -> DataFrame:
     """One row of each component, the one with the smallest id (then the first stored); all columns as they are."""
-    told = linked(docs)
+    rows = common.numbered(docs)
+    told = linked(rows)
     kept = told.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row")).alias("k")).select(F.col("k._row").alias("_row"))
     dropped = common.written(told.select("_row").join(kept, "_row", "left_anti"))
-    return common.drop_ids(common.with_row_id(docs), dropped, "_row").drop("_row")
+    return common.drop_ids(rows, dropped, "_row").drop("_row")
 
 
 def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -99,8 +99,8 @@ def hits(rows: DataFrame, anchors: DataFrame, size: int = WINDOW) -> DataFrame:
 
 def decontaminate(documents: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated of each row of documents."""
-    rows = common.with_row_id(documents.select("doc_id", "text"))
-    found = common.written(hits(rows, anchored(documents, benchmark, size), size))
+    rows = common.numbered(documents.select("doc_id", "text"))
+    found = common.written(hits(rows, anchored(rows, benchmark, size), size))
     few = found.limit(common.MAX_BROADCAST_IDS + 1).count() <= common.MAX_BROADCAST_IDS
     none = F.lit(0).cast("long")
     base = rows.select("_row", "doc_id", F.size(words()).cast("long").alias("n_words"))
@@ -116,8 +116,8 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, size: int = WINDOW
 
 def clean(documents: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
     """The rows of documents without a hit, all their columns as they are."""
-    rows = common.with_row_id(documents)
-    found = common.written(hits(rows.select("_row", "text"), anchored(documents, benchmark, size), size).select("_row"))
+    rows = common.numbered(documents)
+    found = common.written(hits(rows.select("_row", "text"), anchored(rows, benchmark, size), size).select("_row"))
     return common.drop_ids(rows, found, "_row").drop("_row")
 
 

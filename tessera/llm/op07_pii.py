@@ -85,13 +85,12 @@ def base_spans(text: Column) -> Column:
     return F.concat(email, ip, card, phone)
 
 
-def spans_of(docs: DataFrame) -> DataFrame:
-    """_row, doc_id, base: the base spans of each row, written."""
-    rows = common.with_row_id(docs.select("doc_id", "text"))
+def spans_of(rows: DataFrame) -> DataFrame:
+    """_row, doc_id, base: the base spans of each numbered row, written."""
     return common.written(rows.select("_row", "doc_id", base_spans(common.text_or_empty()).alias("base")))
 
 
-def mentions(docs: DataFrame, spans: DataFrame) -> DataFrame:
+def mentions(rows: DataFrame, spans: DataFrame) -> DataFrame:
     """_row, entity, context (digest), words (term, start, end) of each base span; written.
 
     Only rows with spans are read again; of a context cut in a word, that word is left out.
@@ -99,7 +98,7 @@ def mentions(docs: DataFrame, spans: DataFrame) -> DataFrame:
     some = spans.where(F.size("base") > 0).select("_row", "base")
     few = common.written(some)
     small = few.limit(common.MAX_BROADCAST_IDS // 10 + 1).count() <= common.MAX_BROADCAST_IDS // 10
-    rows = common.with_row_id(docs.select("text")).join(F.broadcast(few) if small else few, "_row")
+    rows = rows.select("_row", "text").join(F.broadcast(few) if small else few, "_row")
     begin = F.greatest(F.col("s.start") - REACH, F.lit(0))
     each = rows.select("_row", "text", F.explode("base").alias("s")).select(
         "_row",
@@ -148,20 +147,20 @@ def disclosing(docs: DataFrame, said: DataFrame) -> DataFrame:
     return common.written(together.join(entities, "entity").join(df, "term").select("entity", "term", (pmi / ic).alias("share")).where(F.col("share") >= GENERALISE))
 
 
-def term_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
+def term_spans(rows: DataFrame, spans: DataFrame) -> DataFrame:
     """_row, terms (kind, start, end) that the corpus tells to generalise or remove; written."""
-    said = mentions(docs, spans)
-    told = disclosing(docs, said)
+    said = mentions(rows, spans)
+    told = disclosing(rows, said)
     each = said.select("_row", "entity", F.explode("words").alias("w")).select("_row", "entity", "w.*").join(told, ["entity", "term"])
     kind = F.when(F.col("share") >= REMOVE, 5).otherwise(4)
     once = each.groupBy("_row", "start", "end").agg(F.max(kind).alias("kind"))
     return common.written(once.groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("kind", "start", "end", F.lit("").alias("value")))).alias("terms")))
 
 
-def scan(docs: DataFrame) -> DataFrame:
-    """_row, doc_id, base, every: base spans, and those with the terms' spans; in order of kind and start."""
-    spans = spans_of(docs)
-    terms = term_spans(docs, spans)
+def scan(rows: DataFrame) -> DataFrame:
+    """_row, doc_id, base, every of numbered rows (_row, doc_id, text): base spans, and those with the terms' spans; in order of kind and start."""
+    spans = spans_of(rows)
+    terms = term_spans(rows, spans)
     few = terms.limit(common.MAX_BROADCAST_IDS // 10 + 1).count() <= common.MAX_BROADCAST_IDS // 10
     none = F.array().cast(SPAN)
     more = F.filter(F.coalesce(F.col("terms").cast(SPAN), none), lambda t: ~F.exists("base", lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"])))
@@ -177,13 +176,13 @@ def listed(spans: Column) -> Column:
 def find(docs: DataFrame) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans of each row of docs."""
     count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")
-    return scan(docs).select("doc_id", *(count(k).alias(f"n_{KINDS[k]}") for k in range(4)), F.sha2(listed(F.col("base")).cast("binary"), 256).alias("base_sha256"), listed(F.col("every")).alias("spans"))
+    return scan(common.numbered(docs.select("doc_id", "text"))).select("doc_id", *(count(k).alias(f"n_{KINDS[k]}") for k in range(4)), F.sha2(listed(F.col("base")).cast("binary"), 256).alias("base_sha256"), listed(F.col("every")).alias("spans"))
 
 
 def sanitise(docs: DataFrame) -> DataFrame:
     """doc_id, text with base values and generalised terms replaced by their kind in brackets, removed terms cut."""
-    told = scan(docs).select("_row", "every")
-    rows = common.with_row_id(docs.select("doc_id", "text")).join(told, "_row")
+    rows = common.numbered(docs.select("doc_id", "text"))
+    rows = rows.join(scan(rows).select("_row", "every"), "_row")
     by_place = F.array_sort(F.transform("every", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
     names = F.array(*[F.lit(f"[{k.upper()}]") for k in ("email", "ip", "card", "phone", "term")], F.lit(""))
     out = F.aggregate(

@@ -257,7 +257,7 @@ def identify(docs: DataFrame, model: dict) -> DataFrame:
 
 def understood(docs: DataFrame, model: dict) -> DataFrame:
     """The rows of docs in some language: those predicted ``und`` go."""
-    rows = common.with_row_id(docs)
+    rows = common.numbered(docs)
     told = identify(rows.select(F.col("_row").alias("doc_id"), "text"), model)
     rejected = common.written(told.where("lang_pred = 'und'").select(F.col("doc_id").alias("_row")))
     return common.drop_ids(rows, rejected, "_row").drop("_row")

@@ -40,9 +40,14 @@ def sha256(text: Column) -> Column:
     return F.sha2(text.cast("binary"), 256)
 
 
+def located(docs: DataFrame) -> DataFrame:
+    """_row, doc_id, text; of rows that are not numbered, the locators hold for one scan, in which they only break ties."""
+    return (docs if "_row" in docs.columns else common.with_row_id(docs)).select("_row", "doc_id", "text")
+
+
 def fingerprints(docs: DataFrame, digest=sha256) -> DataFrame:
     """_row (locator), doc_id, n, digest of each row, written to the shared folder."""
-    text = common.with_row_id(docs.select("doc_id", "text"))
+    text = located(docs)
     # the text is normalised once: a shared subexpression of both digests
     text = text.select("_row", "doc_id", F.length(common.text_or_empty()).alias("n"), normalised().alias("norm"))
     return common.written(text.select("_row", "doc_id", "n", digest(F.col("norm")).alias("digest"), sha256(F.col("norm")).alias("text_sha256")))
@@ -95,7 +100,7 @@ def groups(docs: DataFrame, digest=sha256, max_files: int | None = None) -> Data
     hits = common.written(state.where("group_size > 1").select("digest", "keep", "group_size"))
 
     # Full bytes of the hits: copies fall together within a task, before anything is shuffled.
-    text = common.with_row_id(docs.select("doc_id", "text")).select("_row", "doc_id", F.length(common.text_or_empty()).alias("n"), normalised().alias("norm"))
+    text = located(docs).select("_row", "doc_id", F.length(common.text_or_empty()).alias("n"), normalised().alias("norm"))
     text = common.keep_ids(text.withColumn("digest", digest(F.col("norm"))), hits, "digest")
     differ = common.written(text.select("digest", "norm").distinct().groupBy("digest").count().where("count > 1").select("digest"))
 
@@ -126,8 +131,9 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
 
 def distinct_documents(docs: DataFrame) -> DataFrame:
     """The rows of docs that stay, all their columns as they are."""
-    dropped = common.written(groups(docs).where("_row <> keep_row").select("_row"))
-    return common.drop_ids(common.with_row_id(docs), dropped, "_row").drop("_row")
+    rows = common.numbered(docs)
+    dropped = common.written(groups(rows).where("_row <> keep_row").select("_row"))
+    return common.drop_ids(rows, dropped, "_row").drop("_row")
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
