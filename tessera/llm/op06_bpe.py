@@ -5,7 +5,8 @@ from the left chunk's own context and again from a start inside the overlap;
 the first boundary at which both agree, and after which the pattern can't look
 back, is where the chunks are stitched (for this pattern two tokenisations that
 share a boundary agree from there on, since a match depends only on what
-follows its start). The pieces between stitches are then encoded, each match of
+follows its start). No piece ends in white space: how a run of it is matched
+depends on what follows, which the piece alone doesn't show. The pieces between stitches are then encoded, each match of
 the pattern separately; ids follow one another, so decoding concatenates the
 bytes of the ids.
 
@@ -84,7 +85,7 @@ class Coder:
                 # one's from inside the overlap. Where they meet, they agree from then on.
                 left = set(self.boundaries(text, max(at, want - span) if self._sure(text, max(at, want - span)) else at, stop))
                 right = self.boundaries(text, want, stop)
-                found = next((p for p in right if p > want and p in left and not {text[p - 1], text[p]} & _DISPUTED), None)
+                found = next((p for p in right if p > want and p in left and not text[p - 1].isspace() and not {text[p - 1], text[p]} & _DISPUTED), None)
                 if found is None:
                     if stop == n:
                         return cuts + [n]

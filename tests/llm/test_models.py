@@ -127,6 +127,20 @@ def test_tokens_are_those_of_the_library(docs, corpus, reference, sizes):
         assert r.decoded_sha256 == hashlib.sha256((t or "").encode()).hexdigest()
 
 
+@pytest.mark.parametrize("white", ["\n\n", "\t\n", "\n\n\n", " \n", "\n  ", "\r\n\r\n", "\n \t\n", "\u00a0\u2003\n"])
+def test_no_piece_ends_in_white_space(white):
+    """A run of white space at each place about the end of a chunk."""
+    c = bpe.coder(*bpe._settings(None, None))
+    starts = lambda t: [m.start() for m in c.pattern.finditer(t)]
+    for chunk, overlap in ((64, 8), (bpe.CHUNK, bpe.OVERLAP)):
+        for place in range(chunk - len(white) - 2, chunk + 3):
+            text = ("foo " * chunk)[:place].rstrip().ljust(place, "x") + white + "bar baz " * (overlap + 64)
+            cuts = c.stitches(text, chunk, overlap)
+            assert len(cuts) > 2
+            assert [a + x for a, b in zip(cuts, cuts[1:]) for x in starts(text[a:b])] == starts(text), (chunk, place)
+            assert c.encode(text, chunk, overlap) == c.core.encode_ordinary(text)
+
+
 def test_round_trip(docs, corpus):
     back = {r.doc_id: bytes(r.raw) for r in bpe.decode(bpe.encode(docs)).collect()}
     assert all(back[d] == (t or "").encode() for d, t, *_ in corpus)
