@@ -17,7 +17,9 @@ equal results; an empty table gives no rows; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -32,8 +34,9 @@ HEX = re.compile(r"[0-9a-f]{16,}")
 MIN_ASSIGN, MIN_ACCESS = 12, 18
 KINDS = ("assign", "access", "hex")
 
-#: A candidate: so many characters of the alphabet of keys, with a digit and a letter.
-CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,512}(?![A-Za-z0-9+/_=-])", re.A)
+#: A candidate: so many characters of the alphabet of keys or more, with a digit and a letter; and where one may begin.
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}+", re.A)
+BEGIN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]", re.A)
 #: The words that make a context sensitive, and how far before a candidate they may stand.
 CONTEXT = re.compile(r"(?:pass(?:word|wd|phrase)?|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|credential|bearer|authorization|auth)\b", re.I | re.A)
 REACH = 48
@@ -41,6 +44,8 @@ _HINTS = ("pass", "secret", "token", "key", "credential", "bearer", "auth")  # e
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+|[+/_=-]")
 #: Marginal bytes a character from which a candidate is novel, and the least in all.
 NOVELTY, LEAST_BYTES = 0.8, 12
+#: Beyond so many characters zstandard codes even random ones at their entropy, so NOVELTY is a share of that.
+LONG = 512
 #: Common identifiers of code, the fixed part of the dictionary.
 IDENTIFIERS = (
     "abstract accept access account action active address admin alloc append application argument array async authentication authorization await "
@@ -93,27 +98,37 @@ class Novelty:
         return min(self.size(around + x.encode(), d) for x in (candidate, words)) - without
 
 
+def random_bytes(word: str) -> float:
+    """Bytes that zstandard needs for random characters as in ``word``."""
+    n = len(word)
+    if n <= LONG:
+        return n
+    return sum(-k * math.log2(k / n) for k in Counter(word).values()) / 8
+
+
 def novel_spans(text: str, taken: list[tuple[int, int, int]], novelty: Novelty) -> list[tuple[int, int]]:
     """(start, end) of incompressible strings in a sensitive context that no base span touches."""
-    out, last = [], -1
+    out, last, priced = [], -1, set()
     low = text.lower()
     if not any(x in low for x in _HINTS):
         return out
     for c in CONTEXT.finditer(text):
-        for m in CANDIDATE.finditer(text, c.end(), min(len(text), c.end() + REACH + 512)):
-            a, b = m.span()
-            if a - c.end() > REACH or a <= last:
+        for begin in BEGIN.finditer(text, c.end(), c.end() + REACH + 1):
+            a = begin.start()
+            if a <= last or a in priced or "\n" in text[c.end() : a]:
                 continue
-            if "\n" in text[c.end() : a] or any(s < b and a < e for s, _, e in taken):
+            m = CANDIDATE.match(text, a)  # to its own end, however far
+            if not m:
                 continue
-            # the finder can't see past its end: a string cut there is read on to its own end
-            if b < len(text) and re.match(r"[A-Za-z0-9+/_=-]", text[b], re.A):
+            b = m.end()
+            priced.add(a)
+            if any(s < b and a < e for s, _, e in taken):
                 continue
             word = text[a:b]
             if not (re.search(r"\d", word, re.A) and re.search(r"[A-Za-z]", word)):
                 continue
             cost = novelty.marginal(word, text[max(0, a - 256) : a], text[b : b + 256])
-            if cost >= LEAST_BYTES and cost >= NOVELTY * len(word):
+            if cost >= LEAST_BYTES and cost >= NOVELTY * random_bytes(word):
                 out.append((a, b))
                 last = a
     return sorted(set(out))

@@ -85,6 +85,21 @@ def test_secret_base_spans_and_novelty(spark):
     assert got[n - 3].spans == "novel:14:30" and got[n - 2].spans == "" and got[n - 1].spans == ""
 
 
+def test_long_secrets_are_read_to_their_end(spark):
+    rng = random.Random(4)
+    key = lambda n: "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(n))
+    names = "_".join(rng.choice(["user", "name2", "account", "table", "session", "config"]) for _ in range(400))
+    texts = [f"{before} {key(n)} and so on" for n in (64, 511, 512, 513, 560, 561, 600, 1200, 1624, 3000, 40000) for before in ("the secret key is", "Authorization: Bearer", "credential" + " " * 47)]
+    texts += [f"the secret key is {key(1624)}"]  # at the end of the text
+    texts += [f"the secret key is {x} and so on" for x in (names, "getUserName2" * 100, "a1" * 700)] + ["plain " + key(1200), "credential" + " " * 49 + key(1200), "the secret key\n" + key(1200)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in secrets.scan(docs).collect()}
+    for i, t in enumerate(texts[:-6]):
+        a = max(re.finditer(r"[A-Za-z0-9+/]{17,}", t), key=lambda m: len(m[0])).span()
+        assert f"novel:{a[0]}:{a[1]}" in got[i].spans.split(","), (len(t), t[:40])
+    assert all(got[i].n_novel == 0 for i in range(len(texts) - 6, len(texts)))
+
+
 def words(t):
     return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
 
