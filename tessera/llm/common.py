@@ -27,6 +27,8 @@ def shared_dir(spark: SparkSession) -> str:
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not (spark.sparkContext.master + "[").startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         local = tempfile.mkdtemp(prefix="tessera-")
         atexit.register(shutil.rmtree, local, ignore_errors=True)
         root = "file://" + local
@@ -97,10 +99,23 @@ def numbered(docs: DataFrame, name: str = "_row") -> DataFrame:
     if not _plain_scan(docs):
         return written(with_row_id(docs, name))
     paths = [p.replace(":///", ":/", 1) for p in docs.inputFiles()]  # as _metadata has them
-    files = docs.sparkSession.createDataFrame(list(zip(sorted(paths), range(len(paths)))), "_path string, _file long")
-    at = docs.select("*", F.replace("_metadata.file_path", F.lit(":///"), F.lit(":/")).alias("_path"), F.col("_metadata.row_index").alias("_place"))
-    known = F.coalesce("_file", F.raise_error(F.concat(F.lit("not among the input files: "), "_path")).cast("long"))
-    return at.join(F.broadcast(files), "_path", "left").select(*docs.columns, (F.shiftleft(known, 40) + F.col("_place")).alias(name))
+    path, file, place = (f"_{k} of {name}" for k in ("path", "file", "place"))
+    files = docs.sparkSession.createDataFrame(list(zip(sorted(paths), range(len(paths)))), f"`{path}` string, `{file}` long")
+    at = docs.select("*", F.replace("_metadata.file_path", F.lit(":///"), F.lit(":/")).alias(path), F.col("_metadata.row_index").alias(place))
+    known = F.coalesce(F.col(f"`{file}`"), F.raise_error(F.concat(F.lit("not among the input files: "), F.col(f"`{path}`"))).cast("long"))
+    return at.join(F.broadcast(files), path, "left").select(*(F.col(f"`{c}`") for c in docs.columns), (F.shiftleft(known, 40) + F.col(f"`{place}`")).alias(name))
+
+
+def numbered_apart(docs: DataFrame) -> tuple[DataFrame, DataFrame, str]:
+    """(_row, doc_id, text of each numbered row; the rows as they are, with their number; the name it has there).
+
+    The name is none of the table's own, so that no column of it is lost.
+    """
+    number = "_row"
+    while number.lower() in [c.lower() for c in docs.columns]:
+        number = "_" + number
+    own = numbered(docs, number)
+    return own.select(F.col(number).alias("_row"), "doc_id", "text"), own, number
 
 
 def _plain_scan(docs: DataFrame) -> bool:

@@ -12,19 +12,31 @@ no more than the symmetric difference.
 *Pigeonhole.* J >= 3/4 means a symmetric difference of at most (a + b) / 7, so
 at most a / 3 for the smaller set a. Bands grow by 4/3: partners are in the same
 or the next band, and each pair meets in the joint band of the smaller one. A
-set emits its first a/3 + 1 blocks that are not empty (in the joint band below
-its own: as many as the largest set there); of these at least one is equal in
-both, whichever set's stops first. Equal empty blocks tell nothing, which is
-why they don't count; a joint band takes finer blocks, up to one a shingle,
-until each of its sets has enough of them.
+set emits its first a/3 + t blocks that are not empty (in the joint band below
+its own: as many as the largest set there); of these at least t are equal in
+both, whichever set's stops first; t is a twelfth of the joint band's smallest
+set, and one. Equal empty blocks tell nothing, which is why they don't count; a
+joint band takes finer blocks, up to one a shingle, until each of its sets has
+enough of them.
 
 *Candidates.* Keys (joint band, block, XOR) are summed to their smallest and
 largest class; only keys with two classes matter. A Bloom filter of those, of
-fixed size, lets a second pass emit just their members. Pairs of which the sizes
-or the Hamming distance of the parity sketches rule out a link go, before any
-text moves. First each class meets the pivot (a key's smallest class) it shares
-most keys with, and is verified; components follow. Then, for keys whose members
-still are in several components, members of different components meet.
+fixed size, lets a second pass emit just their members. First each class meets
+the pivot (a key's smallest class) it shares most keys with, and is verified;
+components follow. Then classes of different components meet at the keys that
+are still open, those in which several components are:
+
+- a class with fewer than t open keys links to no other component; of the others
+  all but its t - 1 commonest keys are kept, for two sets that share t keys share
+  one of these (prefix filter by rarity). So a passage common to many different
+  texts brings them together only where it is much of each of them;
+- at each key the largest component's members are not paired with one another,
+  and no two of the same component are;
+- a pair is made at one of its common keys only, not at each: with a class goes
+  the list of its rarest keys, and a pair that shares a rarer one is left to that;
+- sizes, and the Hamming distance of short parity sketches, rule out pairs within
+  the join, that of full sketches the rest, before any text moves.
+
 So no group of copies is expanded into all pairs, and no link between
 components is missed.
 
@@ -33,7 +45,7 @@ components is missed.
 Defined results: null, empty and wordless texts have no shingles and stand
 alone; with fewer than five words the sequence is one shingle; each row of
 repeated rows gets a result; a null id is never the smallest; an empty table
-gives no rows; other columns are ignored.
+gives no rows; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -42,7 +54,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import common, textnum
@@ -50,9 +62,13 @@ from tessera.llm.components import components
 
 K = 5
 #: Blocks of a joint band as a multiple of its largest lower size; 0: one block a shingle.
-FINENESS = (0.5, 1.0, 4.0, 0.0)
-#: Words of the parity sketch that goes with a class into joins; the full one has about a bit a shingle.
-PARITY_WORDS = 8
+FINENESS = (0.6, 1.0, 4.0, 0.0)
+#: Words of the parity sketch that goes with a class into joins.
+PARITY_WORDS = 16
+#: The full sketch has this many bits a shingle, or up to twice as many.
+FULL_BITS = 4
+#: Rarest keys of a class that go with each of its keys, to make a pair once.
+FIRST_KEYS = 16
 #: Bits of the Bloom filter over shared keys.
 BLOOM_BITS = 1 << 26
 
@@ -66,74 +82,92 @@ def _bands(up_to: int = 1 << 40) -> np.ndarray:
 
 
 BANDS = _bands()
-
-
-def shingle_sets(column) -> Iterator[list[np.ndarray]]:
-    """The sorted distinct shingle hashes of each text, some rows at a time."""
-    for _, _, raw, off in textnum.slices(column):
-        raw = textnum.LOWER[raw]
-        start, end, row = textnum.spans(raw, off, ~textnum.IS_SPACE)
-        h, r = textnum.shingle_hashes(textnum.word_hashes(raw, start, end), row, len(off) - 1, K)
-        if len(r) and np.any(r[1:] < r[:-1]):
-            order = np.argsort(r, kind="stable")
-            h, r = h[order], r[order]
-        at = np.searchsorted(r, np.arange(len(off)))
-        yield [np.unique(h[a:b]) for a, b in zip(at, at[1:])]
-
-
-def joint_bands(n: int) -> list[tuple[int, int]]:
-    """(joint band, blocks to emit) for a set of n shingles: its own band, and the one below."""
-    r = int(np.searchsorted(BANDS, n, "right")) - 1
-    out = [(r, n // 3 + 1)]
-    if r:
-        out.append((r - 1, (int(BANDS[r]) - 1) // 3 + 1))
+#: t: keys that any two linking sets of a joint band share at least.
+COMMON = 1 + BANDS // 12
+
+
+def band_of(n: np.ndarray) -> np.ndarray:
+    """The size band of each set of n shingles; -1 of the empty one."""
+    return np.searchsorted(BANDS, n, "right") - 1
+
+
+def joints(n: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(joint band, blocks to emit) for sets of n shingles: first their own band, then the one below; no blocks where there is none."""
+    r = band_of(n)
+    own = np.where(n > 0, n // 3 + COMMON[np.maximum(r, 0)], 0)
+    low = np.maximum(r - 1, 0)
+    below = np.where(r > 0, (BANDS[np.maximum(r, 0)] - 1) // 3 + COMMON[low], 0)
+    return [(np.maximum(r, 0), own), (low, below)]
+
+
+def _blocks(h: np.ndarray, row: np.ndarray, joint: np.ndarray, level: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(block of each shingle, whether it is the first of its row there); blocks are ranges of hashes, so sorted sets have them in order."""
+    wide = BANDS[joint + 1] - 1
+    k = (np.array(FINENESS)[level] * wide).astype(np.uint64) + np.uint64(4)
+    high = np.uint64(32)
+    block = np.where((level == len(FINENESS) - 1)[row], h, ((h >> high) * k[row]) >> high)
+    first = np.ones(len(h), bool)
+    first[1:] = (block[1:] != block[:-1]) | (row[1:] != row[:-1])
+    return block, first
+
+
+def levels_needed(h: np.ndarray, off: np.ndarray, joint: np.ndarray, need: np.ndarray) -> np.ndarray:
+    """For each set the coarsest fineness at which it has enough blocks that are not empty."""
+    row = np.repeat(np.arange(len(need)), np.diff(off))
+    level = np.zeros(len(need), np.int64)
+    for _ in FINENESS[:-1]:
+        _, first = _blocks(h, row, joint, level)
+        short = np.bincount(row[first], minlength=len(need)) < need
+        if not short.any():
+            break
+        level += short & (level < len(FINENESS) - 1)
+    return level
+
+
+def keys_of(h: np.ndarray, off: np.ndarray, levels: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    """(key, row) of all keys that the sets emit; the lowest bit of a key is that of its joint band."""
+    n = np.diff(off)
+    row = np.repeat(np.arange(len(n)), n)
+    keys, rows = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    if not len(h):
+        return keys[0], rows[0]
+    table = np.zeros(len(BANDS), np.int64)
+    for joint, level in levels.items():
+        table[joint] = level
+    for joint, need in joints(n):
+        block, first = _blocks(h, row, joint, table[joint])
+        at = np.flatnonzero(first)
+        x, r = np.bitwise_xor.reduceat(h, at), row[at]
+        place = np.arange(len(at)) - np.searchsorted(r, np.arange(len(n)))[r]
+        some = place < need[r]
+        j = joint[r[some]].astype(np.uint64)
+        with np.errstate(over="ignore"):
+            key = textnum.mix(x[some] + textnum.mix(block[at[some]] * np.uint64(128) + j))
+        keys.append(key & ~np.uint64(1) | j & np.uint64(1))
+        rows.append(r[some])
+    return np.concatenate(keys), np.concatenate(rows)
+
+
+def parity(h: np.ndarray, row: np.ndarray, n: int) -> np.ndarray:
+    """A row of PARITY_WORDS words for each set: each shingle flips one bit."""
+    bits, out = 64 * PARITY_WORDS, np.zeros((n, PARITY_WORDS), np.int64)
+    for a in range(0, n, 2048):
+        b = min(n, a + 2048)
+        i, j = np.searchsorted(row, [a, b])
+        on = np.bincount((row[i:j] - a) * bits + (h[i:j] % np.uint64(bits)).astype(np.int64), minlength=(b - a) * bits).astype(np.uint8) & 1
+        out[a:b] = np.packbits(on, bitorder="little").view(np.int64).reshape(b - a, PARITY_WORDS)
     return out
 
 
-def _blocks(h: np.ndarray, joint: int, fineness: float) -> np.ndarray:
-    """The block of each shingle."""
-    if not fineness:
-        return h
-    k = int(fineness * (int(BANDS[joint + 1]) - 1)) + 4
-    return textnum.mix(h ^ np.uint64(0xA5A5 + joint)) % np.uint64(k)
-
-
-def level_needed(h: np.ndarray, joint: int, need: int) -> int:
-    """The coarsest fineness at which the set has enough blocks that are not empty."""
-    for level, f in enumerate(FINENESS[:-1]):
-        if len(np.unique(_blocks(h, joint, f))) >= need:
-            return level
-    return len(FINENESS) - 1
-
-
-def keys_of(h: np.ndarray, levels: dict[int, int]) -> np.ndarray:
-    """The keys that a set emits."""
-    out = []
-    with np.errstate(over="ignore"):
-        for joint, need in joint_bands(len(h)):
-            block = _blocks(h, joint, FINENESS[levels[joint]])
-            order = np.argsort(block, kind="stable")
-            block, x = block[order], h[order]
-            first = np.flatnonzero(np.concatenate(([True], block[1:] != block[:-1])))
-            sums = np.bitwise_xor.reduceat(x, first)[:need]
-            out.append(textnum.mix(sums + textnum.mix(block[first[:need]] * np.uint64(64) + np.uint64(joint))))
-    return np.unique(np.concatenate(out))
-
-
-def parity(h: np.ndarray) -> np.ndarray:
-    """Each shingle flips one of 64 * PARITY_WORDS bits."""
-    bit = h % np.uint64(64 * PARITY_WORDS)
-    on = np.bincount(bit.astype(np.int64), minlength=64 * PARITY_WORDS).astype(np.uint8) & 1
-    return np.packbits(on, bitorder="little").view(np.int64)
-
-
-def full_parity(h: np.ndarray) -> np.ndarray:
-    """The same over as many bits as the next power of two has, so that it can be folded."""
-    bits = 64
-    while bits < len(h):
-        bits *= 2
-    on = np.bincount((h % np.uint64(bits)).astype(np.int64), minlength=bits).astype(np.uint8) & 1
-    return np.packbits(on, bitorder="little").view(np.int64)
+def full_parity(h: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(words, offsets by set): the same over FULL_BITS bits a shingle, up to the next power of two, so that it can be folded."""
+    n = np.diff(off)
+    size = 1 << np.ceil(np.log2(np.maximum(FULL_BITS * n, 64))).astype(np.int64)
+    begin = np.concatenate(([0], np.cumsum(size)))
+    row = np.repeat(np.arange(len(n)), n)
+    bit = begin[row] + (h & (size[row] - 1).astype(np.uint64)).astype(np.int64)
+    on = np.bincount(bit, minlength=int(begin[-1])).astype(np.uint8) & 1
+    return np.packbits(on, bitorder="little").view(np.int64), begin // 64
 
 
 def distance(x: np.ndarray, y: np.ndarray) -> int:
@@ -145,40 +179,54 @@ def distance(x: np.ndarray, y: np.ndarray) -> int:
     return int(np.bitwise_count((x ^ y).view(np.uint64)).sum())  # of signed words it would count the absolute values
 
 
+def _sum_by_row(f, x: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """f.reduce of each row's part of x; 0 of empty parts."""
+    out = np.zeros(len(off) - 1, np.uint64)
+    some = np.flatnonzero(np.diff(off))
+    if len(some):
+        out[some] = f.reduceat(x, off[some])
+    return out
+
+
 def profile(rows: DataFrame) -> DataFrame:
     """_row, doc_id, n, d1, d2 (digest of the set), p0.. (parity), l0, l1 (fineness for its joint bands), sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out, sketches = [], []
-            for sets in shingle_sets(batch.column("text")):
-                for h in sets:
-                    sketches.append(full_parity(h))
-                    if not len(h):
-                        out.append((0, 0, 0, *[0] * PARITY_WORDS, 0, 0))
-                        continue
-                    need = [level_needed(h, j, k) for j, k in joint_bands(len(h))]
-                    d1, d2 = np.bitwise_xor.reduce(h), np.add.reduce(textnum.mix(h + np.uint64(77)))
-                    out.append((len(h), int(d1.view(np.int64)), int(d2.view(np.int64)), *parity(h).tolist(), need[0], need[1] if len(need) > 1 else 0))
-            names = ["n", "d1", "d2", *(f"p{i}" for i in range(PARITY_WORDS)), "l0", "l1"]
-            cols = np.array(out, np.int64).reshape(-1, len(names)).T
-            yield pa.RecordBatch.from_pydict({"_row": batch.column("_row"), "doc_id": batch.column("doc_id")} | {k: pa.array(c) for k, c in zip(names, cols)} | {"sketch": pa.array(sketches, pa.list_(pa.int64()))})
+            for a, b, raw, at in textnum.slices(batch.column("text")):
+                h, off = textnum.shingle_sets(raw, at, K)
+                n = np.diff(off)
+                row = np.repeat(np.arange(len(n)), n)
+                with np.errstate(over="ignore"):
+                    d1, d2 = _sum_by_row(np.bitwise_xor, h, off), _sum_by_row(np.add, textnum.mix(h + np.uint64(77)), off)
+                p = parity(h, row, len(n))
+                level = [levels_needed(h, off, joint, need) for joint, need in joints(n)]
+                words, begin = full_parity(h, off)
+                part = batch.slice(a, b - a)
+                yield pa.RecordBatch.from_pydict(
+                    {"_row": part.column("_row"), "doc_id": part.column("doc_id"), "n": pa.array(n.astype(np.int64)), "d1": pa.array(d1.view(np.int64)), "d2": pa.array(d2.view(np.int64))}
+                    | {f"p{i}": pa.array(np.ascontiguousarray(p[:, i])) for i in range(PARITY_WORDS)}
+                    | {"l0": pa.array(level[0]), "l1": pa.array(level[1]), "sketch": pa.ListArray.from_arrays(pa.array(begin.astype(np.int32)), pa.array(words))}
+                )
 
     schema = "_row long, doc_id long, n long, d1 long, d2 long, " + "".join(f"p{i} long, " for i in range(PARITY_WORDS)) + "l0 long, l1 long, sketch array<long>"
     return rows.select("_row", F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, schema)
 
 
+def _band() -> Column:
+    """The band of size n, as an expression; n > 0."""
+    return F.size(F.filter(F.array(*[F.lit(int(b)) for b in BANDS]), lambda b: b <= F.col("n"))) - 1
+
+
 def fineness_by_band(profiles: DataFrame) -> dict[int, int]:
     """For each joint band the finest level that any of its sets needs (some dozens of rows)."""
-    bound = F.array(*[F.lit(int(b)) for b in BANDS])
-    band = F.size(F.filter(bound, lambda b: b <= F.col("n"))) - 1
-    by = profiles.where("n > 0").groupBy("n").agg(F.max("l0").alias("l0"), F.max("l1").alias("l1")).select(band.alias("r"), "l0", "l1")
+    by = profiles.where("n > 0").groupBy("n").agg(F.max("l0").alias("l0"), F.max("l1").alias("l1")).select(_band().alias("r"), "l0", "l1")
     got = by.groupBy("r").agg(F.max("l0").alias("l0"), F.max("l1").alias("l1")).collect()
     out: dict[int, int] = {}
     for r in got:
         for joint, level in ((r["r"], r["l0"]), (r["r"] - 1, r["l1"])):
             out[joint] = max(out.get(joint, 0), int(level))
-    return out
+    return {j: level for j, level in out.items() if j >= 0}
 
 
 def keys(reps: DataFrame, levels: dict[int, int], bloom=None) -> DataFrame:
@@ -188,22 +236,14 @@ def keys(reps: DataFrame, levels: dict[int, int], bloom=None) -> DataFrame:
         bits = np.frombuffer(bloom.value, np.uint8) if bloom else None
         for batch in batches:
             rows = batch.column("_row").to_numpy()
-            at = 0
-            for sets in shingle_sets(batch.column("text")):
-                ks, rs = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-                for h in sets:
-                    if len(h):
-                        k = keys_of(h, levels)
-                        ks.append(k)
-                        rs.append(np.full(len(k), rows[at]))
-                    at += 1
-                k, r = np.concatenate(ks), np.concatenate(rs)
+            for a, b, raw, at in textnum.slices(batch.column("text")):
+                k, r = keys_of(*textnum.shingle_sets(raw, at, K), levels)
                 if bits is not None:
                     p = k & np.uint64(BLOOM_BITS - 1)
                     q = (k >> np.uint64(32)) & np.uint64(BLOOM_BITS - 1)
                     ok = (bits[p >> np.uint64(3)] >> (p & np.uint64(7)).astype(np.uint8)) & (bits[q >> np.uint64(3)] >> (q & np.uint64(7)).astype(np.uint8)) & 1
                     k, r = k[ok > 0], r[ok > 0]
-                yield pa.RecordBatch.from_pydict({"key": pa.array(k.view(np.int64)), "rep": pa.array(r)})
+                yield pa.RecordBatch.from_pydict({"key": pa.array(k.view(np.int64)), "rep": pa.array(rows[a:b][r])})
 
     return reps.select("_row", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, "key long, rep long")
 
@@ -226,12 +266,17 @@ def verified(pairs: DataFrame, reps: DataFrame) -> DataFrame:
     text = common.keep_ids(reps.select("_row", F.coalesce("text", F.lit("")).alias("text")), nodes, "_row")
     both = pairs.join(text.select(F.col("_row").alias("a"), F.col("text").alias("ta")), "a").join(text.select(F.col("_row").alias("b"), F.col("text").alias("tb")), "b")
 
+    def sets(column) -> list[np.ndarray]:
+        out = []
+        for _, _, raw, at in textnum.slices(column):
+            h, off = textnum.shingle_sets(raw, at, K)
+            out += [h[i:j] for i, j in zip(off, off[1:])]
+        return out
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a = [h for sets in shingle_sets(batch.column("ta")) for h in sets]
-            b = [h for sets in shingle_sets(batch.column("tb")) for h in sets]
             ok = []
-            for x, y in zip(a, b):
+            for x, y in zip(sets(batch.column("ta")), sets(batch.column("tb"))):
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 ok.append(both > 0 and 100 * both >= 75 * (len(x) + len(y) - both))
             keep = pa.array(ok, pa.bool_())
@@ -240,20 +285,56 @@ def verified(pairs: DataFrame, reps: DataFrame) -> DataFrame:
     return both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
-def _could_link(x: str, y: str):
-    """Sizes and parity sketches of two classes allow J >= 3/4; evaluated within a join, before it makes a row.
-
-    Sizes that allow a link differ by less than two, so the longer full sketch
-    is folded once at most.
-    """
+def _sizes_allow(x: str, y: str) -> Column:
     n, m = F.col(f"{x}.n"), F.col(f"{y}.n")
+    return 4 * F.least(n, m) >= 3 * F.greatest(n, m)
+
+
+def _parity_allows(x: str, y: str) -> Column:
+    """The short parity sketches of two classes allow J >= 3/4; evaluated within a join, before it makes a row."""
     apart = sum((F.bit_count(F.col(f"{x}.p{i}").bitwiseXOR(F.col(f"{y}.p{i}"))) for i in range(PARITY_WORDS)), F.lit(0))
+    return 7 * apart <= F.col(f"{x}.n") + F.col(f"{y}.n")
+
+
+def _sketches_allow(x: str, y: str) -> Column:
+    """The same of the full ones. Sizes that allow a link differ by less than two, so the longer one is folded once at most."""
     u, v = F.col(f"{x}.sketch"), F.col(f"{y}.sketch")
     words = F.least(F.size(u), F.size(v))
     xor = lambda a, b: a.bitwiseXOR(b)
     folded = lambda s: F.when(F.size(s) == words, s).otherwise(F.zip_with(F.slice(s, 1, words), F.slice(s, words + 1, words), xor))
     differ = F.aggregate(F.zip_with(folded(u), folded(v), xor), F.lit(0), lambda a, w: a + F.bit_count(w))
-    return (4 * F.least(n, m) >= 3 * F.greatest(n, m)) & (7 * apart <= n + m) & (7 * differ <= n + m)
+    return 7 * differ <= F.col(f"{x}.n") + F.col(f"{y}.n")
+
+
+def _could_link(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """Those pairs (a, b, ...) of classes that no sketch rules out."""
+    facts = classes.select("rep", "n", "sketch", *(f"p{i}" for i in range(PARITY_WORDS)))
+    x = pairs.join(facts, F.col("rep") == F.col("a")).drop("rep").alias("x")
+    both = x.join(facts.alias("y"), (F.col("x.b") == F.col("y.rep")) & _sizes_allow("x", "y") & _parity_allows("x", "y") & _sketches_allow("x", "y"))
+    return both.select(*(f"x.{c}" for c in pairs.columns))
+
+
+def _between(members: DataFrame, roots: DataFrame, classes: DataFrame) -> DataFrame:
+    """a, b of classes of different components that share t keys and whose sizes and short sketches allow a link; each pair about once."""
+    sizes = roots.groupBy("root").agg(F.count("*").alias("members"))
+    at = members.select("key", "rep").join(roots.join(sizes, "root").withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("root", "rep").alias("root"), F.coalesce("members", F.lit(1)).alias("members"))
+    most = F.max(F.struct("members", "root"))
+    opened = at.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y"), most.alias("m"), F.count("*").alias("times")).where("x < y").select("key", F.col("m.root").alias("major"), "times")
+    own = at.join(opened, "key").groupBy("rep", "root", F.col("key").bitwiseAND(F.lit(1)).alias("side")).agg(F.array_sort(F.collect_list(F.struct("times", "key", "major"))).alias("all"))
+    band = _band()
+    joint = F.when(F.pmod(band, F.lit(2)) == F.col("side"), band).otherwise(band - 1)
+    t = F.get(F.array(*[F.lit(int(c)) for c in COMMON]), joint)
+    own = own.join(classes.select("rep", "n", *(f"p{i}" for i in range(PARITY_WORDS))), "rep").withColumn("t", t).where(F.size("all") >= F.col("t"))
+    own = own.withColumn("rare", F.slice("all", 1, F.greatest(F.size("all") - F.col("t").cast("int") + 1, F.lit(0))))
+    first = F.slice(F.transform("rare", lambda k: k["key"]), 1, FIRST_KEYS)
+    facts = ["rep", "root", "n", *(f"p{i}" for i in range(PARITY_WORDS))]
+    each = own.withColumn("first", first).select(*facts, "first", F.posexplode("rare").alias("place", "k"))
+    left = common.written(each.select(F.col("k.key").alias("key"), F.col("k.major").alias("major"), F.slice("first", 1, F.least("place", F.lit(FIRST_KEYS))).alias("before"), *facts))
+    x, y = left.where("root <> major").alias("x"), left.alias("y")
+    once = (F.col("y.root") == F.col("y.major")) | (F.col("x.rep") < F.col("y.rep"))
+    meet = (F.col("x.key") == F.col("y.key")) & (F.col("x.root") != F.col("y.root")) & once & _sizes_allow("x", "y") & _parity_allows("x", "y") & ~F.arrays_overlap("x.before", "y.before")
+    pairs = x.join(y, meet).select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b"))
+    return common.written(pairs.distinct())
 
 
 def linked(rows: DataFrame) -> DataFrame:
@@ -269,25 +350,16 @@ def linked(rows: DataFrame) -> DataFrame:
     shared = common.written(keys(reps, levels).groupBy("key").agg(F.min("rep").alias("pivot"), F.max("rep").alias("last")).where("pivot < last").select("key", "pivot"))
     bloom = bloom_of(shared)
     members = common.written(keys(reps, levels, bloom).join(shared, "key").select("key", "rep", "pivot"))
-    facts = classes.select("rep", "n", "sketch", *(f"p{i}" for i in range(PARITY_WORDS)))
 
     # first the pivot that a class shares most keys with, of those that it could link to
-    votes = members.where("rep <> pivot").groupBy("rep", "pivot").count()
-    x, y = votes.join(facts, "rep").alias("x"), facts.alias("y")
-    could = x.join(y, (F.col("x.pivot") == F.col("y.rep")) & _could_link("x", "y")).select(F.col("x.pivot").alias("a"), F.col("x.rep").alias("b"), "count")
-    best = could.groupBy("b").agg(F.min(F.struct((-F.col("count")).alias("c"), "a")).alias("x"))
+    votes = members.where("rep <> pivot").groupBy(F.col("pivot").alias("a"), F.col("rep").alias("b")).count()
+    best = _could_link(votes, classes).groupBy("b").agg(F.min(F.struct((-F.col("count")).alias("c"), "a")).alias("x"))
     first = common.written(best.select(F.col("x.a").alias("a"), "b"))
     edges = common.written(verified(first, reps))
     roots = common.written(components(edges))
 
-    # then the members of one key that are in different components
-    at = members.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("root", "rep").alias("root"))
-    open_keys = at.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("key")
-    left = common.written(at.join(open_keys, "key", "left_semi").join(facts, "rep"))
-    x, y = left.alias("x"), left.alias("y")
-    pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.root") != F.col("y.root")) & _could_link("x", "y")).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
-    told = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    second = common.written(pairs.distinct().join(told, ["a", "b"], "left_anti"))
+    # then the classes of different components
+    second = common.written(_could_link(_between(members, roots, classes).join(first, ["a", "b"], "left_anti"), classes))
     more = common.written(verified(second, reps))
     if not more.isEmpty():
         roots = common.written(components(edges.unionByName(more)))
@@ -311,11 +383,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def representatives(docs: DataFrame) -> DataFrame:
     """One row of each component, the one with the smallest id (then the first stored); all columns as they are."""
-    rows = common.numbered(docs)
+    rows, own, number = common.numbered_apart(docs)
     told = linked(rows)
     kept = told.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row")).alias("k")).select(F.col("k._row").alias("_row"))
     dropped = common.written(told.select("_row").join(kept, "_row", "left_anti"))
-    return common.drop_ids(rows, dropped, "_row").drop("_row")
+    return common.drop_ids(own, dropped.withColumnRenamed("_row", number), number).drop(number)
 
 
 def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -116,9 +116,9 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, size: int = WINDOW
 
 def clean(documents: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
     """The rows of documents without a hit, all their columns as they are."""
-    rows = common.numbered(documents)
-    found = common.written(hits(rows.select("_row", "text"), anchored(rows, benchmark, size), size).select("_row"))
-    return common.drop_ids(rows, found, "_row").drop("_row")
+    rows, own, number = common.numbered_apart(documents)
+    found = common.written(hits(rows, anchored(rows, benchmark, size), size).select(F.col("_row").alias(number)))
+    return common.drop_ids(own, found, number).drop(number)
 
 
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -34,6 +34,9 @@ ALPHA, BETA, L1, L2, EPOCHS, BATCH = 0.5, 1.0, 1e-3, 1e-5, 4, 32
 #: Relative frequencies are small; all are multiplied by this.
 SCALE = 50
 
+#: Least score of a document that the pipeline keeps.
+SURE = 0.5
+
 _luts: list[np.ndarray] = []
 
 
@@ -256,11 +259,14 @@ def identify(docs: DataFrame, model: dict) -> DataFrame:
 
 
 def understood(docs: DataFrame, model: dict) -> DataFrame:
-    """The rows of docs in some language: those predicted ``und`` go."""
-    rows = common.numbered(docs)
+    """The rows of docs in some language: those predicted ``und`` go, and those of which the model is not sure.
+
+    Sure is a calibrated score of ``SURE``: the language told is likelier than all the others together.
+    """
+    rows, own, number = common.numbered_apart(docs)
     told = identify(rows.select(F.col("_row").alias("doc_id"), "text"), model)
-    rejected = common.written(told.where("lang_pred = 'und'").select(F.col("doc_id").alias("_row")))
-    return common.drop_ids(rows, rejected, "_row").drop("_row")
+    rejected = common.written(told.where((F.col("lang_pred") == "und") | (F.col("score") < SURE)).select(F.col("doc_id").alias(number)))
+    return common.drop_ids(own, rejected, number).drop(number)
 
 
 def learn_from(docs: DataFrame) -> DataFrame:

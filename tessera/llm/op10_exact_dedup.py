@@ -131,9 +131,9 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
 
 def distinct_documents(docs: DataFrame) -> DataFrame:
     """The rows of docs that stay, all their columns as they are."""
-    rows = common.numbered(docs)
-    dropped = common.written(groups(rows).where("_row <> keep_row").select("_row"))
-    return common.drop_ids(rows, dropped, "_row").drop("_row")
+    rows, own, number = common.numbered_apart(docs)
+    dropped = common.written(groups(rows).where("_row <> keep_row").select(F.col("_row").alias(number)))
+    return common.drop_ids(own, dropped, number).drop(number)
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -93,13 +93,30 @@ def spans(raw: np.ndarray, off: np.ndarray, inside: np.ndarray) -> tuple[np.ndar
     return start, end, np.searchsorted(off, start, "right") - 1
 
 
+_PLACES = 64
+#: A random number for each byte at each of the first _PLACES places of a word.
+_AT = mix(np.arange(256 * _PLACES, dtype=np.uint64) + np.uint64(1))
+
+
 def word_hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each byte span."""
-    n = len(raw)
+    """A 64-bit hash of each byte span: the sum of a scrambled number for each (place, byte).
+
+    The numbers of different places have nothing to do with each other, so no
+    regular pattern of bytes makes sums equal, as it does with powers of a base.
+    """
+    if not len(start):
+        return np.zeros(0, np.uint64)
+    base = np.repeat(start, np.diff(np.append(start, len(raw))))
+    at = (np.arange(start[0], len(raw)) - base) << 8 | raw[start[0] :]
+    total = np.zeros(len(at) + 1, np.uint64)
+    few = at < 256 * _PLACES
+    if few.all():
+        np.cumsum(_AT[at], out=total[1:])
+    else:
+        with np.errstate(over="ignore"):
+            np.cumsum(np.where(few, _AT[np.where(few, at, 0)], mix(at.astype(np.uint64) + np.uint64(1))), out=total[1:])
     with np.errstate(over="ignore"):
-        total = np.zeros(n + 1, np.uint64)
-        np.cumsum(_BYTE[raw] * _power("p", n)[:n], out=total[1:])
-        return mix((total[end] - total[start]) * _power("i", n)[start] + (end - start).astype(np.uint64))
+        return mix(total[end - start[0]] - total[start - start[0]] + mix((end - start).astype(np.uint64)))
 
 
 def shingle_hashes(words: np.ndarray, row: np.ndarray, n_rows: int, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -130,5 +147,24 @@ def shingle_hashes(words: np.ndarray, row: np.ndarray, n_rows: int, k: int) -> t
     return h, r
 
 
+def shingle_sets(raw: np.ndarray, off: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, offsets by row): the sorted distinct hashes of k-word shingles of each row, one row after another."""
+    raw = LOWER[raw]
+    start, end, row = spans(raw, off, ~IS_SPACE)
+    n = len(off) - 1
+    h, r = shingle_hashes(word_hashes(raw, start, end), row, n, k)
+    if len(r) and np.any(r[1:] < r[:-1]):
+        order = np.argsort(r, kind="stable")
+        h, r = h[order], r[order]
+    at = np.searchsorted(r, np.arange(n + 1))
+    for a, b in zip(at, at[1:]):
+        h[a:b].sort()
+    if not len(h):
+        return h, at
+    new = np.concatenate(([True], (h[1:] != h[:-1]) | (r[1:] != r[:-1])))
+    h, r = h[new], r[new]
+    return h, np.searchsorted(r, np.arange(n + 1))
+
+
 def rows_of(batch: pa.RecordBatch, drop: tuple[str, ...]) -> dict[str, pa.Array]:
     return {name: batch.column(name) for name in batch.schema.names if name not in drop}

@@ -1,6 +1,7 @@
 """Exact copies and near copies against brute force."""
 
 import hashlib
+import random
 import re
 
 import numpy as np
@@ -99,25 +100,84 @@ def test_one_row_of_each_component_stays(docs, corpus):
     assert kept.count() == alone + groups
 
 
+def offsets(*sets):
+    return np.concatenate(sets), np.concatenate(([0], np.cumsum([len(x) for x in sets])))
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.integers(1, 400), st.integers(0, 10**6))
-def test_linked_sets_share_a_key(n, seed):
-    """The pigeonhole: any two sets that link emit a common key, whatever the fineness."""
+def test_linked_sets_share_keys(n, seed):
+    """The pigeonhole: any two sets that link emit t common keys in their joint band, whatever the fineness."""
     rng = np.random.default_rng(seed)
-    a = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+    a = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2))
     drop = int(rng.integers(0, len(a) // 4 + 1))
     add = int(rng.integers(0, len(a) // 4 + 1))
-    b = np.unique(np.concatenate((rng.permutation(a)[drop:], rng.integers(0, 1 << 63, add, dtype=np.uint64))))
+    b = np.unique(np.concatenate((rng.permutation(a)[drop:], rng.integers(0, 1 << 63, add, dtype=np.uint64) * np.uint64(2))))
     both = len(np.intersect1d(a, b))
     if not len(b) or 100 * both < 75 * (len(a) + len(b) - both):
         return
+    h, off = offsets(a, b)
     levels = {}
-    for h in (a, b):
-        for joint, need in jaccard.joint_bands(len(h)):
-            levels[joint] = max(levels.get(joint, 0), jaccard.level_needed(h, joint, need))
-    assert len(np.intersect1d(jaccard.keys_of(a, levels), jaccard.keys_of(b, levels)))
-    d = len(a) + len(b) - 2 * both
-    assert jaccard.distance(jaccard.full_parity(a), jaccard.full_parity(b)) <= d
+    for joint, need in jaccard.joints(np.diff(off)):
+        for j, level in zip(joint, jaccard.levels_needed(h, off, joint, need)):
+            levels[int(j)] = max(levels.get(int(j), 0), int(level))
+    key, row = jaccard.keys_of(h, off, levels)
+    joint = int(jaccard.band_of(np.array([min(len(a), len(b))]))[0])
+    common_keys = [k for k in np.intersect1d(key[row == 0], key[row == 1]) if int(k) & 1 == joint & 1]
+    assert len(common_keys) >= jaccard.COMMON[joint]
+    words, begin = jaccard.full_parity(h, off)
+    assert jaccard.distance(words[begin[0] : begin[1]], words[begin[1] : begin[2]]) <= len(a) + len(b) - 2 * both
+
+
+def varied(rng, n, at, word):
+    w = list(n)
+    for _ in range(at):
+        w[rng.randrange(len(w))] = word()
+    return w
+
+
+def test_groups_that_share_much(spark):
+    """A passage that many texts share, a group of copies at all distances, and long ones, against brute force."""
+    rng = random.Random(23)
+    word = lambda: "w" + str(rng.randrange(100000))
+    some = lambda n: [word() for _ in range(n)]
+    passage, base, long = some(200), some(90), some(3000)
+    texts = [" ".join(some(rng.choice([30, 80, 150, 250])) + passage + some(rng.choice([30, 80]))) for _ in range(120)]
+    texts += [" ".join(varied(rng, base, rng.randrange(6), word)) for _ in range(500)]
+    texts += [" ".join(varied(rng, long, rng.choice([5, 60, 90, 120, 150]), word)) for _ in range(12)]
+    corpus = list(enumerate(texts))
+    docs = spark.createDataFrame(corpus, "doc_id long, text string").repartition(4)
+    assert rows(jaccard.near_duplicates(docs)) == jaccard_brute(corpus)
+
+
+def test_no_pattern_of_letters_makes_words_equal(spark):
+    thue = "".join("ab"[bin(i).count("1") % 2] for i in range(2048))
+    other = thue.translate(str.maketrans("ab", "ba"))
+    got = jaccard.near_duplicates(spark.createDataFrame([(1, thue), (2, other), (3, thue.upper())], "doc_id long, text string"))
+    assert rows(got) == [(1, 1, 1), (2, 1, 2), (3, 1, 1)]
+
+
+def test_columns_of_the_same_names_stay(docs):
+    more = docs.withColumn("_row", F.lit("mine")).withColumn("__ROW", F.lit(1)).withColumn("_path", F.lit("x"))
+    for f in (exact.distinct_documents, jaccard.representatives):
+        kept = f(more)
+        assert kept.columns == more.columns
+        assert {r._row for r in kept.select("_row").collect()} == {"mine"}
+        assert kept.count() == f(docs).count()
+
+
+def test_results_do_not_depend_on_how_files_are_split(spark, docs, tmp_path):
+    path = str(tmp_path / "docs.parquet")
+    docs.unionByName(docs.withColumn("doc_id", F.col("doc_id") + 1000)).repartition(7).write.parquet(path)
+    got, before = [], spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for split in ("4k", "128m"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+            table = spark.read.parquet(path)
+            got.append([rows(f(table)) for f in (exact.exact_dedup, jaccard.near_duplicates)] + [rows(exact.distinct_documents(table).select("doc_id")), rows(jaccard.representatives(table).select("doc_id"))])
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert got[0] == got[1]
 
 
 def test_components(spark):
