@@ -1,10 +1,19 @@
 """HTML extraction by consensus host paths.
 
 Each page is parsed once into containers, scored by the running text of their
-paragraphs less that of their links. The best container's path - tags and
-classes from the root, digits generalised - is the page's vote; Spark sums the
-votes by host, and every page is extracted again with its host's winning path.
-A page without that path, or with next to nothing under it, keeps its own best.
+paragraphs less that of their links. From the best one the choice climbs to the
+containers around it that add text of the same article: out to the outermost
+article, and on while what is added is more text than links and no other article.
+The choice's path - tags and classes from the root, digits generalised - is the
+page's vote; Spark sums the votes by host, and every page is extracted again with
+its host's winning path, all containers of it. Where the page's own choice lies
+around those, they must hold nearly all of its text; where it lies elsewhere on
+the page, a share of it. Otherwise, and without that path, the page keeps its own.
+
+Names (of class, id, role) tell what surrounds an article: a name of such words
+and neutral ones only, or one that ends in such a word, marks its element. Names
+of weak words are weighed: an element that holds more than half of the page's
+running text is the article, whatever its name.
 
 Defined results: a null html has no text; menus, headers, footers, sidebars,
 notices, adverts, forms, scripts, styles and comments are left out by tag, role
@@ -31,8 +40,8 @@ from tessera.llm import common
 MAX_BROADCAST_HOSTS = 200_000
 #: Ways a host's pages are dealt where its path is joined by a shuffle.
 SALTS = 64
-#: The winning path must hold this share of the text of the page's own best container.
-LEAST_SHARE = 0.25
+#: The winning path must hold this share of the text of the page's own choice, if that lies elsewhere, and if it lies around it.
+LEAST_SHARE, NEARLY_ALL = 0.25, 0.9
 
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^<>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)([^<>]*+)>|<[!?/][^>]*+>""", re.S)
 ATTR = re.compile(r"""(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
@@ -43,14 +52,23 @@ BLOCK = set("address article aside blockquote body center dd details dialog dir
 LEFT_OUT = RAW | set("nav header footer aside form button select option input label fieldset menu dialog head object audio video canvas map search".split())
 CONTAINER = set("article main section div td body blockquote center".split())
 CLOSES_P = BLOCK - {"html", "head", "body", "td", "th", "tr", "tbody", "thead", "tfoot", "option", "optgroup", "legend", "summary"}
-#: Name parts (of class, id, role) that mark what surrounds an article.
+#: Name parts (of class, id, role) that mark what surrounds an article, and those that may also stand in an article's name.
 AROUND = set(
-    "ad ads adv advert adverts advertisement advertising adsense banner banners sponsor sponsored sponsors promo promos promotion promoted "
+    "ad ads adv advert adverts advertisement advertising adsense banner banners sponsor sponsored sponsors "
     "nav navbar navigation navi menu menus submenu breadcrumb breadcrumbs pagination pager header masthead topbar toolbar footer foot colophon copyright "
-    "sidebar sidebars side aside widget widgets complementary contentinfo notice notices alert cookie cookies consent gdpr popup modal overlay paywall disclaimer "
-    "newsletter subscribe subscription signup login register form forms search comment comments commentlist discussion replies reply respond responses disqus reader "
-    "share sharing social related recommended recommendations recirc trending popular tags tagcloud skip hidden".split()
+    "sidebar sidebars aside complementary contentinfo cookie cookies consent gdpr popup modal overlay paywall disclaimer "
+    "newsletter subscribe subscription signup login search comment comments commentlist discussion replies respond responses disqus "
+    "share sharing social tagcloud".split()
 )
+WEAK = set("promo promos promotion promoted side widget widgets notice notices alert register form forms reply reader related recommended recommendations recirc trending popular tags skip hidden".split())
+#: Name parts that say nothing of what an element holds.
+NEUTRAL = set(
+    "list lists box block blocks container containers wrapper wrap section sections area areas region zone left right top bottom center middle main upper lower inner outer bar panel pane link links "
+    "content contents body col column columns row rows grid unit units slot slots site page global post posts item items group info text message messages label labels title icon icons count meta widget button buttons btn "
+    "js ui view block module component element the and primary secondary mobile desktop small large mini bg first last new article articles entry story".split()
+)
+#: Before a name part, these say that it is not there or only beside the element.
+BESIDE = set("no not non has have with without is".split())
 _PART = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
 
 
@@ -59,11 +77,21 @@ def host_of(url: str | None) -> str:
     return (m[1] if m else url or "").lower()
 
 
-def _around(attrs: dict[str, str]) -> bool:
-    return any(x.lower() in AROUND for v in attrs.values() for x in _PART.findall(v))
+def _around(attrs: dict[str, str]) -> int:
+    """2: what surrounds an article; 1: weakly so; 0: nothing is said."""
+    found = 0
+    for v in attrs.values():
+        for name in v.split():
+            parts = [x.lower() for x in _PART.findall(name)]
+            told = [x for x in parts if x in AROUND or x in WEAK]
+            if not told or BESIDE & set(parts):
+                continue
+            if parts[-1] in told or all(x in told or x in NEUTRAL for x in parts):
+                found = max(found, 2 if any(x in AROUND for x in told) else 1)
+    return found
 
 
-_steps: dict[tuple[str, str], tuple[str, bool]] = {}
+_steps: dict[tuple[str, str], tuple[str, int]] = {}
 _paths: dict[tuple[str, str], str] = {}
 
 
@@ -81,7 +109,9 @@ class Page:
     def __init__(self, source: str):
         #: events: (node, text), or (node, None) where a block begins or ends
         self.events: list[tuple[int, str | None]] = []
-        self.tag, self.parent, self.out, self.path, self.score = ["#root"], [-1], [False], [""], [0.0]
+        self.tag, self.parent, self.path, self.score = ["#root"], [-1], [""], [0.0]
+        #: 2: left out by tag or name, 1: by a weak name, 0: not; of the element itself, and (once rated) with those around it
+        self.mark, self.out = [0], [False]
         self.first, self.last = [0], [0]
         stack = [0]
         at, n = 0, len(source)
@@ -165,13 +195,13 @@ class Page:
         if (known := _steps.get((name, rest))) is None:
             attrs = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTR.finditer(rest)} if "=" in rest else {}
             classes = ".".join(sorted(re.sub(r"\d+", "#", attrs.get("class", "")).split()))
-            out = name in LEFT_OUT or (name not in ("html", "body") and bool(attrs) and _around(attrs))
-            known = _remember(_steps, (name, rest), (f"{name}.{classes}" if classes else name, out))
-        step, out = known
+            mark = 2 if name in LEFT_OUT else _around(attrs) if attrs and name not in ("html", "body") else 0
+            known = _remember(_steps, (name, rest), (f"{name}.{classes}" if classes else name, mark))
+        step, mark = known
         node = len(self.tag)
         self.tag.append(name)
         self.parent.append(parent)
-        self.out.append(self.out[parent] or out)
+        self.mark.append(mark)
         above = self.path[parent]
         if (path := _paths.get((above, step))) is None:
             # a digest of the parent's path and this step: deep pages keep short paths
@@ -187,30 +217,67 @@ class Page:
 
     def _rate(self) -> None:
         """Paragraph text counts for the container that holds it and half for the next one up; links count against it."""
-        linked = [False] * len(self.tag)
-        up = [0] * len(self.tag)
-        for i in range(1, len(self.tag)):
+        n = len(self.tag)
+        linked, up, hard = [False] * n, [0] * n, [False] * n
+        for i in range(1, n):
             p = self.parent[i]
             linked[i] = linked[p] or self.tag[i] == "a"
             up[i] = i if self.tag[i] in CONTAINER else up[p]
+            hard[i] = hard[p] or self.mark[i] == 2
+        own, links = [0] * n, [0] * n
         for node, text in self.events:
-            if text is None or self.out[node]:
-                continue
-            size = len(text) - text.count(" ")
-            if not size:
-                continue
-            size = -size if linked[node] else size
-            c = up[node]
-            self.score[c] += size
-            if c and (g := up[self.parent[c]]):
-                self.score[g] += size / 2
+            if text is not None and not hard[node]:
+                size = len(text) - text.count(" ")
+                if linked[node]:
+                    links[node] += size
+                else:
+                    own[node] += size
+        whole, _ = self._under(own, links, hard)
+        # a weak name marks its element, unless that holds most of the page
+        self.out = list(hard)
+        for i in range(1, n):
+            self.out[i] = hard[i] or self.out[self.parent[i]] or (self.mark[i] == 1 and 2 * whole[i] <= whole[0])
+        for i in range(n):
+            size = own[i] - links[i]
+            if not self.out[i] and size:
+                c = up[i]
+                self.score[c] += size
+                if c and (g := up[self.parent[c]]):
+                    self.score[g] += size / 2
+        self.whole, self.links = self._under(own, links, self.out)
+
+    def _under(self, own: list[int], links: list[int], out: list[bool]) -> tuple[list[int], list[int]]:
+        """Characters of running text and of links in each element with all that it holds."""
+        a, b = [0 if o else x for x, o in zip(own, out)], [0 if o else x for x, o in zip(links, out)]
+        for i in range(len(a) - 1, 0, -1):
+            a[self.parent[i]] += a[i]
+            b[self.parent[i]] += b[i]
+        return a, b
 
     def best(self) -> int:
-        """The container of the highest score; the first of equals; the root if there is none."""
+        """The container of the highest score (the first of equals; the root if there is none), or what holds the rest of its article."""
         found, score = 0, 0.0
         for i in range(1, len(self.tag)):
             if self.score[i] > score and not self.out[i] and self.tag[i] in CONTAINER:
                 found, score = i, self.score[i]
+        if not found:
+            return 0
+        at, above = found, []
+        while at > 0:
+            above.append(at)
+            at = self.parent[at]
+        within = max((k for k, x in enumerate(above) if self.tag[x] == "article"), default=0)
+        articles = [i for i in range(1, len(self.tag)) if self.tag[i] == "article" and not self.out[i]] if within or "article" in self.tag else []
+        found = above[within]
+        for x in above[within + 1 :]:
+            if self.tag[x] in ("body", "html"):
+                break
+            text, links = self.whole[x] - self.whole[found], self.links[x] - self.links[found]
+            other = any(self.first[x] <= self.first[i] and self.last[i] <= self.last[x] and not (self.first[found] <= self.first[i] and self.last[i] <= self.last[found]) for i in articles)
+            if links > text or other:
+                break
+            if self.tag[x] in CONTAINER:
+                found = x
         return found
 
     def at(self, path: str) -> list[int]:
@@ -236,6 +303,18 @@ class Page:
         return "\n\n".join(x for x in (" ".join(b.split()) for b in blocks) if x)
 
 
+    def agreed(self, path: str | None) -> str:
+        """The text of the host's path, or of the page's own choice where that path doesn't hold enough of it."""
+        k = self.best()
+        own = self.text([k])
+        nodes = self.at(path) if path else []
+        if not nodes or nodes == [k]:
+            return own
+        text = self.text(nodes)
+        within = k == 0 or any(self.first[k] <= self.first[i] and self.last[i] <= self.last[k] for i in nodes)
+        return text if text and len(text) >= (NEARLY_ALL if within else LEAST_SHARE) * len(own) else own
+
+
 def votes(pages: DataFrame) -> DataFrame:
     """host, path, score: each page's best container."""
 
@@ -270,9 +349,7 @@ def extract(pages: DataFrame) -> DataFrame:
             texts = []
             for source, path in zip(batch.column("html"), batch.column("path").to_pylist()):
                 page = Page(source.as_py() or "")
-                own = page.text([page.best()])
-                text = page.text(page.at(path)) if path else ""
-                texts.append(text if len(text) >= LEAST_SHARE * len(own) and text else own)
+                texts.append(page.agreed(path))
             yield pa.RecordBatch.from_pydict({"page_id": batch.column("page_id"), "url": batch.column("url"), "text": pa.array(texts, pa.string()), "n_chars": pa.array([len(t) for t in texts], pa.int64())})
 
     host = F.lower(F.coalesce(F.regexp_extract("url", r"^(?:[a-zA-Z][a-zA-Z0-9+.\-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))

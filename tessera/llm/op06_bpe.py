@@ -1,14 +1,14 @@
 """Byte-level BPE encoding and decoding by overlapping chunks.
 
-A text is cut into chunks that overlap. The end of each chunk is pre-tokenised
-from the left chunk's own context and again from a start inside the overlap;
-the first boundary at which both agree, and after which the pattern can't look
-back, is where the chunks are stitched (for this pattern two tokenisations that
-share a boundary agree from there on, since a match depends only on what
-follows its start). No piece ends in white space: how a run of it is matched
-depends on what follows, which the piece alone doesn't show. The pieces between stitches are then encoded, each match of
-the pattern separately; ids follow one another, so decoding concatenates the
-bytes of the ids.
+A text of more than a chunk is cut into chunks that overlap. The end of each
+chunk is pre-tokenised from a sure boundary of the left chunk and again from the
+right chunk's start inside the overlap; the chunks are stitched at the first
+boundary that both have. A match depends on what follows its start only, so from
+there on both agree. What stands before it must not depend on what follows: the
+pattern looks ahead only at the end of a run of white space, so no piece ends in
+white space. The pieces between stitches are then encoded, each match of the
+pattern separately; ids follow one another, so decoding concatenates the bytes
+of the ids.
 
 Texts beyond ``LONG`` code points are dealt out: their pieces become rows that
 any executor may encode, and are put together by their number.
@@ -35,9 +35,11 @@ from pyspark.sql import functions as F
 from tessera.llm import common
 
 #: Code points of a chunk, and of the stretch it shares with the next.
-CHUNK, OVERLAP = 1 << 16, 1 << 8
+CHUNK, OVERLAP = 1 << 12, 1 << 7
 #: Texts of more code points are dealt out over executors by pieces.
 LONG = 1 << 21
+#: Chunks in a piece of those that is dealt out.
+PIECE = 64
 #: Characters that regular-expression engines don't class alike; no cut is made beside them.
 _DISPUTED = set("\x1c\x1d\x1e\x1f\x85\u180e\u200b\ufeff")
 
@@ -168,6 +170,8 @@ def _dealt(docs: DataFrame, path: str, pattern: str, chunk: int, overlap: int, w
         for batch in batches:
             for row, doc, text in zip(*(batch.column(k).to_pylist() for k in ("_row", "doc_id", "text"))):
                 cuts = c.stitches(text, chunk, overlap)
+                # pieces of about PIECE chunks: neighbours go together again
+                cuts = [0, *(b for a, b in zip(cuts, cuts[1:]) if b // (PIECE * chunk) > a // (PIECE * chunk) and b < len(text)), len(text)]
                 for k, (a, b) in enumerate(zip(cuts, cuts[1:])):
                     yield pa.RecordBatch.from_pydict({"_row": pa.array([row], pa.int64()), "doc_id": pa.array([doc], pa.int64()), "k": pa.array([k], pa.int32()), "text": pa.array([text[a:b]])})
 
@@ -175,17 +179,40 @@ def _dealt(docs: DataFrame, path: str, pattern: str, chunk: int, overlap: int, w
         c = coder(path, pattern)
         for batch in batches:
             ids = [c.core.encode_ordinary(x) for x in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_pydict({k: batch.column(k) for k in ("_row", "doc_id", "k")} | {"ids": pa.array(ids, pa.list_(pa.int32())), "said": pa.array([c.listed(x) for x in ids]), "back": pa.array([c.decode(x) for x in ids], pa.binary())})
+            yield pa.RecordBatch.from_pydict({k: batch.column(k) for k in ("_row", "doc_id", "k")} | {"ids": pa.array(ids, pa.list_(pa.int32()))})
+
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """One document after another, each from its pieces in order; digests go on from piece to piece."""
+        doc, now = None, None
+
+        def done() -> pa.RecordBatch:
+            cols = {"doc_id": pa.array([doc[1]], pa.int64()), "n_tokens": pa.array([doc[2]], pa.int64())}
+            if with_ids:
+                cols["ids"] = pa.array([np.concatenate(doc[5]) if doc[5] else np.zeros(0, np.int32)], pa.list_(pa.int32()))
+            return pa.RecordBatch.from_pydict(cols | {"ids_sha256": pa.array([doc[3].hexdigest()]), "decoded_sha256": pa.array([doc[4].hexdigest()])})
+
+        c = coder(path, pattern)
+        for batch in batches:
+            for row, doc_id, ids in zip(batch.column("_row").to_pylist(), batch.column("doc_id").to_pylist(), batch.column("ids")):
+                if row != now:
+                    if doc:
+                        yield done()
+                    now, doc = row, [row, doc_id, 0, hashlib.sha256(), hashlib.sha256(), []]
+                ids = ids.values
+                some = ids.to_pylist()
+                if some:
+                    doc[3].update(((" " if doc[2] else "") + c.listed(some)).encode())
+                    doc[4].update(c.decode(some))
+                    doc[2] += len(some)
+                    if with_ids:
+                        doc[5].append(ids.to_numpy())
+        if doc:
+            yield done()
 
     cuts = common.written(common.with_row_id(docs).mapInArrow(cut, "_row long, doc_id long, k int, text string"))
-    done = cuts.repartition("_row", "k").mapInArrow(pieces, "_row long, doc_id long, k int, ids array<int>, said string, back binary")
-    parts = done.groupBy("_row").agg(F.first("doc_id").alias("doc_id"), F.array_sort(F.collect_list(F.struct("k", "ids", "said", "back"))).alias("p"))
-    ids = F.flatten("p.ids")
-    out = [F.col("doc_id"), F.aggregate("p.ids", F.lit(0).cast("long"), lambda n, x: n + F.size(x)).alias("n_tokens")]
-    out += [ids.alias("ids")] * with_ids
-    said = F.array_join(F.filter("p.said", lambda x: x != ""), " ")
-    back = F.unhex(F.array_join(F.transform("p.back", lambda x: F.hex(x)), ""))
-    return parts.select(*out, F.sha2(said.cast("binary"), 256).alias("ids_sha256"), F.sha2(back, 256).alias("decoded_sha256"))
+    parts = common.written(cuts.repartition("_row", "k").mapInArrow(pieces, "_row long, doc_id long, k int, ids array<int>"))
+    schema = "doc_id long, n_tokens long, " + "ids array<int>, " * with_ids + "ids_sha256 string, decoded_sha256 string"
+    return parts.repartition("_row").sortWithinPartitions("_row", "k").mapInArrow(joined, schema)
 
 
 def decode(ids: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:

@@ -6,12 +6,14 @@ which words near it give it away: for a term t and an entity e,
 
     PMI(t; e) = log2(P(e | t) / P(e)),      IC(e) = -log2 P(e),
 
-with P over documents; PMI / IC is the share of e's information that t
-discloses. A term that stands by e in at least ``MIN_CONTEXTS`` different
-contexts (copies of a passage are one context) and discloses at least
-``GENERALISE`` of it is generalised, from ``REMOVE`` on removed, wherever it
-stands by e. Counts cover all documents; only pairs are kept that reach
-MIN_CONTEXTS, and those are shuffled, never collected.
+with P over documents, P(e | t) smoothed by half a document of the usual mix;
+PMI / IC is the share of e's information that t discloses. A term that stands
+by e in at least ``MIN_CONTEXTS`` different contexts (copies of a passage are
+one context, and what was seen once tells nothing of what it goes with) and
+discloses at least ``GENERALISE`` of it is generalised, from ``REMOVE`` on
+removed, wherever it stands in a document of e. A term is any run of two or
+more letters and digits; counts cover all documents; only pairs are kept that
+reach MIN_CONTEXTS, and those are shuffled, never collected.
 
 Patterns are written so that each is linear in the text and needs no deep
 recursion; the matches are those of the plain forms in the comments.
@@ -40,29 +42,55 @@ PART = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]?[0-9])"
 VALID_IP = rf"^{PART}\.{PART}\.{PART}\.{PART}$"
 
 #: Code points of context on either side of an entity.
-REACH = 48
-MIN_CONTEXTS = 3
+REACH = 96
+MIN_CONTEXTS = 2
 GENERALISE, REMOVE = 0.90, 0.97
-WORD = r"[\p{L}\p{M}]{3,}+"
+#: Runs of letters and digits, and what divides them; a term is a run of two characters or more.
+WORD, BETWEEN_WORDS = r"[\p{L}\p{M}\p{N}]++", r"[^\p{L}\p{M}\p{N}]++"
+#: Matches whose places are summed at a time.
+RUN = 128
 
 SPAN = "array<struct<kind:int,start:int,end:int,value:string>>"
 
 
+def _let(value: Column, f) -> Column:
+    """f(value), with value computed once."""
+    return F.get(F.transform(F.array(value), f), 0)
+
+
 def found(text: Column, pattern: str, kind: int, could: Column) -> Column:
-    """The pattern's matches, leftmost first and not overlapping, where ``could`` holds (no match elsewhere)."""
-    matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    between = F.split(text, pattern, -1)
-    # a match starts after all that came before it: earlier gaps and earlier matches
-    walk = F.aggregate(
-        F.arrays_zip(matches.alias("m"), F.slice(between, 1, F.size(matches)).alias("g")),
-        F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out")),
-        lambda acc, x: F.struct(
-            (acc["at"] + F.length(x["g"]) + F.length(x["m"])).alias("at"),
-            F.concat(acc["out"], F.array(F.struct(F.lit(kind).alias("kind"), (acc["at"] + F.length(x["g"])).alias("start"), (acc["at"] + F.length(x["g"]) + F.length(x["m"])).alias("end"), x["m"].alias("value")))).alias("out"),
-        ),
-        lambda acc: acc["out"],
+    """The pattern's matches, leftmost first and not overlapping, where ``could`` holds (no match elsewhere).
+
+    A match starts after all that came before it, earlier gaps and earlier
+    matches. Lengths are summed over runs of RUN matches and then over the runs:
+    appending to one list would copy it for each match.
+    """
+    step = lambda acc, x: F.struct(
+        (acc["at"] + F.length(x["g"]) + F.length(x["m"])).alias("at"),
+        F.concat(acc["ends"], F.array(acc["at"] + F.length(x["g"]) + F.length(x["m"]))).alias("ends"),
     )
-    return F.when(could, walk).otherwise(F.array().cast(SPAN))
+    none = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("ends"))
+
+    def placed(both: Column) -> Column:
+        n = F.size(both["m"])
+        starts = F.when(n > 0, F.sequence(F.lit(1), n, F.lit(RUN))).otherwise(F.array().cast("array<int>"))
+        pairs = lambda i: F.arrays_zip(F.slice(both["m"], i, RUN).alias("m"), F.slice(both["g"], i, F.least(F.lit(RUN), n - i + 1)).alias("g"))
+        runs = F.transform(starts, lambda i: F.struct(F.slice(both["m"], i, RUN).alias("m"), F.aggregate(pairs(i), none, step).alias("s")))
+
+        def whole(r: Column) -> Column:
+            before = F.aggregate(F.transform(r, lambda x: x["s"]["at"]), none, lambda acc, x: F.struct((acc["at"] + x).alias("at"), F.concat(acc["ends"], F.array(acc["at"])).alias("ends")), lambda acc: acc["ends"])
+            span = lambda m, end: F.struct(F.lit(kind).alias("kind"), (end - F.length(m)).alias("start"), end.alias("end"), m.alias("value"))
+            return F.flatten(F.zip_with(r, before, lambda x, at: F.zip_with(x["m"], x["s"]["ends"], lambda m, end: span(m, at + end))))
+
+        return _let(runs, whole)
+
+    both = F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"), F.split(text, pattern, -1).alias("g"))
+    return F.when(could, _let(both, placed)).otherwise(F.array().cast(SPAN))
+
+
+def terms_in(text: Column) -> Column:
+    """The distinct terms of a text."""
+    return F.array_distinct(F.filter(F.split(F.lower(text), BETWEEN_WORDS), lambda w: F.length(w) > 1))
 
 
 def digits(value: Column) -> Column:
@@ -91,7 +119,7 @@ def spans_of(rows: DataFrame) -> DataFrame:
 
 
 def mentions(rows: DataFrame, spans: DataFrame) -> DataFrame:
-    """_row, entity, context (digest), words (term, start, end) of each base span; written.
+    """_row, entity, context (digest), terms (distinct) of each base span; written.
 
     Only rows with spans are read again; of a context cut in a word, that word is left out.
     """
@@ -103,28 +131,26 @@ def mentions(rows: DataFrame, spans: DataFrame) -> DataFrame:
     each = rows.select("_row", "text", F.explode("base").alias("s")).select(
         "_row",
         F.concat_ws(":", F.col("s.kind").cast("string"), F.lower("s.value")).alias("entity"),
-        F.col("s.start").alias("a"),
-        F.col("s.end").alias("b"),
         begin.alias("begin"),
         F.substring(F.col("text"), begin + 1, F.col("s.start") - begin).alias("left"),
         F.substring(F.col("text"), F.col("s.end") + 1, F.lit(REACH)).alias("right"),
     )
-    before = F.filter(found(F.col("left"), WORD, 0, F.lit(True)), lambda w: (w["start"] > 0) | (F.col("begin") == 0))
-    after = F.filter(found(F.col("right"), WORD, 0, F.lit(True)), lambda w: w["end"] < REACH)
-    word = lambda w, at: F.struct(F.lower(w["value"]).alias("term"), (at + w["start"]).alias("start"), (at + w["end"]).alias("end"))
+    # a word that the context's own end may have cut is left out
+    before = F.when(F.col("begin") > 0, F.regexp_replace("left", "^" + WORD, "")).otherwise(F.col("left"))
+    after = F.when(F.length("right") == REACH, F.regexp_replace("right", WORD + "$", "")).otherwise(F.col("right"))
     return common.written(
         each.select(
             "_row",
             "entity",
             F.xxhash64("left", "right").alias("context"),
-            F.concat(F.transform(before, lambda w: word(w, F.col("begin"))), F.transform(after, lambda w: word(w, F.col("b")))).alias("words"),
+            terms_in(F.concat(before, F.lit(" "), after)).alias("terms"),
         )
     )
 
 
 def disclosing(docs: DataFrame, said: DataFrame) -> DataFrame:
     """entity, term, share (PMI / IC) of each pair that reaches GENERALISE; written."""
-    pair = said.select("_row", "entity", "context", F.explode(F.array_distinct(F.transform("words", lambda w: w["term"]))).alias("term"))
+    pair = said.select("_row", "entity", "context", F.explode("terms").alias("term"))
     # one row a context first: copies don't make a term telling
     contexts = pair.select("entity", "term", "context").distinct().groupBy("entity", "term").agg(F.count("*").alias("contexts")).where(F.col("contexts") >= MIN_CONTEXTS)
     often = common.written(contexts)
@@ -136,25 +162,28 @@ def disclosing(docs: DataFrame, said: DataFrame) -> DataFrame:
     terms = common.written(often.select("term").distinct())
     few = terms.limit(common.MAX_BROADCAST_IDS + 1).count() <= common.MAX_BROADCAST_IDS
     # documents that hold each such term: all documents are read, and summed before the shuffle
-    words = F.array_distinct(F.filter(F.split(F.lower(common.text_or_empty()), r"[^\p{L}\p{M}]+"), lambda w: w != ""))
-    every = docs.select(F.explode(words).alias("term"))
+    every = docs.select(F.explode(terms_in(common.text_or_empty())).alias("term"))
     # an inner join (terms are distinct): a semi join would be pushed below the sums, where it makes a row an occurrence
     df = every.groupBy("term").count().withColumnRenamed("count", "n_term").join(F.broadcast(terms) if few else terms, "term")
     total = float(docs.count())
     p_entity = F.col("n_entity") / total
-    pmi = F.log2(F.least(F.col("both") / F.col("n_term"), F.lit(1.0)) / p_entity)
+    # half a document more that holds the term, and the entity as often as any
+    pmi = F.log2(F.least((F.col("both") + 0.5 * p_entity) / (F.col("n_term") + 0.5), F.lit(1.0)) / p_entity)
     ic = F.greatest(-F.log2(p_entity), F.lit(1e-9))
     return common.written(together.join(entities, "entity").join(df, "term").select("entity", "term", (pmi / ic).alias("share")).where(F.col("share") >= GENERALISE))
 
 
 def term_spans(rows: DataFrame, spans: DataFrame) -> DataFrame:
-    """_row, terms (kind, start, end) that the corpus tells to generalise or remove; written."""
+    """_row, terms (kind, start, end) that the corpus tells to generalise or remove, wherever they stand in a document of the entity; written."""
     said = mentions(rows, spans)
     told = disclosing(rows, said)
-    each = said.select("_row", "entity", F.explode("words").alias("w")).select("_row", "entity", "w.*").join(told, ["entity", "term"])
     kind = F.when(F.col("share") >= REMOVE, 5).otherwise(4)
-    once = each.groupBy("_row", "start", "end").agg(F.max(kind).alias("kind"))
-    return common.written(once.groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("kind", "start", "end", F.lit("").alias("value")))).alias("terms")))
+    here = said.select("_row", "entity").distinct().join(told, "entity").groupBy("_row", "term").agg(F.max(kind).alias("kind"))
+    lists = common.written(here.groupBy("_row").agg(F.map_from_entries(F.collect_list(F.struct("term", "kind"))).alias("kinds")))
+    few = lists.limit(common.MAX_BROADCAST_IDS // 10 + 1).count() <= common.MAX_BROADCAST_IDS // 10
+    texts = rows.select("_row", common.text_or_empty().alias("text")).join(F.broadcast(lists) if few else lists, "_row")
+    words = texts.select("_row", "kinds", F.explode(found(F.col("text"), WORD, 0, F.lit(True))).alias("w")).select("_row", F.element_at("kinds", F.lower("w.value")).alias("kind"), F.col("w.start").alias("start"), F.col("w.end").alias("end"))
+    return common.written(words.where("kind IS NOT NULL").groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("kind", "start", "end", F.lit("").alias("value")))).alias("terms")))
 
 
 def scan(rows: DataFrame) -> DataFrame:

@@ -115,7 +115,7 @@ def reference():
     return tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-@pytest.mark.parametrize("sizes", [(bpe.CHUNK, bpe.OVERLAP, bpe.LONG), (40, 8, 10**9), (40, 8, 100)])
+@pytest.mark.parametrize("sizes", [(bpe.CHUNK, bpe.OVERLAP, bpe.LONG), (40, 8, 10**9), (40, 8, 100), (8, 2, 20)])
 def test_tokens_are_those_of_the_library(docs, corpus, reference, sizes):
     got = sorted(bpe.encode(docs, chunk=sizes[0], overlap=sizes[1], long=sizes[2]).collect(), key=lambda r: (r.doc_id is None, r.doc_id or 0))
     want = sorted(corpus, key=lambda r: (r[0] is None, r[0] or 0))
@@ -141,6 +141,22 @@ def test_no_piece_ends_in_white_space(white):
             assert c.encode(text, chunk, overlap) == c.core.encode_ordinary(text)
 
 
+@pytest.mark.parametrize("chunk", [40, 64, 500, bpe.CHUNK])
+def test_white_space_at_random(chunk):
+    rng = np.random.default_rng(chunk)
+    c = bpe.coder(*bpe._settings(None, None))
+    for signs in ("\n\t ab1.'s", "\n\n x", " \t\n\u00a0\u2003é🙂x", "\n 's'll12,;"):
+        for _ in range(6):
+            text = "".join(rng.choice(list(signs), chunk * 7))
+            assert c.encode(text, chunk, 8) == c.core.encode_ordinary(text)
+    for text in ("yz" + "x\n\n" * 40000, "\n" * 50000, "a" * 50000, " \n" * 30000 + "x"):
+        assert c.encode(text) == c.core.encode_ordinary(text)
+
+
+def test_tokens_of_no_rows(empty):
+    assert bpe.encode(empty).count() == 0 and bpe.decode(bpe.encode(empty)).count() == 0
+
+
 def test_round_trip(docs, corpus):
     back = {r.doc_id: bytes(r.raw) for r in bpe.decode(bpe.encode(docs)).collect()}
     assert all(back[d] == (t or "").encode() for d, t, *_ in corpus)
@@ -166,6 +182,64 @@ def test_consensus_path_wins_over_a_page_of_its_own(spark):
     assert got[7] == ("story " * 10).strip()
 
 
+def alone(source):
+    page = pages.Page(source)
+    return page.agreed(None).split("\n\n") if page.agreed(None) else []
+
+
+def test_an_article_is_kept_whole():
+    x = lambda w, n=20: " ".join([w] * n)
+    two = f"<section class=intro><p>{x('intro', 8)}</p></section><section class=body><p>{x('body', 90)}</p></section><section class=end><p>{x('end', 5)}</p></section>"
+    assert alone(f"<body><nav>menu</nav><article>{two}</article><footer>f</footer>") == [x("intro", 8), x("body", 90), x("end", 5)]
+    assert alone(f"<body><div class=page><nav>menu</nav><div class=lead>{x('lead', 6)}</div><div class=text>{x('text', 90)}</div></div>") == [x("lead", 6), x("text", 90)]
+    assert alone(f"<article><h1>T</h1><div class=lead>{x('lead')}</div><div class=body>{x('body', 99)}<blockquote>{x('quote', 200)}</blockquote></div></article>") == ["T", x("lead"), x("body", 99), x("quote", 200)]
+    assert alone(f"<body><main><h1>Title</h1><article><p>{x('a')}</p></article></main><div>else</div>") == ["Title", x("a")]
+
+
+def test_names_are_weighed():
+    x = lambda w, n=20: " ".join([w] * n)
+    assert alone(f"<body><div class='popular-science'><p>{x('a')}</p></div>") == [x("a")]
+    assert alone(f"<article><p>{x('a')}</p><div class='form-history'><p>{x('b')}</p></div></article>") == [x("a"), x("b")]
+    assert alone(f"<body class=has-sidebar><div class='elementor-widget related'><p>{x('a', 50)}</p></div><div class=related><p>{x('b')}</p></div>") == [x("a", 50)]
+    around = ("site-header", "main-nav", "page-footer", "left-sidebar", "cookie-banner", "ad-slot", "article-comments", "comment-list", "social-share-buttons", "related-posts", "newsletter-signup")
+    for name in around:
+        assert alone(f"<body><article><p>{x('a', 60)}</p><div class='{name}'><p>{x('b')}</p></div></article>") == [x("a", 60)], name
+        assert alone(f"<body><article><p>{x('a', 60)}</p><div id='{name}'><p>{x('b', 50)}</p></div></article>") == [x("a", 60)], name
+
+
+def test_the_host_does_not_cut_a_page_of_another_make(spark):
+    """A winning path inside a page's own choice must hold nearly all of it."""
+    usual = [(i, "http://h/x", f"<body><article><div class=text><p>{'story ' * 30}</div></article>") for i in range(6)]
+    longer = (7, "http://h/y", f"<body><article><p>{'first ' * 60}<div class=text><p>{'story ' * 30}</div></article>")
+    got = {r.page_id: r.text for r in pages.extract(spark.createDataFrame([*usual, longer], "page_id long, url string, html string")).collect()}
+    assert got[7] == ("first " * 60).strip() + "\n\n" + ("story " * 30).strip() and got[0] == ("story " * 30).strip()
+
+
+def test_recall_of_known_articles():
+    """Articles put into pages of many makes come back, and nothing else."""
+    rng = np.random.default_rng(6)
+    said = lambda n: " ".join("w%d" % k for k in rng.integers(0, 5000, n))
+    around = ["<nav><ul><li><a href=/x>%s</a></ul></nav>", "<div class='sidebar-left'><p>%s</p></div>", "<div class=ad>%s</div>", "<footer>%s</footer>", "<section id=comments><p>%s</p></section>", "<form>%s</form>", "<script>var a='%s'</script>", "<div class='cookie-notice'>%s</div>", "<aside>%s</aside>"]
+    right = kept = wanted = 0
+    for _ in range(200):
+        blocks = [said(int(rng.integers(8, 60))) for _ in range(int(rng.integers(2, 8)))]
+        inner = "".join(f"<p>{b}</p>" if rng.random() < 0.7 else f"<div class=part><p>{b}</p></div>" for b in blocks)
+        inner = [f"<article>{inner}</article>", f"<div class='post-content'>{inner}</div>", f"<main><div class=entry>{inner}</div></main>"][int(rng.integers(3))]
+        junk = [around[k] % said(int(rng.integers(1, 25))) for k in rng.permutation(len(around))[: int(rng.integers(0, 7))]]
+        cut = int(rng.integers(0, len(junk) + 1))
+        got = alone("<html><head><title>t</title></head><body>" + "".join(junk[:cut]) + inner + "".join(junk[cut:]) + "</body></html>")
+        right += sum(b in got for b in blocks)
+        kept += len(got)
+        wanted += len(blocks)
+    assert right / wanted > 0.98 and right / kept > 0.98, (right, wanted, kept)
+
+
+def test_very_long_page_and_ties():
+    long = "<article>" + "<p>word &amp; word</p>" * 100_000 + "</article>"
+    assert len(alone(long)) == 100_000
+    assert alone("<body><div class=a>one two</div><div class=b>six ten</div>") == ["one two", "six ten"]
+
+
 def test_deep_and_broken_pages():
     deep = pages.Page("<div>" * 20000 + "x" + "</div>" * 10)
     assert deep.text([deep.best()]) == "x"
