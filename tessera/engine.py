@@ -12,40 +12,29 @@ from __future__ import annotations
 
 import hashlib
 import json
+import math
 import os
+import re
+import shutil
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera import runtime
-from tessera.functions import identity, spans
-from tessera.operators import graph, resolve, search, segment, storage
+from tessera.functions import documents, identity, spans
+from tessera.operators import graph, ranking, resolve, search, segment, storage
 from tessera.sources import syntax, tree
 
 KEEP_GENERATIONS = 3
-CANDIDATES = 32
-RESERVE = 64
+# Fixed values of packets: candidates, bytes kept for the last counts, bounds of what may be asked.
+CANDIDATES, RESERVE = 32, 64
+LEAST_BYTES, MOST_BYTES, MOST_FRAGMENTS, MOST_QUERY = 1024, 8192, 20, 1024
+TABLES = ("files", "entities", "chunks", "calls", "relations", "postings", "lengths")
+STATUSES = ("OK", "EMPTY", "BUDGET_EXHAUSTED")
 
 
-def canonical(value) -> bytes:
-    """Sorted keys, no spaces, UTF-8, one newline."""
-    return (json.dumps(value, sort_keys=True, ensure_ascii=False, separators=(",", ":")) + "\n").encode()
-
-
-def strict_json(raw: bytes):
-    """JSON with unique keys and finite numbers only."""
-
-    def unique(pairs):
-        out = dict(pairs)
-        if len(out) != len(pairs):
-            raise ValueError("repeated key")
-        return out
-
-    def finite(text):
-        raise ValueError(f"{text} is no number")
-
-    return json.loads(raw.decode("utf-8"), object_pairs_hook=unique, parse_constant=finite)
+canonical, strict_json = documents.canonical, documents.strict
 
 
 class Engine:
@@ -92,12 +81,29 @@ class Engine:
             generation = f"gen_{sequence:06d}_" + hashlib.sha256(preimage.encode()).hexdigest()
             self._write(files, generation)
             self._validate(generation)
-            history = state["history"] + [{"generation_id": generation, "sequence": sequence, "snapshot": snap}]
+            made = {"head": tree.git_head(self.repo), "ignore": tree.ignore_fingerprint(self.repo)}
+            if self.snapshot(tree.read(self.spark, self.repo)) != snap:
+                raise ValueError("SOURCE_CHANGED: the tree changed while it was indexed")
+            history = state["history"] + [{"generation_id": generation, "sequence": sequence, "snapshot": snap, "metadata": documents.encoded(made)}]
             self._point({"active": generation, "history": history[-KEEP_GENERATIONS:]})
+            self.delete_retired()
             return {"status": "INDEXED", "generation_id": generation, "snapshot_sha256": snap, "files": files.count()}
         finally:
             files.unpersist()
 
+    def delete_retired(self) -> list[str]:
+        """Drop the stored tables of generations that the pointer no longer names, half-written ones too; their ids."""
+        keep = {h["generation_id"] for h in self._pointer()["history"]}
+        gone = set()
+        for name in TABLES:
+            at = f"{self.store}/{name}"
+            for entry in sorted(os.listdir(at)) if os.path.isdir(at) else []:
+                generation = entry.removeprefix("generation_id=")
+                if entry.startswith("generation_id=") and generation not in keep:
+                    shutil.rmtree(f"{at}/{entry}")
+                    gone.add(generation)
+        return sorted(gone)
+
     def _write(self, files: DataFrame, generation: str) -> None:
         put = lambda df, name: df.write.mode("overwrite").parquet(f"{self.store}/{name}/generation_id={generation}")
         file_id = identity.short_id("file_", F.lit(self.repo_id), F.col("rel_path"))
@@ -109,19 +115,34 @@ class Engine:
         put(e.join(parent, ["rel_path", "parent"], "left").select("entity_id", "file_id", "rel_path", "name", "qualified_name", "kind", "parent_id", "span", "docstring"), "entities")
         whole = files.select("rel_path", file_id.alias("file_id"), F.lit(generation).alias("generation_id"), "content").where("content <> ''")
         whole = whole.withColumn("span", spans.whole(F.col("content"))).withColumn("content_hash", identity.sha256(F.col("content"))).withColumn("chunk_id", F.lit(""))
-        put(segment.bound(whole).drop("generation_id"), "chunks")
-        stored = self.table("entities", generation)
+        entities = self.table("entities", generation)
+        put(self._owned(segment.bound(whole).drop("generation_id"), entities), "chunks")
+        chunks = self.table("chunks", generation).withColumn("generation_id", F.lit(generation))
+        put(search.postings(chunks).drop("generation_id").sort("trigram"), "postings")
+        put(search.corpus_stats(chunks, [], ["generation_id"]).drop("generation_id"), "lengths")
+        modules = entities.where("kind = 'MODULE'").select("file_id", F.col("entity_id").alias("module_id"))
+        stored = entities.join(modules, "file_id", "left").withColumn("module_id", F.when(F.col("kind") != "MODULE", F.col("module_id")))
         calls = syntax.calls(files).join(stored.select("rel_path", F.col("qualified_name").alias("caller"), F.col("entity_id").alias("source_id"), F.col("file_id"), F.col("kind").alias("source_kind"), F.col("parent_id").alias("source_parent")), ["rel_path", "caller"])
-        calls = calls.withColumn("receiver_type", F.lit(None).cast("string")).withColumn("site", F.monotonically_increasing_id())
-        modules = stored.where("kind = 'MODULE'").select("file_id", F.col("entity_id").alias("module_id"))
-        scope = graph.ancestors(stored.select("entity_id", "parent_id")).select("entity_id", F.col("ancestor_id").alias("parent_id"))
-        targets = stored.select("entity_id", "name", "kind", "parent_id", "file_id")
+        # written with their numbers, which every rule below reads
+        put(calls.withColumn("receiver_type", F.lit(None).cast("string")).withColumn("site", F.monotonically_increasing_id()), "calls")
+        calls = self.table("calls", generation)
+        scope = graph.ancestors(stored.select("entity_id", F.coalesce("parent_id", "module_id").alias("parent_id"))).select("entity_id", F.col("ancestor_id").alias("parent_id"))
+        targets = stored.select("entity_id", "name", "qualified_name", "kind", F.coalesce("parent_id", "module_id").alias("parent_id"), "file_id")
         edges = resolve.resolve(calls, targets, scope, ["source_id", "site"]).where("source_id <> target_id")
         edges = edges.select("source_id", "target_id", F.lit("CALLS").alias("rel_type"), "trust_class", "reason").distinct()
         defines = stored.where("parent_id IS NOT NULL").select(F.col("parent_id").alias("source_id"), F.col("entity_id").alias("target_id"))
-        top = stored.where("parent_id IS NULL AND kind <> 'MODULE'").join(modules, "file_id").select(F.col("module_id").alias("source_id"), F.col("entity_id").alias("target_id"))
+        top = stored.where("parent_id IS NULL AND module_id IS NOT NULL").select(F.col("module_id").alias("source_id"), F.col("entity_id").alias("target_id"))
         put(edges.unionByName(defines.unionByName(top).select("source_id", "target_id", F.lit("DEFINES").alias("rel_type"), F.lit("EXACT").alias("trust_class"), F.lit("syntax").alias("reason"))), "relations")
 
+    @staticmethod
+    def _owned(chunks: DataFrame, entities: DataFrame) -> DataFrame:
+        """chunks with entity_ids: the definitions that overlap each, those that begin in it first, then the shorter."""
+        e = entities.where("kind <> 'MODULE'").select("file_id", "entity_id", F.col("span").alias("_own"))
+        both = chunks.select("chunk_id", "file_id", "span").join(e, "file_id").where(spans.overlaps(F.col("_own"), F.col("span")))
+        order = F.struct(F.when(spans.contains_start(F.col("span"), F.col("_own")), 0).otherwise(1).alias("o"), (F.col("_own.end_line") - F.col("_own.start_line")).alias("n"), spans.start(F.col("_own")).alias("s"), "entity_id")
+        ids = both.groupBy("chunk_id").agg(F.transform(F.array_sort(F.collect_list(order)), lambda x: x["entity_id"]).alias("entity_ids"))
+        return chunks.join(ids, "chunk_id", "left").withColumn("entity_ids", F.coalesce("entity_ids", F.array().cast("array<string>")))
+
     def _validate(self, generation: str) -> None:
         chunks, files, entities, relations = (self.table(t, generation) for t in ("chunks", "files", "entities", "relations"))
         if not storage.repeated_keys(chunks, ["chunk_id"]).isEmpty():
@@ -130,6 +151,8 @@ class Engine:
             raise ValueError("INDEX_INCOHERENT: chunk without a file")
         if not relations.join(entities.withColumnRenamed("entity_id", "target_id"), "target_id", "left_anti").isEmpty():
             raise ValueError("INDEX_INCOHERENT: relation without a target")
+        if not storage.symmetric_difference(self.table("postings", generation).select("chunk_id").distinct(), chunks.where(F.length("content") > 2).select("chunk_id"), "index", "chunks").isEmpty():
+            raise ValueError("INDEX_INCOHERENT: postings are not those of the chunks")
         bad = chunks.withColumn("generation_id", F.lit(generation)).where(~storage.chunk_is_literal())
         if not bad.isEmpty():
             raise ValueError("INDEX_INCOHERENT: chunk is not its text")
@@ -137,38 +160,52 @@ class Engine:
     # ---- queries
 
     def _signals(self, text: str, limit: int) -> DataFrame | None:
-        chunks, entities, relations = (self.table(t) for t in ("chunks", "entities", "relations"))
+        """chunk_id, signal, part of each way that leads to a chunk."""
+        generation = self._pointer()["active"]
+        here = lambda name: self.table(name).withColumn("generation_id", F.lit(generation))
+        chunks, entities, relations = here("chunks"), self.table("entities"), self.table("relations")
         terms = search.query_terms(text)
         order = [F.desc("score"), "rel_path", "span", "chunk_id"]
         if terms:
-            hits = search.bm25(chunks, search.phrases(terms))
+            hits = search.bm25_indexed(chunks, here("postings"), here("lengths"), search.phrases(terms))
         elif short := search.short_terms(text):
             hits = search.short_literal(chunks, short, ["rel_path", "span", "chunk_id"])
         else:
             return None
-        top = hits.orderBy(*order).limit(2 * limit)
-        rank = F.row_number().over(Window.orderBy(*order))  # of a limited list
-        lexical = top.select("chunk_id", F.lit("lexical").alias("signal"), (F.lit(1.0) / (60 + rank)).alias("part"))
+        signals = ranking.ranked_signal(hits.orderBy(*order).limit(2 * limit), order, "lexical", 1.0)
+        name = text.strip()
+        if name and all(c.isalnum() or c in "_.:" for c in name):
+            place = [storage.is_test_path(F.col("rel_path")), "rel_path", "span", "qualified_name"]
+            exact = resolve.exact_candidates(entities, name, place).join(entities, "entity_id")
+            rank = F.row_number().over(Window.orderBy(*place, "entity_id"))  # of at most MAX_EXACT rows
+            found = exact.select("entity_id", "file_id", F.col("span").alias("e_span"), "reason", rank.alias("rank"))
+            owned = found.join(chunks.select("chunk_id", "file_id", "span"), "file_id").where(spans.overlaps(F.col("e_span"), F.col("span")))
+            turn = F.row_number().over(Window.partitionBy("entity_id").orderBy("span", "chunk_id"))
+            symbol = owned.withColumn("turn", turn).where(F.col("turn") <= limit).select("chunk_id", F.col("reason").alias("signal"), (F.lit(1.0) + F.lit(1.0) / (graph.RANK_OFFSET + F.col("rank"))).alias("part"))
+            signals = signals.unionByName(symbol)
+        signals = runtime.settled(signals)
+        best = ranking.fuse(signals).orderBy(F.desc("score"), "chunk_id").limit(graph.TOP_CHUNKS)
+        top = best.join(chunks, "chunk_id").select(F.row_number().over(Window.orderBy(F.desc("score"), "chunk_id")).alias("place"), "entity_ids", F.col("content").alias("text"), F.contains("reason", F.lit("exact_")).alias("explicit"))
+        near = graph.expand(top, relations, entities.withColumn("start_line", F.col("span.start_line")), limit)
+        literal = graph.preferred(entities.join(near.select("entity_id").distinct(), "entity_id", "left_semi"), chunks)
+        return signals.unionByName(near.join(literal, "entity_id").select("chunk_id", F.lit("graph").alias("signal"), "part"))
+
+    def _symbols(self, chunk_ids: DataFrame, text: str) -> DataFrame:
+        """chunk_id, symbol_span: of the exact names' definitions that overlap a chunk, the widest."""
         name = text.strip()
-        exact = resolve.exact_candidates(entities, name, name.rpartition(".")[2]) if name and all(c.isalnum() or c in "_.:" for c in name) else None
-        if exact is None:
-            return lexical
-        found = exact.join(entities, "entity_id").select("entity_id", "file_id", F.col("span").alias("e_span"), "rel_path", "qualified_name")
-        place = F.row_number().over(Window.orderBy(storage.is_test_path(F.col("rel_path")), "rel_path", "e_span", "qualified_name"))
-        owned = found.withColumn("rank", place).join(chunks.select("chunk_id", "file_id", "span"), "file_id").where(spans.overlaps(F.col("e_span"), F.col("span")))
-        symbol = owned.groupBy("chunk_id").agg(F.min("rank").alias("rank")).select("chunk_id", F.lit("exact").alias("signal"), (1 + F.lit(1.0) / (60 + F.col("rank"))).alias("part"))
-        seed = found.select("entity_id")
-        near = graph.neighbours(relations, seed, "target_id", 24, heuristic=True).unionByName(graph.neighbours(relations, seed, "source_id", 24, heuristic=True)).groupBy("entity_id").agg(F.min(graph.trust_rank(F.col("trust"))).alias("t"))
-        k = F.row_number().over(Window.orderBy("t", "entity_id"))
-        hop = near.withColumn("k", k).join(entities.select("entity_id", "file_id", F.col("span").alias("e_span")), "entity_id").join(chunks.select("chunk_id", "file_id", "span"), "file_id").where(spans.contains_start(F.col("span"), F.col("e_span")))
-        hop = hop.groupBy("chunk_id").agg(F.min(F.struct("k", "t")).alias("x")).select("chunk_id", F.lit("graph").alias("signal"), (F.when(F.col("x.t") <= 1, 2.5).otherwise(0.9) / (60 + F.col("x.k"))).alias("part"))
-        return lexical.unionByName(symbol).unionByName(hop)
+        if not name or not all(c.isalnum() or c in "_.:" for c in name):
+            return chunk_ids.select("chunk_id", F.lit(None).cast(spans.TYPE).alias("symbol_span"))
+        entities = self.table("entities")
+        found = resolve.exact_candidates(entities, name).join(entities, "entity_id").select("file_id", F.col("span").alias("own"))
+        both = chunk_ids.join(found, "file_id").where(spans.overlaps(F.col("own"), F.col("span")))
+        widest = F.max_by("own", F.struct(F.col("own.end_line") - F.col("own.start_line"), -F.col("own.start_line"), F.col("own.end_col")))
+        return both.groupBy("chunk_id").agg(widest.alias("symbol_span"))
 
     def query(self, text: str, budget: int = 4096, limit: int = 5, literal: bool = False) -> dict:
         """A packet of at most ``budget`` bytes; the index is refreshed first if the sources changed."""
-        from tessera.operators.ranking import fuse
-
-        if not 1024 <= budget <= 8192 or not 1 <= limit <= 20 or not text or len(text.encode()) > 1024:
+        if type(budget) is not int or not LEAST_BYTES <= budget <= MOST_BYTES or type(limit) is not int or not 1 <= limit <= MOST_FRAGMENTS:
+            raise ValueError("INVALID_ARGUMENT")
+        if not isinstance(text, str) or not text.strip() or len(text.encode("utf-8", "surrogatepass")) > MOST_QUERY or any(0xD800 <= ord(c) < 0xE000 for c in text):
             raise ValueError("INVALID_ARGUMENT")
         if not self._pointer()["active"]:
             return {"status": "INDEX_REQUIRED"}
@@ -178,59 +215,193 @@ class Engine:
             hits = chunks.where(F.contains(F.lower("content"), F.lit(text.lower()))).withColumns({"score": F.lit(1.0), "reason": F.lit("literal")})
         else:
             signals = self._signals(text, CANDIDATES)
-            hits = chunks.join(fuse(signals), "chunk_id") if signals is not None else chunks.limit(0).withColumns({"score": F.lit(1.0), "reason": F.lit("")})
-        rows = hits.join(files, "rel_path").orderBy(F.desc("score"), "rel_path", "span", "content_hash").limit(CANDIDATES).collect()
+            hits = chunks.join(ranking.fuse(signals), "chunk_id") if signals is not None else chunks.limit(0).withColumns({"score": F.lit(1.0), "reason": F.lit("")})
+        top = runtime.settled(hits.join(files, "rel_path").orderBy(F.desc("score"), "rel_path", "span", "content_hash").limit(CANDIDATES))
+        rows = top.join(self._symbols(top, "" if literal else text), "chunk_id", "left").orderBy(F.desc("score"), "rel_path", "span", "content_hash").collect()
         return self._pack([r.asDict(recursive=True) for r in rows], budget, limit, refreshed)
 
+    def _source(self, path: str) -> bytes | None:
+        """A file of the tree as it is now; None if there is none, or the path leads out."""
+        full = os.path.realpath(os.path.join(self.repo, path))
+        if not full.startswith(self.repo + os.sep) or not os.path.isfile(full):
+            return None
+        return documents.artifact(full, storage.MAX_FILE_BYTES)
+
     def _pack(self, rows: list[dict], budget: int, limit: int, refreshed: bool) -> dict:
-        packet = {"schema": "tessera-packet", "version": 1, "status": "OK", "snapshot_sha256": self._pointer()["history"][-1]["snapshot"], "refreshed": refreshed, "limits": {"packet_bytes": budget, "fragments": limit, "candidates": CANDIDATES}, "selected": [], "omitted": {"duplicate": 0, "budget": 0, "limit": 0}}
+        packet = {
+            "schema": "tessera-packet",
+            "version": 2,
+            "status": "OK",
+            "snapshot_sha256": self._pointer()["history"][-1]["snapshot"],
+            "refreshed": refreshed,
+            "limits": {"packet_bytes": budget, "fragments": limit, "candidates": CANDIDATES, "unit": "UTF-8 bytes"},
+            "selected": [],
+            "omitted": {"duplicate": 0, "budget": 0, "limit": 0},
+        }
+        fits = lambda: len(canonical(packet)) + RESERVE <= budget
         owner: dict[str, dict] = {}
+        files: dict[str, bytes | None] = {}
+        whole: set[tuple] = set()
         for r in rows:
-            s = r["span"]
-            place = {"path": r["rel_path"], "span": [s["start_line"], s["start_col"], s["end_line"], s["end_col"]], "file_sha256": r["file_sha256"]}
-            if r["content_hash"] in owner:
-                owner[r["content_hash"]]["aliases"].append(place)
-                if len(canonical(packet)) + RESERVE > budget:
-                    owner[r["content_hash"]]["aliases"].pop()
-                    packet["omitted"]["duplicate"] += 1
-                continue
-            if len(packet["selected"]) >= limit:
-                packet["omitted"]["limit"] += 1
-                continue
-            row = place | {"source": r["content"], "source_sha256": r["content_hash"], "reason": r["reason"], "score": round(r["score"], 9), "aliases": []}
-            packet["selected"].append(row)
-            if len(canonical(packet)) + RESERVE > budget:
-                packet["selected"].pop()
-                packet["omitted"]["budget"] += 1
+            path = r["rel_path"]
+            if path not in files:
+                files[path] = self._source(path)
+            raw, span = files[path], _points(r["span"])
+            # what was stored is read again: an edit since then must not be sent as present
+            if raw is None or literal_of(raw, span) != r["content"].encode() or hashlib.sha256(raw).hexdigest() != r["file_sha256"]:
+                raise ValueError("PROVENANCE_MISMATCH")
+            symbol = _points(r["symbol_span"]) if r["symbol_span"] else None
+            if symbol and (path, *symbol) in whole:
+                continue  # its symbol is there as a whole
+            row = _row(path, span, r["content"], r["file_sha256"], symbol) | {"reason": r["reason"], "score": round(r["score"], 9)}
+            if symbol and (body := literal_of(raw, symbol)) is not None:
+                full = _row(path, symbol, body.decode("utf-8"), r["file_sha256"], symbol) | {"reason": row["reason"], "score": row["score"]}
+                # an equal text costs an alias only
+                into, extra = (owner[full["source_sha256"]]["aliases"], _place(full)) if full["source_sha256"] in owner else (packet["selected"], full)
+                into.append(extra)
+                if fits():
+                    row = full
+                    whole.add((path, *symbol))
+                into.pop()
+            left_out = None
+            if row["source_sha256"] in owner:
+                aliases = owner[row["source_sha256"]]["aliases"]
+                aliases.append(_place(row))
+                left_out = "duplicate"
+                if not fits():
+                    aliases.pop()
+                    left_out = "budget"
+            elif len(packet["selected"]) >= limit:
+                left_out = "limit"
             else:
-                owner[r["content_hash"]] = row
+                packet["selected"].append(row)
+                if fits():
+                    owner[row["source_sha256"]] = row
+                else:
+                    packet["selected"].pop()
+                    left_out = "budget"
+            if left_out:
+                packet["omitted"][left_out] += 1
         packet["status"] = "OK" if packet["selected"] else "BUDGET_EXHAUSTED" if rows else "EMPTY"
+        for place in _places(packet):
+            place["coverage"]["complete"] = covers(packet, place)
         return packet
 
     def verify(self, packet: dict) -> str:
         """OK, or the first reason why the packet doesn't hold against the present sources."""
         try:
-            places = [(p, row["source"] if p is row else None, row) for row in packet["selected"] for p in (row, *row["aliases"])]
-        except (KeyError, TypeError):
+            if not well_formed(packet):
+                return "INVALID_PACKET"
+        except (KeyError, TypeError, ValueError, AttributeError):
             return "INVALID_PACKET"
-        raw: dict[str, bytes | None] = {}
-        for p, _, row in places:
-            path = p["path"]
-            if path not in raw:
-                full = os.path.realpath(os.path.join(self.repo, path))
-                inside = full.startswith(self.repo + os.sep)
-                raw[path] = open(full, "rb").read() if inside and os.path.isfile(full) else None
-            data = raw[path]
-            if data is None:
+        by_path: dict[str, list] = {}
+        for row in packet["selected"]:
+            for place in (row, *row["aliases"]):
+                by_path.setdefault(place["path"], []).append((row, place))
+        for path, places in by_path.items():  # one read a file
+            raw = self._source(path)
+            if raw is None:
                 return "SOURCE_UNAVAILABLE"
-            if hashlib.sha256(data).hexdigest() != p["file_sha256"]:
-                return "STALE_SOURCE"
-            starts = [0]
-            for line in data.split(b"\n"):
-                starts.append(starts[-1] + len(line) + 1)
-            a, b, c, d = p["span"]
-            if not (1 <= a <= c < len(starts) and min(b, d) >= 0):
-                return "INVALID_SPAN"
-            if data[starts[a - 1] + b : starts[c - 1] + d] != row["source"].encode() or hashlib.sha256(row["source"].encode()).hexdigest() != row["source_sha256"]:
-                return "PROVENANCE_MISMATCH"
+            for row, place in places:
+                if hashlib.sha256(raw).hexdigest() != place["file_sha256"]:
+                    return "STALE_SOURCE"
+                body = literal_of(raw, place["span"])
+                symbol = place["coverage"]["symbol_span"]
+                if body is None or symbol and literal_of(raw, symbol) is None:
+                    return "INVALID_SPAN"
+                if body != row["source"].encode() or hashlib.sha256(body).hexdigest() != row["source_sha256"]:
+                    return "PROVENANCE_MISMATCH"
         return "OK"
+
+
+# ---- packets
+
+
+def _points(span: dict) -> list[int]:
+    return [span["start_line"], span["start_col"], span["end_line"], span["end_col"]]
+
+
+def _row(path: str, span: list[int], source: str, file_sha256: str, symbol: list[int] | None) -> dict:
+    return {"path": path, "span": span, "source": source, "source_sha256": hashlib.sha256(source.encode()).hexdigest(), "file_sha256": file_sha256, "aliases": [], "coverage": {"symbol_span": symbol, "complete": False}}
+
+
+def _place(row: dict) -> dict:
+    return {k: row[k] for k in ("path", "span", "file_sha256", "coverage")}
+
+
+def _places(packet: dict) -> list[dict]:
+    return [p for row in packet["selected"] for p in (row, *row["aliases"])]
+
+
+def literal_of(raw: bytes, span: list[int]) -> bytes | None:
+    """The bytes of a span; None if it is not in the file."""
+    lines = raw.split(b"\n")
+    a, b, c, d = span
+    if not (1 <= a <= c <= len(lines) and 0 <= b <= len(lines[a - 1]) and 0 <= d <= len(lines[c - 1]) and (a, b) <= (c, d)):
+        return None
+    starts = [0]
+    for line in lines[: c - 1]:
+        starts.append(starts[-1] + len(line) + 1)
+    return raw[starts[a - 1] + b : starts[c - 1] + d]
+
+
+def covers(packet: dict, place: dict) -> bool:
+    """Whether the packet's pieces of that file leave no gap in the place's symbol."""
+    if place["coverage"]["symbol_span"] is None:
+        return False
+    a, b, c, d = place["coverage"]["symbol_span"]
+    reached = (a, b)
+    for s in sorted(tuple(p["span"]) for p in _places(packet) if p["path"] == place["path"]):
+        if s[:2] <= reached < s[2:]:
+            reached = s[2:]
+    return reached >= (c, d)
+
+
+_DIGEST = re.compile(r"[0-9a-f]{64}")
+_PACKET = {"schema", "version", "status", "snapshot_sha256", "refreshed", "limits", "selected", "omitted"}
+_PLACE = {"path", "span", "file_sha256", "coverage"}
+_ROW = _PLACE | {"source", "source_sha256", "reason", "score", "aliases"}
+
+
+def well_formed(packet: dict) -> bool:
+    """Whether a packet has the shape, bounds and counts of one that query makes; no source is read."""
+    whole = lambda x, low, high: type(x) is int and low <= x <= high
+    digest = lambda x: isinstance(x, str) and _DIGEST.fullmatch(x) is not None
+    path = lambda x: isinstance(x, str) and bool(x) and x[0] != "/" and "\\" not in x and "\x00" not in x and not {"", ".", ".."} & set(x.split("/"))
+    span = lambda x: isinstance(x, list) and len(x) == 4 and all(type(v) is int and v >= 0 for v in x) and x[0] >= 1 and tuple(x[:2]) <= tuple(x[2:])
+    if set(packet) != _PACKET or packet["schema"] != "tessera-packet" or packet["version"] != 2 or packet["status"] not in STATUSES:
+        return False
+    limits, omitted, selected = packet["limits"], packet["omitted"], packet["selected"]
+    if not digest(packet["snapshot_sha256"]) or type(packet["refreshed"]) is not bool or set(limits) != {"packet_bytes", "fragments", "candidates", "unit"}:
+        return False
+    if not whole(limits["packet_bytes"], LEAST_BYTES, MOST_BYTES) or not whole(limits["fragments"], 1, MOST_FRAGMENTS) or limits["candidates"] != CANDIDATES or limits["unit"] != "UTF-8 bytes":
+        return False
+    if set(omitted) != {"duplicate", "budget", "limit"} or not all(whole(v, 0, CANDIDATES) for v in omitted.values()):
+        return False
+    if not isinstance(selected, list) or len(selected) > limits["fragments"] or len(selected) + sum(omitted.values()) > CANDIDATES:
+        return False
+    left = {"OK": bool(selected), "EMPTY": not selected and not any(omitted.values()), "BUDGET_EXHAUSTED": not selected and omitted["budget"] > 0 and omitted["duplicate"] == omitted["limit"] == 0}
+    if not left[packet["status"]]:
+        return False
+    files: dict[str, str] = {}
+    seen, bodies, aliases = set(), set(), 0
+    for row in selected:
+        if set(row) != _ROW or not isinstance(row["source"], str) or not digest(row["source_sha256"]) or not isinstance(row["reason"], str) or not row["reason"]:
+            return False
+        if type(row["score"]) not in (int, float) or not math.isfinite(row["score"]) or not isinstance(row["aliases"], list) or row["source_sha256"] in bodies:
+            return False
+        bodies.add(row["source_sha256"])
+        aliases += len(row["aliases"])
+        for place in (row, *row["aliases"]):
+            if place is not row and set(place) != _PLACE or not path(place["path"]) or not span(place["span"]) or not digest(place["file_sha256"]):
+                return False
+            told = place["coverage"]
+            if set(told) != {"symbol_span", "complete"} or type(told["complete"]) is not bool or not (told["symbol_span"] is None or span(told["symbol_span"])):
+                return False
+            key = (place["path"], *place["span"])
+            if key in seen or files.setdefault(place["path"], place["file_sha256"]) != place["file_sha256"]:
+                return False
+            seen.add(key)
+    if aliases != omitted["duplicate"] or any(covers(packet, p) != p["coverage"]["complete"] for p in _places(packet)):
+        return False
+    return len(canonical(packet)) <= limits["packet_bytes"]

@@ -19,7 +19,9 @@ def sha256(text: Column) -> Column:
 
 
 def short_id(prefix: str, *parts: Column) -> Column:
-    return F.concat(F.lit(prefix), F.substring(sha256(F.concat_ws(":", *[p.cast("string") for p in parts])), 1, 16))
+    """The query fails where a part is null: what is missing must not give the id of something else."""
+    known = [F.coalesce(p.cast("string"), F.raise_error(F.lit(f"{prefix} id of a null part")).cast("string")) for p in parts]
+    return F.concat(F.lit(prefix), F.substring(sha256(F.concat_ws(":", *known)), 1, 16))
 
 
 def repo_id(path: Column) -> Column:

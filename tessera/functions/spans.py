@@ -6,6 +6,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+TYPE = "struct<start_line:int,start_col:int,end_line:int,end_col:int>"
+
+
 def span(start_line, start_col, end_line, end_col) -> Column:
     lit = lambda x: x if isinstance(x, Column) else F.lit(x)
     return F.struct(lit(start_line).cast("int").alias("start_line"), lit(start_col).cast("int").alias("start_col"), lit(end_line).cast("int").alias("end_line"), lit(end_col).cast("int").alias("end_col"))

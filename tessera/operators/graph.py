@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tessera import runtime
+from tessera.functions import spans
+
 #: Strongest first.
 TRUST = ("EXACT", "RESOLVED", "HEURISTIC", "INFERRED")
 TRUSTED = ("EXACT", "RESOLVED")
@@ -45,6 +48,53 @@ def neighbours(relations: DataFrame, entity_ids: DataFrame, side: str, limit: in
     return best.orderBy("rank", "entity_id").limit(limit).select("entity_id", trust_name(F.col("rank")).alias("trust"))
 
 
+def preferred(entities: DataFrame, chunks: DataFrame) -> DataFrame:
+    """entity_id, chunk_id: of the chunks of an entity's file (file_id, span) the one of exactly its span, else of those that hold its start the one of fewest lines."""
+    both = entities.select("entity_id", "file_id", F.col("span").alias("_own")).join(chunks.select("chunk_id", "file_id", "span"), "file_id")
+    own, s = F.col("_own"), F.col("span")
+    fit = F.when(own == s, 0).when(spans.contains_start(s, own), 1)
+    order = F.struct(fit, s["end_line"] - s["start_line"], spans.start(s), "chunk_id")
+    return both.where(fit.isNotNull()).groupBy("entity_id").agg(F.min_by("chunk_id", order).alias("chunk_id"))
+
+
+#: Chunks that are expanded, entities of each, and bounds and weights of what is found.
+TOP_CHUNKS, ENTITIES_EACH = 5, 2
+LEAST_FOUND, MOST_FOUND = 4, 24
+STRONG, WEAK, RANK_OFFSET = 2.5, 0.9, 60
+
+
+def expand(top: DataFrame, relations: DataFrame, entities: DataFrame, limit: int) -> DataFrame:
+    """place, entity_id, role, trust, k, part: the neighbours of the best chunks' entities, in the order they are taken.
+
+    top: place (from 1), entity_ids, text, explicit (an exact name led to it), a
+    bounded list. entities: entity_id, name, rel_path, start_line. Callers and
+    callees of each entity alternate, strongest trust first, then those that the
+    chunk's text calls by name (callees), then by path, line and id; all together
+    are counted by k up to twice the limit, and the part falls with k.
+    """
+    most = max(LEAST_FOUND, min(MOST_FOUND, 2 * limit))
+    seed = top.where(F.col("place") <= min(TOP_CHUNKS, max(1, limit))).select("place", "text", "explicit", F.posexplode(F.slice("entity_ids", 1, ENTITIES_EACH)).alias("turn", "seed"))
+    seed = F.broadcast(seed)  # at most TOP_CHUNKS * ENTITIES_EACH rows
+    defined = relations.where("rel_type = 'DEFINES'").select(F.col("source_id").alias("seed"), F.col("target_id").alias("member"))
+    members = seed.select("place", "turn", "seed", F.col("seed").alias("member")).unionByName(defined.join(seed, "seed").select("place", "turn", "seed", "member")).distinct()
+    calls = relations.where(F.col("rel_type").isin("CALLS", "REFERENCES"))
+    found = None
+    for role, here, there in (("caller", "target_id", "source_id"), ("callee", "source_id", "target_id")):
+        met = calls.join(members, calls[here] == members.member).select("place", "turn", F.col(there).alias("entity_id"), trust_rank(F.col("trust_class")).alias("rank"))
+        out = met.join(members.select("place", "turn", F.col("member").alias("entity_id")), ["place", "turn", "entity_id"], "left_anti")
+        out = out.groupBy("place", "turn", "entity_id").agg(F.min("rank").alias("rank")).withColumn("role", F.lit(role))
+        found = out if found is None else found.unionByName(out)
+    named = found.join(entities.select("entity_id", "name", "rel_path", "start_line"), "entity_id").join(seed.select("place", "turn", "text", "explicit"), ["place", "turn"])
+    said = (F.col("role") == "callee") & (F.col("name") != "") & F.coalesce(F.regexp_count("text", F.concat(F.lit(r"(?U)\b\Q"), "name", F.lit(r"\E\s*\("))) > 0, F.lit(False))
+    idx = F.row_number().over(Window.partitionBy("place", "turn", "role").orderBy("rank", F.desc(said), "rel_path", "start_line", "entity_id"))
+    short = named.withColumn("idx", idx).where(F.col("idx") <= most)
+    # at most 2 * most rows of each entity of the top are left
+    k = F.row_number().over(Window.orderBy("place", "turn", "idx", F.desc("role")))
+    taken = short.withColumn("k", k).where(F.col("k") <= most)
+    weight = F.when(F.col("explicit") & (F.col("role") == "callee") & (F.col("rank") < len(TRUSTED)), STRONG).otherwise(WEAK)
+    return taken.select("place", "entity_id", "role", trust_name(F.col("rank")).alias("trust"), F.col("k").cast("long").alias("k"), (weight / (RANK_OFFSET + F.col("k"))).alias("part"))
+
+
 def ancestors(parents: DataFrame, most: int = 64) -> DataFrame:
     """entity_id, ancestor_id, depth along parent_id; a cycle ends where it would repeat.
 
@@ -54,13 +104,26 @@ def ancestors(parents: DataFrame, most: int = 64) -> DataFrame:
     found = front = step.where("child <> up").select(F.col("child").alias("entity_id"), F.col("up").alias("ancestor_id"), F.lit(1).alias("depth"))
     for depth in range(2, most + 1):
         front = front.join(step, front.ancestor_id == step.child).where("up <> entity_id").select("entity_id", F.col("up").alias("ancestor_id"), F.lit(depth).alias("depth"))
-        front = front.join(found.select("entity_id", "ancestor_id"), ["entity_id", "ancestor_id"], "left_anti").distinct()
+        # written, so that a round costs one join whatever came before it
+        front = runtime.settled(front.join(found.select("entity_id", "ancestor_id"), ["entity_id", "ancestor_id"], "left_anti").distinct())
         if front.isEmpty():
             break
         found = found.unionByName(front)
     return found
 
 
+def interleave(callers: DataFrame, callees: DataFrame, limit: int) -> DataFrame:
+    """entity_id, role, k: first caller, first callee, second caller, ... of two bounded lists."""
+
+    def turns(rows: DataFrame, role: str) -> DataFrame:  # at most some dozens of rows
+        order = Window.orderBy(trust_rank(F.col("trust")), "entity_id")
+        return rows.select("entity_id", F.lit(role).alias("role"), F.row_number().over(order).alias("idx"))
+
+    both = turns(callers, "caller").unionByName(turns(callees, "callee"))
+    k = F.row_number().over(Window.orderBy("idx", F.desc("role")))
+    return both.select("entity_id", "role", k.cast("long").alias("k"), "idx").orderBy("k").limit(limit).select("entity_id", "role", "k")
+
+
 def top_per(rows: DataFrame, by: list[str], order: list, n: int = 1) -> DataFrame:
     """The first n rows of each group; of one row a group, aggregation on the key would do without a sort."""
     w = Window.partitionBy(*by).orderBy(*order)

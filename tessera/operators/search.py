@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tessera import runtime
+
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 MIN_TERM, MAX_TERMS = 3, 64
 SHORT_CHUNKS, SHORT_BYTES = 4096, 4 << 20
@@ -69,15 +71,63 @@ def bm25(chunks: DataFrame, phrase_list: list[str], by: list[str] = (), content:
     stats = corpus_stats(chunks, phrase_list, by, content)
     hits = matching(chunks, phrase_list, content)
     joined = hits.join(stats, by) if by else hits.crossJoin(F.broadcast(stats))  # one row
+    return scored(joined, len(phrase_list), content)
+
+
+def trigrams(text: Column) -> Column:
+    """The distinct trigrams of folded text."""
+    low = F.lower(text)
+    n = F.length(low) - 2
+    return F.when(n > 0, F.array_distinct(F.transform(F.sequence(F.lit(1), n), lambda i: F.substring(low, i, F.lit(3))))).otherwise(F.array().cast("array<string>"))
+
+
+def postings(chunks: DataFrame, content: str = "content") -> DataFrame:
+    """trigram, generation_id, chunk_id: one row for each distinct trigram of a chunk; stored by generation, sorted by trigram."""
+    return chunks.select("generation_id", "chunk_id", F.explode(trigrams(F.col(content))).alias("trigram"))
+
+
+def candidates(index: DataFrame, phrase_list: list[str]) -> DataFrame:
+    """generation_id, chunk_id of chunks that hold all trigrams of one of the phrases; phrases under three characters have none."""
+    sought = [sorted({p.lower()[i : i + 3] for i in range(len(p) - 2)}) for p in phrase_list]
+    every = sorted({t for s in sought for t in s})
+    if not every:
+        return index.select("generation_id", "chunk_id").limit(0)
+    # the trigrams asked for are pushed down to the scan of the sorted postings
+    held = index.where(F.col("trigram").isin(every)).groupBy("generation_id", "chunk_id").agg(F.collect_set("trigram").alias("t"))
+    some = F.lit(False)
+    for s in filter(None, sought):
+        some = some | (F.size(F.array_except(F.array(*[F.lit(t) for t in s]), F.col("t"))) == 0)
+    return held.where(some).select("generation_id", "chunk_id")
+
+
+def bm25_indexed(chunks: DataFrame, index: DataFrame, lengths: DataFrame, phrase_list: list[str], content: str = "content") -> DataFrame:
+    """bm25 by generation with stored postings: only candidate chunks are read and counted.
+
+    lengths: generation_id, n_docs, avg_len, as stored with the generation.
+    """
+    found = matching(chunks.join(candidates(index, phrase_list), ["generation_id", "chunk_id"], "left_semi"), phrase_list, content)
+    found = runtime.settled(found)
+    df = found.groupBy("generation_id").agg(*[F.count_if(F.col(f"f{i}") > 0).alias(f"n{i}") for i in range(len(phrase_list))])
+    return scored(found.join(lengths, "generation_id").join(df, "generation_id"), len(phrase_list), content)
+
+
+def scored(joined: DataFrame, phrases: int, content: str = "content") -> DataFrame:
+    """BM25 of rows with f0, n0, f1, n1, ..., n_docs, avg_len."""
     length = F.greatest(F.length(content) - 2, F.lit(0))
     score = F.lit(0.0)
-    for i in range(len(phrase_list)):
+    for i in range(phrases):
         f, n = F.col(f"f{i}"), F.col(f"n{i}")
         idf = F.greatest(F.ln((F.col("n_docs") - n + 0.5) / (n + 0.5)), F.lit(LEAST_IDF))
         score = score + F.when(f > 0, idf * f * (K1 + 1) / (f + K1 * (1 - B + B * length / F.col("avg_len")))).otherwise(0.0)
     return joined.withColumn("score", score)
 
 
+def base_terms(text: str) -> list[str]:
+    """Words of a name for lookups: ASCII runs of three or more characters, of two if there are none."""
+    words = re.findall(r"[A-Za-z0-9_]+", text)
+    return [w for w in words if len(w) >= 3] or [w for w in words if len(w) == 2]
+
+
 def short_terms(text: str) -> list[str]:
     """Words of one or two characters, for queries without a longer one."""
     if query_terms(text):

@@ -12,26 +12,33 @@ from tessera.functions import identity, spans
 
 MAX_FILE_BYTES = 16 << 20
 BINARY_PROBE = 8192
-EXCLUDED_DIRS = [".git", ".hg", ".svn", "node_modules", "__pycache__", ".venv", "venv", "dist", "build", "target"]
-EXCLUDED_SUFFIXES = [".png", ".jpg", ".jpeg", ".gif", ".pdf", ".zip", ".gz", ".tar", ".so", ".dll", ".exe", ".pyc", ".class", ".jar", ".db", ".sqlite"]
+# Directories that are never read, and endings of files that are no source.
+EXCLUDED_DIRS = [
+    ".git", ".venv", "venv", "node_modules", "dist", "build", "__pycache__", ".pytest_cache", ".mypy_cache", ".tox",
+    ".eggs", "target", "vendor", ".idea", ".vscode", "coverage", ".turbo", ".next", ".tessera",
+]
+EXCLUDED_SUFFIXES = [
+    ".png", ".jpg", ".jpeg", ".gif", ".webp", ".ico", ".pdf", ".zip", ".tar", ".gz", ".7z", ".rar", ".exe", ".dll", ".so", ".dylib", ".bin",
+    ".pyc", ".pkl", ".parquet", ".arrow", ".onnx", ".pt", ".safetensors", ".db", ".db-wal", ".db-shm", ".lbug", ".sqlite", ".sqlite3", ".jsonl",
+]
 LANGUAGES = {"python": [".py"], "javascript": [".js", ".jsx", ".mjs", ".cjs"], "typescript": [".ts", ".tsx"]}
 
 
 def path_allowed(path: Column, excluded_dirs: list[str] = EXCLUDED_DIRS, excluded_suffixes: list[str] = EXCLUDED_SUFFIXES) -> Column:
-    """No excluded directory among the path's, no excluded ending."""
-    steps = F.split(path, "/")
-    dirs = F.slice(steps, 1, F.greatest(F.size(steps) - 1, F.lit(1)))
-    in_dir = F.arrays_overlap(dirs, F.array(*[F.lit(x) for x in excluded_dirs])) & (F.size(steps) > 1)
-    ending = reduce(lambda a, b: a | b, [F.lower(path).endswith(s) for s in excluded_suffixes])
-    return ~(in_dir | ending)
+    """No step of the path is excluded or a database, and it has no excluded ending; a path out of the tree is not allowed."""
+    normal = identity.normal_path(path)
+    steps = F.split(normal, "/")
+    excluded = F.arrays_overlap(steps, F.array(*[F.lit(x) for x in excluded_dirs])) | F.exists(steps, lambda x: x.endswith(".db"))
+    ending = reduce(lambda a, b: a | b, [F.lower(normal).endswith(s) for s in excluded_suffixes])
+    return F.coalesce(~(excluded | ending), F.lit(False))
 
 
 def is_binary(raw: Column) -> Column:
-    """A NUL early on, or over a tenth control characters, or no UTF-8."""
-    text = F.try_validate_utf8(raw.cast("string"))
-    controls = F.length(F.regexp_replace(text, r"[^\x01-\x08\x0B\x0E-\x1F\x7F]", ""))
-    nul = F.contains(F.substring(raw, 1, BINARY_PROBE), F.lit(b"\x00"))
-    return F.coalesce(nul | (controls * 10 > F.length(text)), F.lit(True))
+    """A NUL or over a tenth control characters among the first bytes, or no UTF-8; empty is not."""
+    probe = F.decode(F.substring(raw, 1, BINARY_PROBE), "ISO-8859-1")  # a character a byte
+    controls = F.length(F.regexp_replace(probe, r"[^\x01-\x08\x0B\x0E-\x1F\x7F]", ""))
+    odd = F.contains(probe, F.lit("\x00")) | (controls * 10 > F.length(probe)) | F.try_validate_utf8(raw.cast("string")).isNull()
+    return (F.octet_length(raw) > 0) & odd
 
 
 def is_test_path(path: Column) -> Column:
@@ -83,8 +90,42 @@ def merge_metadata(rows: DataFrame, key: str, order: list[str], column: str) ->
 
 
 def activate(generations: DataFrame, target: DataFrame) -> DataFrame:
-    """One active generation a repository: its target sequence (repo_id, target), none where there is none."""
-    return generations.drop("is_active").join(target, "repo_id", "left").withColumn("is_active", F.coalesce(F.col("sequence") == F.col("target"), F.lit(False))).drop("target")
+    """One active generation a repository: its target sequence (repo_id, target), if that is committed; none where there is none.
+
+    Where the target is not committed, what was active before stays so.
+    """
+    aimed = F.coalesce(F.col("sequence") == F.col("target"), F.lit(False))
+    may = F.coalesce(F.bool_or(aimed & (F.col("lifecycle") == "COMMITTED")).over(Window.partitionBy("repo_id")), F.lit(False))
+    before = F.coalesce(F.col("is_active"), F.lit(False)) if "is_active" in generations.columns else F.lit(False)
+    now = F.when(may, aimed).when(F.col("target").isNotNull(), before).otherwise(False)
+    return generations.join(target, "repo_id", "left").withColumn("is_active", now).drop("target")
+
+
+def delete_generations(rows: DataFrame, retired: DataFrame) -> DataFrame:
+    """The rows of other generations than those retired (generation_id)."""
+    return rows.join(retired.select("generation_id").distinct(), "generation_id", "left_anti")
+
+
+def orphans(names: DataFrame, generations: DataFrame) -> DataFrame:
+    """Stored collections (name) that belong to no generation (generation_id)."""
+    return names.join(generations.select(F.col("generation_id").alias("name")), "name", "left_anti")
+
+
+def ignore_fingerprint(files: DataFrame) -> DataFrame:
+    """repo_id, fingerprint: the digest of each repository's ignore rules, from files (repo_id, rel_path, content_hash)."""
+    rules = files.where(F.substring_index("rel_path", "/", -1).isin(".gitignore", ".ignore"))
+    listed = F.array_sort(F.collect_list(F.concat_ws(":", "rel_path", "content_hash")))
+    return rules.groupBy("repo_id").agg(identity.sha256(F.array_join(listed, "\n")).alias("fingerprint"))
+
+
+def batch_scope(rows: DataFrame, by: list[str], owners: dict[str, str]) -> DataFrame:
+    """by, and for each name in ``owners`` whether all rows of the batch have the same value of its column."""
+    return rows.groupBy(*by).agg(*[(F.count_distinct(c) == 1).alias(name) for name, c in owners.items()])
+
+
+def unequal_names(have: list[str], want: list[str]) -> list[str]:
+    """Names of tables that are missing (-) or too many (+), in order."""
+    return sorted(f"-{x}" for x in set(want) - set(have)) + sorted(f"+{x}" for x in set(have) - set(want))
 
 
 def retention(generations: DataFrame, keep: int) -> DataFrame:
@@ -94,6 +135,12 @@ def retention(generations: DataFrame, keep: int) -> DataFrame:
     return generations.withColumn("_n", rank).withColumn("action", F.when(kept, "KEEP").otherwise("DROP")).drop("_n")
 
 
+def without_conflicts(rows: DataFrame, key: str, value: str) -> DataFrame:
+    """One row of each id; the query fails where an id has two values."""
+    said = F.when(F.min(value) != F.max(value), F.raise_error(F.concat(F.lit("CONFLICT: "), F.col(key).cast("string"))).cast("string")).otherwise(F.min(value))
+    return rows.groupBy(key).agg(said.alias(value))
+
+
 def conflicts(rows: DataFrame, key: str, value: str) -> DataFrame:
     """Versions of each id; more than one is a conflict."""
     return rows.groupBy(key).agg(F.count_distinct(value).alias("versions")).withColumn("conflict", F.col("versions") > 1)

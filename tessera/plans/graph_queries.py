@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tessera.functions import spans
 from tessera.operators import graph, resolve
@@ -31,7 +32,7 @@ def graph_expand(spark, d):
     one = lambda x: spark.createDataFrame([(x,)], "entity_id string")
     up = graph.neighbours(r, one("p7"), "source_id", 24, heuristic=True)
     down = graph.neighbours(r, one("c5"), "target_id", 24, heuristic=True)
-    return resolve.interleave(up, down, 24)
+    return graph.interleave(up, down, 24)
 
 
 @query("strongest_trust", f"SELECT target_id, {_NAME} AS trust FROM (SELECT *, {_RANK} AS r FROM relations WHERE rel_type = 'CALLS') GROUP BY target_id")
@@ -61,20 +62,28 @@ def exact_entity_order(spark, d):
     return e.orderBy(F.contains(F.lower("qualified_name"), F.lit("test_")), "qualified_name", "entity_id").limit(128).select("entity_id", "qualified_name")
 
 
-@query("exact_candidates", ", staged AS (SELECT entity_id, 0 AS stage FROM entities WHERE qualified_name = 'c7.order_7' UNION ALL SELECT entity_id, 1 FROM entities WHERE suffix(qualified_name, '.order_7') UNION ALL SELECT entity_id, 2 FROM entities WHERE name = 'order_7') SELECT entity_id, min(stage) AS stage FROM staged GROUP BY entity_id ORDER BY stage, entity_id LIMIT 128")
+_STAGED = ", staged AS (SELECT entity_id, 0 AS stage FROM entities WHERE qualified_name = '{0}' UNION ALL SELECT entity_id, 1 FROM entities WHERE name = '{1}' AND suffix(qualified_name, '.{0}') UNION ALL SELECT entity_id, 2 FROM entities WHERE qualified_name IN ({2}) UNION ALL SELECT entity_id, 3 FROM entities WHERE name = '{0}')"
+_BEST = " SELECT entity_id, min(stage) AS stage, CASE min(stage) WHEN 1 THEN 'exact_qualified_suffix' WHEN 3 THEN 'exact_short_name' ELSE 'exact_qualified_name' END AS reason FROM staged GROUP BY entity_id ORDER BY stage, entity_id LIMIT 128"
+
+
+@query("exact_candidates", _STAGED.format("c7.order_7", "order_7", "'c7.__init__.order_7'") + _BEST)
 def exact_candidates(spark, d):
-    return resolve.exact_candidates(model.entities(spark, d), "c7.order_7", "order_7")
+    return resolve.exact_candidates(model.entities(spark, d), "c7.order_7")
 
 
-_OWNED = """, calls AS (SELECT l_orderkey, l_linenumber, CAST(l_quantity AS INTEGER) AS q FROM lineitem)"""
+@query("exact_short_name", " SELECT entity_id, 3 AS stage, 'exact_short_name' AS reason FROM entities WHERE name = 'order_12' ORDER BY entity_id LIMIT 128")
+def exact_short_name(spark, d):
+    return resolve.exact_candidates(model.entities(spark, d), "order_12")
 
 
-@query("preferred_chunk", _OWNED + " SELECT l_orderkey, arg_min(l_linenumber, (CASE WHEN q = 25 THEN 0 WHEN q < 25 THEN 1 ELSE 2 END, q, l_linenumber)) AS preferred FROM calls GROUP BY l_orderkey")
+@query("preferred_chunk", ", own AS (SELECT o_orderkey, 1 + o_orderkey % 3 AS a, 3 + o_orderkey % 5 AS b FROM orders), piece AS (SELECT DISTINCT l_orderkey, l_linenumber AS c, l_linenumber + 1 + l_partkey % 3 AS d FROM lineitem) SELECT o_orderkey, arg_min(c || '-' || d, (CASE WHEN a = c AND b = d THEN 0 ELSE 1 END, d - c, c, c || '-' || d)) AS preferred FROM own JOIN piece ON l_orderkey = o_orderkey WHERE (a = c AND b = d) OR (c <= a AND a < d) GROUP BY o_orderkey")
 def preferred_chunk(spark, d):
-    """Of an entity's chunks, the one of exactly its span, then one that holds its start, then the smallest."""
-    line = model.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_quantity").cast("int").alias("q"))
-    fit = F.when(F.col("q") == 25, 0).when(F.col("q") < 25, 1).otherwise(2)
-    return line.groupBy("l_orderkey").agg(F.min_by("l_linenumber", F.struct(fit, "q", "l_linenumber")).alias("preferred"))
+    """Of an entity's chunks the one of exactly its span, else the shortest that holds its start."""
+    k = F.col("o_orderkey")
+    own = model.table(spark, d, "orders").select(k.alias("entity_id"), k.alias("file_id"), spans.span((1 + k % 3), 0, (3 + k % 5), 0).alias("span"))
+    line, size = F.col("l_linenumber"), 1 + F.col("l_partkey") % 3
+    piece = model.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("file_id"), F.concat_ws("-", line.cast("string"), (line + size).cast("string")).alias("chunk_id"), spans.span(line, 0, line + size, 0).alias("span")).distinct()
+    return graph.preferred(own, piece).select(F.col("entity_id").alias("o_orderkey"), F.col("chunk_id").alias("preferred"))
 
 
 @query("span_overlap_join", "SELECT a.l_orderkey, a.l_linenumber AS a, b.l_linenumber AS b FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber < b.l_linenumber AND (a.l_linenumber, 0) < (b.l_linenumber + 1, 0) AND (a.l_linenumber + 2, 0) > (b.l_linenumber, 0)", False)
@@ -91,10 +100,17 @@ def call_candidates(spark, d):
     return p.join(s, p.p_size == s.s_nationkey).select("p_partkey", "s_suppkey")
 
 
-@query("naming_theta_join", "SELECT n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey OR contains(lower(n_name), lower(r_name)) OR suffix(lower(n_name), lower(r_name))", False)
+_CLASS = "(CASE c_custkey % 5 WHEN 0 THEN '' WHEN 1 THEN 'Http' ELSE 'My' END) || n_name || (CASE c_custkey % 7 WHEN 0 THEN 'Service' WHEN 1 THEN 'LIMITER' WHEN 2 THEN 'Impl' ELSE '' END)"
+
+
+@query("naming_theta_join", f"SELECT DISTINCT leaf, class_name FROM (SELECT lower(n_name) AS leaf FROM nation UNION SELECT substr(lower(n_name), 2) FROM nation) r JOIN (SELECT {_CLASS} AS class_name FROM customer JOIN nation ON c_nationkey = n_nationkey) c ON lower(class_name) IN (leaf, leaf || 'service', leaf || 'controller', leaf || 'manager', leaf || 'client', leaf || 'limiter', leaf || 'middleware', leaf || 'provider') OR suffix(lower(class_name), leaf) OR (length(leaf) >= 6 AND contains(lower(class_name), leaf))", False)
 def naming_theta_join(spark, d):
-    n, r = model.table(spark, d, "nation"), model.table(spark, d, "region")
-    return resolve.naming_join(n, r, "n_name", "r_name", n.n_regionkey == r.r_regionkey).select("n_name", "r_name")
+    n, c = model.table(spark, d, "nation"), model.table(spark, d, "customer")
+    leaf = n.select(F.explode(F.array(F.lower("n_name"), F.substring(F.lower("n_name"), 2, 100))).alias("leaf")).distinct()
+    before = F.when(F.col("c_custkey") % 5 == 0, "").when(F.col("c_custkey") % 5 == 1, "Http").otherwise("My")
+    after = F.when(F.col("c_custkey") % 7 == 0, "Service").when(F.col("c_custkey") % 7 == 1, "LIMITER").when(F.col("c_custkey") % 7 == 2, "Impl").otherwise("")
+    named = c.join(n, c.c_nationkey == n.n_nationkey).select(F.concat(before, "n_name", after).alias("class_name")).distinct()
+    return resolve.naming_join(leaf, named, "leaf", "class_name").select("leaf", "class_name")
 
 
 @query("lexical_ancestors", ", tree AS (SELECT 'o' || o_orderkey AS id, 'c' || o_custkey AS up FROM orders UNION ALL SELECT 'c' || c_custkey, 'n' || c_nationkey FROM customer UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation), closure AS (SELECT id, up, 1 AS depth FROM tree UNION SELECT c.id, t.up, c.depth + 1 FROM closure c JOIN tree t ON t.id = c.up) SELECT id AS entity_id, up AS ancestor_id, depth FROM closure")
@@ -106,16 +122,75 @@ def lexical_ancestors(spark, d):
     return graph.ancestors(o.unionByName(c).unionByName(n))
 
 
-_CALLS = ", named AS (SELECT p_partkey, CASE WHEN p_size < 25 THEN p_name || '_' || p_partkey ELSE p_name END AS name FROM part), c AS (SELECT DISTINCT l_orderkey AS call_id, l_linenumber AS site, name AS callee FROM lineitem JOIN named ON p_partkey = l_partkey), t AS (SELECT name, count(*) AS n, min('p' || p_partkey) AS target FROM named GROUP BY name), hit AS (SELECT call_id, site, target FROM c JOIN t ON t.name = c.callee WHERE n = 1)"
-
-
-@query("resolve_calls", _CALLS + " SELECT call_id, site, min(target) AS target_id, 'HEURISTIC' AS trust_class, 'unique_global_name_without_import_binding' AS reason FROM hit GROUP BY call_id, site")
+#: Classes (suppliers) of repeating names, methods and functions (parts), and calls (line items) for each rule.
+_CALLS = """, cls AS (SELECT 'k' || s_suppkey AS id, 'Cls' || s_suppkey % 7 || CASE WHEN s_suppkey % 2 = 0 THEN 'Service' ELSE '' END AS name, 'm' || s_nationkey || '.K' || s_suppkey AS path FROM supplier),
+tgt AS (SELECT 'p' || p_partkey AS id, 'f' || p_partkey % 97 || CASE WHEN p_partkey % 11 = 0 THEN '_' || p_partkey ELSE '' END AS name, CASE WHEN p_size < 25 THEN 'METHOD' ELSE 'FUNCTION' END AS kind, CASE WHEN p_size < 25 THEN 'k' || (1 + p_partkey % (SELECT count(*) FROM supplier)) WHEN p_partkey % 2 = 0 THEN 'mod' || p_size % 10 END AS parent, 'file' || p_size % 10 AS file FROM part),
+obs AS (SELECT DISTINCT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM lineitem),
+call AS (SELECT l_orderkey AS call_id, l_linenumber AS site, l_partkey, t.name AS callee, 'src' || l_orderkey AS source_id, 'file' || l_orderkey % 10 AS file, CASE WHEN l_orderkey % 5 = 0 THEN 'FUNCTION' ELSE 'METHOD' END AS source_kind, 'k' || l_suppkey AS source_parent, 'mod' || l_orderkey % 10 AS scope,
+  CASE l_linenumber WHEN 1 THEN 'self' WHEN 2 THEN 'x' WHEN 3 THEN 'a. ' || c.name WHEN 4 THEN 'Cls' || l_suppkey % 7 || '.prototype' WHEN 5 THEN 'my.cls' || l_suppkey % 7 ELSE '' END AS receiver,
+  CASE WHEN l_linenumber = 2 AND l_orderkey % 2 = 0 THEN c.name WHEN l_linenumber = 2 THEN c.path END AS receiver_type
+  FROM obs JOIN tgt t ON t.id = 'p' || l_partkey JOIN cls c ON c.id = 'k' || l_suppkey),
+leafed AS (SELECT *, CASE WHEN receiver LIKE '%.prototype' THEN replace(receiver, '.prototype', '') ELSE trim(string_split(receiver, '.')[-1]) END AS leaf FROM call),
+meth AS (SELECT * FROM tgt WHERE kind = 'METHOD'),
+r2 AS (SELECT call_id, site, m.id AS target, 2 AS p, 1 AS classes FROM leafed l JOIN cls ON cls.id = source_parent JOIN meth m ON m.name = callee AND m.parent = source_parent WHERE receiver = 'self' AND source_kind = 'METHOD'),
+m3 AS (SELECT DISTINCT call_id, site, callee, cls.id AS class FROM leafed JOIN cls ON receiver_type = cls.path OR string_split(receiver_type, '.')[-1] = cls.name WHERE receiver <> 'self'),
+r3 AS (SELECT call_id, site, m.id AS target, 3 AS p, (SELECT count(*) FROM m3 z WHERE z.call_id = m3.call_id AND z.site = m3.site) AS classes FROM m3 JOIN meth m ON m.name = callee AND m.parent = class),
+m4 AS (SELECT DISTINCT call_id, site, callee, cls.id AS class FROM leafed JOIN cls ON leaf = cls.name WHERE receiver NOT IN ('', 'self')),
+n4 AS (SELECT call_id, site, count(*) AS n FROM m4 GROUP BY ALL),
+r4 AS (SELECT call_id, site, m.id AS target, 4 AS p, n AS classes FROM m4 JOIN n4 USING (call_id, site) JOIN meth m ON m.name = callee AND m.parent = class),
+r5 AS (SELECT call_id, site, t.id AS target, 5 AS p, 1 AS classes FROM leafed l JOIN tgt t ON t.name = callee AND t.kind <> 'METHOD' AND t.file = l.file AND t.parent IN (scope, source_id) WHERE receiver = ''),
+lone AS (SELECT name, min(id) AS id, min(file) AS file, min(kind) AS kind FROM tgt GROUP BY name HAVING count(*) = 1),
+r6 AS (SELECT call_id, site, lone.id AS target, 6 AS p, 1 AS classes FROM leafed l JOIN lone ON lone.name = callee AND lone.file <> l.file AND lone.kind <> 'METHOD' WHERE receiver = ''),
+pair AS (SELECT DISTINCT leaf, cls.id AS class FROM (SELECT DISTINCT leaf FROM leafed WHERE receiver NOT IN ('', 'self') AND leaf <> '') JOIN cls ON lower(name) IN (lower(leaf), lower(leaf) || 'service', lower(leaf) || 'controller', lower(leaf) || 'manager', lower(leaf) || 'client', lower(leaf) || 'limiter', lower(leaf) || 'middleware', lower(leaf) || 'provider') OR suffix(lower(name), lower(leaf)) OR (length(leaf) >= 6 AND contains(lower(name), lower(leaf)))),
+r7 AS (SELECT DISTINCT call_id, site, m.id AS target, 7 AS p, 1 AS classes FROM leafed l JOIN pair ON pair.leaf = l.leaf JOIN meth m ON m.name = callee AND m.parent = class WHERE receiver NOT IN ('', 'self')),
+hit AS (SELECT DISTINCT * FROM (FROM r2 UNION ALL FROM r3 UNION ALL FROM r4 UNION ALL FROM r5 UNION ALL FROM r6 UNION ALL FROM r7)),
+best AS (SELECT *, min(p) OVER (PARTITION BY call_id, site) AS least, count(*) OVER (PARTITION BY call_id, site, p) AS n FROM hit)"""
+
+
+@query("resolve_calls", _CALLS + """ SELECT call_id, site, target AS target_id, CASE WHEN p = 3 AND n = 1 AND classes = 1 THEN 'RESOLVED' ELSE 'HEURISTIC' END AS trust_class,
+  CASE p WHEN 2 THEN CASE WHEN n = 1 THEN 'same_class_receiver_without_binding' ELSE 'ambiguous_same_class_overload' END
+         WHEN 3 THEN CASE WHEN n = 1 AND classes = 1 THEN 'explicit_receiver_type' ELSE 'ambiguous_explicit_receiver_type' END
+         WHEN 4 THEN CASE WHEN n = 1 AND classes = 1 THEN 'class_name_receiver_without_binding' ELSE 'ambiguous_exact_receiver_class' END
+         WHEN 5 THEN CASE WHEN n = 1 THEN 'same_file_name_without_binding' ELSE 'ambiguous_same_file_callable' END
+         WHEN 6 THEN 'unique_global_name_without_import_binding' ELSE 'receiver_naming_convention' END AS reason
+  FROM best WHERE p = least""")
 def resolve_calls(spark, d):
-    line, part = model.table(spark, d, "lineitem"), model.table(spark, d, "part")
-    part = part.withColumn("p_name", F.when(F.col("p_size") < 25, F.concat_ws("_", "p_name", F.col("p_partkey").cast("string"))).otherwise(F.col("p_name")))
-    calls = line.join(part, line.l_partkey == part.p_partkey).select(F.col("l_orderkey").alias("call_id"), F.col("l_linenumber").alias("site"), F.lit("caller").alias("source_id"), F.lit("src").alias("file_id"), F.lit("FUNCTION").alias("source_kind"), F.lit(None).cast("string").alias("source_parent"), F.col("p_name").alias("callee"), F.lit(None).cast("string").alias("receiver"), F.lit(None).cast("string").alias("receiver_type"))
-    targets = part.select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("entity_id"), F.col("p_name").alias("name"), F.lit("FUNCTION").alias("kind"), F.lit(None).cast("string").alias("parent_id"), F.lit("lib").alias("file_id"))
-    return resolve.resolve(calls, targets, targets.select("entity_id", "parent_id").limit(0), ["call_id", "site"]).select("call_id", "site", "target_id", "trust_class", "reason")
+    line, part, supplier = (model.table(spark, d, t) for t in ("lineitem", "part", "supplier"))
+    text, key = lambda c: F.col(c).cast("string"), F.col("p_partkey")
+    n = supplier.count()
+    cls_name = lambda k: F.concat(F.lit("Cls"), (k % 7).cast("string"), F.when(k % 2 == 0, "Service").otherwise(""))
+    classes = supplier.select(F.concat(F.lit("k"), text("s_suppkey")).alias("entity_id"), cls_name(F.col("s_suppkey")).alias("name"), F.concat(F.lit("m"), text("s_nationkey"), F.lit(".K"), text("s_suppkey")).alias("qualified_name"), F.lit("CLASS").alias("kind"), F.lit(None).cast("string").alias("parent_id"), F.lit("classes").alias("file_id"))
+    name = F.concat(F.lit("f"), (key % 97).cast("string"), F.when(key % 11 == 0, F.concat(F.lit("_"), text("p_partkey"))).otherwise(""))
+    method = F.col("p_size") < 25
+    parent = F.when(method, F.concat(F.lit("k"), (1 + key % n).cast("string"))).when(key % 2 == 0, F.concat(F.lit("mod"), (F.col("p_size") % 10).cast("string")))
+    targets = part.select(F.concat(F.lit("p"), text("p_partkey")).alias("entity_id"), name.alias("name"), name.alias("qualified_name"), F.when(method, "METHOD").otherwise("FUNCTION").alias("kind"), parent.alias("parent_id"), F.concat(F.lit("file"), (F.col("p_size") % 10).cast("string")).alias("file_id"))
+    obs = line.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").distinct().join(part.select("p_partkey", name.alias("callee")), F.col("l_partkey") == key).join(classes.select(F.col("entity_id").alias("c_id"), F.col("name").alias("c_name"), "qualified_name"), F.concat(F.lit("k"), text("l_suppkey")) == F.col("c_id"))
+    at, seven, order = F.col("l_linenumber"), (F.col("l_suppkey") % 7).cast("string"), F.col("l_orderkey")
+    receiver = F.when(at == 1, "self").when(at == 2, "x").when(at == 3, F.concat(F.lit("a. "), "c_name")).when(at == 4, F.concat(F.lit("Cls"), seven, F.lit(".prototype"))).when(at == 5, F.concat(F.lit("my.cls"), seven)).otherwise("")
+    source = F.concat(F.lit("src"), text("l_orderkey"))
+    calls = obs.select(order.alias("call_id"), at.alias("site"), source.alias("source_id"), F.concat(F.lit("file"), (order % 10).cast("string")).alias("file_id"), F.when(order % 5 == 0, "FUNCTION").otherwise("METHOD").alias("source_kind"), F.col("c_id").alias("source_parent"), "callee", receiver.alias("receiver"), F.when((at == 2) & (order % 2 == 0), F.col("c_name")).when(at == 2, F.col("qualified_name")).alias("receiver_type"))
+    scopes = line.select(source.alias("entity_id"), F.concat(F.lit("mod"), (order % 10).cast("string")).alias("parent_id")).distinct()
+    return resolve.resolve(calls, classes.unionByName(targets), scopes, ["call_id", "site"])
+
+
+_EXPAND = """, top AS (SELECT row_number() OVER (ORDER BY c_acctbal DESC, c_custkey) AS place, 'c' || c_custkey AS seed, c_custkey % 2 = 0 AS explicit FROM customer ORDER BY c_acctbal DESC, c_custkey LIMIT 5),
+member AS (SELECT place, seed, explicit, seed AS id FROM top UNION SELECT place, seed, explicit, target_id FROM top JOIN relations ON source_id = seed AND rel_type = 'DEFINES'),
+met AS (SELECT place, explicit, 'callee' AS role, target_id AS entity_id, min(""" + _RANK + """) AS r FROM member JOIN relations ON source_id = id AND rel_type = 'CALLS' GROUP BY ALL
+  UNION ALL SELECT place, explicit, 'caller', source_id, min(""" + _RANK + """) FROM member JOIN relations ON target_id = id AND rel_type = 'CALLS' GROUP BY ALL),
+named AS (SELECT met.*, p_name IN ('""" + "{0}" + """') AND role = 'callee' AS said, row_number() OVER (PARTITION BY place, role ORDER BY r, (p_name IN ('""" + "{0}" + """') AND role = 'callee') DESC, coalesce(p_brand, ''), coalesce(p_size, 0), entity_id) AS idx
+  FROM met LEFT JOIN part ON entity_id = 'p' || p_partkey WHERE NOT EXISTS (SELECT 1 FROM member m WHERE m.place = met.place AND m.id = met.entity_id)),
+taken AS (SELECT *, row_number() OVER (ORDER BY place, idx, role DESC) AS k FROM named QUALIFY k <= 24)"""
+
+
+@query("hybrid_graph", _EXPAND.replace("{0}", "hot rod") + f" SELECT CAST(place AS INTEGER) AS place, entity_id, role, CASE r WHEN 0 THEN 'EXACT' WHEN 1 THEN 'RESOLVED' WHEN 2 THEN 'HEURISTIC' ELSE 'INFERRED' END AS trust, k, round((CASE WHEN explicit AND role = 'callee' AND r <= 1 THEN 2.5 ELSE 0.9 END) / (60 + k), 9) AS part FROM taken")
+def hybrid_graph(spark, d):
+    """The five richest customers' classes with what calls their methods and is called by them."""
+    c, p = model.table(spark, d, "customer"), model.table(spark, d, "part")
+    best = c.orderBy(F.desc("c_acctbal"), "c_custkey").limit(graph.TOP_CHUNKS)
+    top = best.select(F.row_number().over(Window.orderBy(F.desc("c_acctbal"), "c_custkey")).alias("place"), F.array(F.concat(F.lit("c"), F.col("c_custkey").cast("string"))).alias("entity_ids"), F.lit("x = hot rod (1)").alias("text"), (F.col("c_custkey") % 2 == 0).alias("explicit"))
+    place = p.select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("entity_id"), F.col("p_brand").alias("rel_path"), F.col("p_size").alias("start_line"))
+    e = model.entities(spark, d).join(place, "entity_id", "left").withColumns({"rel_path": F.coalesce("rel_path", F.lit("")), "start_line": F.coalesce("start_line", F.lit(0))})
+    return graph.expand(top, model.relations(spark, d), e, 12).withColumn("part", F.round("part", 9))
 
 
 _PY = 'class Box{k}:\n    """Holds {k}."""\n\n    def get(self):\n        return load{k}(self)\n\n\ndef load{k}(box):\n    return box\n'

@@ -17,14 +17,19 @@ def scan_hash(spark, d):
     return model.files(spark, d).where(F.col("size_bytes") <= storage.MAX_FILE_BYTES).select("rel_path", "content_hash", "size_bytes")
 
 
-@query("path_policy", "SELECT rel_path, NOT (rel_path LIKE '%/de/%' OR rel_path LIKE '%7.txt') AS allowed FROM files")
+@query("path_policy", "SELECT doc_id, doc_id % 9 IN (0, 6, 8) AS allowed FROM files")
 def path_policy(spark, d):
-    return model.files(spark, d).select("rel_path", storage.path_allowed(F.col("rel_path"), excluded_dirs=["de"], excluded_suffixes=["7.txt"]).alias("allowed"))
+    k, path = F.col("doc_id") % 9, F.col("rel_path")
+    odd = [path, F.concat(F.lit("node_modules/"), path), F.concat(path, F.lit(".PNG")), F.concat(F.lit("a/.idea/"), path), F.concat(F.lit("../"), path), F.concat(F.lit("cache.db/"), path), F.concat(path, F.lit(".jsonl.py")), F.concat(path, F.lit(".jsonl")), F.replace(path, F.lit("/"), F.lit("\\"))]
+    return model.files(spark, d).select("doc_id", storage.path_allowed(F.get(F.array(*odd), k.cast("int"))).alias("allowed"))
 
 
-@query("binary_filter", "SELECT doc_id, length(regexp_replace(content, '[^\\x01-\\x08\\x0B\\x0E-\\x1F\\x7F]', '', 'g')) * 10 > length(content) AS is_binary FROM files")
+@query("binary_filter", "SELECT doc_id, CASE WHEN doc_id % 8 = 7 THEN true ELSE (doc_id % 1000) * 10 > least(8192, doc_id % 1000 + size_bytes) END AS is_binary FROM files")
 def binary_filter(spark, d):
-    return model.files(spark, d).select("doc_id", storage.is_binary(F.col("content").cast("binary")).alias("is_binary"))
+    """Texts after so many control characters as their id tells, some with an end that is no UTF-8."""
+    k = (F.col("doc_id") % 1000).cast("int")
+    raw = F.concat(F.repeat(F.lit("\x01"), k).cast("binary"), F.col("content").cast("binary"), F.when(F.col("doc_id") % 8 == 7, F.unhex(F.lit("ff"))).otherwise(F.unhex(F.lit(""))))
+    return model.files(spark, d).select("doc_id", storage.is_binary(raw).alias("is_binary"))
 
 
 @query("snapshot_bound_read", "SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'MISMATCH' ELSE 'OK' END AS state FROM files")
@@ -159,9 +164,11 @@ def conflict_dedupe(spark, d):
     return storage.conflicts(p, "id", "value")
 
 
-@query("terms_dedupe", "SELECT lower(p_name) AS folded, min_by(p_name, p_partkey) AS term FROM part GROUP BY lower(p_name)", False)
+@query("terms_dedupe", "SELECT p_partkey, array_to_string(list_transform(list_filter(range(1, len(t) + 1), lambda i: list_position(list_transform(t, lambda x: lower(x)), lower(t[i])) = i), lambda i: t[i]), ' ') AS terms FROM (SELECT p_partkey, list_filter(string_split(upper(p_name) || ' ' || p_name || ' ' || p_type, ' '), lambda x: length(x) >= 3) AS t FROM part)", False)
 def terms_dedupe(spark, d):
-    return model.table(spark, d, "part").groupBy(F.lower("p_name").alias("folded")).agg(F.min_by("p_name", "p_partkey").alias("term"))
+    from tessera.operators import search
+
+    return model.table(spark, d, "part").select("p_partkey", F.array_join(search.terms_column(F.concat_ws(" ", F.upper("p_name"), "p_name", "p_type")), " ").alias("terms"))
 
 
 @query("eval_rollup", "SELECT event_type AS arm, count(*) AS runs, count(*) FILTER (value >= 50) AS correct FROM events GROUP BY event_type", False)
@@ -228,7 +235,32 @@ def pk_unique(spark, d):
 
 @query("batch_scope", "SELECT c_nationkey, count(DISTINCT c_mktsegment) = 1 AS one_segment, count(DISTINCT c_nationkey) = 1 AS one_nation FROM customer GROUP BY c_nationkey", False)
 def batch_scope(spark, d):
-    return model.table(spark, d, "customer").groupBy("c_nationkey").agg((F.count_distinct("c_mktsegment") == 1).alias("one_segment"), (F.count_distinct("c_nationkey") == 1).alias("one_nation"))
+    return storage.batch_scope(model.table(spark, d, "customer"), ["c_nationkey"], {"one_segment": "c_mktsegment", "one_nation": "c_nationkey"})
+
+
+@query("delete_generation", "SELECT doc_id, generation_id FROM chunks WHERE generation_id NOT IN (SELECT DISTINCT generation_id FROM files WHERE rel_path LIKE 'src1%')")
+def delete_generation(spark, d):
+    retired = model.files(spark, d).where(F.col("rel_path").startswith("src1"))
+    return storage.delete_generations(model.chunks(spark, d), retired).select("doc_id", "generation_id")
+
+
+@query("orphan_collections", "SELECT DISTINCT 'gen_' || user_id AS name FROM events WHERE user_id NOT IN (SELECT c_custkey FROM customer)", False)
+def orphan_collections(spark, d):
+    text = lambda c: F.concat(F.lit("gen_"), F.col(c).cast("string"))
+    names = model.table(spark, d, "events").select(text("user_id").alias("name")).distinct()
+    return storage.orphans(names, model.table(spark, d, "customer").select(text("c_custkey").alias("generation_id")))
+
+
+@query("ignore_fingerprint", "SELECT repo_id, sha256(string_agg(rel_path || '/.gitignore:' || content_hash, chr(10) ORDER BY rel_path)) AS fingerprint FROM files WHERE doc_id % 4 = 0 GROUP BY repo_id")
+def ignore_fingerprint(spark, d):
+    f = model.files(spark, d).withColumn("rel_path", F.when(F.col("doc_id") % 4 == 0, F.concat("rel_path", F.lit("/.gitignore"))).otherwise(F.col("rel_path")))
+    return storage.ignore_fingerprint(f)
+
+
+@query("conflict_free", "SELECT c_custkey AS id, min(c_name) AS value FROM customer GROUP BY c_custkey", False)
+def conflict_free(spark, d):
+    c = model.table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("value"))
+    return storage.without_conflicts(c.unionByName(c), "id", "value")
 
 
 @query("chunk_refs", "SELECT c.chunk_id, CASE WHEN f.rel_path IS NULL THEN 'NO_FILE' WHEN f.rel_path <> c.rel_path THEN 'WRONG_PATH' ELSE 'OK' END AS state FROM (SELECT chunk_id, CASE WHEN doc_id % 19 = 0 THEN 'file_none' ELSE file_id END AS file_id, CASE WHEN doc_id % 23 = 0 THEN rel_path || '~' ELSE rel_path END AS rel_path FROM chunks) c LEFT JOIN files f USING (file_id)")

@@ -69,13 +69,20 @@ def fts_join_chunks(spark, d):
 
 @query("trigram_match", "SELECT doc_id FROM documents WHERE contains(lower(coalesce(text, '')), 'thntbl')", False)
 def trigram_match(spark, d):
-    return search.matching(model.chunks(spark, d), ["ThNtBl"]).select("doc_id")
+    """Chunks that the postings of all the phrase's trigrams have in common are read and matched."""
+    c = model.chunks(spark, d)
+    some = search.candidates(search.postings(c), ["ThNtBl"])
+    return search.matching(c.join(some, ["generation_id", "chunk_id"], "left_semi"), ["ThNtBl"]).select("doc_id")
+
+
+@query("trigram_postings", "SELECT generation_id, chunk_id, CAST(len(list_distinct(list_transform(range(1, length(content) - 1), lambda i: substr(lower(content), i, 3)))) AS BIGINT) AS n FROM chunks WHERE length(content) > 2")
+def trigram_postings(spark, d):
+    return search.postings(model.chunks(spark, d)).groupBy("generation_id", "chunk_id").agg(F.count("*").alias("n"))
 
 
-@query("query_terms", r"SELECT item_id, list_filter(regexp_extract_all(text, '[\pL\pN_/.\-]+'), lambda t: length(t) >= 3) AS every FROM benchmark", False)
+@query("query_terms", r"SELECT item_id, array_to_string(list_transform(list_filter(range(1, len(t) + 1), lambda i: list_position(list_transform(t, lambda x: lower(x)), lower(t[i])) = i)[1:64], lambda i: t[i]), ' ') AS terms FROM (SELECT item_id, list_filter(regexp_extract_all(text, '[\pL\pN_/.\-]+'), lambda t: length(t) >= 3) AS t FROM benchmark)", False)
 def query_terms(spark, d):
-    words = F.filter(F.regexp_extract_all(F.col("text"), F.lit(r"[\p{L}\p{N}_/.\-]+"), F.lit(0)), lambda t: F.length(t) >= search.MIN_TERM)
-    return model.table(spark, d, "benchmark").select("item_id", words.alias("every"))
+    return model.table(spark, d, "benchmark").select("item_id", F.array_join(search.terms_column(F.col("text")), " ").alias("terms"))
 
 
 @query("fts_expression", "SELECT p_partkey, CASE WHEN contains(p_name, ' ') THEN '\"' || p_name || '\" OR (\"' || replace(p_name, ' ', '\" OR \"') || '\")' ELSE '\"' || p_name || '\"' END AS expression FROM part", False)
@@ -156,21 +163,49 @@ def line_pieces(spark, d):
     return got.select("doc_id", (F.col("i") + 1).cast("long").alias("line"), identity.sha256(F.col("piece")).alias("piece"))
 
 
-@query("segment_lines", "SELECT doc_id, content_hash AS joined, true AS within FROM files")
+_GREEDY = """, parts AS (SELECT doc_id, content, string_split(content, chr(10)) AS ls FROM files WHERE content <> ''),
+line AS (SELECT doc_id, unnest(range(1, len(ls) + 1)) AS i, unnest(ls) AS t, len(ls) AS n FROM parts),
+size AS (SELECT doc_id, i, n, strlen(t) + CASE WHEN i < n THEN 1 ELSE 0 END AS bytes, strlen(t) + 1 AS whole FROM line),
+plain AS (SELECT doc_id, max(whole) <= 1800 AS ok FROM size GROUP BY doc_id),
+fold AS (
+  SELECT doc_id, CAST(1 AS BIGINT) AS i, whole AS used, CAST(1 AS BIGINT) AS seg, bytes FROM size WHERE i = 1
+  UNION ALL
+  SELECT s.doc_id, s.i, CASE WHEN f.used + s.whole > 1800 THEN s.whole ELSE f.used + s.whole END, CASE WHEN f.used + s.whole > 1800 THEN f.seg + 1 ELSE f.seg END, s.bytes
+  FROM fold f JOIN size s ON s.doc_id = f.doc_id AND s.i = f.i + 1
+), segs AS (SELECT doc_id, seg, sum(bytes) AS bytes FROM fold GROUP BY doc_id, seg HAVING sum(bytes) > 0),
+cuts AS (SELECT doc_id, string_agg(CAST(CAST(bytes AS BIGINT) AS VARCHAR), ',' ORDER BY seg) AS sizes FROM segs GROUP BY doc_id)"""
+
+
+@query("segment_lines", _GREEDY + " SELECT p.doc_id, sha256(p.content) AS joined, true AS within, CASE WHEN ok THEN sizes END AS sizes FROM parts p JOIN plain USING (doc_id) LEFT JOIN cuts USING (doc_id)")
 def segment_lines(spark, d):
-    """Segments joined again are the text; none exceeds the limit unless one character does."""
-    seg = F.col("segments")
-    got = model.files(spark, d).select("doc_id", segment.segments(F.col("content")).alias("segments"))
-    return got.select("doc_id", identity.sha256(F.array_join(seg, "")).alias("joined"), F.forall(seg, lambda s: F.octet_length(s) <= segment.MAX_BYTES).alias("within"))
+    """Segments joined again are the text; none exceeds the limit; their sizes, where no line is longer than it."""
+    files = model.files(spark, d)
+    got = segment.segments(files, "doc_id", "content")
+    by = got.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("ordinal", "content"))).alias("s"))
+    size = F.transform("s", lambda x: F.octet_length(x["content"]))
+    plain = files.select("doc_id", F.forall(F.split("content", "\n", -1), lambda x: F.octet_length(x) < segment.MAX_BYTES).alias("ok"))
+    return by.join(plain, "doc_id").select("doc_id", identity.sha256(F.array_join(F.transform("s", lambda x: x["content"]), "")).alias("joined"), F.forall(size, lambda n: n <= segment.MAX_BYTES).alias("within"), F.when(F.col("ok"), F.array_join(F.transform(size, lambda n: n.cast("string")), ",")).alias("sizes"))
 
 
-@query("bound_chunks", "SELECT doc_id, content_hash AS joined, CAST(size_bytes AS BIGINT) AS n_bytes, CAST(end_line AS INTEGER) AS end_line, CAST(end_col AS INTEGER) AS end_col FROM chunks WHERE size_bytes > 0")
+@query("bound_chunks", "SELECT doc_id, content_hash AS joined, CAST(size_bytes AS BIGINT) AS n_bytes, CAST(end_line AS INTEGER) AS end_line, CAST(end_col AS INTEGER) AS end_col, true AS adjoin FROM chunks WHERE size_bytes > 0")
 def bound_chunks(spark, d):
-    """Bounded chunks of a file, put together: their bytes and the last one's end point are the file's."""
+    """Bounded chunks of a file, put together: their bytes and the last one's end point are the file's; each begins where the one before ends."""
     pieces = segment.bound(model.chunks(spark, d))
     last = F.max_by(F.col("span"), F.col("ordinal"))
-    by = pieces.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "content"))), lambda x: x["content"]), "").alias("text"), F.sum(F.octet_length("content")).alias("n_bytes"), last.alias("s"))
-    return by.select("doc_id", identity.sha256(F.col("text")).alias("joined"), "n_bytes", "s.end_line", "s.end_col")
+    rows = F.array_sort(F.collect_list(F.struct("ordinal", "content", "span")))
+    by = pieces.groupBy("doc_id").agg(rows.alias("p"), F.sum(F.octet_length("content")).alias("n_bytes"), last.alias("s"))
+    begins = F.transform(F.slice("p", 2, F.size("p")), lambda x: spans.start(x["span"]))
+    ends = F.transform(F.slice("p", 1, F.size("p") - 1), lambda x: F.struct(x["span"]["end_line"].alias("l"), x["span"]["end_col"].alias("c")))
+    return by.select("doc_id", identity.sha256(F.array_join(F.transform("p", lambda x: x["content"]), "")).alias("joined"), "n_bytes", "s.end_line", "s.end_col", (begins == ends).alias("adjoin"))
+
+
+@query("point_offset", _LINES + ", at AS (SELECT doc_id, line, coalesce(sum(strlen(t) + 1) OVER (PARTITION BY doc_id ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start, strlen(t) AS n FROM lines) SELECT f.doc_id, CAST(max_by(line, line) FILTER (start <= f.size_bytes // 2) AS INTEGER) AS line, CAST(f.size_bytes // 2 - max(start) FILTER (start <= f.size_bytes // 2) AS BIGINT) AS col, f.size_bytes // 2 AS back FROM files f JOIN at USING (doc_id) GROUP BY f.doc_id, f.size_bytes")
+def point_offset(spark, d):
+    """The point of each text's middle byte, and the byte of that point."""
+    sizes = F.transform(F.split("content", "\n", -1), lambda x: F.octet_length(x).cast("long") + 1)
+    f = model.files(spark, d).withColumn("starts", segment.prefix_sums(sizes)).withColumn("mid", F.floor(F.col("size_bytes") / 2))
+    f = f.withColumn("p", segment.point_of(F.col("starts"), F.col("mid")))
+    return f.select("doc_id", "p.line", "p.col", segment.offset_of(F.col("starts"), F.col("p.line"), F.col("p.col")).alias("back"))
 
 
 @query("literal_slice", "SELECT doc_id, sha256(string_split(content, chr(10))[2]) AS second_line FROM files WHERE contains(content, chr(10))")

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
 import functools
 import os
+import shutil
 import tempfile
+import uuid
 import zipfile
 
 #: Settings, their defaults, and what is set instead where the default holds: whole texts
@@ -38,6 +41,22 @@ def ship(spark) -> None:
     _shipped.add(sc.applicationId)
 
 
+def settled(df):
+    """``df`` written under spark.checkpoint.dir and read again; a folder of this machine only where that is unset and the master local."""
+    spark = df.sparkSession
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not (spark.sparkContext.master + "[").startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        local = tempfile.mkdtemp(prefix="tessera-")
+        atexit.register(shutil.rmtree, local, ignore_errors=True)
+        root = "file://" + local
+        spark.conf.set("spark.checkpoint.dir", root)
+    path = f"{root.rstrip('/')}/tessera-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def shipped(f):
     """``f(spark, ...)`` with the package sent first."""
 

@@ -10,41 +10,93 @@ from __future__ import annotations
 
 import hashlib
 import os
+import subprocess
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from tessera.operators.storage import EXCLUDED_DIRS, EXCLUDED_SUFFIXES, MAX_FILE_BYTES
 
-MAX_FILES = 100_000
+MAX_FILES, MAX_DIRS = 100_000, 100_000
 FILES_A_TASK = 256
 
 
+def allowed(path: str) -> bool:
+    """No step is excluded or a database; no excluded ending."""
+    return not any(x in EXCLUDED_DIRS or x.endswith(".db") for x in path.split("/")) and not path.lower().endswith(tuple(EXCLUDED_SUFFIXES))
+
+
 def candidates(root: str) -> list[str]:
     """Relative paths of regular files, sorted; excluded and linked directories, and nested repositories, are pruned."""
     out: list[str] = []
     stack = [""]
+    seen = 0
     while stack:
         here = stack.pop()
+        seen += 1
+        if seen > MAX_DIRS:
+            raise ValueError(f"more than {MAX_DIRS} directories under {root}")
         for e in sorted(os.scandir(os.path.join(root, here)), key=lambda e: e.name):
             path = f"{here}/{e.name}" if here else e.name
             if e.is_dir(follow_symlinks=False):
-                if e.name not in EXCLUDED_DIRS and not os.path.exists(os.path.join(root, path, ".git")):
+                if allowed(e.name) and not os.path.exists(os.path.join(root, path, ".git")):
                     stack.append(path)
-            elif e.is_file(follow_symlinks=False) and not e.name.lower().endswith(tuple(EXCLUDED_SUFFIXES)):
+            elif e.is_file(follow_symlinks=False) and allowed(path):
                 out.append(path)
                 if len(out) > MAX_FILES:
                     raise ValueError(f"more than {MAX_FILES} files under {root}")
     return sorted(out)
 
 
+def git_candidates(root: str, seconds: int = 30) -> list[str] | None:
+    """What git lists (tracked, or new and not ignored) of the tree, sorted, with the same exclusions; None where git can't tell."""
+    try:
+        got = subprocess.run(["git", "-C", root, "ls-files", "-z", "--cached", "--others", "--exclude-standard"], capture_output=True, timeout=seconds, check=True)
+    except (OSError, subprocess.SubprocessError):
+        return None
+    out = set()
+    for raw in got.stdout.split(b"\x00"):
+        try:
+            path = raw.decode("utf-8")
+        except UnicodeDecodeError:
+            continue
+        full = os.path.join(root, path)
+        if path and allowed(path) and os.path.isfile(full) and not os.path.islink(full):
+            out.add(path)
+    if len(out) > MAX_FILES:
+        raise ValueError(f"more than {MAX_FILES} files under {root}")
+    return sorted(out)
+
+
+def git_head(root: str) -> str | None:
+    """The commit that is checked out; None outside a repository."""
+    try:
+        return subprocess.run(["git", "-C", root, "rev-parse", "HEAD"], capture_output=True, timeout=30, check=True, text=True).stdout.strip() or None
+    except (OSError, subprocess.SubprocessError):
+        return None
+
+
+def ignore_fingerprint(root: str) -> str:
+    """A digest of the tree's ignore rules: of each ignore file its path and content."""
+    rules = []
+    for here, dirs, names in os.walk(root):
+        dirs[:] = sorted(d for d in dirs if d not in EXCLUDED_DIRS)
+        for n in sorted({".gitignore", ".ignore"} & set(names)):
+            with open(os.path.join(here, n), "rb") as f:
+                rules.append(f"{os.path.relpath(os.path.join(here, n), root)}:{hashlib.sha256(f.read()).hexdigest()}")
+    return hashlib.sha256("\n".join(rules).encode()).hexdigest()
+
+
 def looks_binary(raw: bytes) -> bool:
-    if b"\x00" in raw[:8192]:
+    probe = raw[:8192]
+    if b"\x00" in probe:
+        return True
+    if sum(b < 32 and b not in (9, 10, 12, 13) or b == 127 for b in probe) * 10 > len(probe):
         return True
     try:
-        text = raw.decode("utf-8")
+        raw.decode("utf-8")
     except UnicodeDecodeError:
         return True
-    return sum(c in "\x01\x02\x03\x04\x05\x06\x07\x08\x0b\x0e\x0f\x10\x11\x12\x13\x14\x15\x16\x17\x18\x19\x1a\x1b\x1c\x1d\x1e\x1f\x7f" for c in text) * 10 > len(text)
+    return False
 
 
 class _Part(InputPartition):
@@ -58,7 +110,8 @@ class _Reader(DataSourceReader):
         self.root = root
 
     def partitions(self):
-        paths = candidates(self.root)
+        paths = git_candidates(self.root) if os.path.isdir(os.path.join(self.root, ".git")) else None
+        paths = candidates(self.root) if paths is None else paths
         return [_Part(paths[i : i + FILES_A_TASK]) for i in range(0, len(paths), FILES_A_TASK)] or [_Part([])]
 
     def read(self, partition):

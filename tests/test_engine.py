@@ -52,6 +52,26 @@ def test_life_of_an_index(made):
     assert e.verify({"x": 1}) == "INVALID_PACKET"
 
 
+def test_packets_hold_whole_symbols_and_count_aliases(made):
+    repo, e = made
+    body = "def long_one(n):\n" + "".join(f"    n = n + {i}  # {'x' * 20}\n" for i in range(70)) + "    return n\n"
+    (repo / "shop/long.py").write_text(body)
+    (repo / "shop/again.py").write_text(body)
+    assert e.index()["status"] == "INDEXED"
+    packet = e.query("long_one", budget=8192)
+    row = packet["selected"][0]
+    assert row["source"] == body.rstrip("\n") and row["coverage"]["complete"] and row["span"] == row["coverage"]["symbol_span"]
+    assert len(row["aliases"]) == packet["omitted"]["duplicate"] == 1 and row["aliases"][0]["coverage"]["complete"]
+    assert e.verify(packet) == "OK" and engine.well_formed(packet)
+    part = e.query("long_one", budget=2500)
+    assert part["selected"] and not part["selected"][0]["coverage"]["complete"] and e.verify(part) == "OK"
+    assert e.query("long_one", budget=1024)["status"] == "BUDGET_EXHAUSTED"
+    forged = engine.strict_json(engine.canonical(part))
+    forged["selected"][0]["coverage"]["complete"] = True
+    assert e.verify(forged) == "INVALID_PACKET"
+    assert len(e._pointer()["history"]) <= engine.KEEP_GENERATIONS
+
+
 def test_strict_json():
     for bad in (b'{"a":1,"a":2}', b'{"a":NaN}', b"\xff"):
         with pytest.raises(ValueError):

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import identity, spans
 from tessera.operators import graph, packing, resolve, search, segment, storage
-from tessera.sources import syntax
+from tessera.sources import syntax, tree
 
 
 def test_ids_are_hashes_of_their_preimages(spark):
@@ -78,13 +78,41 @@ def test_aliases(spark):
     assert got == {"a": ["b"], "c": []}
 
 
-@settings(max_examples=8, deadline=None)
-@given(st.lists(st.text(st.sampled_from("aé🙂\n \r"), max_size=60), min_size=1, max_size=6))
-def test_segments_join_to_the_text(spark, texts):
-    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
-    for r in df.select("t", segment.segments(F.col("t"), 16).alias("s")).collect():
-        assert "".join(r.s) == r.t
-        assert all(len(x.encode()) <= 16 for x in r.s)
+@settings(max_examples=200, deadline=None)
+@given(st.text(st.sampled_from("aé🙂\n \r"), max_size=60), st.integers(4, 24))
+def test_segments_join_to_the_text(text, most):
+    got = segment.segments_of(text, most)
+    assert "".join(got) == text
+    assert all(0 < len(x.encode()) <= most for x in got)
+
+
+def test_segments_are_greedy():
+    assert segment.segments_of("aa\nbb\ncc", 6) == ["aa\nbb\n", "cc"]
+    assert segment.segments_of("aaaaaaa\nb", 3) == ["aaa", "aaa", "a\n", "b"]
+    assert segment.pieces_of("éé🙂", 4) == ["éé", "🙂"]
+    assert segment.segments_of("", 8) == []
+
+
+def test_segments_of_very_many_lines(spark):
+    """The time is in proportion to the lines."""
+    n = 1_000_000
+    files = spark.range(1).select(F.col("id"), F.repeat(F.lit("é\n"), n).alias("t"))
+    assert segment.line_offsets(files, "id", "t").agg(F.count("*").alias("n"), F.max("start").alias("m")).first()[:] == (n + 1, 3 * n)
+    got = segment.segments(files, "id", "t").agg(F.sum(F.octet_length("content")).alias("n"), F.count("*").alias("k")).first()
+    assert got.n == 3 * n and got.k == n // 600 + (n % 600 > 0)
+
+
+def test_points_and_offsets(spark):
+    starts = F.array(*[F.lit(x).cast("long") for x in (0, 3, 3, 9)])
+    r = spark.range(1).select(segment.point_of(starts, F.lit(5)).alias("p"), segment.offset_of(starts, F.lit(4), F.lit(2)).alias("o"), segment.prefix_sums(F.array(F.lit(3).cast("long"), F.lit(0).cast("long"), F.lit(6).cast("long")), 2).alias("s")).first()
+    assert tuple(r.p) == (3, 2) and r.o == 11 and r.s == [0, 3, 3]
+
+
+def test_own_pieces(spark):
+    parents = spark.createDataFrame([("p", "head é\nchild\n  \nkid tail")], "k string, t string")
+    children = spark.createDataFrame([("p", 8, 14), ("p", 17, 20)], "k string, start int, end int")
+    got = segment.own_pieces(parents, children, "k", "t").orderBy("start").collect()
+    assert [(r.start, r.end, r.content) for r in got] == [(0, 8, "head é\n"), (20, 25, " tail")]
 
 
 def test_spans_are_in_bytes(spark):
@@ -99,24 +127,157 @@ def test_snapshot_diff(spark):
 
 
 def test_binary_and_paths(spark):
-    r = spark.createDataFrame([(b"abc\x00",), (b"plain",), (b"\xff\xfe",)], "raw binary").select(storage.is_binary(F.col("raw")).alias("b")).collect()
-    assert [x.b for x in r] == [True, False, True]
-    p = spark.createDataFrame([("a/node_modules/x.js",), ("a/x.png",), ("a/x.py",), ("x.py",)], "p string").select(storage.path_allowed(F.col("p")).alias("ok")).collect()
-    assert [x.ok for x in p] == [False, False, True, True]
+    cases = [(b"abc\x00", True), (b"plain", False), (b"\xff\xfe", True), (b"", False), (b"a" * 90 + b"\x01" * 10, False), (b"a" * 89 + b"\x01" * 11, True), (b"a" * 8192 + b"\x00", False), ("é".encode() * 45 + b"\x01" * 10, False)]
+    r = spark.createDataFrame([(i, raw) for i, (raw, _) in enumerate(cases)], "i int, raw binary").select("i", storage.is_binary(F.col("raw")).alias("b")).collect()
+    assert {x.i: x.b for x in r} == {i: want for i, (_, want) in enumerate(cases)}
+    assert [tree.looks_binary(raw) for raw, _ in cases] == [want for _, want in cases]
+    paths = {"a/node_modules/x.js": False, "a/x.PNG": False, "a/x.py": True, "x.py": True, "vendor": False, "my.db/x.py": False, "../x.py": False, "a/.idea/x.py": False, "a.jsonl": False}
+    p = spark.createDataFrame([(k,) for k in paths], "p string").select("p", storage.path_allowed(F.col("p")).alias("ok")).collect()
+    assert {x.p: x.ok for x in p} == paths
+
+
+def test_ids_of_null_parts_are_refused(spark):
+    import pytest
+
+    with pytest.raises(Exception, match="null part"):
+        spark.range(1).select(identity.entity_id(F.lit("f"), F.lit(None).cast("string"), F.lit("x"))).collect()
+
+
+def test_activation_needs_a_committed_target(spark):
+    g = spark.createDataFrame([("r", 1, "COMMITTED", True), ("r", 2, "STAGING", False), ("s", 1, "COMMITTED", True), ("s", 2, "COMMITTED", False), ("t", 1, "COMMITTED", True)], "repo_id string, sequence int, lifecycle string, is_active boolean")
+    aim = spark.createDataFrame([("r", 2), ("s", 2)], "repo_id string, target int")
+    assert {(r.repo_id, r.sequence) for r in storage.activate(g, aim).where("is_active").collect()} == {("r", 1), ("s", 2)}
+
+
+def test_conflicts_fail(spark):
+    import pytest
+
+    rows = spark.createDataFrame([(1, "a"), (1, "a"), (2, "b")], "id int, v string")
+    assert storage.without_conflicts(rows, "id", "v").count() == 2
+    with pytest.raises(Exception, match="CONFLICT"):
+        storage.without_conflicts(rows.unionByName(spark.createDataFrame([(2, "c")], rows.schema)), "id", "v").collect()
+    assert storage.unequal_names(["a", "b"], ["b", "c"]) == ["-c", "+a"]
+
+
+CALL = "k int, source_id string, file_id string, source_kind string, source_parent string, callee string, receiver string, receiver_type string"
 
 
 def test_call_rules(spark):
-    calls = spark.createDataFrame(
-        [(1, "m1", "f", "METHOD", "C", "get", "self", None), (2, "g", "f", "FUNCTION", None, "get", "x", "C"), (3, "g", "f", "FUNCTION", None, "get", "C", None), (4, "g", "f", "FUNCTION", None, "away", None, None), (5, "m9", "f", "FUNCTION", None, "get", "self", None)],
-        "k int, source_id string, file_id string, source_kind string, source_parent string, callee string, receiver string, receiver_type string",
-    )
-    targets = spark.createDataFrame([("C", "C", "CLASS", None, "f"), ("C.get", "get", "METHOD", "C", "f"), ("away", "away", "FUNCTION", None, "h")], "entity_id string, name string, kind string, parent_id string, file_id string")
-    got = {r.k: (r.target_id, r.trust_class, r.reason) for r in resolve.resolve(calls, targets, targets.select("entity_id", "parent_id"), ["k"]).collect()}
-    assert got[1] == ("C.get", "HEURISTIC", "same_class_receiver_without_binding")
-    assert got[2] == ("C.get", "RESOLVED", "explicit_receiver_type")
-    assert got[3][1:] == ("HEURISTIC", "receiver_names_class")
-    assert got[4][2] == "unique_global_name_without_import_binding"
-    assert 5 not in got
+    rows = [
+        (1, "m1", "f", "METHOD", "C", "get", "self", None),
+        (2, "g", "f", "FUNCTION", None, "get", "x", "pkg.C"),
+        (3, "g", "f", "FUNCTION", None, "get", "C", None),
+        (4, "g", "f", "FUNCTION", None, "away", None, None),
+        (5, "m9", "f", "FUNCTION", None, "get", "self", None),
+        (6, "g", "f", "FUNCTION", None, "login", "auth", None),
+        (7, "g", "f", "FUNCTION", None, "put", "x", "D"),
+        (8, "g", "f", "FUNCTION", None, "save", None, None),
+        (9, "g", "f", "FUNCTION", None, "over", "E.prototype", None),
+        (10, "g", "f", "FUNCTION", None, "near", " ", None),
+        (11, "g", "f", "FUNCTION", None, "login", "my.Authser", None),
+        (12, "g", "f", "FUNCTION", None, "login", "authse", None),
+        (13, "g", "f", "FUNCTION", None, "login", "uths", None),
+    ]
+    calls = spark.createDataFrame(rows, CALL)
+    made = [("C", "C", "CLASS", None, "f"), ("C.get", "get", "METHOD", "C", "f"), ("away", "away", "FUNCTION", None, "h"), ("A", "AuthService", "CLASS", None, "h"), ("A.login", "login", "METHOD", "A", "h")]
+    made += [("D1", "D", "CLASS", None, "h"), ("D2", "D", "CLASS", None, "i"), ("D1.put", "put", "METHOD", "D1", "h"), ("D1.save", "save", "METHOD", "D1", "h")]
+    made += [("E", "E", "CLASS", None, "h"), ("E.over", "over", "METHOD", "E", "h"), ("E.over#2", "over", "METHOD", "E", "h"), ("near", "near", "FUNCTION", "mod", "f"), ("near2", "near", "FUNCTION", "other", "f")]
+    targets = spark.createDataFrame(made, "entity_id string, name string, kind string, parent_id string, file_id string")
+    scopes = spark.createDataFrame([("g", "mod")], "entity_id string, parent_id string")
+    got = {}
+    for r in resolve.resolve(calls, targets, scopes, ["k"]).collect():
+        got.setdefault(r.k, set()).add((r.target_id, r.trust_class, r.reason))
+    assert got == {
+        1: {("C.get", "HEURISTIC", "same_class_receiver_without_binding")},
+        2: {("C.get", "RESOLVED", "explicit_receiver_type")},
+        3: {("C.get", "HEURISTIC", "class_name_receiver_without_binding")},
+        4: {("away", "HEURISTIC", "unique_global_name_without_import_binding")},
+        6: {("A.login", "HEURISTIC", "receiver_naming_convention")},
+        7: {("D1.put", "HEURISTIC", "ambiguous_explicit_receiver_type")},
+        9: {("E.over", "HEURISTIC", "ambiguous_exact_receiver_class"), ("E.over#2", "HEURISTIC", "ambiguous_exact_receiver_class")},
+        10: {("near", "HEURISTIC", "same_file_name_without_binding")},
+        11: {("A.login", "HEURISTIC", "receiver_naming_convention")},
+        12: {("A.login", "HEURISTIC", "receiver_naming_convention")},
+    }
+
+
+def test_exact_names(spark):
+    e = spark.createDataFrame([("1", "b", "a.b"), ("2", "b", "x.a.b"), ("3", "b", "a.__init__.b"), ("4", "a.b", "q"), ("5", "b", "z.b")], "entity_id string, name string, qualified_name string")
+    assert [(r.entity_id, r.stage) for r in resolve.exact_candidates(e, "a.b").collect()] == [("1", 0), ("2", 1), ("3", 2), ("4", 3)]
+    assert [r.entity_id for r in resolve.exact_candidates(e, "b", limit=2).collect()] == ["1", "2"]
+    assert resolve.init_variants("a.__init__.b") == ["a.__init__.__init__.b", "a.b"]
+    assert len(resolve.init_variants(".".join("abcdefghijklmnopqrstuvwxyz"))) == 16
+
+
+def test_postings_lead_to_the_same_scores(spark):
+    texts = ["def reserve_seats(n): pass", "x" * 40, "Reserve_Seats(3); reserve_seats(4)", "reserve or seats", "ab"]
+    df = spark.createDataFrame([("g", str(i), t) for i, t in enumerate(texts)], "generation_id string, chunk_id string, content string")
+    lengths = search.corpus_stats(df, [], ["generation_id"])
+    for query in ("reserve_seats", "reserve seats", "zzz", "xxx"):
+        p = search.phrases(search.query_terms(query))
+        plain = {r.chunk_id: round(r.score, 9) for r in search.bm25(df, p, ["generation_id"]).collect()}
+        assert {r.chunk_id: round(r.score, 9) for r in search.bm25_indexed(df, search.postings(df), lengths, p).collect()} == plain
+    assert search.base_terms("ab cde") == ["cde"] and search.base_terms("ab c") == ["ab"]
+
+
+def test_documents():
+    import pytest
+
+    from tessera.functions import documents
+
+    assert documents.metadata('{"a":[1,{"b":"[[["}]}') == {"a": [1, {"b": "[[["}]}
+    assert documents.encoded({"b": 1, "a": "é"}) == '{"a":"é","b":1}'
+    for bad in ('{"a":1,"a":2}', "[1]", '{"a":NaN}', '{"a":1e999}', '{"a":' + "[" * 70 + "]" * 70 + "}", '{"a":"' + "x" * 70000 + '"}'):
+        with pytest.raises(ValueError):
+            documents.metadata(bad)
+    assert documents.failure_codes(["B_1", "A"]) == ["A", "B_1"]
+    for bad in (["a"], ["A", "A"], "A", [""]):
+        with pytest.raises(ValueError):
+            documents.failure_codes(bad)
+
+
+def test_receipts_and_artifacts(tmp_path):
+    import pytest
+
+    from tessera.functions import documents
+
+    path = str(tmp_path / "r.json")
+    documents.receipt(path, {"a": 1})
+    assert documents.artifact(path) == b'{"a":1}\n'
+    with pytest.raises(FileExistsError):
+        documents.receipt(path, {})
+    documents.append(path, b"x")
+    with pytest.raises(ValueError):
+        documents.append(path, b"y" * 10, 12)
+    with pytest.raises(ValueError):
+        documents.artifact(path, 3)
+    (tmp_path / "link").symlink_to(path)
+    with pytest.raises(OSError):
+        documents.artifact(str(tmp_path / "link"))
+
+
+def test_git_lists_what_is_not_ignored(tmp_path):
+    import subprocess
+
+    for name, text in {"a.py": "", "b.log": "", ".gitignore": "*.log\n", "vendor/c.py": "", "d.png": ""}.items():
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text(text)
+    assert tree.git_candidates(str(tmp_path)) is None and tree.git_head(str(tmp_path)) is None
+    before = tree.ignore_fingerprint(str(tmp_path))
+    subprocess.run(["git", "init", "-q", str(tmp_path)], check=True)
+    assert tree.git_candidates(str(tmp_path)) == [".gitignore", "a.py"]
+    (tmp_path / ".gitignore").write_text("a.py\n")
+    assert tree.git_candidates(str(tmp_path)) == [".gitignore", "b.log"] and tree.ignore_fingerprint(str(tmp_path)) != before
+
+
+def test_expansion_order(spark):
+    top = spark.createDataFrame([(1, ["a"], "x = named (1)", True)], "place int, entity_ids array<string>, text string, explicit boolean")
+    rel = spark.createDataFrame([("a", "p", "CALLS", "HEURISTIC"), ("a", "q", "CALLS", "EXACT"), ("m", "r", "CALLS", "EXACT"), ("a", "m", "DEFINES", "EXACT"), ("u", "a", "CALLS", "RESOLVED"), ("a", "s", "CALLS", "EXACT"), ("m", "a", "CALLS", "EXACT")], "source_id string, target_id string, rel_type string, trust_class string")
+    e = spark.createDataFrame([(x, "named" if x == "s" else x, "f", 1) for x in "apqmrus"], "entity_id string, name string, rel_path string, start_line int")
+    got = [(r.entity_id, r.role, round(r.part, 6)) for r in graph.expand(top, rel, e, 12).orderBy("k").collect()]
+    want = [("s", "callee", 2.5), ("u", "caller", 0.9), ("q", "callee", 2.5), ("r", "callee", 2.5), ("p", "callee", 0.9)]
+    assert sorted(got[:2]) == sorted([("u", "caller", round(0.9 / 61, 6)), ("s", "callee", round(2.5 / 62, 6))])
+    assert [(a, b, round(w / (61 + i + 2), 6)) for i, (a, b, w) in enumerate(want[2:])] == got[2:]
 
 
 def test_python_syntax():
