@@ -199,7 +199,7 @@ def bound_chunks(spark, d):
     return by.select("doc_id", identity.sha256(F.array_join(F.transform("p", lambda x: x["content"]), "")).alias("joined"), "n_bytes", "s.end_line", "s.end_col", (begins == ends).alias("adjoin"))
 
 
-@query("point_offset", _LINES + ", at AS (SELECT doc_id, line, coalesce(sum(strlen(t) + 1) OVER (PARTITION BY doc_id ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start, strlen(t) AS n FROM lines) SELECT f.doc_id, CAST(max_by(line, line) FILTER (start <= f.size_bytes // 2) AS INTEGER) AS line, CAST(f.size_bytes // 2 - max(start) FILTER (start <= f.size_bytes // 2) AS BIGINT) AS col, f.size_bytes // 2 AS back FROM files f JOIN at USING (doc_id) GROUP BY f.doc_id, f.size_bytes")
+@query("point_offset", _LINES + ", begun AS (SELECT doc_id, line, coalesce(sum(strlen(t) + 1) OVER (PARTITION BY doc_id ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start, strlen(t) AS n FROM lines) SELECT f.doc_id, CAST(max_by(line, line) FILTER (start <= f.size_bytes // 2) AS INTEGER) AS line, CAST(f.size_bytes // 2 - max(start) FILTER (start <= f.size_bytes // 2) AS BIGINT) AS col, f.size_bytes // 2 AS back FROM files f JOIN begun USING (doc_id) GROUP BY f.doc_id, f.size_bytes")
 def point_offset(spark, d):
     """The point of each text's middle byte, and the byte of that point."""
     sizes = F.transform(F.split("content", "\n", -1), lambda x: F.octet_length(x).cast("long") + 1)
