@@ -3,11 +3,12 @@
 The base rules (assigned values, access keys, hex strings) are applied to whole
 texts. Then candidates - strings of one kind of characters, mixed or long, that
 stand in a sensitive context (a word such as ``password`` or ``key`` shortly
-before) - are priced: the bytes that zstandard needs more for context plus
+before or after) - are priced: the bytes that zstandard needs more for context plus
 candidate than for the context alone, with a dictionary of common identifiers
 and of the words around the candidate. Text that resembles its surroundings or
 any known identifier compresses; a random string doesn't and is reported as
-kind ``novel``, unless it overlaps a base span.
+kind ``novel``, unless it overlaps a base span. A string that is mostly words of
+the dictionary is a name, however zstandard codes so short a text.
 
 Defined results: a null or empty text has no spans; positions are code points,
 ends exclusive; a failing base match is dropped, not retried; equal rows give
@@ -34,11 +35,10 @@ HEX = re.compile(r"[0-9a-f]{16,}")
 MIN_ASSIGN, MIN_ACCESS = 12, 18
 KINDS = ("assign", "access", "hex")
 
-#: A candidate: so many characters of the alphabet of keys or more, with a digit and a letter; and where one may begin.
+#: A candidate: so many characters of the alphabet of keys or more, with a digit and a letter.
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}+", re.A)
-BEGIN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]", re.A)
-#: The words that make a context sensitive, and how far before a candidate they may stand.
-CONTEXT = re.compile(r"(?:pass(?:word|wd|phrase)?|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|credential|bearer|authorization|auth)\b", re.I | re.A)
+#: The words that make a context sensitive, and how far before or after a candidate they may stand in its line.
+CONTEXT = re.compile(r"(?:pass(?:word|wd|phrase)?|secret|token|(?:api|access|private)[\x20_-]?key|credential|bearer|authorization|auth)\b", re.I | re.A)
 REACH = 48
 _HINTS = ("pass", "secret", "token", "key", "credential", "bearer", "auth")  # each context word holds one
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+|[+/_=-]")
@@ -66,6 +66,11 @@ IDENTIFIERS = (
 )
 
 
+#: Words of the dictionary of four letters or more, the longer first; a candidate made of them to such a share is a name.
+_KNOWN = re.compile("|".join(sorted({w for w in re.findall(r"[a-z]{4,}", IDENTIFIERS) if w != "abcdefghijklmnopqrstuvwxyz"}, key=lambda w: (-len(w), w))))
+NAMED = 0.4
+
+
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind's number, end) of the base rules, in that order."""
     out = []
@@ -108,30 +113,29 @@ def random_bytes(word: str) -> float:
 
 def novel_spans(text: str, taken: list[tuple[int, int, int]], novelty: Novelty) -> list[tuple[int, int]]:
     """(start, end) of incompressible strings in a sensitive context that no base span touches."""
-    out, last, priced = [], -1, set()
+    out: list[tuple[int, int]] = []
     low = text.lower()
     if not any(x in low for x in _HINTS):
         return out
-    for c in CONTEXT.finditer(text):
-        for begin in BEGIN.finditer(text, c.end(), c.end() + REACH + 1):
-            a = begin.start()
-            if a <= last or a in priced or "\n" in text[c.end() : a]:
-                continue
-            m = CANDIDATE.match(text, a)  # to its own end, however far
-            if not m:
-                continue
-            b = m.end()
-            priced.add(a)
-            if any(s < b and a < e for s, _, e in taken):
-                continue
-            word = text[a:b]
-            if not (re.search(r"\d", word, re.A) and re.search(r"[A-Za-z]", word)):
-                continue
-            cost = novelty.marginal(word, text[max(0, a - 256) : a], text[b : b + 256])
-            if cost >= LEAST_BYTES and cost >= NOVELTY * random_bytes(word):
-                out.append((a, b))
-                last = a
-    return sorted(set(out))
+    contexts = [c.span() for c in CONTEXT.finditer(text)]
+    k = 0
+    for m in CANDIDATE.finditer(text) if contexts else ():
+        a, b = m.span()
+        while k < len(contexts) and contexts[k][1] <= a:
+            k += 1
+        before = k > 0 and a - contexts[k - 1][1] <= REACH and "\n" not in text[contexts[k - 1][1] : a]
+        after = next((c for c, _ in contexts[k:] if c >= b), None) if not before else None
+        if not before and (after is None or after - b > REACH or "\n" in text[b:after]):
+            continue
+        word = text[a:b]
+        if any(s < b and a < e for s, _, e in taken) or not (re.search(r"\d", word, re.A) and re.search(r"[A-Za-z]", word)):
+            continue
+        if sum(len(w) for w in _KNOWN.findall(word.lower())) >= NAMED * len(word):
+            continue
+        cost = novelty.marginal(word, text[max(0, a - 256) : a], text[b : b + 256])
+        if cost >= LEAST_BYTES and cost >= NOVELTY * random_bytes(word):
+            out.append((a, b))
+    return out
 
 
 def scan(docs: DataFrame) -> DataFrame:

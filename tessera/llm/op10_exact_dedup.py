@@ -1,10 +1,10 @@
 """Exact deduplication by stateful streaming (native: DataFrame functions only).
 
 Each row becomes a fixed-size fingerprint: SHA-256 of the normalised text, its
-length, the row's id and a locator. The fingerprints are streamed through a
+length, the row's id and a locator (the file and the row's place in it). The fingerprints are streamed through a
 keyed aggregation whose state lies in RocksDB on disk, has no watermark and so
 never expires; a digest's state holds its count and the retained row (id,
-length, locator). A digest seen more than once is a *hit*: the full normalised
+length, locator); each micro-batch writes what it changed. A digest seen more than once is a *hit*: the full normalised
 bytes of its rows are grouped as they are, and where one digest turns out to
 hold different bytes, those rows are grouped by bytes instead.
 
@@ -40,14 +40,9 @@ def sha256(text: Column) -> Column:
     return F.sha2(text.cast("binary"), 256)
 
 
-def located(docs: DataFrame) -> DataFrame:
-    """_row, doc_id, text; of rows that are not numbered, the locators hold for one scan, in which they only break ties."""
-    return (docs if "_row" in docs.columns else common.with_row_id(docs)).select("_row", "doc_id", "text")
-
-
 def fingerprints(docs: DataFrame, digest=sha256) -> DataFrame:
     """_row (locator), doc_id, n, digest of each row, written to the shared folder."""
-    text = located(docs)
+    text = docs.select("_row", "doc_id", "text")
     # the text is normalised once: a shared subexpression of both digests
     text = text.select("_row", "doc_id", F.length(common.text_or_empty()).alias("n"), normalised().alias("norm"))
     return common.written(text.select("_row", "doc_id", "n", digest(F.col("norm")).alias("digest"), sha256(F.col("norm")).alias("text_sha256")))
@@ -74,33 +69,36 @@ def stream_state(prints: DataFrame, max_files: int | None = None) -> DataFrame:
     before = {k: spark.conf.get(k, None) for k in ROCKSDB}
     for k, v in ROCKSDB.items():
         spark.conf.set(k, v)
-    last: list[str] = []
+    made: dict[int, str] = {}
 
-    def put(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{root}/state-{number}")
-        last[:] = [f"{root}/state-{number}"]
+    def put(batch: DataFrame, number: int) -> None:  # what the batch changed; a batch that is tried again replaces its own
+        made[number] = f"{root}/state-{number}"
+        batch.withColumn("batch", F.lit(number).cast("long")).write.mode("overwrite").parquet(made[number])
 
     try:
         reader = spark.readStream.schema(prints.schema)
         if max_files:
             reader = reader.option("maxFilesPerTrigger", max_files)
         state = reader.parquet(source).groupBy("digest").agg(retained().alias("keep"), F.count("*").alias("group_size"))
-        query = state.writeStream.outputMode("complete").option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).foreachBatch(put).start()
+        query = state.writeStream.outputMode("update").option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).foreachBatch(put).start()
         query.awaitTermination()
     finally:
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
-    return spark.read.schema(empty.schema).parquet(last[0]) if last else empty
+    if len(made) < 2:
+        return spark.read.schema(empty.schema).parquet(*made.values()) if made else empty
+    every = spark.read.parquet(*made.values())
+    return every.groupBy("digest").agg(F.max_by(F.struct("keep", "group_size"), "batch").alias("s")).select("digest", "s.keep", "s.group_size")
 
 
 def groups(docs: DataFrame, digest=sha256, max_files: int | None = None) -> DataFrame:
-    """One row for each row of docs: _row, doc_id, keep_row, keep_id, group_size, text_sha256."""
+    """One row for each of the numbered rows docs (_row, doc_id, text): _row, doc_id, keep_row, keep_id, group_size, text_sha256."""
     prints = fingerprints(docs, digest)
     state = stream_state(prints, max_files)
     hits = common.written(state.where("group_size > 1").select("digest", "keep", "group_size"))
 
     # Full bytes of the hits: copies fall together within a task, before anything is shuffled.
-    text = located(docs).select("_row", "doc_id", F.length(common.text_or_empty()).alias("n"), normalised().alias("norm"))
+    text = docs.select("_row", "doc_id", F.length(common.text_or_empty()).alias("n"), normalised().alias("norm"))
     text = common.keep_ids(text.withColumn("digest", digest(F.col("norm"))), hits, "digest")
     differ = common.written(text.select("digest", "norm").distinct().groupBy("digest").count().where("count > 1").select("digest"))
 
@@ -126,7 +124,7 @@ def groups(docs: DataFrame, digest=sha256, max_files: int | None = None) -> Data
 
 def exact_dedup(docs: DataFrame) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256 of each row of docs (doc_id, text)."""
-    return groups(docs).select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
+    return groups(common.numbered(docs.select("doc_id", "text"))).select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
 
 
 def distinct_documents(docs: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from tessera.llm import common
 from tessera.llm import op04_jaccard as jaccard
 from tessera.llm import op10_exact_dedup as exact
 from tessera.llm.components import components
@@ -39,13 +40,13 @@ def test_exact_equals_brute_force(docs, corpus):
 
 
 def test_bytes_decide_when_digests_collide(docs, corpus):
-    weak = exact.groups(docs, digest=lambda t: F.substring(F.sha2(t.cast("binary"), 256), 1, 1))
+    weak = exact.groups(common.numbered(docs), digest=lambda t: F.substring(F.sha2(t.cast("binary"), 256), 1, 1))
     got = rows(weak.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")), "text_sha256"))
     assert got == exact_brute(corpus)
 
 
 def test_state_lasts_over_batches(docs, corpus):
-    got = exact.groups(docs, max_files=1)
+    got = exact.groups(common.numbered(docs), max_files=1)
     assert rows(got.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")), "text_sha256")) == exact_brute(corpus)
 
 

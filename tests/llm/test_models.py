@@ -41,6 +41,50 @@ def test_base_score_equals_brute_force(docs, corpus):
         assert -1e7 < r.score < 0
 
 
+def test_flags_of_copies_are_probabilities():
+    """Over all courses that six segments can take, the products of what was predicted add up to one."""
+    total = 0.0
+    for course in range(64):
+        model, p = mixing.Copies(), 1.0
+        for i in range(6):
+            flag = bool(course >> i & 1)
+            q = model.next(flag)
+            p *= q if flag else 1 - q
+        total += p
+    assert total == pytest.approx(1)
+    assert mixing.mixed(3, -50.0, [], [], []) == pytest.approx(-50 + mixing.alone(3))
+    assert -50 < mixing.mixed(3, -50.0, [-20.0, -20.0], [1, 2], [-4.0, -4.0]) < -10
+
+
+def test_segments_are_cut_alike_in_copies():
+    rng = np.random.default_rng(2)
+    words = ["w%d" % k for k in rng.integers(0, 900, 400)]
+    texts = [" ".join(words), "else " + " ".join(words[50:350]).upper() + " more", "", " "]
+    raw = np.frombuffer("".join(texts).encode(), np.uint8)
+    off = np.concatenate(([0], np.cumsum([len(t) for t in texts])))
+    segment, said, first = mixing.segments_of(raw, off)
+    assert len(segment) == 400 + 302 and first[-1] == len(said) == first[2] and first[2] == first[3]
+    one, two = set(said[: first[1]].tolist()), set(said[first[1] :].tolist())
+    assert len(two - one) <= 4 and 10 <= len(one) <= 50
+
+
+def test_texts_that_occur_twice_are_told_apart(spark):
+    rng = np.random.default_rng(3)
+    made = lambda: " ".join("".join(rng.choice(["th", "er", "on", "an", "re"], 3)) for _ in range(120))
+    texts = [made() for _ in range(60)]
+    texts += texts[:10] + [" ".join(rng.permutation(t.split())) for t in texts[20:30]]
+    table = spark.createDataFrame([(i, t, i % 10 == 9) for i, t in enumerate(texts)], "doc_id long, text string, held_out boolean")
+    one, two = ({r.doc_id: r.score for r in mixing.score(table.repartition(k)).collect()} for k in (1, 5))
+    assert one == pytest.approx(two, rel=1e-9)  # whatever the partitions
+    twice = [one[i] for i in range(10) if i != 9] + [one[60 + i] for i in range(10)]
+    assert min(twice) > max(one[i] for i in range(10, 60))
+    assert min(twice) > max(one[70 + i] for i in range(10))  # the same words in another order are no copy
+
+
+def test_scores_of_no_rows(empty):
+    assert mixing.score(empty.withColumn("held_out", F.lit(False))).count() == 0
+
+
 def test_scores_are_probabilities():
     """Over all first bytes of a word, in any register, the bits' probabilities add up to one."""
     words = pa.array([bytes([1]) + w for w in (b"the", b"then", b"of", b"than")], pa.binary())

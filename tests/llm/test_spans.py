@@ -126,6 +126,40 @@ def test_long_secrets_are_read_to_their_end(spark):
     assert all(got[i].n_novel == 0 for i in range(len(texts) - 6, len(texts)))
 
 
+def test_recall_of_planted_secrets():
+    """Random keys beside a sensitive word are told, names and paths are not."""
+    rng = random.Random(12)
+    key = lambda n: "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(n))
+    parts = ["user", "account", "session", "config", "value", "Handler", "Manager", "request", "table", "index", "2", "v1"]
+    name = lambda: rng.choice(["_", "-", ""]).join(rng.choice(parts) for _ in range(rng.randint(4, 7)))
+    shapes = ["the password is {} for now", "Authorization: Bearer {}", "{} is the secret of it", 'credential("{}")', "my api key: <{}>", "auth {} end"]
+    novelty = secrets.Novelty()
+    found = wrong = 0
+    for i in range(300):
+        x = key(rng.randint(20, 60)) + "7a"
+        text = "some text before. " + shapes[i % len(shapes)].format(x)
+        a = text.index(x)
+        taken = secrets.base_spans(text)
+        found += (a, a + len(x)) in secrets.novel_spans(text, taken, novelty) or any(s <= a < e for s, _, e in taken)
+        wrong += bool(secrets.novel_spans("some text before. " + shapes[i % len(shapes)].format(name()), [], novelty))
+    assert found >= 290 and wrong <= 6, (found, wrong)
+
+
+def test_secrets_of_no_rows_repeated_rows_and_clashing_columns(spark, empty):
+    assert secrets.scan(empty).count() == 0
+    docs = spark.createDataFrame([(1, "token=abcdefghijkl"), (1, "token=abcdefghijkl"), (2, None)], "doc_id long, text string").withColumn("spans", F.lit("mine"))
+    assert sorted(r.spans for r in secrets.scan(docs).collect()) == ["", "assign:0:18", "assign:0:18"]
+
+
+def test_leaks_of_long_texts_no_documents_and_clashing_columns(spark, empty):
+    items = spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(14)))], "item_id long, text string")
+    long = "x y " * 100_000 + " ".join(f"w{i}" for i in range(14)) + " z" * 1000
+    docs = spark.createDataFrame([(1, long), (2, "a")], "doc_id long, text string").withColumn("n_hit", F.lit("mine"))
+    got = {r.doc_id: r.n_hit for r in leaks.decontaminate(docs, items).collect()}
+    assert got == {1: 14, 2: 0} and [r.n_hit for r in leaks.clean(docs, items).collect()] == ["mine"]
+    assert leaks.decontaminate(empty, items).count() == 0 and leaks.clean(empty, items).count() == 0
+
+
 def words(t):
     return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
 
