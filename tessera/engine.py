@@ -110,9 +110,9 @@ class Engine:
         put(files.select(file_id.alias("file_id"), "rel_path", "content_hash", "size_bytes"), "files")
         e = syntax.entities(files).withColumn("file_id", file_id)
         e = e.withColumn("span", spans.span(F.col("start_line"), F.col("start_col"), F.col("end_line"), F.col("end_col")))
-        e = e.withColumn("entity_id", identity.entity_id(F.col("file_id"), F.col("qualified_name"), F.col("kind")))
-        parent = e.select("rel_path", F.col("qualified_name").alias("parent"), F.col("entity_id").alias("parent_id"))
-        put(e.join(parent, ["rel_path", "parent"], "left").select("entity_id", "file_id", "rel_path", "name", "qualified_name", "kind", "parent_id", "span", "docstring"), "entities")
+        e = e.withColumn("entity_id", identity.entity_id(F.col("file_id"), F.col("identity"), F.col("kind")))
+        parent = e.where("kind <> 'MODULE'").select("rel_path", F.col("identity").alias("parent"), F.col("entity_id").alias("parent_id"))
+        put(e.join(parent, ["rel_path", "parent"], "left").select("entity_id", "file_id", "rel_path", "name", "qualified_name", "identity", "accessor", "kind", "parent_id", "span", "docstring"), "entities")
         whole = files.select("rel_path", file_id.alias("file_id"), F.lit(generation).alias("generation_id"), "content").where("content <> ''")
         whole = whole.withColumn("span", spans.whole(F.col("content"))).withColumn("content_hash", identity.sha256(F.col("content"))).withColumn("chunk_id", F.lit(""))
         entities = self.table("entities", generation)
@@ -122,7 +122,7 @@ class Engine:
         put(search.corpus_stats(chunks, [], ["generation_id"]).drop("generation_id"), "lengths")
         modules = entities.where("kind = 'MODULE'").select("file_id", F.col("entity_id").alias("module_id"))
         stored = entities.join(modules, "file_id", "left").withColumn("module_id", F.when(F.col("kind") != "MODULE", F.col("module_id")))
-        calls = syntax.calls(files).join(stored.select("rel_path", F.col("qualified_name").alias("caller"), F.col("entity_id").alias("source_id"), F.col("file_id"), F.col("kind").alias("source_kind"), F.col("parent_id").alias("source_parent")), ["rel_path", "caller"])
+        calls = syntax.calls(files).join(stored.where("kind <> 'MODULE'").select("rel_path", F.col("identity").alias("caller"), F.col("entity_id").alias("source_id"), F.col("file_id"), F.col("kind").alias("source_kind"), F.col("parent_id").alias("source_parent")), ["rel_path", "caller"])
         # written with their numbers, which every rule below reads
         put(calls.withColumn("receiver_type", F.lit(None).cast("string")).withColumn("site", F.monotonically_increasing_id()), "calls")
         calls = self.table("calls", generation)

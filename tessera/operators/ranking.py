@@ -22,6 +22,12 @@ def fuse(signals: DataFrame) -> DataFrame:
     return got.select("chunk_id", F.aggregate("p", F.lit(0.0), lambda a, x: a + x["part"]).alias("score"), F.array_join(F.array_distinct("p.signal"), "+").alias("reason"))
 
 
+def first_details(signals: DataFrame, most: int = 4) -> DataFrame:
+    """chunk_id, details: of rows (chunk_id, seq, detail) the first details in the order in which they were found."""
+    rows = F.slice(F.array_sort(F.collect_list(F.struct("seq", "detail"))), 1, most)
+    return signals.groupBy("chunk_id").agg(F.transform(rows, lambda x: x["detail"]).alias("details"))
+
+
 def expression(terms: Column) -> Column:
     """A match expression: one quoted term, or the quoted phrase OR any of its terms."""
     quoted = F.transform(terms, lambda t: F.concat(F.lit('"'), F.replace(t, F.lit('"'), F.lit('""')), F.lit('"')))

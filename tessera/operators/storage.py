@@ -179,6 +179,15 @@ def chunk_references(chunks: DataFrame, files: DataFrame) -> DataFrame:
     return chunks.join(files, "file_id", "left").select("chunk_id", state.alias("state"))
 
 
+def chunk_entity_references(chunks: DataFrame, entities: DataFrame) -> DataFrame:
+    """chunk_id, state of chunks (chunk_id, file_id, entity_ids): whether each entity is named once, exists and is of the same file."""
+    named = chunks.select("chunk_id", "file_id", F.explode_outer("entity_ids").alias("entity_id"))
+    known = entities.select("entity_id", F.col("file_id").alias("_file"))
+    each = named.join(known, "entity_id", "left").groupBy("chunk_id", "entity_id").agg(F.count("*").alias("n"), F.max(F.when(F.col("entity_id").isNull(), 0).when(F.col("_file").isNull(), 3).when(F.col("_file") != F.col("file_id"), 2).otherwise(0)).alias("fault"))
+    worst = F.max(F.greatest("fault", F.when(F.col("n") > 1, 1).otherwise(0)))
+    return each.groupBy("chunk_id").agg(worst.alias("w")).select("chunk_id", F.get(F.array(*[F.lit(x) for x in ("OK", "REPEATED", "OTHER_FILE", "NO_ENTITY")]), F.col("w")).alias("state"))
+
+
 def coherence(chunks: DataFrame, index: DataFrame) -> DataFrame:
     """chunk_id, damage of what differs between chunks (chunk_id, content_hash) and index rows (chunk_id, indexed)."""
     posted = index.groupBy("chunk_id").agg(F.min("indexed").alias("indexed"), F.count("*").alias("posts"))

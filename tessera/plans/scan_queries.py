@@ -238,6 +238,16 @@ def batch_scope(spark, d):
     return storage.batch_scope(model.table(spark, d, "customer"), ["c_nationkey"], {"one_segment": "c_mktsegment", "one_nation": "c_nationkey"})
 
 
+@query("chunk_entity_refs", ", named AS (SELECT o_orderkey AS chunk_id, o_custkey % 7 AS file, unnest(CASE WHEN o_orderkey % 13 = 0 THEN ['x'] WHEN o_orderkey % 11 = 0 THEN ['c' || o_custkey, 'c' || o_custkey] WHEN o_orderkey % 5 = 0 THEN ['c' || (o_custkey + 1)] ELSE ['c' || o_custkey] END) AS id FROM orders), each AS (SELECT chunk_id, id, count(*) AS n, max(CASE WHEN c_custkey IS NULL THEN 3 WHEN c_custkey % 7 <> file THEN 2 ELSE 0 END) AS fault FROM named LEFT JOIN customer ON 'c' || c_custkey = id GROUP BY ALL) SELECT chunk_id, CASE max(greatest(fault, CASE WHEN n > 1 THEN 1 ELSE 0 END)) WHEN 0 THEN 'OK' WHEN 1 THEN 'REPEATED' WHEN 2 THEN 'OTHER_FILE' ELSE 'NO_ENTITY' END AS state FROM each GROUP BY chunk_id")
+def chunk_entity_refs(spark, d):
+    o, c = model.table(spark, d, "orders"), model.table(spark, d, "customer")
+    k, name = F.col("o_orderkey"), lambda x: F.concat(F.lit("c"), x.cast("string"))
+    own = name(F.col("o_custkey"))
+    ids = F.when(k % 13 == 0, F.array(F.lit("x"))).when(k % 11 == 0, F.array(own, own)).when(k % 5 == 0, F.array(name(F.col("o_custkey") + 1))).otherwise(F.array(own))
+    chunks = o.select(k.alias("chunk_id"), (F.col("o_custkey") % 7).alias("file_id"), ids.alias("entity_ids"))
+    return storage.chunk_entity_references(chunks, c.select(name(F.col("c_custkey")).alias("entity_id"), (F.col("c_custkey") % 7).alias("file_id")))
+
+
 @query("delete_generation", "SELECT doc_id, generation_id FROM chunks WHERE generation_id NOT IN (SELECT DISTINCT generation_id FROM files WHERE rel_path LIKE 'src1%')")
 def delete_generation(spark, d):
     retired = model.files(spark, d).where(F.col("rel_path").startswith("src1"))

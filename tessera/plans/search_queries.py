@@ -138,6 +138,13 @@ def signal_reason(spark, d):
     return ranking.fuse(_lexical(spark, d).unionByName(_exact(spark, d))).select("chunk_id", "reason")
 
 
+@query("signal_details", "SELECT l_orderkey AS chunk_id, array_to_string(list(l_linenumber || ':' || l_returnflag ORDER BY l_linenumber, l_linenumber || ':' || l_returnflag)[1:4], '+') AS details FROM lineitem GROUP BY l_orderkey", False)
+def signal_details(spark, d):
+    line = model.table(spark, d, "lineitem")
+    rows = line.select(F.col("l_orderkey").alias("chunk_id"), F.col("l_linenumber").alias("seq"), F.concat_ws(":", F.col("l_linenumber").cast("string"), "l_returnflag").alias("detail"))
+    return ranking.first_details(rows).select("chunk_id", F.array_join("details", "+").alias("details"))
+
+
 @query("fallback_chunk", "SELECT doc_id, chunk_id, CAST(end_line AS INTEGER) AS end_line, CAST(end_col AS INTEGER) AS end_col, content_hash FROM chunks")
 def fallback_chunk(spark, d):
     return model.chunks(spark, d).select("doc_id", "chunk_id", "span.end_line", "span.end_col", "content_hash")

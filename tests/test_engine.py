@@ -2,7 +2,7 @@
 
 import pytest
 
-from tessera import engine
+from tessera import engine, harness
 from tessera.sources import tree
 
 FILES = {
@@ -76,3 +76,15 @@ def test_strict_json():
     for bad in (b'{"a":1,"a":2}', b'{"a":NaN}', b"\xff"):
         with pytest.raises(ValueError):
             engine.strict_json(bad)
+
+
+def test_demo(spark, tmp_path):
+    report = harness.demo(spark, str(tmp_path / "demo"))
+    assert report["status"] == "PASS", harness.narrated(report)
+    assert "query_after_edit" in harness.narrated(report)
+
+
+def test_reports_are_narrated():
+    rows = [{"arm": "ranked", "correct": True}, {"arm": "literal", "correct": False}, {"arm": "ranked", "correct": False}]
+    text = harness.narrated({"report": "evaluation", "status": "FAIL", "arms": harness.tally(rows), "checks": [{"scenario": "x", "pass": False}]})
+    assert text == "evaluation: FAIL\n  literal: 0 / 1 answers\n  ranked: 1 / 2 answers\n  NOT x\n"

@@ -289,6 +289,16 @@ def test_python_syntax():
     assert {(c["caller"], c["callee"], c["receiver"]) for c in calls} >= {("f.inner", "h", None), ("f", "run", "C()"), ("C.run", "go", "self")}
 
 
+def test_properties_and_methods_declared_again():
+    text = "class A:\n    @property\n    def x(self):\n        def inner(): return f()\n        return g()\n    @x.setter\n    def x(self, v): h(v)\n    @x.deleter\n    def x(self): pass\n    def m(self): a()\n    def m(self): b()\ndef f(): pass\ndef f(): c()\n"
+    out, calls = syntax.python_file("p.py", text)
+    got = {r["identity"]: (r["qualified_name"], r["accessor"], r["parent"]) for r in out}
+    assert got["A.x"] == ("A.x", "property-getter", "A") and got["A.x#python-property-setter"] == ("A.x", "property-setter", "A") and got["A.x#python-property-deleter"][1] == "property-deleter"
+    assert got["A.x.inner"][2] == "A.x" and got["A.m#python-method-2"] == ("A.m", None, "A") and got["f#2"] == ("f", None, None)
+    assert {(c["caller"], c["callee"]) for c in calls} == {("A.x.inner", "f"), ("A.x", "g"), ("A.x#python-property-setter", "h"), ("A.m", "a"), ("A.m#python-method-2", "b"), ("f#2", "c")}
+    assert syntax.clean_docstring(' """ a "b" """ ') == 'a "b"' and syntax.clean_docstring("''") is None and syntax.clean_docstring(None) is None
+
+
 def test_broken_python_keeps_what_parses():
     out, _ = syntax.python_file("x.py", "def ok():\n    return 1\n\ndef broken(:\n    pass\n\ndef fine(): pass\n")
     assert {e["name"] for e in out} == {"x", "ok", "fine"}
