@@ -16,6 +16,7 @@ import math
 import os
 import re
 import shutil
+from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -84,7 +85,7 @@ class Engine:
             made = {"head": tree.git_head(self.repo), "ignore": tree.ignore_fingerprint(self.repo)}
             if self.snapshot(tree.read(self.spark, self.repo)) != snap:
                 raise ValueError("SOURCE_CHANGED: the tree changed while it was indexed")
-            history = state["history"] + [{"generation_id": generation, "sequence": sequence, "snapshot": snap, "metadata": documents.encoded(made)}]
+            history = state["history"] + [{"generation_id": generation, "sequence": sequence, "snapshot": snap, "created_at": datetime.now(timezone.utc).isoformat(timespec="seconds"), "metadata": documents.encoded(made)}]
             self._point({"active": generation, "history": history[-KEEP_GENERATIONS:]})
             self.delete_retired()
             return {"status": "INDEXED", "generation_id": generation, "snapshot_sha256": snap, "files": files.count()}

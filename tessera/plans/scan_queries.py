@@ -248,6 +248,12 @@ def chunk_entity_refs(spark, d):
     return storage.chunk_entity_references(chunks, c.select(name(F.col("c_custkey")).alias("entity_id"), (F.col("c_custkey") % 7).alias("file_id")))
 
 
+@query("generation_times", "SELECT user_id AS repo_id, strftime(max(ts), '%Y-%m-%dT%H:%M:%SZ') AS newest, CAST(date_diff('day', min(ts), max(ts)) AS INTEGER) AS days FROM events GROUP BY user_id", False)
+def generation_times(spark, d):
+    e = model.table(spark, d, "events").groupBy(F.col("user_id").alias("repo_id")).agg(F.max("ts").alias("new"), F.min("ts").alias("old"))
+    return e.select("repo_id", F.date_format("new", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("newest"), F.date_diff(F.to_date("new"), F.to_date("old")).alias("days"))
+
+
 @query("delete_generation", "SELECT doc_id, generation_id FROM chunks WHERE generation_id NOT IN (SELECT DISTINCT generation_id FROM files WHERE rel_path LIKE 'src1%')")
 def delete_generation(spark, d):
     retired = model.files(spark, d).where(F.col("rel_path").startswith("src1"))
