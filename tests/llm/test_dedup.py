@@ -167,20 +167,6 @@ def test_columns_of_the_same_names_stay(docs):
         assert kept.count() == f(docs).count()
 
 
-def test_results_do_not_depend_on_how_files_are_split(spark, docs, tmp_path):
-    path = str(tmp_path / "docs.parquet")
-    docs.unionByName(docs.withColumn("doc_id", F.col("doc_id") + 1000)).repartition(7).write.parquet(path)
-    got, before = [], spark.conf.get("spark.sql.files.maxPartitionBytes")
-    try:
-        for split in ("4k", "128m"):
-            spark.conf.set("spark.sql.files.maxPartitionBytes", split)
-            table = spark.read.parquet(path)
-            got.append([rows(f(table)) for f in (exact.exact_dedup, jaccard.near_duplicates)] + [rows(exact.distinct_documents(table).select("doc_id")), rows(jaccard.representatives(table).select("doc_id"))])
-    finally:
-        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
-    assert got[0] == got[1]
-
-
 def test_components(spark):
     edges = spark.createDataFrame([(5, 4), (4, 3), (3, 2), (2, 1), (9, 8), (7, 8), (6, 6)], "a long, b long")
     assert {(r.node, r.root) for r in components(edges).collect()} == {(1, 1), (2, 1), (3, 1), (4, 1), (5, 1), (7, 7), (8, 7), (9, 7)}
