@@ -201,6 +201,22 @@ def test_call_rules(spark):
     }
 
 
+def test_targets_of_a_call_that_is_there_twice_count_once(spark):
+    rows = [
+        (1, "g", "f", "FUNCTION", None, "near", None, None),
+        (1, "g", "f", "FUNCTION", "B", "near", None, None),
+        (2, "m", "f", "METHOD", "C", "get", "self", None),
+        (2, "m", "f", "METHOD", "C", "get", "self", "T"),
+        (3, "g", "f", "FUNCTION", None, "away", None, None),
+        (3, "g", "f", "FUNCTION", None, "away", " ", None),
+    ]
+    made = [("C", "C", "CLASS", None, "f"), ("C.get", "get", "METHOD", "C", "f"), ("near", "near", "FUNCTION", "mod", "f"), ("away", "away", "FUNCTION", None, "h")]
+    targets = spark.createDataFrame(made, "entity_id string, name string, kind string, parent_id string, file_id string")
+    scopes = spark.createDataFrame([("g", "mod")], "entity_id string, parent_id string")
+    got = sorted((r.k, r.target_id, r.reason) for r in resolve.resolve(spark.createDataFrame(rows, CALL), targets, scopes, ["k"]).collect())
+    assert got == [(1, "near", "same_file_name_without_binding"), (2, "C.get", "same_class_receiver_without_binding"), (3, "away", "unique_global_name_without_import_binding")]
+
+
 def test_exact_names(spark):
     e = spark.createDataFrame([("1", "b", "a.b"), ("2", "b", "x.a.b"), ("3", "b", "a.__init__.b"), ("4", "a.b", "q"), ("5", "b", "z.b")], "entity_id string, name string, qualified_name string")
     assert [(r.entity_id, r.stage) for r in resolve.exact_candidates(e, "a.b").collect()] == [("1", 0), ("2", 1), ("3", 2), ("4", 3)]
