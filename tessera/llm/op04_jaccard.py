@@ -23,8 +23,11 @@ enough of them.
 largest class; only keys with two classes matter. A Bloom filter of those, of
 fixed size, lets a second pass emit just their members. First each class meets
 the pivot (a key's smallest class) it shares most keys with, and is verified;
-components follow. Then classes of different components meet at the keys that
-are still open, those in which several components are:
+components follow. Keys in which several components are stay open: at these
+a class meets the hubs (a key's smallest class of its largest component) that it
+shares most of them with, so what links in a group of near copies is one
+component before pairs are made. Then classes of different components meet at the
+keys that are open yet:
 
 - a class with fewer than t open keys links to no other component; of the others
   all but its t - 1 commonest keys are kept, for two sets that share t keys share
@@ -69,6 +72,10 @@ PARITY_WORDS = 16
 FULL_BITS = 4
 #: Rarest keys of a class that go with each of its keys, to make a pair once.
 FIRST_KEYS = 16
+#: Size of a set from which on the short sketch rules out nothing: half its bits differ at most by chance.
+PARITY_TELLS = 7 * 64 * PARITY_WORDS // 4
+#: Classes of larger components that a class meets, before all pairs are made.
+HUBS = 4
 #: Bits of the Bloom filter over shared keys.
 BLOOM_BITS = 1 << 26
 
@@ -314,25 +321,52 @@ def _could_link(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return both.select(*(f"x.{c}" for c in pairs.columns))
 
 
-def _between(members: DataFrame, roots: DataFrame, classes: DataFrame) -> DataFrame:
-    """a, b of classes of different components that share t keys and whose sizes and short sketches allow a link; each pair about once."""
+def _open_keys(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """key, rep, root, major, hub, times of members (key, rep), of keys in which there are several components.
+
+    times: how many classes have the key; major: the largest of its components;
+    hub: that one's smallest class with the key.
+    """
     sizes = roots.groupBy("root").agg(F.count("*").alias("members"))
     at = members.select("key", "rep").join(roots.join(sizes, "root").withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("root", "rep").alias("root"), F.coalesce("members", F.lit(1)).alias("members"))
-    most = F.max(F.struct("members", "root"))
-    opened = at.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y"), most.alias("m"), F.count("*").alias("times")).where("x < y").select("key", F.col("m.root").alias("major"), "times")
-    own = at.join(opened, "key").groupBy("rep", "root", F.col("key").bitwiseAND(F.lit(1)).alias("side")).agg(F.array_sort(F.collect_list(F.struct("times", "key", "major"))).alias("all"))
+    most = F.min(F.struct((-F.col("members")).alias("c"), "root", "rep"))
+    opened = at.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y"), most.alias("m"), F.count("*").alias("times")).where("x < y").select("key", F.col("m.root").alias("major"), F.col("m.rep").alias("hub"), "times")
+    return at.drop("members").join(opened, "key")
+
+
+def _with_enough(opened: DataFrame, classes: DataFrame) -> DataFrame:
+    """rep, root, n, t, all (times, key, major, hub; rarest first): each class's open keys of a joint band, if there are t."""
+    own = opened.groupBy("rep", "root", F.col("key").bitwiseAND(F.lit(1)).alias("side")).agg(F.array_sort(F.collect_list(F.struct("times", "key", "major", "hub"))).alias("all"))
     band = _band()
     joint = F.when(F.pmod(band, F.lit(2)) == F.col("side"), band).otherwise(band - 1)
     t = F.get(F.array(*[F.lit(int(c)) for c in COMMON]), joint)
-    own = own.join(classes.select("rep", "n", *(f"p{i}" for i in range(PARITY_WORDS))), "rep").withColumn("t", t).where(F.size("all") >= F.col("t"))
-    own = own.withColumn("rare", F.slice("all", 1, F.greatest(F.size("all") - F.col("t").cast("int") + 1, F.lit(0))))
+    return own.join(classes.select("rep", "n"), "rep").withColumn("t", t).where(F.size("all") >= F.col("t")).select("rep", "root", "n", "t", "all")
+
+
+def _to_hubs(own: DataFrame, classes: DataFrame, tested: DataFrame) -> DataFrame:
+    """a, b: for each class the HUBS hubs that it shares most keys with, of those of other components that it could link to and hasn't been tested with."""
+    at = own.select("rep", "root", F.explode("all").alias("k")).where("root <> k.major")
+    votes = at.groupBy(F.col("rep").alias("of"), F.col("k.hub").alias("hub")).count()
+    votes = common.written(votes.select(F.least("of", "hub").alias("a"), F.greatest("of", "hub").alias("b"), "of", "count").join(tested, ["a", "b"], "left_anti"))
+    by = F.array_sort(F.collect_list(F.struct((-F.col("count")).alias("c"), "a", "b")))
+    best = _could_link(votes, classes).groupBy("of").agg(F.slice(by, 1, HUBS).alias("best"))
+    return best.select(F.explode("best").alias("x")).select("x.a", "x.b").distinct()
+
+
+def _between(own: DataFrame, classes: DataFrame) -> DataFrame:
+    """a, b of classes of different components that share t keys and whose sizes and short sketches allow a link; each pair about once."""
+    words = [f"p{i}" for i in range(PARITY_WORDS)]
+    told = F.col("n") <= PARITY_TELLS  # the others' are left out: they take room and rule out nothing
+    rare = F.slice("all", 1, F.greatest(F.size("all") - F.col("t").cast("int") + 1, F.lit(0)))
+    own = own.withColumn("rare", rare).join(classes.select("rep", *words), "rep").withColumns({p: F.when(told, F.col(p)).otherwise(0) for p in words})
     first = F.slice(F.transform("rare", lambda k: k["key"]), 1, FIRST_KEYS)
-    facts = ["rep", "root", "n", *(f"p{i}" for i in range(PARITY_WORDS))]
+    facts = ["rep", "root", "n", *words]
     each = own.withColumn("first", first).select(*facts, "first", F.posexplode("rare").alias("place", "k"))
     left = common.written(each.select(F.col("k.key").alias("key"), F.col("k.major").alias("major"), F.slice("first", 1, F.least("place", F.lit(FIRST_KEYS))).alias("before"), *facts))
     x, y = left.where("root <> major").alias("x"), left.alias("y")
     once = (F.col("y.root") == F.col("y.major")) | (F.col("x.rep") < F.col("y.rep"))
-    meet = (F.col("x.key") == F.col("y.key")) & (F.col("x.root") != F.col("y.root")) & once & _sizes_allow("x", "y") & _parity_allows("x", "y") & ~F.arrays_overlap("x.before", "y.before")
+    alike = (F.greatest("x.n", "y.n") > PARITY_TELLS) | _parity_allows("x", "y")
+    meet = (F.col("x.key") == F.col("y.key")) & (F.col("x.root") != F.col("y.root")) & once & _sizes_allow("x", "y") & alike & ~F.arrays_overlap("x.before", "y.before")
     pairs = x.join(y, meet).select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b"))
     return common.written(pairs.distinct())
 
@@ -353,13 +387,26 @@ def linked(rows: DataFrame) -> DataFrame:
 
     # first the pivot that a class shares most keys with, of those that it could link to
     votes = members.where("rep <> pivot").groupBy(F.col("pivot").alias("a"), F.col("rep").alias("b")).count()
-    best = _could_link(votes, classes).groupBy("b").agg(F.min(F.struct((-F.col("count")).alias("c"), "a")).alias("x"))
+    # (a vote in four of those that linking sets have: pairs with fewer are left to what follows)
+    least = F.get(F.array(*[F.lit(int(c)) for c in COMMON]), F.greatest(_band() - 1, F.lit(0)))
+    votes = votes.join(classes.select(F.col("rep").alias("b"), "n"), "b").where(4 * F.col("count") >= least).select("a", "b", "count")
+    best = _could_link(common.written(votes), classes).groupBy("b").agg(F.min(F.struct((-F.col("count")).alias("c"), "a")).alias("x"))
     first = common.written(best.select(F.col("x.a").alias("a"), "b"))
     edges = common.written(verified(first, reps))
     roots = common.written(components(edges))
 
-    # then the classes of different components
-    second = common.written(_could_link(_between(members, roots, classes).join(first, ["a", "b"], "left_anti"), classes))
+    # then hubs of larger components
+    own = common.written(_with_enough(_open_keys(members, roots), classes))
+    tested = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    hubs = common.written(_to_hubs(own, classes, tested))
+    more = common.written(verified(hubs, reps))
+    if not more.isEmpty():
+        edges, tested = edges.unionByName(more), tested.unionByName(hubs)
+        roots = common.written(components(edges))
+        own = common.written(_with_enough(_open_keys(own.select(F.explode("all.key").alias("key"), "rep"), roots), classes))
+
+    # then all classes of different components
+    second = common.written(_could_link(_between(own, classes).join(tested, ["a", "b"], "left_anti"), classes))
     more = common.written(verified(second, reps))
     if not more.isEmpty():
         roots = common.written(components(edges.unionByName(more)))

@@ -101,6 +101,24 @@ def test_one_row_of_each_component_stays(docs, corpus):
     assert kept.count() == alone + groups
 
 
+def test_group_of_near_copies_is_not_made_into_pairs(spark, monkeypatch):
+    """Near copies of one text, not all of them alike enough to link: the pairs looked at grow with the group, not its square."""
+    rng = random.Random(11)
+    base = [f"w{i}" for i in range(120)]
+    texts = []
+    for _ in range(150):
+        w = list(base)
+        for at in rng.sample(range(120), 2):
+            w[at] = f"x{rng.randrange(10**6)}"
+        texts.append(" ".join(w))
+    corpus = list(enumerate(texts))
+    looked, whole = [], jaccard.verified
+    monkeypatch.setattr(jaccard, "verified", lambda pairs, reps: (looked.append(pairs.count()), whole(pairs, reps))[1])
+    df = common.written(spark.createDataFrame(corpus, "doc_id long, text string"))
+    assert rows(jaccard.near_duplicates(df)) == jaccard_brute(corpus)
+    assert sum(looked) <= 8 * len(texts), looked
+
+
 def offsets(*sets):
     return np.concatenate(sets), np.concatenate(([0], np.cumsum([len(x) for x in sets])))
 
