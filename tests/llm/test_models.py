@@ -290,3 +290,15 @@ def test_deep_and_broken_pages():
     for junk in ("<", "<a href='", "<!--", "</p></p>", "<p <p <p", "&#x110000; &#0; &bogus;", "<table><td>a<td>b</table>"):
         page = pages.Page(junk)
         page.text([page.best()])
+
+
+def test_small_batches_are_handled_together():
+    """Few calls for many small batches; the same rows in order, and the register of each key."""
+    keys = [bytes([i % 9]) + b"w%d" % i for i in range(1000)]
+    small = [pa.RecordBatch.from_pydict({"key": pa.array(keys[i : i + 10], pa.binary())}) for i in range(0, 1000, 10)]
+    got = list(mixing.gathered(iter(small), 4096))
+    assert len(got) < 10
+    assert [k for b in got for k in b.column("key").to_pylist()] == keys
+    assert [r for b in got for r in mixing.first_bytes(b.column("key")).tolist()] == [k[0] for k in keys]
+    assert mixing.first_bytes(pa.array(keys, pa.binary()).slice(5, 3)).tolist() == [5, 6, 7]
+    assert not list(mixing.gathered(iter([]), 4096))
