@@ -56,6 +56,17 @@ def test_flags_of_copies_are_probabilities():
     assert -50 < mixing.mixed(3, -50.0, [-20.0, -20.0], [1, 2], [-4.0, -4.0]) < -10
 
 
+def test_count_tables_go_by_the_vocabulary(spark, monkeypatch):
+    """Where data is dealt out to many partitions, no table of counts is made for each of them; the model's counts are the same."""
+    keys = spark.createDataFrame([(bytes([k % 9]) + b"%x" % (k * k), k % 7 + 1) for k in range(3000)], "key binary, c long")
+    made, real, dealt = [], mixing.tables, type(keys).repartition
+    monkeypatch.setattr(mixing, "tables", lambda words, *a: made.append(words.rdd.getNumPartitions()) or real(words, *a))
+    few = mixing.fit(keys.coalesce(1))["n"]
+    monkeypatch.setattr(type(keys), "repartition", lambda self, n, *cols: dealt(self, max(n, 40), *cols))
+    assert mixing.fit(dealt(keys, 40, "key"))["n"] == few
+    assert max(made) <= 6
+
+
 def test_segments_are_cut_alike_in_copies():
     rng = np.random.default_rng(2)
     words = ["w%d" % k for k in rng.integers(0, 900, 400)]
