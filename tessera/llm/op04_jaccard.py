@@ -292,6 +292,14 @@ def verified(pairs: DataFrame, reps: DataFrame) -> DataFrame:
     return both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
+def _linking(pairs: DataFrame | None, reps: DataFrame) -> DataFrame | None:
+    """``verified`` pairs, written; None if there are none, without planning what would compare none."""
+    if pairs is None or pairs.isEmpty():
+        return None
+    found = common.written(verified(pairs, reps))
+    return None if found.isEmpty() else found
+
+
 def _sizes_allow(x: str, y: str) -> Column:
     n, m = F.col(f"{x}.n"), F.col(f"{y}.n")
     return 4 * F.least(n, m) >= 3 * F.greatest(n, m)
@@ -384,6 +392,7 @@ def linked(rows: DataFrame) -> DataFrame:
     shared = common.written(keys(reps, levels).groupBy("key").agg(F.min("rep").alias("pivot"), F.max("rep").alias("last")).where("pivot < last").select("key", "pivot"))
     bloom = bloom_of(shared)
     members = common.written(keys(reps, levels, bloom).join(shared, "key").select("key", "rep", "pivot"))
+    bloom.destroy()  # the driver holds it too, and all that needs it is stored
 
     # first the pivot that a class shares most keys with, of those that it could link to
     votes = members.where("rep <> pivot").groupBy(F.col("pivot").alias("a"), F.col("rep").alias("b")).count()
@@ -398,17 +407,17 @@ def linked(rows: DataFrame) -> DataFrame:
     # then hubs of larger components
     own = common.written(_with_enough(_open_keys(members, roots), classes))
     tested = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    hubs = common.written(_to_hubs(own, classes, tested))
-    more = common.written(verified(hubs, reps))
-    if not more.isEmpty():
+    hubs = None if own.isEmpty() else common.written(_to_hubs(own, classes, tested))
+    more = _linking(hubs, reps)
+    if more is not None:
         edges, tested = edges.unionByName(more), tested.unionByName(hubs)
         roots = common.written(components(edges))
         own = common.written(_with_enough(_open_keys(own.select(F.explode("all.key").alias("key"), "rep"), roots), classes))
 
     # then all classes of different components
-    second = common.written(_could_link(_between(own, classes).join(tested, ["a", "b"], "left_anti"), classes))
-    more = common.written(verified(second, reps))
-    if not more.isEmpty():
+    second = None if own.isEmpty() else common.written(_could_link(_between(own, classes).join(tested, ["a", "b"], "left_anti"), classes))
+    more = _linking(second, reps)
+    if more is not None:
         roots = common.written(components(edges.unionByName(more)))
 
     named = classes.select("rep", "least").join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("rep", "least", F.coalesce("root", "rep").alias("component"))

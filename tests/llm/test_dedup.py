@@ -1,6 +1,7 @@
 """Exact copies and near copies against brute force."""
 
 import hashlib
+import os
 import random
 import re
 
@@ -35,6 +36,20 @@ def rows(df):
     return sorted(map(tuple, df.collect()), key=repr)
 
 
+def test_driver_plans_and_holds_no_more_than_is_needed(spark, monkeypatch):
+    """Where the first pairs join all that could link, no plans are made to compare none; the Bloom filter is let go."""
+    rng = np.random.default_rng(31)
+    texts = [[f"w{x}" for x in rng.integers(0, 9999, 60)] for _ in range(6)]
+    rows = [(i, " ".join(t)) for i, t in enumerate([*texts, ["new", *texts[0]], ["new", *texts[1]]])]
+    compared, filters, verified, bloom_of = [], [], jaccard.verified, jaccard.bloom_of
+    monkeypatch.setattr(jaccard, "verified", lambda pairs, reps: compared.append(pairs.count()) or verified(pairs, reps))
+    monkeypatch.setattr(jaccard, "bloom_of", lambda shared: filters.append(bloom_of(shared)) or filters[-1])
+    got = {r.doc_id: r.component_id for r in jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: i for i in range(6)} | {6: 0, 7: 1}
+    assert compared == [2]
+    assert [os.path.exists(b._path) for b in filters] == [False]
+
+
 def test_exact_equals_brute_force(docs, corpus):
     assert rows(exact.exact_dedup(docs)) == exact_brute(corpus)
 
