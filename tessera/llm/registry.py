@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tessera.llm import op01_mixing, op02_toxicity, op03_html, op04_jaccard, op05_decontaminate, op06_bpe, op07_pii, op08_langid, op09_secrets, op10_exact_dedup
+from tessera.llm import op01_mixing, op02_toxicity, op03_html, op04_jaccard, op05_decontaminate, op06_bpe, op07_pii, op08_langid, op09_secrets, op10_exact_dedup, op11_whitening, op12_codes, op13_simhash
 
-MODULES = (op01_mixing, op02_toxicity, op03_html, op04_jaccard, op05_decontaminate, op06_bpe, op07_pii, op08_langid, op09_secrets, op10_exact_dedup)
+MODULES = (op01_mixing, op02_toxicity, op03_html, op04_jaccard, op05_decontaminate, op06_bpe, op07_pii, op08_langid, op09_secrets, op10_exact_dedup, op11_whitening, op12_codes, op13_simhash)
 
 
 def queries() -> dict:
