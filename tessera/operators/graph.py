@@ -95,21 +95,24 @@ def expand(top: DataFrame, relations: DataFrame, entities: DataFrame, limit: int
     return taken.select("place", "entity_id", "role", trust_name(F.col("rank")).alias("trust"), F.col("k").cast("long").alias("k"), (weight / (RANK_OFFSET + F.col("k"))).alias("part"))
 
 
-def ancestors(parents: DataFrame, most: int = 64) -> DataFrame:
-    """entity_id, ancestor_id, depth along parent_id; a cycle ends where it would repeat.
+def ancestors(parents: DataFrame) -> DataFrame:
+    """entity_id, ancestor_id, depth (the shortest) along parent_id, however deep; in a cycle no entity is its own ancestor.
 
-    Breadth-first joins, as many as the deepest chain; each keeps only new pairs.
+    Path doubling: what is known up to depth n, continued from every pair of depth
+    n, is all up to 2 n. A shortest path begins with shortest paths, so where no
+    pair has depth n there is nothing beyond; the rounds are the logarithm of the
+    deepest chain, and along single parents each makes a pair once.
     """
-    step = parents.where("parent_id IS NOT NULL").select(F.col("entity_id").alias("child"), F.col("parent_id").alias("up"))
-    found = front = step.where("child <> up").select(F.col("child").alias("entity_id"), F.col("up").alias("ancestor_id"), F.lit(1).alias("depth"))
-    for depth in range(2, most + 1):
-        front = front.join(step, front.ancestor_id == step.child).where("up <> entity_id").select("entity_id", F.col("up").alias("ancestor_id"), F.lit(depth).alias("depth"))
-        # written, so that a round costs one join whatever came before it
-        front = runtime.settled(front.join(found.select("entity_id", "ancestor_id"), ["entity_id", "ancestor_id"], "left_anti").distinct())
-        if front.isEmpty():
-            break
-        found = found.unionByName(front)
-    return found
+    step = parents.where("parent_id IS NOT NULL AND entity_id <> parent_id").select("entity_id", F.col("parent_id").alias("ancestor_id"), F.lit(1).alias("depth"))
+    found, n = runtime.settled(step.distinct()), 1
+    while True:
+        far = found.where(F.col("depth") == n).select("entity_id", F.col("ancestor_id").alias("via"))
+        if far.isEmpty():
+            return found
+        onward = found.select(F.col("entity_id").alias("via"), "ancestor_id", (F.col("depth") + n).alias("depth"))
+        more = far.join(onward, "via").where("entity_id <> ancestor_id").select("entity_id", "ancestor_id", "depth")
+        found = runtime.settled(found.unionByName(more).groupBy("entity_id", "ancestor_id").agg(F.min("depth").alias("depth")))
+        n *= 2
 
 
 def interleave(callers: DataFrame, callees: DataFrame, limit: int) -> DataFrame:

@@ -122,6 +122,20 @@ def lexical_ancestors(spark, d):
     return graph.ancestors(o.unionByName(c).unionByName(n))
 
 
+_DEEP = """WITH RECURSIVE tree AS (SELECT p_partkey AS id, CASE WHEN p_partkey % 1000 > 0 THEN p_partkey - 1 WHEN p_partkey % 2000 = 1000 THEN least(p_partkey + 999, (SELECT max(p_partkey) FROM part)) END AS up FROM part),
+closure AS (SELECT id, up, 1 AS depth FROM tree WHERE up IS NOT NULL AND up <> id UNION ALL SELECT c.id, t.up, c.depth + 1 FROM closure c JOIN tree t ON t.id = c.up WHERE t.up IS NOT NULL AND t.up <> c.id)"""
+
+
+@query("deep_ancestors", _DEEP + " SELECT id AS p_partkey, count(*) AS ancestors, max(depth) AS deepest, CAST(sum(depth * up) AS BIGINT) AS weight FROM closure GROUP BY id", False)
+def deep_ancestors(spark, d):
+    """Chains of 1,000 parts; every second one is closed to a cycle."""
+    part, key = model.table(spark, d, "part"), F.col("p_partkey")
+    last = part.agg(F.max("p_partkey").alias("last"))
+    up = F.when(key % 1000 > 0, key - 1).when(key % 2000 == 1000, F.least(key + 999, F.col("last")))
+    found = graph.ancestors(part.select("p_partkey").join(F.broadcast(last)).select(key.alias("entity_id"), up.alias("parent_id")))
+    return found.groupBy(F.col("entity_id").alias("p_partkey")).agg(F.count("*").alias("ancestors"), F.max("depth").alias("deepest"), F.sum(F.col("depth") * F.col("ancestor_id")).alias("weight"))
+
+
 #: Classes (suppliers) of repeating names, methods and functions (parts), and calls (line items) for each rule.
 _CALLS = """, cls AS (SELECT 'k' || s_suppkey AS id, 'Cls' || s_suppkey % 7 || CASE WHEN s_suppkey % 2 = 0 THEN 'Service' ELSE '' END AS name, 'm' || s_nationkey || '.K' || s_suppkey AS path FROM supplier),
 tgt AS (SELECT 'p' || p_partkey AS id, 'f' || p_partkey % 97 || CASE WHEN p_partkey % 11 = 0 THEN '_' || p_partkey ELSE '' END AS name, CASE WHEN p_size < 25 THEN 'METHOD' ELSE 'FUNCTION' END AS kind, CASE WHEN p_size < 25 THEN 'k' || (1 + p_partkey % (SELECT count(*) FROM supplier)) WHEN p_partkey % 2 = 0 THEN 'mod' || p_size % 10 END AS parent, 'file' || p_size % 10 AS file FROM part),
