@@ -9,8 +9,9 @@ where the window would begin and end in the document (positional bound) and
 whether it fits there (length bound). What is left is compared word by word
 over item-sized windows, so no hash decides.
 
-Anchors are broadcast up to ``MAX_BROADCAST_ANCHORS`` windows; beyond that both
-sides are shuffled by anchor word, with the windows' side salted.
+Anchors are broadcast, some ``MAX_BROADCAST_ANCHORS`` windows at a time: more are
+dealt into parts of that size by hash, and the documents are read once for each
+part. Nothing of the documents is shuffled but what a window was found in.
 
 Defined results: a null or wordless text has no words and no hits; wordless
 items have no windows; windows that recur, in one item or several, count for
@@ -21,6 +22,8 @@ on either side gives rows without hits, or no rows; other columns are ignored.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,7 +31,6 @@ from tessera.llm import common
 
 WINDOW = 10
 MAX_BROADCAST_ANCHORS = 100_000
-SALTS = 32
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -66,24 +68,25 @@ def occurrences(rows: DataFrame, anchors: DataFrame, size: int = WINDOW) -> Data
     ``rows`` has _row and text; each of its words that is an anchor goes on with
     the words within a window's reach of it, no more.
     """
-    names = anchors.select("anchor").distinct()
-    few = anchors.limit(MAX_BROADCAST_ANCHORS + 1).count() <= MAX_BROADCAST_ANCHORS
+    n = anchors.count()
+    parts = max(1, -(-n // max(1, MAX_BROADCAST_ANCHORS)))
+    if parts == 1:
+        return _occurrences(rows, anchors, size)
+    dealt = common.written(anchors.withColumn("part", F.pmod(F.xxhash64("window"), F.lit(parts)).cast("int")), "part")
+    found = [_occurrences(rows, dealt.where(F.col("part") == k).drop("part"), size) for k in range(parts)]
+    return reduce(DataFrame.unionByName, [common.written(f) for f in found])
+
+
+def _occurrences(rows: DataFrame, anchors: DataFrame, size: int) -> DataFrame:
+    """occurrences of the windows of some MAX_BROADCAST_ANCHORS anchors, which are broadcast."""
     doc = rows.select("_row", words().alias("w"))
     reach = size - 1
-    if few:
-        # at most MAX_BROADCAST_ANCHORS words: looked up in one hash set within the row
-        keys = [r["anchor"] for r in names.collect()]
-        at = F.filter(F.sequence(F.lit(0), F.size("w") - 1), lambda i: F.get("w", i).isin(keys)) if keys else F.array().cast("array<int>")
-        doc = doc.where(F.size("w") > 0)
-        near = F.transform(at, lambda i: F.struct(i.alias("pos"), F.get("w", i).alias("anchor"), F.greatest(i - reach, F.lit(0)).alias("from"), F.slice("w", F.greatest(i - reach, F.lit(0)) + 1, 2 * reach + 1).alias("near")))
-        found = doc.select("_row", F.explode(near).alias("c")).select("_row", "c.*")
-        pairs = found.join(F.broadcast(anchors), "anchor")
-    else:
-        at = F.sequence(F.lit(0), F.size("w") - 1)
-        near = F.transform(at, lambda i: F.struct(i.alias("pos"), F.get("w", i).alias("anchor"), F.greatest(i - reach, F.lit(0)).alias("from"), F.slice("w", F.greatest(i - reach, F.lit(0)) + 1, 2 * reach + 1).alias("near")))
-        found = doc.where(F.size("w") > 0).select("_row", F.explode(near).alias("c")).select("_row", "c.*", F.pmod(F.xxhash64("_row", "c.pos"), F.lit(SALTS)).alias("salt"))
-        wide = anchors.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
-        pairs = found.join(wide, ["anchor", "salt"])
+    keys = [r["anchor"] for r in anchors.select("anchor").distinct().collect()]  # looked up in one hash set within the row
+    at = F.filter(F.sequence(F.lit(0), F.size("w") - 1), lambda i: F.get("w", i).isin(keys)) if keys else F.array().cast("array<int>")
+    doc = doc.where(F.size("w") > 0)
+    near = F.transform(at, lambda i: F.struct(i.alias("pos"), F.get("w", i).alias("anchor"), F.greatest(i - reach, F.lit(0)).alias("from"), F.slice("w", F.greatest(i - reach, F.lit(0)) + 1, 2 * reach + 1).alias("near")))
+    found = doc.select("_row", F.explode(near).alias("c")).select("_row", "c.*")
+    pairs = found.join(F.broadcast(anchors), "anchor")
     begin = F.col("pos") - F.col("from") - F.col("place")  # 0-based, within ``near``
     fits = (begin >= 0) & (begin + F.size("window") <= F.size("near"))
     return pairs.where(fits & (F.slice("near", F.greatest(begin, F.lit(0)) + 1, F.size("window")) == F.col("window"))).select("_row", "item_id", (F.col("pos") - F.col("place")).alias("start"), F.size("window").alias("length"))

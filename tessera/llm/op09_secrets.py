@@ -111,24 +111,40 @@ def random_bytes(word: str) -> float:
     return sum(-k * math.log2(k / n) for k in Counter(word).values()) / 8
 
 
+def joined(taken: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """What sorted spans (start, kind, end) cover together, as spans apart from each other."""
+    out: list[tuple[int, int]] = []
+    for a, _, b in taken:
+        if out and a < out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
 def novel_spans(text: str, taken: list[tuple[int, int, int]], novelty: Novelty) -> list[tuple[int, int]]:
     """(start, end) of incompressible strings in a sensitive context that no base span touches."""
     out: list[tuple[int, int]] = []
     low = text.lower()
     if not any(x in low for x in _HINTS):
         return out
-    contexts = [c.span() for c in CONTEXT.finditer(text)]
-    k = 0
+    contexts, held = [c.span() for c in CONTEXT.finditer(text)], joined(taken)
+    # candidates come in order, so each list is walked once
+    k = j = 0
     for m in CANDIDATE.finditer(text) if contexts else ():
         a, b = m.span()
         while k < len(contexts) and contexts[k][1] <= a:
             k += 1
-        before = k > 0 and a - contexts[k - 1][1] <= REACH and "\n" not in text[contexts[k - 1][1] : a]
-        after = next((c for c, _ in contexts[k:] if c >= b), None) if not before else None
-        if not before and (after is None or after - b > REACH or "\n" in text[b:after]):
-            continue
+        if not (k > 0 and a - contexts[k - 1][1] <= REACH and "\n" not in text[contexts[k - 1][1] : a]):
+            i = k
+            while i < len(contexts) and contexts[i][0] < b:
+                i += 1
+            if i == len(contexts) or contexts[i][0] - b > REACH or "\n" in text[b : contexts[i][0]]:
+                continue
+        while j < len(held) and held[j][1] <= a:
+            j += 1
         word = text[a:b]
-        if any(s < b and a < e for s, _, e in taken) or not (re.search(r"\d", word, re.A) and re.search(r"[A-Za-z]", word)):
+        if j < len(held) and held[j][0] < b or not (re.search(r"\d", word, re.A) and re.search(r"[A-Za-z]", word)):
             continue
         if sum(len(w) for w in _KNOWN.findall(word.lower())) >= NAMED * len(word):
             continue

@@ -53,11 +53,15 @@ def retained() -> Column:
     return F.min(F.struct((-F.col("n")).alias("less"), F.col("doc_id"), F.col("_row")))
 
 
+#: Micro-batches that a stored table is streamed in: later ones look their digests up in the state of earlier ones.
+BATCHES = 3
+
+
 def stream_state(prints: DataFrame, max_files: int | None = None) -> DataFrame:
     """The final state: digest, keep (less, doc_id, _row), group_size.
 
     ``prints`` must be stored (as ``fingerprints`` leaves it); its files are the
-    stream, ``max_files`` of them a micro-batch (None: all there are).
+    stream, ``max_files`` of them a micro-batch (None: in BATCHES equal ones).
     """
     spark = prints.sparkSession
     root = common.shared_dir(spark)
@@ -76,9 +80,7 @@ def stream_state(prints: DataFrame, max_files: int | None = None) -> DataFrame:
         batch.withColumn("batch", F.lit(number).cast("long")).write.mode("overwrite").parquet(made[number])
 
     try:
-        reader = spark.readStream.schema(prints.schema)
-        if max_files:
-            reader = reader.option("maxFilesPerTrigger", max_files)
+        reader = spark.readStream.schema(prints.schema).option("maxFilesPerTrigger", max_files or -(-len(files) // BATCHES))
         state = reader.parquet(source).groupBy("digest").agg(retained().alias("keep"), F.count("*").alias("group_size"))
         query = state.writeStream.outputMode("update").option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).foreachBatch(put).start()
         query.awaitTermination()
@@ -103,7 +105,7 @@ def groups(docs: DataFrame, digest=sha256, max_files: int | None = None) -> Data
     differ = common.written(text.select("digest", "norm").distinct().groupBy("digest").count().where("count > 1").select("digest"))
 
     few = hits.limit(common.MAX_BROADCAST_IDS + 1).count() <= common.MAX_BROADCAST_IDS
-    sure = hits.join(F.broadcast(differ), "digest", "left_anti") if not differ.isEmpty() else hits
+    sure = hits if differ.isEmpty() else common.drop_ids(hits, differ, "digest")
     sure = sure.select("digest", F.col("keep._row").alias("keep_row"), F.col("keep.doc_id").alias("keep_id"), "group_size")
     alone = F.col("group_size").isNull()
     plain = prints if differ.isEmpty() else prints.join(differ, "digest", "left_anti")

@@ -54,6 +54,18 @@ def test_exact_equals_brute_force(docs, corpus):
     assert rows(exact.exact_dedup(docs)) == exact_brute(corpus)
 
 
+def test_later_micro_batches_meet_the_state_of_earlier_ones(docs, corpus):
+    prints = exact.fingerprints(common.numbered(docs))
+    assert len(prints.inputFiles()) >= 2
+    state = exact.stream_state(prints)
+    assert len({f.rpartition("/")[0] for f in state.inputFiles()}) >= 2
+    want = {}
+    for _, t, *_ in corpus:
+        k = hashlib.sha256(norm(t).encode()).hexdigest()
+        want[k] = want.get(k, 0) + 1
+    assert {r.digest: r.group_size for r in state.collect()} == want
+
+
 def test_bytes_decide_when_digests_collide(docs, corpus):
     weak = exact.groups(common.numbered(docs), digest=lambda t: F.substring(F.sha2(t.cast("binary"), 256), 1, 1))
     got = rows(weak.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")), "text_sha256"))

@@ -145,6 +145,46 @@ def test_recall_of_planted_secrets():
     assert found >= 290 and wrong <= 6, (found, wrong)
 
 
+class Length:
+    """Prices each string at its length, so that all candidates that are met are told."""
+
+    def marginal(self, candidate, before, after):
+        return len(candidate)
+
+
+def test_secrets_among_many_spans_and_contexts_equal_each_looked_up_alone():
+    rng = random.Random(21)
+    pick = lambda alphabet, n: "".join(rng.choice(alphabet) for _ in range(n))
+    said = ["password = ", "token ", "key: ", "auth", "x", "\n", " " * 50]
+    for _ in range(200):
+        text = "".join(rng.choice(said) + rng.choice([pick("0123456789abcdef", 20), pick("abXY01", 18), "plain", "tokenauth1-secret-token2"]) + rng.choice([" ", "\n", ""]) for _ in range(rng.randint(1, 30)))
+        taken = secrets.base_spans(text)
+        contexts = [c.span() for c in secrets.CONTEXT.finditer(text)]
+        want = []
+        for m in secrets.CANDIDATE.finditer(text):
+            a, b = m.span()
+            near = any(e <= a and a - e <= secrets.REACH and "\n" not in text[e:a] for _, e in contexts[-1:] + [c for c in contexts if c[1] <= a][-1:]) or any(s >= b and s - b <= secrets.REACH and "\n" not in text[b:s] for s, _ in contexts)
+            free = not any(s < b and a < e for s, _, e in taken)
+            mixed = re.search("[0-9]", m[0]) and re.search("[A-Za-z]", m[0])
+            named = sum(map(len, secrets._KNOWN.findall(m[0].lower()))) >= secrets.NAMED * len(m[0])
+            if near and free and mixed and not named:
+                want.append((a, b))
+        assert secrets.novel_spans(text, taken, Length()) == want
+
+
+def test_secrets_of_long_texts_take_time_in_proportion():
+    import time
+
+    line = "password = 0123456789abcdef0123 token kJ8sd7Fjk2LmN0pQr5TuVw9x\n"
+    took = []
+    for n in (2_000, 16_000):
+        text = line * n
+        began = time.process_time()
+        assert len(secrets.novel_spans(text, secrets.base_spans(text), Length())) == n
+        took.append(time.process_time() - began)
+    assert took[1] < 24 * took[0], took
+
+
 def test_secrets_of_no_rows_repeated_rows_and_clashing_columns(spark, empty):
     assert secrets.scan(empty).count() == 0
     docs = spark.createDataFrame([(1, "token=abcdefghijkl"), (1, "token=abcdefghijkl"), (2, None)], "doc_id long, text string").withColumn("spans", F.lit("mine"))
@@ -191,7 +231,7 @@ def test_leaks_equal_brute_force(spark, monkeypatch):
     d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
     want = leaks_brute(docs, items)
     assert sorted(map(tuple, leaks.decontaminate(d, b).collect()), key=repr) == want
-    monkeypatch.setattr(leaks, "MAX_BROADCAST_ANCHORS", 0)  # the way for large benchmarks
+    monkeypatch.setattr(leaks, "MAX_BROADCAST_ANCHORS", 16)  # several parts, as for large benchmarks
     assert sorted(map(tuple, leaks.decontaminate(d, b).collect()), key=repr) == want
     assert leaks.clean(d, b).count() == sum(not r[-1] for r in want)
     nothing = b.limit(0)
