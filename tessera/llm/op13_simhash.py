@@ -249,8 +249,9 @@ def near_duplicates(docs: DataFrame, dense: int = DENSE) -> DataFrame:
     label = components(edges).distinct()
     root = common.written(own.join(label, own.fp == label.node, "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root"), F.col("root").isNotNull().alias("linked")))
     # a fingerprint that stands alone needs no join: its smallest id is at hand
-    least = root.where("linked").groupBy("root").agg(F.min("least").alias("component_id"))
-    named = root.join(least, "root", "left").select("fp", "n", F.when(F.col("linked"), F.col("component_id")).otherwise(F.col("least")).alias("component_id"))
+    least = common.written(root.where("linked").groupBy("root").agg(F.min("least").alias("component_id")))
+    few = least.limit(common.MAX_BROADCAST_IDS + 1).count() <= common.MAX_BROADCAST_IDS
+    named = root.join(F.broadcast(least) if few else least, "root", "left").select("fp", "n", F.when(F.col("linked"), F.col("component_id")).otherwise(F.col("least")).alias("component_id"))
     named = common.written(named)
     total = named.agg(F.sum("n")).first()[0] or 0
     hot = F.broadcast(named.where(F.col("n") > max(1, total * HOT_SHARE)).select("fp", F.struct("component_id").alias("known")))  # at most 1 / HOT_SHARE rows
