@@ -1,8 +1,8 @@
 """index, query and verify over stored generations of a source tree.
 
 A generation is a set of Parquet tables under ``generation_id=...``; it becomes
-active by the atomic rename of one small pointer file, after its validations
-passed. Queries fuse BM25, exact symbols and one hop of the call graph by
+active by one entry in a log of states (``operators.sinks.Log``), after its
+validations passed. Queries fuse BM25, exact symbols and one hop of the call graph by
 reciprocal rank and pack the winners into a byte budget; a packet carries the
 literal text, spans and hashes, so that it can be verified against the sources
 later on.
@@ -12,10 +12,7 @@ from __future__ import annotations
 
 import hashlib
 import json
-import math
 import os
-import re
-import shutil
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,15 +21,24 @@ from pyspark.sql.window import Window
 
 from tessera import runtime
 from tessera.functions import documents, identity, spans
-from tessera.operators import graph, ranking, resolve, search, segment, storage
+from tessera.functions.fold import fold
+from tessera.operators import admission, graph, intervals, ownership, packets, ranking, resolve, search, segment, sinks, storage
 from tessera.sources import syntax, tree
 
 KEEP_GENERATIONS = 3
-# Fixed values of packets: candidates, bytes kept for the last counts, bounds of what may be asked.
-CANDIDATES, RESERVE = 32, 64
-LEAST_BYTES, MOST_BYTES, MOST_FRAGMENTS, MOST_QUERY = 1024, 8192, 20, 1024
+MOST_QUERY = 1024
 TABLES = ("files", "entities", "chunks", "calls", "relations", "postings", "lengths")
-STATUSES = ("OK", "EMPTY", "BUDGET_EXHAUSTED")
+#: What holds in each generation.
+CONSTRAINTS = [
+    admission.Unique("files", ("file_id",)),
+    admission.Unique("entities", ("entity_id",)),
+    admission.Unique("chunks", ("chunk_id",)),
+    admission.Reference("chunks", ("file_id",), "files", ("file_id",)),
+    admission.Reference("entities", ("file_id",), "files", ("file_id",)),
+    admission.Reference("entities", ("parent_id",), "entities", ("entity_id",)),
+    admission.Reference("relations", ("source_id",), "entities", ("entity_id",)),
+    admission.Reference("relations", ("target_id",), "entities", ("entity_id",)),
+]
 
 
 canonical, strict_json = documents.canonical, documents.strict
@@ -42,24 +48,13 @@ class Engine:
     def __init__(self, spark: SparkSession, repo: str, store: str):
         self.spark, self.repo, self.store = spark, os.path.realpath(repo), store
         self.repo_id = "repo_" + hashlib.sha256(self.repo.encode()).hexdigest()[:16]
-        os.makedirs(store, exist_ok=True)
+        self.log = sinks.Log(spark, f"{store}/_log")
         runtime.ship(spark)
 
     # ---- generations
 
     def _pointer(self) -> dict:
-        try:
-            with open(f"{self.store}/active.json", "rb") as f:
-                return strict_json(f.read())
-        except FileNotFoundError:
-            return {"active": None, "history": []}
-
-    def _point(self, state: dict) -> None:
-        with open(f"{self.store}/active.json.new", "wb") as f:
-            f.write(canonical(state))
-            f.flush()
-            os.fsync(f.fileno())
-        os.replace(f"{self.store}/active.json.new", f"{self.store}/active.json")
+        return self.log.state()[1] or {"active": None, "history": []}
 
     def table(self, name: str, generation: str | None = None) -> DataFrame:
         generation = generation or self._pointer()["active"]
@@ -74,7 +69,8 @@ class Engine:
         """Scan, parse, resolve, store, validate, activate; an unchanged tree is reused."""
         files = tree.read(self.spark, self.repo).persist()
         try:
-            snap, state = self.snapshot(files), self._pointer()
+            snap, (after, state) = self.snapshot(files), self.log.state()
+            state = state or {"active": None, "history": []}
             if state["active"] and state["history"][-1]["snapshot"] == snap:
                 return {"status": "REUSED", "generation_id": state["active"], "snapshot_sha256": snap}
             sequence = 1 + max([h["sequence"] for h in state["history"]], default=0)
@@ -86,7 +82,9 @@ class Engine:
             if self.snapshot(tree.read(self.spark, self.repo)) != snap:
                 raise ValueError("SOURCE_CHANGED: the tree changed while it was indexed")
             history = state["history"] + [{"generation_id": generation, "sequence": sequence, "snapshot": snap, "created_at": datetime.now(timezone.utc).isoformat(timespec="seconds"), "metadata": documents.encoded(made)}]
-            self._point({"active": generation, "history": history[-KEEP_GENERATIONS:]})
+            if not self.log.commit(after, {"active": generation, "history": history[-KEEP_GENERATIONS:]}):
+                raise RuntimeError("CONFLICT: another writer made a generation active meanwhile")
+            self.log.forget(KEEP_GENERATIONS)
             self.delete_retired()
             return {"status": "INDEXED", "generation_id": generation, "snapshot_sha256": snap, "files": files.count()}
         finally:
@@ -97,11 +95,10 @@ class Engine:
         keep = {h["generation_id"] for h in self._pointer()["history"]}
         gone = set()
         for name in TABLES:
-            at = f"{self.store}/{name}"
-            for entry in sorted(os.listdir(at)) if os.path.isdir(at) else []:
+            for entry in self.log.children(f"{self.store}/{name}"):
                 generation = entry.removeprefix("generation_id=")
                 if entry.startswith("generation_id=") and generation not in keep:
-                    shutil.rmtree(f"{at}/{entry}")
+                    self.log.delete(f"{self.store}/{name}/{entry}")
                     gone.add(generation)
         return sorted(gone)
 
@@ -114,10 +111,8 @@ class Engine:
         e = e.withColumn("entity_id", identity.entity_id(F.col("file_id"), F.col("identity"), F.col("kind")))
         parent = e.where("kind <> 'MODULE'").select("rel_path", F.col("identity").alias("parent"), F.col("entity_id").alias("parent_id"))
         put(e.join(parent, ["rel_path", "parent"], "left").select("entity_id", "file_id", "rel_path", "name", "qualified_name", "identity", "accessor", "kind", "parent_id", "span", "docstring"), "entities")
-        whole = files.select("rel_path", file_id.alias("file_id"), F.lit(generation).alias("generation_id"), "content").where("content <> ''")
-        whole = whole.withColumn("span", spans.whole(F.col("content"))).withColumn("content_hash", identity.sha256(F.col("content"))).withColumn("chunk_id", F.lit(""))
         entities = self.table("entities", generation)
-        put(self._owned(segment.bound(whole).drop("generation_id"), entities), "chunks")
+        put(self._owned(segment.bound(self._pieces(files.withColumn("file_id", file_id), entities, generation)).drop("generation_id", "ordinal"), entities), "chunks")
         chunks = self.table("chunks", generation).withColumn("generation_id", F.lit(generation))
         put(search.postings(chunks).drop("generation_id").sort("trigram"), "postings")
         put(search.corpus_stats(chunks, [], ["generation_id"]).drop("generation_id"), "lengths")
@@ -135,23 +130,41 @@ class Engine:
         top = stored.where("parent_id IS NULL AND module_id IS NOT NULL").select(F.col("module_id").alias("source_id"), F.col("entity_id").alias("target_id"))
         put(edges.unionByName(defines.unionByName(top).select("source_id", "target_id", F.lit("DEFINES").alias("rel_type"), F.lit("EXACT").alias("trust_class"), F.lit("syntax").alias("reason"))), "relations")
 
+    @staticmethod
+    def _pieces(files: DataFrame, entities: DataFrame, generation: str) -> DataFrame:
+        """Each file as what its definitions own; a file whose definitions can't be dealt out is one piece."""
+        starts = F.transform(segment.prefix_sums(F.transform(F.split("content", "\n", -1), lambda x: F.octet_length(x).cast("long") + 1)), lambda x: x)
+        texts = runtime.settled(files.select("file_id", "rel_path", "content", starts.alias("starts")).where("content <> ''"))
+        e = entities.join(texts.select("file_id", "starts", F.octet_length("content").cast("long").alias("n")), "file_id")
+        at = lambda line, col: segment.offset_of(F.col("starts"), F.col(f"span.{line}"), F.col(f"span.{col}")).cast("long")
+        module = F.col("kind") == "MODULE"
+        own = F.first_value(F.when(module, F.col("entity_id")), ignoreNulls=True).over(Window.partitionBy("file_id").orderBy(F.desc(module.cast("int"))))
+        # decorators and comments before a definition can put siblings on one place: what stands there is told as a fault
+        d = e.select("file_id", "entity_id", "kind", F.when(~module, F.coalesce("parent_id", own)).alias("parent_id"), F.when(module, 0).otherwise(at("start_line", "start_col")).alias("start"), F.when(module, F.col("n")).otherwise(F.least(at("end_line", "end_col"), F.col("n"))).alias("end"))
+        d = runtime.settled(d)
+        bad = ownership.faults(d).select("file_id").unionByName(d.where("start IS NULL OR end IS NULL").select("file_id")).distinct()
+        sound = d.join(bad, "file_id", "left_anti")
+        pieces = ownership.owned(texts.select("file_id", "content"), sound).select("file_id", "start", "content")
+        undealt = texts.join(sound.select("file_id").distinct(), "file_id", "left_anti").select("file_id", F.lit(0).cast("long").alias("start"), "content")
+        placed = pieces.unionByName(undealt).join(texts.select("file_id", "rel_path", "starts"), "file_id").withColumn("p", segment.point_of(F.col("starts"), F.col("start")))
+        out = placed.select("file_id", "rel_path", F.lit(generation).alias("generation_id"), "content", spans.of(F.col("content"), F.col("p.line"), F.col("p.col")).alias("span"))
+        return out.withColumn("content_hash", identity.sha256(F.col("content"))).withColumn("chunk_id", F.lit(""))
+
     @staticmethod
     def _owned(chunks: DataFrame, entities: DataFrame) -> DataFrame:
         """chunks with entity_ids: the definitions that overlap each, those that begin in it first, then the shorter."""
         e = entities.where("kind <> 'MODULE'").select("file_id", "entity_id", F.col("span").alias("_own"))
-        both = chunks.select("chunk_id", "file_id", "span").join(e, "file_id").where(spans.overlaps(F.col("_own"), F.col("span")))
+        both = intervals.overlap_join(chunks.select("chunk_id", "file_id", "span"), e, ["file_id"], intervals.ends(F.col("span")), intervals.ends(F.col("_own")))
         order = F.struct(F.when(spans.contains_start(F.col("span"), F.col("_own")), 0).otherwise(1).alias("o"), (F.col("_own.end_line") - F.col("_own.start_line")).alias("n"), spans.start(F.col("_own")).alias("s"), "entity_id")
         ids = both.groupBy("chunk_id").agg(F.transform(F.array_sort(F.collect_list(order)), lambda x: x["entity_id"]).alias("entity_ids"))
         return chunks.join(ids, "chunk_id", "left").withColumn("entity_ids", F.coalesce("entity_ids", F.array().cast("array<string>")))
 
     def _validate(self, generation: str) -> None:
-        chunks, files, entities, relations = (self.table(t, generation) for t in ("chunks", "files", "entities", "relations"))
-        if not storage.repeated_keys(chunks, ["chunk_id"]).isEmpty():
-            raise ValueError("INDEX_INCOHERENT: repeated chunk id")
-        if not chunks.join(files, "file_id", "left_anti").isEmpty():
-            raise ValueError("INDEX_INCOHERENT: chunk without a file")
-        if not relations.join(entities.withColumnRenamed("entity_id", "target_id"), "target_id", "left_anti").isEmpty():
-            raise ValueError("INDEX_INCOHERENT: relation without a target")
+        tables = {t: self.table(t, generation) for t in ("chunks", "files", "entities", "relations")}
+        broken = admission.violations(tables, CONSTRAINTS).collect()  # a row a constraint
+        if broken:
+            raise ValueError("INDEX_INCOHERENT: " + "; ".join(f"{r['constraint']}: {r['broken']}, such as {r['example']}" for r in broken))
+        chunks = tables["chunks"]
         if not storage.symmetric_difference(self.table("postings", generation).select("chunk_id").distinct(), chunks.where(F.length("content") > 2).select("chunk_id"), "index", "chunks").isEmpty():
             raise ValueError("INDEX_INCOHERENT: postings are not those of the chunks")
         bad = chunks.withColumn("generation_id", F.lit(generation)).where(~storage.chunk_is_literal())
@@ -198,13 +211,13 @@ class Engine:
             return chunk_ids.select("chunk_id", F.lit(None).cast(spans.TYPE).alias("symbol_span"))
         entities = self.table("entities")
         found = resolve.exact_candidates(entities, name).join(entities, "entity_id").select("file_id", F.col("span").alias("own"))
-        both = chunk_ids.join(found, "file_id").where(spans.overlaps(F.col("own"), F.col("span")))
+        both = intervals.overlap_join(chunk_ids.select("chunk_id", "file_id", "span"), found, ["file_id"], intervals.ends(F.col("span")), intervals.ends(F.col("own")))
         widest = F.max_by("own", F.struct(F.col("own.end_line") - F.col("own.start_line"), -F.col("own.start_line"), F.col("own.end_col")))
         return both.groupBy("chunk_id").agg(widest.alias("symbol_span"))
 
     def query(self, text: str, budget: int = 4096, limit: int = 5, literal: bool = False) -> dict:
         """A packet of at most ``budget`` bytes; the index is refreshed first if the sources changed."""
-        if type(budget) is not int or not LEAST_BYTES <= budget <= MOST_BYTES or type(limit) is not int or not 1 <= limit <= MOST_FRAGMENTS:
+        if type(budget) is not int or not packets.LEAST_BYTES <= budget <= packets.MOST_BYTES or type(limit) is not int or not 1 <= limit <= packets.MOST_FRAGMENTS:
             raise ValueError("INVALID_ARGUMENT")
         if not isinstance(text, str) or not text.strip() or len(text.encode("utf-8", "surrogatepass")) > MOST_QUERY or any(0xD800 <= ord(c) < 0xE000 for c in text):
             raise ValueError("INVALID_ARGUMENT")
@@ -213,196 +226,55 @@ class Engine:
         refreshed = self.index()["status"] == "INDEXED"
         chunks, files = self.table("chunks"), self.table("files").select("rel_path", F.col("content_hash").alias("file_sha256"))
         if literal:
-            hits = chunks.where(F.contains(F.lower("content"), F.lit(text.lower()))).withColumns({"score": F.lit(1.0), "reason": F.lit("literal")})
+            hits = chunks.where(F.contains(fold("content"), F.lit(text.casefold()))).withColumns({"score": F.lit(1.0), "reason": F.lit("literal")})
         else:
-            signals = self._signals(text, CANDIDATES)
+            signals = self._signals(text, packets.CANDIDATES)
             hits = chunks.join(ranking.fuse(signals), "chunk_id") if signals is not None else chunks.limit(0).withColumns({"score": F.lit(1.0), "reason": F.lit("")})
-        top = runtime.settled(hits.join(files, "rel_path").orderBy(F.desc("score"), "rel_path", "span", "content_hash").limit(CANDIDATES))
-        rows = top.join(self._symbols(top, "" if literal else text), "chunk_id", "left").orderBy(F.desc("score"), "rel_path", "span", "content_hash").collect()
-        return self._pack([r.asDict(recursive=True) for r in rows], budget, limit, refreshed)
-
-    def _source(self, path: str) -> bytes | None:
-        """A file of the tree as it is now; None if there is none, or the path leads out."""
-        full = os.path.realpath(os.path.join(self.repo, path))
-        if not full.startswith(self.repo + os.sep) or not os.path.isfile(full):
-            return None
-        return documents.artifact(full, storage.MAX_FILE_BYTES)
-
-    def _pack(self, rows: list[dict], budget: int, limit: int, refreshed: bool) -> dict:
-        packet = {
+        top = runtime.settled(hits.join(files, "rel_path").orderBy(F.desc("score"), "rel_path", "span", "content_hash").limit(packets.CANDIDATES))
+        rank = F.row_number().over(Window.orderBy(F.desc("score"), "rel_path", "span", "content_hash"))  # of at most CANDIDATES rows
+        ranked = top.join(self._symbols(top, "" if literal else text), "chunk_id", "left").withColumn("rank", rank)
+        return self._packet(packets.rows_of(ranked, self._now(top.select("rel_path")), budget, limit), budget, limit, refreshed)
+
+    def _now(self, paths: DataFrame) -> DataFrame:
+        """rel_path, now: the present texts of the files named (rel_path), of those that are there; no other file is read."""
+        names = paths.distinct().limit(tree.MAX_NAMED + 1).collect()
+        files = tree.read(self.spark, self.repo).select("rel_path", F.col("content").alias("now"))
+        if len(names) <= tree.MAX_NAMED:
+            return files.where(F.col("rel_path").isin([r["rel_path"] for r in names]))
+        return files.join(paths.distinct(), "rel_path", "left_semi")
+
+    def _packet(self, rows: DataFrame, budget: int, limit: int, refreshed: bool) -> dict:
+        told = runtime.settled(rows)
+        place = told.where("taken").select(F.explode("places").alias("p")).select("p.path", "p.span", "p.symbol_span")
+        whole = {(r["path"], *r["symbol_span"]): r["whole"] for r in packets.covered(place, []).collect()}
+        every = told.orderBy("rank").collect()  # at most CANDIDATES
+
+        def placed(p) -> dict:
+            symbol = list(p["symbol_span"]) if p["symbol_span"] else None
+            return {"path": p["path"], "span": list(p["span"]), "file_sha256": p["file_sha256"], "coverage": {"symbol_span": symbol, "complete": bool(symbol and whole[(p["path"], *symbol)])}}
+
+        selected = [placed(r["places"][0]) | {"source": r["source"], "source_sha256": r["source_sha256"], "reason": r["reason"], "score": r["score"], "aliases": [placed(p) for p in r["places"][1:]]} for r in every if r["taken"]]
+        left = sum(not r["taken"] for r in every)
+        full = bool(every) and every[0]["full"]
+        return {
             "schema": "tessera-packet",
             "version": 2,
-            "status": "OK",
+            "status": "OK" if selected else "BUDGET_EXHAUSTED" if every else "EMPTY",
             "snapshot_sha256": self._pointer()["history"][-1]["snapshot"],
             "refreshed": refreshed,
-            "limits": {"packet_bytes": budget, "fragments": limit, "candidates": CANDIDATES, "unit": "UTF-8 bytes"},
-            "selected": [],
-            "omitted": {"duplicate": 0, "budget": 0, "limit": 0},
+            "limits": {"packet_bytes": budget, "fragments": limit, "candidates": packets.CANDIDATES, "unit": "UTF-8 bytes"},
+            "selected": selected,
+            "omitted": {"duplicate": sum(len(r["aliases"]) for r in selected), "budget": 0 if full else left, "limit": left if full else 0},
         }
-        fits = lambda: len(canonical(packet)) + RESERVE <= budget
-        owner: dict[str, dict] = {}
-        files: dict[str, bytes | None] = {}
-        whole: set[tuple] = set()
-        for r in rows:
-            path = r["rel_path"]
-            if path not in files:
-                files[path] = self._source(path)
-            raw, span = files[path], _points(r["span"])
-            # what was stored is read again: an edit since then must not be sent as present
-            if raw is None or literal_of(raw, span) != r["content"].encode() or hashlib.sha256(raw).hexdigest() != r["file_sha256"]:
-                raise ValueError("PROVENANCE_MISMATCH")
-            symbol = _points(r["symbol_span"]) if r["symbol_span"] else None
-            if symbol and (path, *symbol) in whole:
-                continue  # its symbol is there as a whole
-            row = _row(path, span, r["content"], r["file_sha256"], symbol) | {"reason": r["reason"], "score": round(r["score"], 9)}
-            if symbol and (body := literal_of(raw, symbol)) is not None:
-                full = _row(path, symbol, body.decode("utf-8"), r["file_sha256"], symbol) | {"reason": row["reason"], "score": row["score"]}
-                # an equal text costs an alias only
-                into, extra = (owner[full["source_sha256"]]["aliases"], _place(full)) if full["source_sha256"] in owner else (packet["selected"], full)
-                into.append(extra)
-                if fits():
-                    row = full
-                    whole.add((path, *symbol))
-                into.pop()
-            left_out = None
-            if row["source_sha256"] in owner:
-                aliases = owner[row["source_sha256"]]["aliases"]
-                aliases.append(_place(row))
-                left_out = "duplicate"
-                if not fits():
-                    aliases.pop()
-                    left_out = "budget"
-            elif len(packet["selected"]) >= limit:
-                left_out = "limit"
-            else:
-                packet["selected"].append(row)
-                if fits():
-                    owner[row["source_sha256"]] = row
-                else:
-                    packet["selected"].pop()
-                    left_out = "budget"
-            if left_out:
-                packet["omitted"][left_out] += 1
-        packet["status"] = "OK" if packet["selected"] else "BUDGET_EXHAUSTED" if rows else "EMPTY"
-        for place in _places(packet):
-            place["coverage"]["complete"] = covers(packet, place)
-        return packet
 
     def verify(self, packet: dict) -> str:
-        """OK, or the first reason why the packet doesn't hold against the present sources."""
+        """OK, or what a packet is told against the present sources."""
         try:
-            if not well_formed(packet):
-                return "INVALID_PACKET"
-        except (KeyError, TypeError, ValueError, AttributeError):
-            return "INVALID_PACKET"
-        by_path: dict[str, list] = {}
-        for row in packet["selected"]:
-            for place in (row, *row["aliases"]):
-                by_path.setdefault(place["path"], []).append((row, place))
-        for path, places in by_path.items():  # one read a file
-            raw = self._source(path)
-            if raw is None:
-                return "SOURCE_UNAVAILABLE"
-            for row, place in places:
-                if hashlib.sha256(raw).hexdigest() != place["file_sha256"]:
-                    return "STALE_SOURCE"
-                body = literal_of(raw, place["span"])
-                symbol = place["coverage"]["symbol_span"]
-                if body is None or symbol and literal_of(raw, symbol) is None:
-                    return "INVALID_SPAN"
-                if body != row["source"].encode() or hashlib.sha256(body).hexdigest() != row["source_sha256"]:
-                    return "PROVENANCE_MISMATCH"
-        return "OK"
-
-
-# ---- packets
-
-
-def _points(span: dict) -> list[int]:
-    return [span["start_line"], span["start_col"], span["end_line"], span["end_col"]]
-
-
-def _row(path: str, span: list[int], source: str, file_sha256: str, symbol: list[int] | None) -> dict:
-    return {"path": path, "span": span, "source": source, "source_sha256": hashlib.sha256(source.encode()).hexdigest(), "file_sha256": file_sha256, "aliases": [], "coverage": {"symbol_span": symbol, "complete": False}}
-
-
-def _place(row: dict) -> dict:
-    return {k: row[k] for k in ("path", "span", "file_sha256", "coverage")}
-
-
-def _places(packet: dict) -> list[dict]:
-    return [p for row in packet["selected"] for p in (row, *row["aliases"])]
-
-
-def literal_of(raw: bytes, span: list[int]) -> bytes | None:
-    """The bytes of a span; None if it is not in the file."""
-    lines = raw.split(b"\n")
-    a, b, c, d = span
-    if not (1 <= a <= c <= len(lines) and 0 <= b <= len(lines[a - 1]) and 0 <= d <= len(lines[c - 1]) and (a, b) <= (c, d)):
-        return None
-    starts = [0]
-    for line in lines[: c - 1]:
-        starts.append(starts[-1] + len(line) + 1)
-    return raw[starts[a - 1] + b : starts[c - 1] + d]
-
-
-def covers(packet: dict, place: dict) -> bool:
-    """Whether the packet's pieces of that file leave no gap in the place's symbol."""
-    if place["coverage"]["symbol_span"] is None:
-        return False
-    a, b, c, d = place["coverage"]["symbol_span"]
-    reached = (a, b)
-    for s in sorted(tuple(p["span"]) for p in _places(packet) if p["path"] == place["path"]):
-        if s[:2] <= reached < s[2:]:
-            reached = s[2:]
-    return reached >= (c, d)
-
-
-_DIGEST = re.compile(r"[0-9a-f]{64}")
-_PACKET = {"schema", "version", "status", "snapshot_sha256", "refreshed", "limits", "selected", "omitted"}
-_PLACE = {"path", "span", "file_sha256", "coverage"}
-_ROW = _PLACE | {"source", "source_sha256", "reason", "score", "aliases"}
-
-
-def well_formed(packet: dict) -> bool:
-    """Whether a packet has the shape, bounds and counts of one that query makes; no source is read."""
-    whole = lambda x, low, high: type(x) is int and low <= x <= high
-    digest = lambda x: isinstance(x, str) and _DIGEST.fullmatch(x) is not None
-    path = lambda x: isinstance(x, str) and bool(x) and x[0] != "/" and "\\" not in x and "\x00" not in x and not {"", ".", ".."} & set(x.split("/"))
-    span = lambda x: isinstance(x, list) and len(x) == 4 and all(type(v) is int and v >= 0 for v in x) and x[0] >= 1 and tuple(x[:2]) <= tuple(x[2:])
-    if set(packet) != _PACKET or packet["schema"] != "tessera-packet" or packet["version"] != 2 or packet["status"] not in STATUSES:
-        return False
-    limits, omitted, selected = packet["limits"], packet["omitted"], packet["selected"]
-    if not digest(packet["snapshot_sha256"]) or type(packet["refreshed"]) is not bool or set(limits) != {"packet_bytes", "fragments", "candidates", "unit"}:
-        return False
-    if not whole(limits["packet_bytes"], LEAST_BYTES, MOST_BYTES) or not whole(limits["fragments"], 1, MOST_FRAGMENTS) or limits["candidates"] != CANDIDATES or limits["unit"] != "UTF-8 bytes":
-        return False
-    if set(omitted) != {"duplicate", "budget", "limit"} or not all(whole(v, 0, CANDIDATES) for v in omitted.values()):
-        return False
-    if not isinstance(selected, list) or len(selected) > limits["fragments"] or len(selected) + sum(omitted.values()) > CANDIDATES:
-        return False
-    left = {"OK": bool(selected), "EMPTY": not selected and not any(omitted.values()), "BUDGET_EXHAUSTED": not selected and omitted["budget"] > 0 and omitted["duplicate"] == omitted["limit"] == 0}
-    if not left[packet["status"]]:
-        return False
-    files: dict[str, str] = {}
-    seen, bodies, aliases = set(), set(), 0
-    for row in selected:
-        if set(row) != _ROW or not isinstance(row["source"], str) or not digest(row["source_sha256"]) or not isinstance(row["reason"], str) or not row["reason"]:
-            return False
-        if type(row["score"]) not in (int, float) or not math.isfinite(row["score"]) or not isinstance(row["aliases"], list) or row["source_sha256"] in bodies:
-            return False
-        bodies.add(row["source_sha256"])
-        aliases += len(row["aliases"])
-        for place in (row, *row["aliases"]):
-            if place is not row and set(place) != _PLACE or not path(place["path"]) or not span(place["span"]) or not digest(place["file_sha256"]):
-                return False
-            told = place["coverage"]
-            if set(told) != {"symbol_span", "complete"} or type(told["complete"]) is not bool or not (told["symbol_span"] is None or span(told["symbol_span"])):
-                return False
-            key = (place["path"], *place["span"])
-            if key in seen or files.setdefault(place["path"], place["file_sha256"]) != place["file_sha256"]:
-                return False
-            seen.add(key)
-    if aliases != omitted["duplicate"] or any(covers(packet, p) != p["coverage"]["complete"] for p in _places(packet)):
-        return False
-    return len(canonical(packet)) <= limits["packet_bytes"]
+            text = canonical(packet).decode("utf-8")
+        except (TypeError, ValueError):
+            return packets.VERDICTS[0]
+        return self.verify_all(self.spark.createDataFrame([(0, text)], "packet_id int, packet string")).first()["verdict"]
+
+    def verify_all(self, table: DataFrame) -> DataFrame:
+        """packet_id, verdict of many packets (packet_id, packet: JSON text); each file they name is read once."""
+        return packets.verdicts(table, lambda paths: self._now(paths.select(F.col("path").alias("rel_path"))))

@@ -12,12 +12,14 @@ import hashlib
 import os
 import subprocess
 
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, In, InputPartition
 
 from tessera.operators.storage import EXCLUDED_DIRS, EXCLUDED_SUFFIXES, MAX_FILE_BYTES
 
 MAX_FILES, MAX_DIRS = 100_000, 100_000
 FILES_A_TASK = 256
+#: Endings of files that must be text.
+CODE_SUFFIXES = (".py", ".js", ".jsx", ".ts", ".tsx")
 
 
 def allowed(path: str) -> bool:
@@ -105,11 +107,40 @@ class _Part(InputPartition):
         self.paths = paths
 
 
+#: Files that may be named in a filter; more are met by a join.
+MAX_NAMED = 10_000
+
+
 class _Reader(DataSourceReader):
+    """Lists and reads; a filter that names files leaves only these to be listed and opened."""
+
     def __init__(self, root: str):
         self.root = root
+        self.named: set[str] | None = None
+
+    def pushFilters(self, filters):
+        for f in filters:
+            values = list(f.value) if isinstance(f, In) else [f.value] if isinstance(f, EqualTo) else None
+            if values is not None and f.attribute == ("rel_path",):
+                self.named = set(values) if self.named is None else self.named & set(values)
+            else:
+                yield f
+
+    def _named(self) -> list[str]:
+        """Of the files named those that a listing would give."""
+        top = os.path.realpath(self.root)
+        out = []
+        for path in sorted(self.named):
+            full = os.path.join(top, path)
+            inside = path and not path.startswith("/") and os.path.realpath(full) == full and full.startswith(top + os.sep)
+            if inside and allowed(path) and os.path.isfile(full):
+                out.append(path)
+        return out
 
     def partitions(self):
+        if self.named is not None:
+            paths = self._named()
+            return [_Part(paths[i : i + FILES_A_TASK]) for i in range(0, len(paths), FILES_A_TASK)] or [_Part([])]
         paths = git_candidates(self.root) if os.path.isdir(os.path.join(self.root, ".git")) else None
         paths = candidates(self.root) if paths is None else paths
         return [_Part(paths[i : i + FILES_A_TASK]) for i in range(0, len(paths), FILES_A_TASK)] or [_Part([])]
@@ -121,7 +152,10 @@ class _Reader(DataSourceReader):
                 raise ValueError(f"{path} exceeds {MAX_FILE_BYTES} bytes")
             with open(full, "rb") as f:
                 raw = f.read(MAX_FILE_BYTES + 1)
-            if not looks_binary(raw):
+            if looks_binary(raw):
+                if path.lower().endswith(CODE_SUFFIXES):
+                    raise ValueError(f"{path} has the name of a source file and is binary")
+            else:
                 yield path, raw.decode("utf-8"), hashlib.sha256(raw).hexdigest(), len(raw)
 
 
@@ -140,5 +174,6 @@ class SourceTree(DataSource):
 
 
 def read(spark, path: str):
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(SourceTree)
     return spark.read.format("source_tree").load(path)
