@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera import runtime
+from tessera.functions.fold import fold
 
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 MIN_TERM, MAX_TERMS = 3, 64
@@ -35,9 +36,9 @@ def phrases(terms: list[str]) -> list[str]:
 
 
 def terms_column(text: Column) -> Column:
-    """query_terms over a column (lower case in place of case folding)."""
+    """query_terms over a column."""
     words = F.filter(F.regexp_extract_all(text, F.lit(r"(?U)[\w/.\-]+"), F.lit(0)), lambda t: F.length(t) >= MIN_TERM)
-    low = F.transform(words, lambda t: F.lower(t))
+    low = F.transform(words, fold)
     return F.slice(F.transform(F.array_distinct(low), lambda t: F.get(words, F.array_position(low, t).cast("int") - 1)), 1, MAX_TERMS)
 
 
@@ -48,16 +49,16 @@ def occurrences(text: Column, phrase: str) -> Column:
 
 def matching(chunks: DataFrame, phrase_list: list[str], content: str = "content") -> DataFrame:
     """Chunks that hold one of the phrases, with counts f0, f1, ...; all of one scan."""
-    low = F.lower(content)
-    counted = chunks.withColumns({f"f{i}": occurrences(low, p.lower()) for i, p in enumerate(phrase_list)})
+    low = fold(content)
+    counted = chunks.withColumns({f"f{i}": occurrences(low, p.casefold()) for i, p in enumerate(phrase_list)})
     return counted.where(F.greatest(*[F.col(f"f{i}") for i in range(len(phrase_list))], F.lit(0)) > 0)
 
 
 def corpus_stats(chunks: DataFrame, phrase_list: list[str], by: list[str], content: str = "content") -> DataFrame:
     """n_docs, avg_len and each phrase's df (n0, n1, ...) of each corpus."""
-    low = F.lower(content)
+    low = fold(content)
     length = F.greatest(F.length(content) - 2, F.lit(0))
-    held = [F.count_if(F.contains(low, F.lit(p.lower()))).alias(f"n{i}") for i, p in enumerate(phrase_list)]
+    held = [F.count_if(F.contains(low, F.lit(p.casefold()))).alias(f"n{i}") for i, p in enumerate(phrase_list)]
     return chunks.groupBy(*by).agg(F.count("*").alias("n_docs"), F.avg(length).alias("avg_len"), *held)
 
 
@@ -75,10 +76,8 @@ def bm25(chunks: DataFrame, phrase_list: list[str], by: list[str] = (), content:
 
 
 def trigrams(text: Column) -> Column:
-    """The distinct trigrams of folded text."""
-    low = F.lower(text)
-    n = F.length(low) - 2
-    return F.when(n > 0, F.array_distinct(F.transform(F.sequence(F.lit(1), n), lambda i: F.substring(low, i, F.lit(3))))).otherwise(F.array().cast("array<string>"))
+    """The distinct trigrams of folded text, in one pass over it."""
+    return F.array_distinct(F.regexp_extract_all(fold(text), F.lit(r"(?s)(?=(.{3}))"), F.lit(1)))
 
 
 def postings(chunks: DataFrame, content: str = "content") -> DataFrame:
@@ -88,7 +87,7 @@ def postings(chunks: DataFrame, content: str = "content") -> DataFrame:
 
 def candidates(index: DataFrame, phrase_list: list[str]) -> DataFrame:
     """generation_id, chunk_id of chunks that hold all trigrams of one of the phrases; phrases under three characters have none."""
-    sought = [sorted({p.lower()[i : i + 3] for i in range(len(p) - 2)}) for p in phrase_list]
+    sought = [sorted({p.casefold()[i : i + 3] for i in range(len(p.casefold()) - 2)}) for p in phrase_list]
     every = sorted({t for s in sought for t in s})
     if not every:
         return index.select("generation_id", "chunk_id").limit(0)
@@ -149,7 +148,7 @@ def short_literal(chunks: DataFrame, terms: list[str], order: list, content: str
     some = byte_prefix(chunks, ["chunk_id"], F.octet_length(content), SHORT_CHUNKS, SHORT_BYTES)
     held = F.lit(False)
     for t in terms:
-        held = held | F.contains(F.lower(content), F.lit(t.lower()))
+        held = held | F.contains(fold(content), F.lit(t.casefold()))
     return some.where(held).withColumn("score", F.lit(1.0)).orderBy(*order)
 
 

@@ -23,4 +23,4 @@ def query(name: str, sql: str | None = None, with_model: bool = True):
 
 
 def load() -> None:
-    from tessera.plans import graph_queries, pack_queries, scan_queries, search_queries  # noqa: F401
+    from tessera.plans import graph_queries, pack_queries, scan_queries, search_queries, store_queries  # noqa: F401

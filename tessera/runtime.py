@@ -41,9 +41,8 @@ def ship(spark) -> None:
     _shipped.add(sc.applicationId)
 
 
-def settled(df):
-    """``df`` written under spark.checkpoint.dir and read again; a folder of this machine only where that is unset and the master local."""
-    spark = df.sparkSession
+def shared_path(spark) -> str:
+    """A new path under spark.checkpoint.dir; a folder of this machine only where that is unset and the master local."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if not (spark.sparkContext.master + "[").startswith("local["):
@@ -52,9 +51,14 @@ def settled(df):
         atexit.register(shutil.rmtree, local, ignore_errors=True)
         root = "file://" + local
         spark.conf.set("spark.checkpoint.dir", root)
-    path = f"{root.rstrip('/')}/tessera-{uuid.uuid4().hex}"
+    return f"{root.rstrip('/')}/tessera-{uuid.uuid4().hex}"
+
+
+def settled(df):
+    """``df`` written to a new shared path and read again."""
+    path = shared_path(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def shipped(f):
