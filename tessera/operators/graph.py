@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from tessera import runtime
 from tessera.functions import spans
+from tessera.operators import intervals
 
 #: Strongest first.
 TRUST = ("EXACT", "RESOLVED", "HEURISTIC", "INFERRED")
@@ -50,11 +51,13 @@ def neighbours(relations: DataFrame, entity_ids: DataFrame, side: str, limit: in
 
 def preferred(entities: DataFrame, chunks: DataFrame) -> DataFrame:
     """entity_id, chunk_id: of the chunks of an entity's file (file_id, span) the one of exactly its span, else of those that hold its start the one of fewest lines."""
-    both = entities.select("entity_id", "file_id", F.col("span").alias("_own")).join(chunks.select("chunk_id", "file_id", "span"), "file_id")
-    own, s = F.col("_own"), F.col("span")
-    fit = F.when(own == s, 0).when(spans.contains_start(s, own), 1)
-    order = F.struct(fit, s["end_line"] - s["start_line"], spans.start(s), "chunk_id")
-    return both.where(fit.isNotNull()).groupBy("entity_id").agg(F.min_by("chunk_id", order).alias("chunk_id"))
+    own, c = entities.select("entity_id", "file_id", F.col("span").alias("_own")), chunks.select("chunk_id", "file_id", "span")
+    exact = own.join(c.withColumn("_own", F.col("span")), ["file_id", "_own"]).select("entity_id", "chunk_id", "span", F.lit(0).alias("fit"))
+    begin = intervals.ends(F.col("_own"))[0]
+    around = intervals.overlap_join(c, own, ["file_id"], intervals.ends(F.col("span")), (begin, begin + 1)).select("entity_id", "chunk_id", "span", F.lit(1).alias("fit"))
+    s = F.col("span")
+    order = F.struct("fit", s["end_line"] - s["start_line"], spans.start(s), "chunk_id")
+    return exact.unionByName(around).groupBy("entity_id").agg(F.min_by("chunk_id", order).alias("chunk_id"))
 
 
 #: Chunks that are expanded, entities of each, and bounds and weights of what is found.

@@ -23,9 +23,14 @@ def fuse(signals: DataFrame) -> DataFrame:
 
 
 def first_details(signals: DataFrame, most: int = 4) -> DataFrame:
-    """chunk_id, details: of rows (chunk_id, seq, detail) the first details in the order in which they were found."""
-    rows = F.slice(F.array_sort(F.collect_list(F.struct("seq", "detail"))), 1, most)
-    return signals.groupBy("chunk_id").agg(F.transform(rows, lambda x: x["detail"]).alias("details"))
+    """chunk_id, details: of rows (chunk_id, seq, detail) the first details in the order in which they were found.
+
+    Only the first ``most`` rows of a chunk are gathered.
+    """
+    turn = F.row_number().over(Window.partitionBy("chunk_id").orderBy("seq", "detail"))
+    few = signals.select("chunk_id", "seq", "detail", turn.alias("turn")).where(F.col("turn") <= most)
+    rows = F.array_sort(F.collect_list(F.struct("turn", "detail")))
+    return few.groupBy("chunk_id").agg(F.transform(rows, lambda x: x["detail"]).alias("details"))
 
 
 def expression(terms: Column) -> Column:

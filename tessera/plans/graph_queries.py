@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera.functions import spans
-from tessera.operators import graph, resolve
+from tessera.operators import graph, intervals, resolve
 from tessera.plans import model
 from tessera.plans.registry import query
 from tessera.sources import syntax
@@ -91,7 +91,8 @@ def span_overlap_join(spark, d):
     line = model.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber")
     a = line.select("l_orderkey", F.col("l_linenumber").alias("a"), spans.span(F.col("l_linenumber"), 0, F.col("l_linenumber") + 2, 0).alias("s"))
     b = line.select("l_orderkey", F.col("l_linenumber").alias("b"), spans.span(F.col("l_linenumber"), 0, F.col("l_linenumber") + 1, 0).alias("t"))
-    return a.join(b, "l_orderkey").where((F.col("a") < F.col("b")) & spans.overlaps(F.col("s"), F.col("t"))).select("l_orderkey", "a", "b")
+    met = intervals.overlap_join(a, b, ["l_orderkey"], intervals.ends(F.col("s")), intervals.ends(F.col("t")))
+    return met.where("a < b").select("l_orderkey", "a", "b")
 
 
 @query("call_candidates", "SELECT p_partkey, s_suppkey FROM part JOIN supplier ON p_size = s_nationkey", False)
