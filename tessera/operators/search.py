@@ -1,6 +1,7 @@
 """Full-text search: query terms, substring matching, BM25, and short literals.
 
-A phrase matches as a case-folded substring. Scores follow BM25 over trigram
+A phrase matches as a substring in lower case; words of queries and literals are
+folded in full (``functions.fold``). Scores follow BM25 over trigram
 counts with k1 = 1.2 and b = 0.75; a phrase that stands in most texts still
 counts a little (idf is at least 1e-6).
 """
@@ -49,16 +50,16 @@ def occurrences(text: Column, phrase: str) -> Column:
 
 def matching(chunks: DataFrame, phrase_list: list[str], content: str = "content") -> DataFrame:
     """Chunks that hold one of the phrases, with counts f0, f1, ...; all of one scan."""
-    low = fold(content)
-    counted = chunks.withColumns({f"f{i}": occurrences(low, p.casefold()) for i, p in enumerate(phrase_list)})
+    low = F.lower(content)
+    counted = chunks.withColumns({f"f{i}": occurrences(low, p.lower()) for i, p in enumerate(phrase_list)})
     return counted.where(F.greatest(*[F.col(f"f{i}") for i in range(len(phrase_list))], F.lit(0)) > 0)
 
 
 def corpus_stats(chunks: DataFrame, phrase_list: list[str], by: list[str], content: str = "content") -> DataFrame:
     """n_docs, avg_len and each phrase's df (n0, n1, ...) of each corpus."""
-    low = fold(content)
+    low = F.lower(content)
     length = F.greatest(F.length(content) - 2, F.lit(0))
-    held = [F.count_if(F.contains(low, F.lit(p.casefold()))).alias(f"n{i}") for i, p in enumerate(phrase_list)]
+    held = [F.count_if(F.contains(low, F.lit(p.lower()))).alias(f"n{i}") for i, p in enumerate(phrase_list)]
     return chunks.groupBy(*by).agg(F.count("*").alias("n_docs"), F.avg(length).alias("avg_len"), *held)
 
 
@@ -77,7 +78,7 @@ def bm25(chunks: DataFrame, phrase_list: list[str], by: list[str] = (), content:
 
 def trigrams(text: Column) -> Column:
     """The distinct trigrams of folded text, in one pass over it."""
-    return F.array_distinct(F.regexp_extract_all(fold(text), F.lit(r"(?s)(?=(.{3}))"), F.lit(1)))
+    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"(?s)(?=(.{3}))"), F.lit(1)))
 
 
 def postings(chunks: DataFrame, content: str = "content") -> DataFrame:
@@ -87,7 +88,7 @@ def postings(chunks: DataFrame, content: str = "content") -> DataFrame:
 
 def candidates(index: DataFrame, phrase_list: list[str]) -> DataFrame:
     """generation_id, chunk_id of chunks that hold all trigrams of one of the phrases; phrases under three characters have none."""
-    sought = [sorted({p.casefold()[i : i + 3] for i in range(len(p.casefold()) - 2)}) for p in phrase_list]
+    sought = [sorted({p.lower()[i : i + 3] for i in range(len(p) - 2)}) for p in phrase_list]
     every = sorted({t for s in sought for t in s})
     if not every:
         return index.select("generation_id", "chunk_id").limit(0)

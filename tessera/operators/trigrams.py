@@ -13,7 +13,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.functions.fold import fold
 from tessera.operators import search
 
 #: Trigrams of a phrase whose postings are read, chunks of a bucket, most candidates that are broadcast.
@@ -41,7 +40,7 @@ def _one_of(column: str, values: list[str]) -> Column:
 
 
 def rarest(spark: SparkSession, path: str, phrase: str) -> list[str] | None:
-    """The rarest trigrams of a folded phrase; None if one of its trigrams is nowhere."""
+    """The rarest trigrams of a phrase in lower case; None if one of its trigrams is nowhere."""
     grams = sorted({phrase[i : i + 3] for i in range(len(phrase) - 2)})
     told = {r["trigram"]: r["df"] for r in spark.read.parquet(f"{path}/frequencies").where(_one_of("trigram", grams)).collect()}  # a phrase's trigrams
     return sorted(grams, key=lambda g: (told[g], g))[:RAREST] if len(told) == len(grams) else None
@@ -49,22 +48,18 @@ def rarest(spark: SparkSession, path: str, phrase: str) -> list[str] | None:
 
 def candidates(spark: SparkSession, path: str, phrase: str) -> DataFrame | None:
     """bucket, generation_id, chunk_id of the chunks that hold a phrase's rarest trigrams; None if there are none."""
-    grams = rarest(spark, path, fold_of(phrase))
+    grams = rarest(spark, path, phrase.lower())
     if not grams:
         return None
     met = spark.read.parquet(f"{path}/postings").where(_one_of("trigram", grams))
     return met.groupBy("bucket", "generation_id", "chunk_id").agg(F.count("*").alias("n")).where(F.col("n") == len(grams)).drop("n")
 
 
-def fold_of(phrase: str) -> str:
-    return phrase.casefold()
-
-
 def matches(spark: SparkSession, path: str, phrase: str) -> DataFrame:
-    """The stored chunks whose folded text holds the folded phrase; phrases of under three characters read all texts."""
+    """The stored chunks whose text holds the phrase, letter case aside; phrases of under three characters read all texts."""
     texts = spark.read.parquet(f"{path}/texts")
-    holds = F.contains(fold("content"), F.lit(fold_of(phrase)))
-    if len(fold_of(phrase)) < 3:
+    holds = F.contains(F.lower("content"), F.lit(phrase.lower()))
+    if len(phrase.lower()) < 3:
         return texts.where(holds)
     found = candidates(spark, path, phrase)
     if found is None:
