@@ -49,7 +49,7 @@ RAW = {"script", "style", "textarea", "title", "noscript", "template", "iframe",
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 BLOCK = set("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section select summary table tbody td tfoot th thead tr ul".split())
 #: Tags whose content is no article.
-LEFT_OUT = RAW | set("nav header footer aside form button select option input label fieldset menu dialog head object audio video canvas map search".split())
+LEFT_OUT = RAW | set("nav header footer aside form button select option input fieldset menu dialog head object audio video canvas map search".split())
 CONTAINER = set("article main section div td body blockquote center".split())
 CLOSES_P = BLOCK - {"html", "head", "body", "td", "th", "tr", "tbody", "thead", "tfoot", "option", "optgroup", "legend", "summary"}
 #: Name parts (of class, id, role) that mark what surrounds an article, and those that may also stand in an article's name.
@@ -60,6 +60,9 @@ AROUND = set(
     "newsletter subscribe subscription signup login search comment comments commentlist discussion replies respond responses disqus "
     "share sharing social tagcloud".split()
 )
+#: Of these, names of what consists of links or controls: an element of an article that holds none is text that is called so.
+LINKED = set("nav navigation menu menus submenu share sharing social search login tagcloud breadcrumb breadcrumbs pagination pager toolbar".split())
+CONTROLS = set("a button form input select option textarea iframe svg nav".split())
 WEAK = set("promo promos promotion promoted side widget widgets notice notices alert register form forms reply reader related recommended recommendations recirc trending popular tags skip hidden".split())
 #: Name parts that say nothing of what an element holds.
 NEUTRAL = set(
@@ -78,7 +81,7 @@ def host_of(url: str | None) -> str:
 
 
 def _around(attrs: dict[str, str]) -> int:
-    """2: what surrounds an article; 1: weakly so; 0: nothing is said."""
+    """2: what surrounds an article; 3: so if it holds links or controls; 1: weakly so; 0: nothing is said."""
     found = 0
     for v in attrs.values():
         for name in v.split():
@@ -87,7 +90,7 @@ def _around(attrs: dict[str, str]) -> int:
             if not told or BESIDE & set(parts):
                 continue
             if parts[-1] in told or all(x in told or x in NEUTRAL for x in parts):
-                found = max(found, 2 if any(x in AROUND for x in told) else 1)
+                found = max(found, (1, 3, 2)[sum(x in AROUND for x in told) and 1 + any(x in AROUND - LINKED for x in told)], key=(0, 1, 3, 2).index)
     return found
 
 
@@ -110,7 +113,7 @@ class Page:
         #: events: (node, text), or (node, None) where a block begins or ends
         self.events: list[tuple[int, str | None]] = []
         self.tag, self.parent, self.path, self.score = ["#root"], [-1], [""], [0.0]
-        #: 2: left out by tag or name, 1: by a weak name, 0: not; of the element itself, and (once rated) with those around it
+        #: 2: left out by tag or name, 3: by a name of links, 1: by a weak name, 0: not; of the element itself, and (once rated) with those around it
         self.mark, self.out = [0], [False]
         self.first, self.last = [0], [0]
         stack = [0]
@@ -219,6 +222,8 @@ class Page:
         """Paragraph text counts for the container that holds it and half for the next one up; links count against it."""
         n = len(self.tag)
         linked, up, hard = [False] * n, [0] * n, [False] * n
+        if 3 in self.mark:
+            self._weigh_names()
         for i in range(1, n):
             p = self.parent[i]
             linked[i] = linked[p] or self.tag[i] == "a"
@@ -246,6 +251,17 @@ class Page:
                     self.score[g] += size / 2
         self.whole, self.links = self._under(own, links, self.out)
 
+    def _weigh_names(self) -> None:
+        """Elements named as links or controls are what they are called, unless they hold none within an article."""
+        n = len(self.tag)
+        controls, within = [t in CONTROLS for t in self.tag], [False] * n
+        for i in range(n - 1, 0, -1):
+            controls[self.parent[i]] = controls[self.parent[i]] or controls[i]
+        for i in range(1, n):
+            within[i] = within[self.parent[i]] or self.tag[self.parent[i]] in ("article", "main")
+            if self.mark[i] == 3:
+                self.mark[i] = 2 if controls[i] or not within[i] else 0
+
     def _under(self, own: list[int], links: list[int], out: list[bool]) -> tuple[list[int], list[int]]:
         """Characters of running text and of links in each element with all that it holds."""
         a, b = [0 if o else x for x, o in zip(own, out)], [0 if o else x for x, o in zip(links, out)]
@@ -257,8 +273,10 @@ class Page:
     def best(self) -> int:
         """The container of the highest score (the first of equals; the root if there is none), or what holds the rest of its article."""
         found, score = 0, 0.0
+        mains = [i for i in range(1, len(self.tag)) if self.tag[i] == "main" and not self.out[i] and self.whole[i] > self.links[i]]
+        low, high = (self.first[mains[0]], self.last[mains[0]]) if len(mains) == 1 else (0, self.last[0])
         for i in range(1, len(self.tag)):
-            if self.score[i] > score and not self.out[i] and self.tag[i] in CONTAINER:
+            if self.score[i] > score and not self.out[i] and self.tag[i] in CONTAINER and low <= self.first[i] and self.last[i] <= high:
                 found, score = i, self.score[i]
         if not found:
             return 0

@@ -313,3 +313,13 @@ def test_small_batches_are_handled_together():
     assert [r for b in got for r in mixing.first_bytes(b.column("key")).tolist()] == [k[0] for k in keys]
     assert mixing.first_bytes(pa.array(keys, pa.binary()).slice(5, 3)).tolist() == [5, 6, 7]
     assert not list(mixing.gathered(iter([]), 4096))
+
+
+def test_names_of_links_are_evidence_only_within_an_article():
+    text = "Lorem ipsum dolor sit amet consectetur. " * 6
+    alone = lambda h: pages.Page(h).agreed(None)
+    named = alone(f'<body><article><p>{text}</p><p class="share">Share of market grew.</p><div class="tasting menu">Soup and bread.</div><div class="share"><a href=x>Tweet</a></div><div class="share"><button>Like</button> it</div><div class="comments">First!</div><div class="advert">Buy</div></article></body>')
+    assert named.split("\n\n")[1:] == ["Share of market grew.", "Soup and bread."]
+    assert "words" not in alone(f'<body><div class="menu">Menu words here</div><article><p>{text}</p></article></body>')
+    assert alone(f"<body><article><p>{text} <label>kept</label> end</p></article></body>").endswith("kept end")
+    assert alone(f'<body><main><article><p>Short one here.</p></article></main><div class="col-right"><p>{text * 3}</p></div></body>') == "Short one here."
