@@ -145,6 +145,28 @@ def test_recall_of_planted_secrets():
     assert found >= 290 and wrong <= 6, (found, wrong)
 
 
+def test_names_beside_values_are_told_and_others_are_not(spark):
+    """Of planted names that stand by a value in two texts or more nearly all are told, of other words none."""
+    rng = random.Random(5)
+    part = ["ka", "lo", "mi", "ren", "tu", "sa", "vor", "el", "bri", "na", "do", "qui", "zen", "pa", "hol"]
+    pick = lambda low, high: "".join(rng.choice(part) for _ in range(rng.randint(low, high)))
+    common = [pick(1, 3) for _ in range(600)]
+    said = lambda n: " ".join(rng.choice(common) for _ in range(n))
+    texts = [(said(rng.randint(20, 150)), (), 0) for _ in range(600)]
+    for i in range(80):
+        a, b, n = "Q" + pick(3, 3), "X" + pick(3, 3), rng.choice([1, 2, 3, 5])
+        texts += [(f"{said(rng.randint(10, 40))} {a} {b} {said(rng.randint(0, 4))} user{i}.{a.lower()}@mail{i % 7}.example.org {said(rng.randint(10, 60))}", (a, b), n) for _ in range(n)]
+    found = known = wrong = 0
+    for r in pii.find(spark.createDataFrame([(k, t) for k, (t, *_) in enumerate(texts)], "doc_id long, text string")).collect():
+        text, names, n = texts[r.doc_id]
+        told = [text[int(a) : int(b)] for kind, a, b in (x.split(":") for x in r.spans.split(",") if x) if kind in ("generalised", "removed")]
+        wrong += sum(not any(x in t for x in names) for t in told)
+        if n > 1:
+            known += len(names)
+            found += sum(any(x in t for t in told) for x in names)
+    assert found >= 0.97 * known and wrong <= 2, (found, known, wrong)
+
+
 class Length:
     """Prices each string at its length, so that all candidates that are met are told."""
 
