@@ -192,10 +192,8 @@ class Engine:
             place = [storage.is_test_path(F.col("rel_path")), "rel_path", "span", "qualified_name"]
             exact = resolve.exact_candidates(entities, name, place).join(entities, "entity_id")
             rank = F.row_number().over(Window.orderBy(*place, "entity_id"))  # of at most MAX_EXACT rows
-            found = exact.select("entity_id", "file_id", F.col("span").alias("e_span"), "reason", rank.alias("rank"))
-            owned = found.join(chunks.select("chunk_id", "file_id", "span"), "file_id").where(spans.overlaps(F.col("e_span"), F.col("span")))
-            turn = F.row_number().over(Window.partitionBy("entity_id").orderBy("span", "chunk_id"))
-            symbol = owned.withColumn("turn", turn).where(F.col("turn") <= limit).select("chunk_id", F.col("reason").alias("signal"), (F.lit(1.0) + F.lit(1.0) / (graph.RANK_OFFSET + F.col("rank"))).alias("part"))
+            found = exact.select("entity_id", "file_id", F.col("span").alias("own"), "reason", rank.alias("rank"))
+            symbol = ranking.symbol_signal(found, chunks, limit)
             signals = signals.unionByName(symbol)
         signals = runtime.settled(signals)
         best = ranking.fuse(signals).orderBy(F.desc("score"), "chunk_id").limit(graph.TOP_CHUNKS)

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tessera.operators import intervals
+
 RANK_OFFSET = 60
 
 
@@ -15,6 +17,18 @@ def ranked_signal(top: DataFrame, order: list, signal: str, weight: float, base:
     return top.select("chunk_id", F.lit(signal).alias("signal"), (F.lit(base) + F.lit(weight) / (RANK_OFFSET + rank)).alias("part"))
 
 
+def symbol_signal(found: DataFrame, chunks: DataFrame, limit: int) -> DataFrame:
+    """chunk_id, signal, part of the first ``limit`` chunks that each found definition overlaps: 1 + 1 / (60 + its rank).
+
+    found (a bounded list): entity_id, file_id, own (its span), reason, rank. A
+    definition that overlaps no chunk gives nothing.
+    """
+    both = intervals.overlap_join(found, chunks.select("chunk_id", "file_id", "span"), ["file_id"], intervals.ends(F.col("own")), intervals.ends(F.col("span")))
+    turn = F.row_number().over(Window.partitionBy("entity_id").orderBy("span", "chunk_id"))
+    part = F.lit(1.0) + F.lit(1.0) / (RANK_OFFSET + F.col("rank"))
+    return both.withColumn("turn", turn).where(F.col("turn") <= limit).select("chunk_id", F.col("reason").alias("signal"), part.alias("part"))
+
+
 def fuse(signals: DataFrame) -> DataFrame:
     """chunk_id, score (parts summed in a fixed order), reason (signal names)."""
     parts = F.array_sort(F.collect_list(F.struct("signal", "part")))

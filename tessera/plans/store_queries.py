@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera import runtime
-from tessera.functions import identity
+from tessera.functions import identity, spans
 from tessera.functions.fold import fold
-from tessera.operators import admission, intervals, ownership, packets, segment, sinks, snapshots, trigrams
+from tessera.operators import admission, intervals, ownership, packets, ranking, resolve, segment, sinks, snapshots, trigrams
 from tessera.plans import model
 from tessera.plans.registry import query
 
@@ -161,3 +161,22 @@ def verify_packets(spark, d):
     packet = F.to_json(F.struct(F.lit("tessera-packet").alias("schema"), F.lit(2).alias("version"), F.lit("OK").alias("status"), F.col("content_hash").alias("snapshot_sha256"), F.lit(False).alias("refreshed"), limits.alias("limits"), F.array(row).alias("selected"), left.alias("omitted")))
     now = model.files(spark, d).where("doc_id % 43 <> 0").select("rel_path", F.when(k % 7 == 0, F.concat("content", F.lit("x"))).otherwise(F.col("content")).alias("now"))
     return packets.verdicts(c.select(k.alias("packet_id"), packet.alias("packet")), lambda paths: now.join(paths.withColumnRenamed("path", "rel_path"), "rel_path", "left_semi"))
+
+
+_SYMBOL = """SELECT chunk_id, reason AS signal, round(1 + 1.0 / (60 + rank), 9) AS part FROM (
+  SELECT e.*, chunk_id, row_number() OVER (PARTITION BY entity_id ORDER BY c.s, c.e, chunk_id) AS turn FROM
+    (SELECT *, row_number() OVER (ORDER BY file, s, entity_id) AS rank FROM (SELECT 'p' || p_partkey AS entity_id, 'exact_short_name' AS reason, p_size AS file, p_partkey AS s, p_partkey + 3 + p_partkey % 40 AS e FROM part WHERE p_name = 'hot bolt' ORDER BY file, s, entity_id LIMIT 128)) e
+    JOIN (SELECT 'k' || p_partkey AS chunk_id, p_size AS file, p_partkey - 9 AS s, p_partkey + 11 + p_partkey % 30 AS e FROM part) c ON e.file = c.file AND e.s < c.e AND e.e > c.s) WHERE turn <= 4"""
+
+
+@query("symbol_signal", _SYMBOL, False)
+def symbol_signal(spark, d):
+    """Definitions of one short name, ranked by place, to the chunks they overlap."""
+    p, key = model.table(spark, d, "part"), F.col("p_partkey")
+    name = lambda kind: F.concat(F.lit(kind), key.cast("string"))
+    e = p.select(name("p").alias("entity_id"), F.col("p_name").alias("name"), F.concat("p_brand", F.lit("."), "p_name").alias("qualified_name"), F.col("p_size").alias("file_id"), spans.span(key, 0, key + 3 + key % 40, 0).alias("own"))
+    c = p.select(name("k").alias("chunk_id"), F.col("p_size").alias("file_id"), spans.span(key - 9, 0, key + 11 + key % 30, 0).alias("span"))
+    found = resolve.exact_candidates(e, "hot bolt", ["file_id", "own"]).join(e, "entity_id")
+    rank = F.row_number().over(Window.orderBy("file_id", "own", "entity_id"))  # of at most MAX_EXACT rows
+    got = ranking.symbol_signal(found.select("entity_id", "file_id", "own", "reason", rank.alias("rank")), c, 4)
+    return got.withColumn("part", F.round("part", 9))
