@@ -21,7 +21,6 @@ from pyspark.sql.window import Window
 
 from tessera import runtime
 from tessera.functions import documents, identity, spans
-from tessera.functions.fold import fold
 from tessera.operators import admission, graph, intervals, ownership, packets, ranking, resolve, search, segment, sinks, storage
 from tessera.sources import syntax, tree
 
@@ -224,7 +223,7 @@ class Engine:
         refreshed = self.index()["status"] == "INDEXED"
         chunks, files = self.table("chunks"), self.table("files").select("rel_path", F.col("content_hash").alias("file_sha256"))
         if literal:
-            hits = chunks.where(F.contains(fold("content"), F.lit(text.casefold()))).withColumns({"score": F.lit(1.0), "reason": F.lit("literal")})
+            hits = search.literal_hits(chunks, text).withColumns({"score": F.lit(1.0), "reason": F.lit("literal")})
         else:
             signals = self._signals(text, packets.CANDIDATES)
             hits = chunks.join(ranking.fuse(signals), "chunk_id") if signals is not None else chunks.limit(0).withColumns({"score": F.lit(1.0), "reason": F.lit("")})

@@ -144,6 +144,11 @@ def byte_prefix(rows: DataFrame, order: list, size: Column, most_rows: int, most
     return taken.where((F.col("_bytes") <= most_bytes) & (F.col("_rank") <= most_rows)).drop("_bytes", "_rank")
 
 
+def literal_hits(rows: DataFrame, phrase: str, content: str = "content") -> DataFrame:
+    """The rows whose folded text holds the folded phrase."""
+    return rows.where(F.contains(fold(content), F.lit(phrase.casefold())))
+
+
 def short_literal(chunks: DataFrame, terms: list[str], order: list, content: str = "content") -> DataFrame:
     """Chunks of a bounded prefix (by chunk_id) that hold one of the short terms, score 1."""
     some = byte_prefix(chunks, ["chunk_id"], F.octet_length(content), SHORT_CHUNKS, SHORT_BYTES)

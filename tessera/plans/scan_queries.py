@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera.functions import identity, spans
-from tessera.operators import graph, storage
+from tessera.operators import graph, search, storage
 from tessera.plans import model
 from tessera.plans.registry import query
 
@@ -118,7 +118,7 @@ def array_member(spark, d):
 
 @query("literal_scan", "SELECT rel_path, content_hash FROM files WHERE contains(lower(content), 'the and') ORDER BY rel_path, content_hash LIMIT 32")
 def literal_scan(spark, d):
-    return model.files(spark, d).where(F.contains(F.lower("content"), F.lit("the and"))).select("rel_path", "content_hash").orderBy("rel_path", "content_hash").limit(32)
+    return search.literal_hits(model.files(spark, d), "The AND").select("rel_path", "content_hash").orderBy("rel_path", "content_hash").limit(32)
 
 
 @query("test_path_flag", "SELECT rel_path, contains(p, '/test') OR contains(p, 'test_') OR contains(p, '_test') OR contains(p, 'tests/') AS is_test FROM (SELECT CASE WHEN doc_id % 4 = 0 THEN 'src/Test_' || rel_path ELSE rel_path END AS rel_path, lower(CASE WHEN doc_id % 4 = 0 THEN 'src/Test_' || rel_path ELSE rel_path END) AS p FROM files)")
