@@ -119,7 +119,7 @@ class Engine:
         stored = entities.join(modules, "file_id", "left").withColumn("module_id", F.when(F.col("kind") != "MODULE", F.col("module_id")))
         calls = syntax.calls(files).join(stored.where("kind <> 'MODULE'").select("rel_path", F.col("identity").alias("caller"), F.col("entity_id").alias("source_id"), F.col("file_id"), F.col("kind").alias("source_kind"), F.col("parent_id").alias("source_parent")), ["rel_path", "caller"])
         # written with their numbers, which every rule below reads
-        put(calls.withColumn("receiver_type", F.lit(None).cast("string")).withColumn("site", F.monotonically_increasing_id()), "calls")
+        put(calls.withColumn("site", F.monotonically_increasing_id()), "calls")
         calls = self.table("calls", generation)
         scope = graph.ancestors(stored.select("entity_id", F.coalesce("parent_id", "module_id").alias("parent_id"))).select("entity_id", F.col("ancestor_id").alias("parent_id"))
         targets = stored.select("entity_id", "name", "qualified_name", "kind", F.coalesce("parent_id", "module_id").alias("parent_id"), "file_id")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tessera import runtime
 from tessera.functions import spans
 from tessera.operators import graph, intervals, resolve
 from tessera.plans import model
@@ -225,3 +226,43 @@ def py_entities(spark, d):
 @query("ts_entities", "SELECT rel_path || '.ts' AS rel_path, name, kind, CAST(start_line AS INTEGER) AS start_line FROM files, (VALUES ('doc', 'MODULE', 1), ('Box', 'CLASS', 1), ('get', 'METHOD', 2), ('load', 'FUNCTION', 4), ('add', 'FUNCTION', 5)) v(stem, kind, start_line), LATERAL (SELECT CASE stem WHEN 'doc' THEN 'doc_' || doc_id || '.txt' WHEN 'get' THEN 'get' ELSE stem || doc_id END AS name)")
 def ts_entities(spark, d):
     return syntax.entities(_sources(spark, d, _TS, ".ts")).select("rel_path", "name", "kind", "start_line")
+
+
+#: A class for each distinct word of a document, whose method calls that of the next word's class on a typed
+#: parameter; in every third class the parameter is assigned first, so that its type says nothing.
+_WORDS = """, words AS (SELECT doc_id, rel_path, word, row_number() OVER (PARTITION BY doc_id ORDER BY min(pos)) - 1 AS i, count(*) OVER (PARTITION BY doc_id) AS n
+  FROM (SELECT doc_id, rel_path, unnest(regexp_extract_all(content, '[a-z]+')) AS word, generate_subscripts(regexp_extract_all(content, '[a-z]+'), 1) AS pos FROM files) GROUP BY doc_id, rel_path, word)"""
+
+
+def _words(spark, d):
+    # parsing costs more than moving the words: files of few splits are dealt out
+    return model.files(spark, d).repartition("rel_path").select("doc_id", "rel_path", F.array_distinct(F.regexp_extract_all("content", F.lit("[a-z]+"), F.lit(0))).alias("words"))
+
+
+def _typed_sources(spark, d):
+    word = _words(spark, d)
+    cls = lambda w: F.concat(F.lit("D"), F.col("doc_id").cast("string"), F.lit("_"), w)
+    after = lambda i: F.get("words", (i + 1) % F.size("words"))
+    one = lambda w, i: F.concat(F.lit("class "), cls(w), F.lit(" {\n  go(p9: "), cls(after(i)), F.lit(") { "), F.when(i % 3 == 2, "p9 = null; ").otherwise(""), F.lit("p9.go(); }\n}\n"))
+    return word.select(F.concat("rel_path", F.lit(".ts")).alias("rel_path"), F.array_join(F.transform("words", one), "").alias("content"))
+
+
+@query("typed_calls", _WORDS + " SELECT 'D' || a.doc_id || '_' || a.word || '.go' AS source_id, 'D' || b.doc_id || '_' || b.word || '.go' AS target_id, 'RESOLVED' AS trust_class, 'explicit_receiver_type' AS reason FROM words a JOIN words b ON a.doc_id = b.doc_id AND a.rel_path = b.rel_path AND b.i = (a.i + 1) % a.n WHERE a.i % 3 <> 2")
+def typed_calls(spark, d):
+    """Calls of sources made of each text's words, resolved by the written types of parameters."""
+    sources = _typed_sources(spark, d)
+    # parsed once, then read by every rule
+    e = runtime.settled(syntax.entities(sources).where("kind <> 'MODULE'"))
+    targets = e.select(F.col("identity").alias("entity_id"), "name", "qualified_name", "kind", F.col("parent").alias("parent_id"), F.col("rel_path").alias("file_id"))
+    caller = targets.select(F.col("entity_id").alias("source_id"), F.col("kind").alias("source_kind"), F.col("parent_id").alias("source_parent"))
+    calls = runtime.settled(syntax.calls(sources)).select(F.col("caller").alias("source_id"), F.col("rel_path").alias("file_id"), "callee", "receiver", "receiver_type").join(caller, "source_id")
+    none = targets.select("entity_id", "parent_id").where("parent_id IS NOT NULL")
+    return resolve.resolve(calls, targets, none, ["source_id"])
+
+
+@query("py_symbols", _WORDS + " SELECT rel_path || '.py' AS rel_path, 'f_' || word AS name, CAST(1 + 3 * i AS INTEGER) AS start_line, CAST(2 + 3 * i AS INTEGER) AS end_line, 12 AS end_col FROM words")
+def py_symbols(spark, d):
+    """Functions of Python sources made of each text's words."""
+    one = lambda w: F.concat(F.lit("def f_"), w, F.lit("():\n    return 1\n\n"))
+    sources = _words(spark, d).select(F.concat("rel_path", F.lit(".py")).alias("rel_path"), F.array_join(F.transform("words", one), "").alias("content"))
+    return syntax.entities(sources).where("kind = 'FUNCTION'").select("rel_path", "name", "start_line", "end_line", "end_col")

@@ -76,3 +76,14 @@ def test_strict_json():
     for bad in (b'{"a":1,"a":2}', b'{"a":NaN}', b"\xff"):
         with pytest.raises(ValueError):
             engine.strict_json(bad)
+
+
+def test_typed_receivers_resolve(spark, made):
+    repo, e = made
+    (repo / "web/store.ts").write_text("export class Store {\n  put(): void { }\n}\n")
+    (repo / "web/use.ts").write_text("export class Use {\n  a(x: Store) { x.put(); }\n  b(x: Store) { x = null; x.put(); }\n}\n")
+    e.index()
+    names = e.table("entities").select("entity_id", "qualified_name")
+    r = e.table("relations").where("rel_type = 'CALLS'").join(names.withColumnRenamed("entity_id", "source_id"), "source_id")
+    got = {(x["qualified_name"], x["trust_class"], x["reason"]) for x in r.collect() if x["qualified_name"].startswith("Use")}
+    assert got == {("Use.a", "RESOLVED", "explicit_receiver_type")}

@@ -334,3 +334,36 @@ def test_short_literal_and_round_robin(spark):
     assert [r.chunk_id for r in search.short_literal(rows, ["雪"], ["rel_path"]).collect()] == ["c2"]
     ranked = spark.createDataFrame([("a", 1, 9.0), ("a", 2, 8.0), ("b", 3, 1.0)], "g string, i int, s double")
     assert [r.i for r in search.round_robin(ranked, ["g"], [F.desc("s")], 3).collect()] == [1, 3, 2]
+
+
+def test_receivers_have_their_parameters_types():
+    from tessera.sources import syntax
+
+    text = """export class Page<T> {
+  show(a: Store, b: T, c?: ns.Store, d: Map<K, V> = mk()) { a.put(); b.put(); c.put(); d.put(); list.map(x => x.hit(1)); }
+  assigned(a: Store) { a = other(); a.put(); }
+  declared(a: Store, z: Store) { const { z } = k; a.put(); z.put(); }
+  caught(a: Store) { try { go() } catch (a) { a.put(); } }
+  around(a: Store) { const f = () => { a = 1; a.lost(); }; a.put(); function q(a) { a.lost(); } }
+  same(a: Store) { if (a === b || a.x == 1) { a.put() } o.a = 1; }
+}
+function free<U>(s: Store, u: U) { for (const u2 of s) { s.put(); } u.put(); }
+const arrow = (s: Store) => s.put();
+"""
+    got = {(c["caller"], c["callee"], c["receiver"]): c["receiver_type"] for c in syntax.script_file("p.ts", text)[1] if c["receiver"]}
+    assert got == {
+        ("Page.show", "put", "a"): "Store",
+        ("Page.show", "put", "b"): None,
+        ("Page.show", "put", "c"): "ns.Store",
+        ("Page.show", "put", "d"): "Map<K, V>",
+        ("Page.show", "map", "list"): None,
+        ("Page.assigned", "put", "a"): None,
+        ("Page.declared", "put", "a"): "Store",
+        ("Page.declared", "put", "z"): None,
+        ("Page.caught", "put", "a"): None,
+        ("Page.around", "put", "a"): "Store",
+        ("Page.same", "put", "a"): "Store",
+        ("free", "put", "s"): "Store",
+        ("free", "put", "u"): None,
+        ("arrow", "put", "s"): "Store",
+    }
