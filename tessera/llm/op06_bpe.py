@@ -10,8 +10,11 @@ white space. The pieces between stitches are then encoded, each match of the
 pattern separately; ids follow one another, so decoding concatenates the bytes
 of the ids.
 
-Texts beyond ``LONG`` code points are dealt out: their pieces become rows that
-any executor may encode, and are put together by their number.
+Texts beyond ``LONG`` code points are dealt out: overlapping chunks of them become
+rows, each is pre-tokenised by itself on any executor, neighbours are stitched by a
+window over the boundaries they found in what they share, and the pieces between
+stitches are encoded as rows again and put together by their number. A text of which
+two neighbours share no boundary is cut by one task instead, with longer overlaps.
 
 Defined results: a null or empty text has no ids; runs longer than a chunk
 without a boundary stay whole (the chunk grows until one is found); a lone
@@ -31,6 +34,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tessera.llm import common
 
@@ -38,8 +42,8 @@ from tessera.llm import common
 CHUNK, OVERLAP = 1 << 12, 1 << 7
 #: Texts of more code points are dealt out over executors by pieces.
 LONG = 1 << 21
-#: Chunks in a piece of those that is dealt out.
-PIECE = 64
+#: Chunks in a piece of those that are dealt out, and code points at its end whose boundaries what follows could change.
+PIECE, MARGIN = 64, 8
 #: Characters that regular-expression engines don't class alike; no cut is made beside them.
 _DISPUTED = set("\x1c\x1d\x1e\x1f\x85\u180e\u200b\ufeff")
 
@@ -87,7 +91,7 @@ class Coder:
                 # one's from inside the overlap. Where they meet, they agree from then on.
                 left = set(self.boundaries(text, max(at, want - span) if self._sure(text, max(at, want - span)) else at, stop))
                 right = self.boundaries(text, want, stop)
-                found = next((p for p in right if p > want and p in left and not text[p - 1].isspace() and not {text[p - 1], text[p]} & _DISPUTED), None)
+                found = next((p for p in right if p > want and p in left and self.apart(text, p)), None)
                 if found is None:
                     if stop == n:
                         return cuts + [n]
@@ -96,6 +100,11 @@ class Coder:
             at = found
         return cuts + [n]
 
+    @staticmethod
+    def apart(text: str, at: int) -> bool:
+        """A boundary that doesn't depend on what follows it, nor on how an engine classes the characters beside it."""
+        return at > 0 and not text[at - 1].isspace() and not {text[at - 1], text[at]} & _DISPUTED
+
     @staticmethod
     def _sure(text: str, at: int) -> bool:
         """A boundary whatever stands before: white space after something else."""
@@ -165,13 +174,33 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None,
 def _dealt(docs: DataFrame, path: str, pattern: str, chunk: int, overlap: int, with_ids: bool) -> DataFrame:
     """The same for very long texts, whose pieces are encoded apart from each other."""
 
+    size, over = PIECE * chunk, max(overlap, 4 * MARGIN)
+
+    def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, doc, text in zip(*(batch.column(k).to_pylist() for k in ("_row", "doc_id", "text"))):
+                for k in range(-(-len(text) // size)):
+                    base = max(0, k * size - over)
+                    yield pa.RecordBatch.from_pydict({"_row": pa.array([row], pa.int64()), "doc_id": pa.array([doc], pa.int64()), "k": pa.array([k], pa.int32()), "base": pa.array([base], pa.int64()), "text": pa.array([text[base : (k + 1) * size + over]])})
+
+    def starts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of each chunk, pre-tokenised by itself, the boundaries fit for a cut in what it shares with its neighbours."""
+        c = coder(path, pattern)
+        for batch in batches:
+            for row, k, base, text in zip(*(batch.column(x).to_pylist() for x in ("_row", "k", "base", "text"))):
+                fit = [base + p for p in c.boundaries(text, 0, len(text) - MARGIN) if c.apart(text, p)]
+                first = [p for p in fit if p < k * size + over]
+                last = [p for p in fit if p >= (k + 1) * size - over]
+                yield pa.RecordBatch.from_pydict({"_row": pa.array([row], pa.int64()), "k": pa.array([k], pa.int32()), "first": pa.array([first], pa.list_(pa.int64())), "last": pa.array([last], pa.list_(pa.int64()))})
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Pieces of texts of which some neighbours share no boundary: cut one after another, with as much overlap as it takes."""
         c = coder(path, pattern)
         for batch in batches:
             for row, doc, text in zip(*(batch.column(k).to_pylist() for k in ("_row", "doc_id", "text"))):
                 cuts = c.stitches(text, chunk, overlap)
                 # pieces of about PIECE chunks: neighbours go together again
-                cuts = [0, *(b for a, b in zip(cuts, cuts[1:]) if b // (PIECE * chunk) > a // (PIECE * chunk) and b < len(text)), len(text)]
+                cuts = [0, *(b for a, b in zip(cuts, cuts[1:]) if b // size > a // size and b < len(text)), len(text)]
                 for k, (a, b) in enumerate(zip(cuts, cuts[1:])):
                     yield pa.RecordBatch.from_pydict({"_row": pa.array([row], pa.int64()), "doc_id": pa.array([doc], pa.int64()), "k": pa.array([k], pa.int32()), "text": pa.array([text[a:b]])})
 
@@ -209,8 +238,18 @@ def _dealt(docs: DataFrame, path: str, pattern: str, chunk: int, overlap: int, w
         if doc:
             yield done()
 
-    cuts = common.written(common.with_row_id(docs).mapInArrow(cut, "_row long, doc_id long, k int, text string"))
-    parts = common.written(cuts.repartition("_row", "k").mapInArrow(pieces, "_row long, doc_id long, k int, ids array<int>"))
+    docs = common.written(common.with_row_id(docs))
+    cut_up = common.written(docs.mapInArrow(chunks, "_row long, doc_id long, k int, base long, text string").repartition("_row", "k"))
+    at = cut_up.select("_row", "k", "base", "text").mapInArrow(starts, "_row long, k int, first array<long>, last array<long>")
+    # a chunk begins where its left neighbour's boundaries and its own first agree
+    before = F.lag("last").over(Window.partitionBy("_row").orderBy("k"))
+    stitched = common.written(at.withColumn("begin", F.when(F.col("k") == 0, 0).otherwise(F.array_min(F.array_intersect(before, "first")))).select("_row", "k", "begin"))
+    apart = stitched.where("begin IS NULL").select("_row").distinct()
+    bounds = stitched.withColumn("stop", F.lead("begin").over(Window.partitionBy("_row").orderBy("k"))).join(apart, "_row", "left_anti")
+    end = F.coalesce(F.col("stop"), F.col("base") + F.length("text"))
+    met = cut_up.join(bounds, ["_row", "k"]).select("_row", "doc_id", "k", F.substring("text", (F.col("begin") - F.col("base") + 1).cast("int"), (end - F.col("begin")).cast("int")).alias("text"))
+    other = docs.join(apart, "_row", "left_semi").mapInArrow(cut, "_row long, doc_id long, k int, text string")
+    parts = common.written(met.unionByName(other).repartition("_row", "k").mapInArrow(pieces, "_row long, doc_id long, k int, ids array<int>"))
     schema = "doc_id long, n_tokens long, " + "ids array<int>, " * with_ids + "ids_sha256 string, decoded_sha256 string"
     return parts.repartition("_row").sortWithinPartitions("_row", "k").mapInArrow(joined, schema)
 

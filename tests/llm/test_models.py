@@ -208,6 +208,22 @@ def test_white_space_at_random(chunk):
         assert c.encode(text) == c.core.encode_ordinary(text)
 
 
+def test_chunks_that_are_rows(spark, reference):
+    """Texts of several chunks each, among them runs that no overlap can cut, and white space about the cuts."""
+    rng = np.random.default_rng(6)
+    signs = ("\n\t ab1.'s", "\n\n x", " \t\n\u00a0\u2003é🙂x", "\n 's'll12,;", "\x1c\x85 ab'll.")
+    texts = ["".join(rng.choice(list(s), n)) for s in signs for n in (600, 1300, 2100)]
+    texts += ["a" * 3000, "\n" * 2500, "yz" + "x\n\n" * 900, "word " * 700, "x" * 480 + "'ll go " * 300, "é🙂 " * 900]
+    texts += [("ab " * 400)[: 512 + d] + w + "cd's " * 300 for w in ("\n\n", "'ll", "  ", "\n \t\n") for d in range(-6, 7)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    for chunk, overlap in ((8, 2), (9, 40)):
+        got = {r.doc_id: r for r in bpe.encode(df, chunk=chunk, overlap=overlap, long=100).collect()}
+        assert len(got) == len(texts)
+        for i, t in enumerate(texts):
+            ids = reference.encode_ordinary(t)
+            assert got[i].ids == ids and got[i].decoded_sha256 == hashlib.sha256(t.encode()).hexdigest(), (chunk, i)
+
+
 def test_tokens_of_no_rows(empty):
     assert bpe.encode(empty).count() == 0 and bpe.decode(bpe.encode(empty)).count() == 0
 
