@@ -134,3 +134,23 @@ def verdicts(packets: DataFrame, files_of) -> DataFrame:
     each = place.join(told, ["packet_id", "path", "symbol_span"], "left").join(now, "path", "left").select("packet_id", verdict.alias("v"))
     worst = p.select("packet_id", F.when(F.col("broken").isNull(), 5).otherwise(0).alias("v")).unionByName(each).groupBy("packet_id").agg(F.min("v").alias("v"))
     return worst.select("packet_id", F.get(F.array(*[F.lit(v) for v in VERDICTS]), F.col("v")).alias("verdict"))
+
+
+def rollup(packets: DataFrame, by: list[str]) -> DataFrame:
+    """by, and over the packets (by, packet: JSON text): how many, of which status, with how much taken and left out.
+
+    A packet that isn't one counts as unreadable and in nothing else; sums are made in each task before the shuffle.
+    """
+    p = F.col("p")
+    read = (p["schema"] == "tessera-packet") & p["status"].isin(*STATUSES)
+    parsed = packets.select(*by, F.from_json("packet", SCHEMA).alias("p")).withColumn("read", F.coalesce(read, F.lit(False)))
+    total = lambda x: F.coalesce(F.sum(F.when(F.col("read"), x)), F.lit(0)).cast("long")
+    taken = F.aggregate(p["selected"], F.lit(0).cast("long"), lambda a, r: a + F.octet_length(r["source"]))
+    return parsed.groupBy(*by).agg(
+        F.count("*").alias("runs"),
+        F.count_if(~F.col("read")).alias("unreadable"),
+        *[F.count_if(F.col("read") & (p["status"] == s)).alias(s.lower()) for s in STATUSES],
+        total(F.size(p["selected"])).alias("fragments"),
+        total(taken).alias("source_bytes"),
+        *[total(p["omitted"][k]).alias(f"omitted_{k}") for k in ("duplicate", "budget", "limit")],
+    )

@@ -73,6 +73,31 @@ def bound_read(registered: DataFrame, now: DataFrame) -> DataFrame:
     return registered.join(fresh, "rel_path", "left").withColumn("state", state)
 
 
+def lookup(rows: DataFrame, keys: DataFrame, generations: DataFrame) -> DataFrame:
+    """The rows that keys name, by the keys' columns.
+
+    Where these hold a generation_id, a row of that generation is meant; otherwise
+    one of any active generation (generations: generation_id, is_active).
+    """
+    found = rows.join(keys.distinct(), keys.columns, "left_semi")
+    if "generation_id" in keys.columns:
+        return found
+    return found.join(generations.where("is_active").select("generation_id"), "generation_id", "left_semi")
+
+
+def with_paths(entities: DataFrame, generations: DataFrame, files: DataFrame) -> DataFrame:
+    """entities of known generations, with the path of their file.
+
+    An entity's generation must be one of its own repository. Its rel_path, if it
+    has one, goes before that of its file in the same generation; ``~``, which
+    sorts last, stands for neither.
+    """
+    known = entities.join(generations.select("generation_id", "repo_id").distinct(), ["generation_id", "repo_id"], "left_semi")
+    of = files.select("generation_id", "file_id", F.col("rel_path").alias("_path"))
+    path = F.coalesce(F.nullif(F.col("rel_path"), F.lit("")), F.col("_path"), F.lit("~"))
+    return known.join(of, ["generation_id", "file_id"], "left").withColumn("rel_path", path).drop("_path")
+
+
 def last_wins(rows: DataFrame, key: list[str], order: list[str], values: dict[str, str]) -> DataFrame:
     """Of each key the last row by ``order``: an aggregation, so map-side combined."""
     return rows.groupBy(*key).agg(*[F.max_by(v, F.struct(*order)).alias(k) for k, v in values.items()])

@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 from tessera import runtime
 from tessera.functions import identity, spans
 from tessera.functions.fold import fold
-from tessera.operators import admission, intervals, ownership, packets, ranking, resolve, segment, sinks, snapshots, trigrams
+from tessera.operators import admission, intervals, ownership, packets, ranking, resolve, segment, sinks, snapshots, storage, trigrams
 from tessera.plans import model
 from tessera.plans.registry import query
 
@@ -180,3 +180,53 @@ def symbol_signal(spark, d):
     rank = F.row_number().over(Window.orderBy("file_id", "own", "entity_id"))  # of at most MAX_EXACT rows
     got = ranking.symbol_signal(found.select("entity_id", "file_id", "own", "reason", rank.alias("rank")), c, 4)
     return got.withColumn("part", F.round("part", 9))
+
+
+@query("packet_rollup", """ SELECT coalesce(source, '') AS arm, count(*) AS runs, count(*) FILTER (doc_id % 11 = 0) AS unreadable, count(*) FILTER (doc_id % 11 <> 0 AND n BETWEEN 1 AND 1000) AS ok, count(*) FILTER (doc_id % 11 <> 0 AND n = 0) AS empty, count(*) FILTER (doc_id % 11 <> 0 AND n > 1000) AS budget_exhausted,
+  count(*) FILTER (doc_id % 11 <> 0 AND n BETWEEN 1 AND 1000) AS fragments, CAST(coalesce(sum(n) FILTER (doc_id % 11 <> 0 AND n <= 1000), 0) AS BIGINT) AS source_bytes, CAST(coalesce(sum(doc_id % 3) FILTER (doc_id % 11 <> 0 AND n BETWEEN 1 AND 1000), 0) AS BIGINT) AS omitted_duplicate, count(*) FILTER (doc_id % 11 <> 0 AND n > 1000) AS omitted_budget, CAST(0 AS BIGINT) AS omitted_limit
+  FROM (SELECT doc_id, source, strlen(coalesce(text, '')) AS n FROM documents) GROUP BY coalesce(source, '')""")
+def packet_rollup(spark, d):
+    """A packet of each text, of 1,000 bytes of source at most, rolled up by the text's source; some are cut off."""
+    k, text = F.col("doc_id"), F.coalesce("text", F.lit(""))
+    n = F.octet_length(text)
+    fits, over = n.between(1, 1000), n > 1000
+    row = F.struct(F.lit("a").alias("path"), text.alias("source"))
+    left = F.struct(F.when(fits, k % 3).otherwise(0).alias("duplicate"), F.when(over, 1).otherwise(0).alias("budget"), F.lit(0).alias("limit"))
+    status = F.when(fits, "OK").when(over, "BUDGET_EXHAUSTED").otherwise("EMPTY")
+    packet = F.to_json(F.struct(F.lit("tessera-packet").alias("schema"), F.lit(2).alias("version"), status.alias("status"), F.when(fits, F.array(row)).otherwise(F.array().cast("array<struct<path:string,source:string>>")).alias("selected"), left.alias("omitted")))
+    packet = F.when(k % 11 == 0, F.substring(packet, 1, 20)).otherwise(packet)
+    arms = model.table(spark, d, "documents").select(F.coalesce("source", F.lit("")).alias("arm"), packet.alias("packet"))
+    return packets.rollup(arms, ["arm"])
+
+
+_PATHS = """, e AS (SELECT event_id AS entity_id, event_id AS generation_id, CASE WHEN event_id % 7 = 0 THEN user_id + 1 ELSE user_id END AS repo_id, event_id % 5 AS file_id, CASE WHEN event_id % 3 = 0 THEN 'hint/' || event_id WHEN event_id % 3 = 1 THEN '' END AS hint FROM events),
+f AS (SELECT event_id AS generation_id, event_id % 5 AS file_id, event_type || '/' || event_id AS rel_path FROM events WHERE event_id % 2 = 0)"""
+
+
+def _history(spark, d):
+    """(entities, files) of each event's generation; every seventh entity names another repository."""
+    e, k = model.table(spark, d, "events"), F.col("event_id")
+    repo = F.when(k % 7 == 0, F.col("user_id") + 1).otherwise(F.col("user_id"))
+    hint = F.when(k % 3 == 0, F.concat(F.lit("hint/"), k.cast("string"))).when(k % 3 == 1, "")
+    entities = e.select(k.alias("entity_id"), k.alias("generation_id"), repo.alias("repo_id"), (k % 5).alias("file_id"), hint.alias("rel_path"))
+    return entities, e.where(k % 2 == 0).select(k.alias("generation_id"), (k % 5).alias("file_id"), F.concat_ws("/", "event_type", k.cast("string")).alias("rel_path"))
+
+
+@query("entity_paths", _PATHS + " SELECT entity_id, coalesce(nullif(hint, ''), f.rel_path, '~') AS rel_path FROM e JOIN generations g ON g.generation_id = e.generation_id AND g.repo_id = e.repo_id LEFT JOIN f ON f.generation_id = e.generation_id AND f.file_id = e.file_id")
+def entity_paths(spark, d):
+    entities, files = _history(spark, d)
+    return storage.with_paths(entities, model.generations(spark, d), files).select("entity_id", "rel_path")
+
+
+@query("lookup_active", _PATHS + " SELECT generation_id, file_id, rel_path FROM f WHERE file_id IN (SELECT n_regionkey + 1 FROM nation) AND generation_id IN (SELECT generation_id FROM generations WHERE is_active)")
+def lookup_active(spark, d):
+    """Files by id in whatever generation is active."""
+    keys = model.table(spark, d, "nation").select((F.col("n_regionkey") + 1).cast("long").alias("file_id"))
+    return storage.lookup(_history(spark, d)[1], keys, model.generations(spark, d)).select("generation_id", "file_id", "rel_path")
+
+
+@query("lookup_generation", _PATHS + " SELECT generation_id, file_id, rel_path FROM f WHERE (file_id, generation_id) IN (SELECT p_size % 5, p_partkey FROM part)")
+def lookup_generation(spark, d):
+    """Files by id in the generation that the key names."""
+    keys = model.table(spark, d, "part").select((F.col("p_size") % 5).cast("long").alias("file_id"), F.col("p_partkey").cast("long").alias("generation_id"))
+    return storage.lookup(_history(spark, d)[1], keys, model.generations(spark, d)).select("generation_id", "file_id", "rel_path")
