@@ -147,20 +147,23 @@ def snapshot_streamed(spark, d):
     return snapshots.hashes(model.files(spark, d), "repo_id")
 
 
-@query("verify_packets", " SELECT doc_id AS packet_id, CASE WHEN doc_id % 11 = 0 THEN 'INVALID_PACKET' WHEN doc_id % 43 = 0 THEN 'SOURCE_UNAVAILABLE' WHEN doc_id % 7 = 0 THEN 'STALE_SOURCE' WHEN doc_id % 5 = 0 THEN 'INVALID_SPAN' WHEN doc_id % 3 = 0 THEN 'PROVENANCE_MISMATCH' ELSE 'OK' END AS verdict FROM files WHERE content <> '' AND size_bytes < 2000")
+@query("verify_packets", " SELECT doc_id AS packet_id, CASE WHEN doc_id % 11 = 0 THEN 'INVALID_PACKET' WHEN doc_id % 43 = 0 THEN 'SOURCE_UNAVAILABLE' WHEN doc_id % 7 = 0 THEN 'STALE_SOURCE' WHEN doc_id % 5 = 0 THEN 'INVALID_SPAN' WHEN doc_id % 3 = 0 THEN 'PROVENANCE_MISMATCH' ELSE 'OK' END AS verdict FROM files WHERE content <> ''")
 def verify_packets(spark, d):
-    """A packet of each short text; shapes, files, spans and sources of some are damaged."""
+    """A packet of each piece of each text; shapes, files, spans and sources of some texts' packets are damaged, all alike."""
     k, span = F.col("doc_id"), F.col("span")
-    c = model.chunks(spark, d).where("content <> '' AND size_bytes < 2000")
+    whole = model.chunks(spark, d).where("content <> ''").withColumn("file_sha256", F.col("content_hash"))
+    c = runtime.settled(segment.bound(whole))
     four = packets.points(span)
-    place = {"path": F.col("rel_path"), "span": F.when(k % 5 == 0, F.transform(four, lambda x, i: F.when(i == 2, x + 9).otherwise(x))).otherwise(four), "file_sha256": F.col("content_hash"), "coverage": F.struct(F.lit(None).cast("array<int>").alias("symbol_span"), F.lit(False).alias("complete"))}
+    place = {"path": F.col("rel_path"), "span": F.when(k % 5 == 0, F.transform(four, lambda x, i: F.when(i == 2, x + 1000000).otherwise(x))).otherwise(four), "file_sha256": F.col("file_sha256"), "coverage": F.struct(F.lit(None).cast("array<int>").alias("symbol_span"), F.lit(False).alias("complete"))}
     said = F.when(k % 3 == 0, F.concat("content", F.lit("!"))).otherwise(F.col("content"))
     row = F.struct(*[v.alias(n) for n, v in place.items()], said.alias("source"), identity.sha256(said).alias("source_sha256"), F.lit("x").alias("reason"), F.lit(1.0).alias("score"), F.array().cast("array<struct<path:string,span:array<int>,file_sha256:string,coverage:struct<symbol_span:array<int>,complete:boolean>>>").alias("aliases"))
     limits = F.struct(F.lit(8192).alias("packet_bytes"), F.when(k % 11 == 0, 21).otherwise(5).alias("fragments"), F.lit(packets.CANDIDATES).alias("candidates"), F.lit("UTF-8 bytes").alias("unit"))
     left = F.struct(*[F.lit(0).alias(n) for n in ("duplicate", "budget", "limit")])
-    packet = F.to_json(F.struct(F.lit("tessera-packet").alias("schema"), F.lit(2).alias("version"), F.lit("OK").alias("status"), F.col("content_hash").alias("snapshot_sha256"), F.lit(False).alias("refreshed"), limits.alias("limits"), F.array(row).alias("selected"), left.alias("omitted")))
+    packet = F.to_json(F.struct(F.lit("tessera-packet").alias("schema"), F.lit(2).alias("version"), F.lit("OK").alias("status"), F.col("file_sha256").alias("snapshot_sha256"), F.lit(False).alias("refreshed"), limits.alias("limits"), F.array(row).alias("selected"), left.alias("omitted")))
     now = model.files(spark, d).where("doc_id % 43 <> 0").select("rel_path", F.when(k % 7 == 0, F.concat("content", F.lit("x"))).otherwise(F.col("content")).alias("now"))
-    return packets.verdicts(c.select(k.alias("packet_id"), packet.alias("packet")), lambda paths: now.join(paths.withColumnRenamed("path", "rel_path"), "rel_path", "left_semi"))
+    asked = c.select(F.concat_ws(":", k.cast("string"), F.col("ordinal").cast("string")).alias("packet_id"), packet.alias("packet"))
+    told = packets.verdicts(asked, lambda paths: now.join(paths.withColumnRenamed("path", "rel_path"), "rel_path", "left_semi"))
+    return told.select(F.substring_index("packet_id", ":", 1).cast("long").alias("packet_id"), "verdict").distinct()
 
 
 _SYMBOL = """SELECT chunk_id, reason AS signal, round(1 + 1.0 / (60 + rank), 9) AS part FROM (
