@@ -1,6 +1,9 @@
 """What is moved between tasks follows the input, where the result is larger."""
 
+from pyspark.sql import functions as F
+
 from tessera.operators import resolve
+from tessera.sources import syntax
 
 
 def moved(spark, run):
@@ -26,3 +29,10 @@ def test_targets_of_calls_are_not_shuffled(spark):
     got, n = moved(spark, lambda: resolve.resolve(calls, targets, none, ["id"]).collect())
     assert len(got) == 30_000 and {r["reason"] for r in got} == {"ambiguous_exact_receiver_class"}
     assert n < 10_000
+
+
+def test_small_files_are_parsed_by_many_tasks(spark):
+    """2,000 files of some bytes: work goes by their number, not by their bytes."""
+    files = spark.range(2000).select(F.concat(F.lit("f"), F.col("id").cast("string"), F.lit(".py")).alias("rel_path"), F.lit("def f():\n    return 1\n").alias("content"))
+    parsed = syntax.entities(syntax.dealt(files))
+    assert parsed.select(F.spark_partition_id()).distinct().count() == 10
