@@ -36,3 +36,12 @@ def test_small_files_are_parsed_by_many_tasks(spark):
     files = spark.range(2000).select(F.concat(F.lit("f"), F.col("id").cast("string"), F.lit(".py")).alias("rel_path"), F.lit("def f():\n    return 1\n").alias("content"))
     parsed = syntax.entities(syntax.dealt(files))
     assert parsed.select(F.spark_partition_id()).distinct().count() == 10
+
+
+def test_parts_of_class_names_stay_where_they_are(spark):
+    """2,000 long names have some 80,000 parts, of which two receivers seek a few."""
+    receivers = spark.createDataFrame([("limiter",), ("x9",)], "leaf string")
+    classes = spark.range(2000).select(F.concat(F.lit("RequestQueueLimiter"), F.col("id").cast("string")).alias("class_name"))
+    got, n = moved(spark, lambda: resolve.naming_join(receivers, classes, "leaf", "class_name").collect())
+    assert len(got) == 2000 and {r["leaf"] for r in got} == {"limiter"}
+    assert n < 10_000
