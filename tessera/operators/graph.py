@@ -98,16 +98,24 @@ def expand(top: DataFrame, relations: DataFrame, entities: DataFrame, limit: int
     return taken.select("place", "entity_id", "role", trust_name(F.col("rank")).alias("trust"), F.col("k").cast("long").alias("k"), (weight / (RANK_OFFSET + F.col("k"))).alias("part"))
 
 
+#: Depth up to which pairs are stored where every entity has one parent; deeper ones are met in steps of it.
+NEAR = 32
+
+
 def ancestors(parents: DataFrame) -> DataFrame:
-    """entity_id, ancestor_id, depth (the shortest) along parent_id, however deep; in a cycle no entity is its own ancestor.
+    """entity_id, ancestor_id, depth (the shortest) along parent_id, however deep; in a cycle no entity is its own ancestor."""
+    step = runtime.settled(parents.where("parent_id IS NOT NULL AND entity_id <> parent_id").select("entity_id", F.col("parent_id").alias("ancestor_id")).distinct())
+    several = step.groupBy("entity_id").count().where("count > 1")
+    return _of_single_parents(step) if several.isEmpty() else _of_several_parents(step)
+
+
+def _of_several_parents(step: DataFrame) -> DataFrame:
+    """Path doubling: what is known up to depth n, continued from every pair of depth n, is all up to 2 n.
 
-    Path doubling: what is known up to depth n, continued from every pair of depth
-    n, is all up to 2 n. A shortest path begins with shortest paths, so where no
-    pair has depth n there is nothing beyond; the rounds are the logarithm of the
-    deepest chain, and along single parents each makes a pair once.
+    A shortest path begins with shortest paths, so where no pair has depth n there is
+    nothing beyond; the rounds are the logarithm of the deepest chain.
     """
-    step = parents.where("parent_id IS NOT NULL AND entity_id <> parent_id").select("entity_id", F.col("parent_id").alias("ancestor_id"), F.lit(1).alias("depth"))
-    found, n = runtime.settled(step.distinct()), 1
+    found, n = runtime.settled(step.withColumn("depth", F.lit(1))), 1
     while True:
         far = found.where(F.col("depth") == n).select("entity_id", F.col("ancestor_id").alias("via"))
         if far.isEmpty():
@@ -118,6 +126,68 @@ def ancestors(parents: DataFrame) -> DataFrame:
         n *= 2
 
 
+def _ends(step: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(entity_id, root, height of what leads to a root; entity_id, at, low of what leads to a cycle), by pointers of doubled length.
+
+    ``at`` is the ancestor after at least as many steps as there are such rows, so it
+    is on the cycle, and every row of a cycle is some row's; ``low`` is the least
+    ancestor on that way.
+    """
+    state = step.select("entity_id", F.col("ancestor_id").alias("at"), F.col("ancestor_id").alias("low"), F.lit(1).cast("long").alias("height"), F.lit(None).cast(step.schema["ancestor_id"].dataType).alias("root"))
+    open_, n = None, 1
+    while True:
+        onward = state.select(F.col("entity_id").alias("at"), F.col("at").alias("at2"), F.col("low").alias("low2"), F.col("height").alias("more"), F.col("root").alias("root2"))
+        ended = F.col("at").isNotNull() & F.col("more").isNull()  # the pointer's end has no parent
+        root = F.when(ended, F.col("at")).otherwise(F.coalesce("root", "root2"))
+        # what has come to its root keeps no pointer, and is met by no row
+        state = runtime.settled(state.join(onward, "at", "left").select("entity_id", F.col("at2").alias("at"), F.least("low", "low2").alias("low"), (F.col("height") + F.coalesce("more", F.lit(0))).alias("height"), root.alias("root")))
+        n *= 2
+        last, open_ = open_, state.where("root IS NULL").count()
+        if open_ == 0 or open_ == last and n >= open_:
+            done = state.where("root IS NOT NULL").select("entity_id", "root", "height")
+            return done, state.where("root IS NULL").select("entity_id", "at", "low")
+
+
+def _of_single_parents(step: DataFrame) -> DataFrame:
+    """Where an entity has one parent, its ancestors are the first ones of its way, as many as its height tells.
+
+    Each pair is the meeting of a stop on the way, every NEAR steps, with one of the
+    stop's own NEAR next ancestors. Stops and near ancestors are stored; the pairs are
+    made once, and not moved.
+    """
+    done, turning = _ends(step)
+    cycle = turning.join(turning.select(F.col("at").alias("entity_id")).distinct(), "entity_id", "left_semi").select("entity_id", "low")
+    lengths = cycle.join(cycle.groupBy("low").agg((F.count("*") - 1).alias("height")), "low").select("entity_id", "height")
+    height = done.select("entity_id", "height")
+    if not turning.isEmpty():
+        lengths = runtime.settled(lengths)
+        tail = step.join(turning, "entity_id", "left_semi").join(lengths, "entity_id", "left_anti")
+        led, _ = _ends(tail)
+        beyond = led.join(lengths.select(F.col("entity_id").alias("root"), F.col("height").alias("more")), "root")
+        height = height.unionByName(lengths).unionByName(beyond.select("entity_id", (F.col("height") + F.col("more")).alias("height")))
+    height = runtime.settled(height)
+
+    def doubled(found: DataFrame, n: int, most: int | None, within) -> tuple[DataFrame, int]:
+        """found (entity_id, ancestor_id, depth up to n, height) continued to twice the depth while there is more, at most to ``most``."""
+        unit = n
+        while most is None or n < most:
+            far = found.where(F.col("depth") == n).select("entity_id", F.col("ancestor_id").alias("via"), "height")
+            if far.isEmpty():
+                break
+            onward = found.select(F.col("entity_id").alias("via"), "ancestor_id", (F.col("depth") + n).alias("depth"))
+            found = runtime.settled(found.unionByName(far.join(onward, "via").where(within).select("entity_id", "ancestor_id", "depth", "height")))
+            n *= 2
+        return found, n if most is not None else unit
+
+    first = step.withColumn("depth", F.lit(1)).join(height, "entity_id").where("height >= 1")
+    near, reach = doubled(runtime.settled(first.select("entity_id", "ancestor_id", "depth", "height")), 1, NEAR, F.col("depth") <= F.col("height"))
+    stops = runtime.settled(near.where((F.col("depth") == reach) & (F.col("height") > reach)))
+    stops, _ = doubled(stops, reach, None, F.col("depth") < F.col("height"))
+    stops = near.where("depth = 1").select("entity_id", F.col("entity_id").alias("via"), F.lit(0).alias("off"), "height").unionByName(stops.select("entity_id", F.col("ancestor_id").alias("via"), F.col("depth").alias("off"), "height"))
+    pairs = stops.join(near.select(F.col("entity_id").alias("via"), "ancestor_id", "depth"), "via").where("off + depth <= height")
+    return pairs.select("entity_id", "ancestor_id", (F.col("off") + F.col("depth")).cast("int").alias("depth"))
+
+
 def interleave(callers: DataFrame, callees: DataFrame, limit: int) -> DataFrame:
     """entity_id, role, k: first caller, first callee, second caller, ... of two bounded lists."""
 
