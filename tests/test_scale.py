@@ -60,3 +60,16 @@ def test_pairs_along_one_parent_are_not_shuffled(spark):
         want |= {(first, x, d) for d, x in enumerate(seen) if d}
     assert len(got) == len(want) and {tuple(r) for r in got} == want
     assert n < 90_000
+
+
+def test_pairs_of_few_keys_are_spread(spark, monkeypatch):
+    """3 keys, 400 pairs each at most 50 a task: no task makes most of them, with either way of meeting."""
+    a = spark.range(60).select(F.col("id").alias("a"), (F.col("id") % 3).alias("x"))
+    b = spark.range(60).select(F.col("id").alias("b"), (F.col("id") % 3).alias("y"))
+    monkeypatch.setattr(resolve, "PAIRS_A_TASK", 50)
+    for most in (100, 10):
+        monkeypatch.setattr(resolve, "MAX_BROADCAST", most)
+        met = resolve.many_to_many(a, b, "x", "y").select("a", "b", F.spark_partition_id().alias("task")).collect()
+        assert sorted((r["a"], r["b"]) for r in met) == [(i, j) for i in range(60) for j in range(60) if i % 3 == j % 3]
+        tasks = [r["task"] for r in met]
+        assert max(map(tasks.count, set(tasks))) < 400
