@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from tessera.operators import graph, resolve
+from tessera.operators import graph, intervals, resolve
 from tessera.sources import syntax
 
 
@@ -73,3 +73,20 @@ def test_pairs_of_few_keys_are_spread(spark, monkeypatch):
         assert sorted((r["a"], r["b"]) for r in met) == [(i, j) for i in range(60) for j in range(60) if i % 3 == j % 3]
         tasks = [r["task"] for r in met]
         assert max(map(tasks.count, set(tasks))) < 400
+
+
+def test_intervals_are_moved_about_once(spark):
+    """Spans of nine sizes: rows don't go to each size that occurs; crowded bins are made smaller, with the same pairs."""
+    n = 20_000
+    a = spark.range(n).select(F.lit(1).alias("f"), F.col("id").alias("i"), (F.col("id") * 8).alias("s"), (F.col("id") * 8 + F.expr("shiftleft(1, cast(id % 6 as int))")).alias("e"))
+    b = spark.range(n).select(F.lit(1).alias("f"), F.col("id").alias("j"), (F.col("id") * 8 + 1).alias("s2"), (F.col("id") * 8 + 1 + F.when(F.col("id") % 500 == 7, 2000).otherwise(F.col("id") % 9)).alias("e2"))
+    join = lambda x, y: intervals.overlap_join(x, y, ["f"], (F.col("s"), F.col("e")), (F.col("s2"), F.col("e2")))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got, rows = moved(spark, lambda: join(a, b).count())
+        assert rows < 6 * n and got == a.join(b, (F.col("s") < F.col("e2")) & (F.col("e") > F.col("s2"))).count()
+        full = [x.select("f", c, *[(F.col(e) % 64).alias(e) for e in ends]) for x, c, ends in ((a.limit(3000), "i", "se"), (b.limit(3000), "j", ("s2", "e2")))]
+        got = join(*full).count()
+        assert got == full[0].join(full[1], (F.col("s") < F.col("e2")) & (F.col("e") > F.col("s2")) & (F.col("s") <= F.col("e")) & (F.col("s2") <= F.col("e2"))).count()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
