@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera import runtime
-from tessera.functions.fold import fold
+from tessera.functions.fold import fold, fold_word
 
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 MIN_TERM, MAX_TERMS = 3, 64
@@ -39,7 +39,7 @@ def phrases(terms: list[str]) -> list[str]:
 def terms_column(text: Column) -> Column:
     """query_terms over a column."""
     words = F.filter(F.regexp_extract_all(text, F.lit(r"(?U)[\w/.\-]+"), F.lit(0)), lambda t: F.length(t) >= MIN_TERM)
-    low = F.transform(words, fold)
+    low = F.transform(words, fold_word)
     return F.slice(F.transform(F.array_distinct(low), lambda t: F.get(words, F.array_position(low, t).cast("int") - 1)), 1, MAX_TERMS)
 
 

@@ -1,7 +1,10 @@
 """What is moved between tasks follows the input, where the result is larger."""
 
+import time
+
 from pyspark.sql import functions as F
 
+from tessera.functions.fold import fold
 from tessera.operators import graph, intervals, resolve
 from tessera.sources import syntax
 
@@ -90,3 +93,11 @@ def test_intervals_are_moved_about_once(spark):
         assert got == full[0].join(full[1], (F.col("s") < F.col("e2")) & (F.col("e") > F.col("s2")) & (F.col("s") <= F.col("e")) & (F.col("s2") <= F.col("e2"))).count()
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_long_texts_are_folded_in_batches(spark):
+    """400 texts of 20,000 characters, with some that fold to several: seconds, not minutes."""
+    texts = spark.range(400).select(F.repeat(F.lit("Straße ΟΔΟΣ ﬁn é "), 1200).alias("t"))
+    began = time.time()
+    got = texts.select(fold("t").alias("f")).groupBy("f").count().collect()
+    assert [tuple(r) for r in got] == [(("Straße ΟΔΟΣ ﬁn é " * 1200).casefold(), 400)] and time.time() - began < 15
