@@ -4,8 +4,9 @@ import time
 
 from pyspark.sql import functions as F
 
+from tessera import runtime
 from tessera.functions.fold import fold
-from tessera.operators import graph, intervals, resolve
+from tessera.operators import graph, intervals, resolve, trigrams
 from tessera.sources import syntax
 
 
@@ -95,6 +96,19 @@ def test_intervals_are_moved_about_once(spark):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
+def test_postings_are_numbers(spark):
+    """Each text's distinct trigrams, as numbers of 21 bits a character, by the place that the texts are stored with."""
+    texts = ["aXbaxb", "ab", "", "😀é\u0000z", "x" * 50]
+    c = spark.createDataFrame([(f"c{i}", "g", t) for i, t in enumerate([*texts, None])], "chunk_id string, generation_id string, content string")
+    path = runtime.shared_path(spark)
+    trigrams.store(c, path)
+    posted = spark.read.parquet(f"{path}/postings")
+    assert dict(posted.dtypes) == {"trigram": "bigint", "bucket": "int", "n": "int"}
+    three = lambda v: "".join(chr(v >> s & 0x1FFFFF) for s in (42, 21, 0))
+    got = sorted((r.chunk_id, three(r.trigram)) for r in posted.join(spark.read.parquet(f"{path}/texts"), ["bucket", "n"]).collect())
+    assert got == sorted((f"c{i}", t) for i, x in enumerate(texts) for t in {x.lower()[k : k + 3] for k in range(len(x) - 2)})
+
+
 def test_long_texts_are_folded_in_batches(spark):
     """400 texts of 20,000 characters, with some that fold to several: seconds, not minutes."""
     texts = spark.range(400).select(F.repeat(F.lit("Straße ΟΔΟΣ ﬁn é "), 1200).alias("t"))
