@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera import runtime
 from tessera.functions import identity, spans
 from tessera.operators import admission, intervals, packing, segment
 
@@ -44,7 +45,11 @@ def span_of(four: Column) -> Column:
 def inside(raw: Column, s: Column) -> Column:
     """Whether a span's ends are points of a text."""
     rows = F.split(raw, "\n", -1)
-    width = lambda line: F.octet_length(F.get(rows, line - 1))
+    return _within(lambda line: F.octet_length(F.get(rows, line - 1)), s)
+
+
+def _within(width, s: Column) -> Column:
+    """Whether a span's ends are points of lines of these widths (null: no such line)."""
     return F.coalesce(spans.valid(s) & (s["start_col"] <= width(s["start_line"])) & (s["end_col"] <= width(s["end_line"])), F.lit(False))
 
 
@@ -112,21 +117,27 @@ def verdicts(packets: DataFrame, files_of) -> DataFrame:
     files_of: a function of the table of paths that packets name (path, each once)
     that gives rel_path and now, the present text of those that are there.
     """
-    p = packets.select("packet_id", F.octet_length("packet").alias("bytes"), F.from_json("packet", SCHEMA).alias("p"))
+    # read once and stored: rules and places ask for many parts of a packet
+    p = runtime.settled(packets.select("packet_id", F.octet_length("packet").alias("bytes"), F.from_json("packet", SCHEMA).alias("p")))
     p = p.withColumn("broken", admission.first_broken(_rules(F.col("p")) | {"size": F.col("bytes") <= F.col("p.limits.packet_bytes")}))
     row = p.where("broken IS NULL").select("packet_id", F.explode("p.selected").alias("r"))
     one = F.struct(*[F.col(f"r.{k}") for k in ("path", "span", "file_sha256", "coverage")])
     place = row.select("packet_id", "r.source", "r.source_sha256", F.explode(F.concat(F.array(one), F.col("r.aliases"))).alias("q")).select("packet_id", "source", "source_sha256", "q.*").withColumn("symbol_span", F.col("coverage.symbol_span"))
     told = covered(place, ["packet_id"])
-    now = files_of(place.select("path").distinct()).select(F.col("rel_path").alias("path"), "now")
-    span, symbol, raw = span_of(F.col("span")), span_of(F.col("symbol_span")), F.col("now")
-    body = segment.literal(raw, span)
+    sizes = F.transform(F.split("now", "\n", -1), lambda x: F.octet_length(x).cast("long") + 1)
+    starts = F.concat(segment.prefix_sums(sizes), F.array(F.octet_length("now").cast("long") + 1))
+    # a file is hashed and cut to lines once, however many places name it
+    now = files_of(place.select("path").distinct()).select(F.col("rel_path").alias("path"), "now", identity.sha256(F.col("now")).alias("now_sha256"), starts.alias("starts"))
+    span, symbol, raw, at = span_of(F.col("span")), span_of(F.col("symbol_span")), F.col("now"), F.col("starts")
+    width = lambda line: F.get(at, line) - F.get(at, line - 1) - 1
+    low, high = (segment.offset_of(at, span[f"{k}_line"], span[f"{k}_col"]) for k in ("start", "end"))
+    body = F.substring(raw.cast("binary"), (low + 1).cast("int"), (high - low).cast("int"))
     formed = (F.size("span") == 4) & spans.valid(span) & F.when(F.col("symbol_span").isNull(), ~F.col("coverage.complete")).otherwise(F.col("coverage.complete") == F.col("whole"))
     verdict = (
         F.when(~F.coalesce(formed, F.lit(False)), 0)
         .when(raw.isNull(), 1)
-        .when(identity.sha256(raw) != F.col("file_sha256"), 2)
-        .when(~inside(raw, span) | ~F.when(F.col("symbol_span").isNull(), F.lit(True)).otherwise(inside(raw, symbol)), 3)
+        .when(F.col("now_sha256") != F.col("file_sha256"), 2)
+        .when(~_within(width, span) | ~F.when(F.col("symbol_span").isNull(), F.lit(True)).otherwise(_within(width, symbol)), 3)
         .when((body != F.col("source").cast("binary")) | (F.sha2(body, 256) != F.col("source_sha256")), 4)
         .otherwise(5)
     )

@@ -1,12 +1,14 @@
 """What is moved between tasks follows the input, where the result is larger."""
 
+import hashlib
+import json
 import time
 
 from pyspark.sql import functions as F
 
 from tessera import runtime
 from tessera.functions.fold import fold
-from tessera.operators import graph, intervals, resolve, trigrams
+from tessera.operators import graph, intervals, packets, resolve, trigrams
 from tessera.sources import syntax
 
 
@@ -115,3 +117,23 @@ def test_long_texts_are_folded_in_batches(spark):
     began = time.time()
     got = texts.select(fold("t").alias("f")).groupBy("f").count().collect()
     assert [tuple(r) for r in got] == [(("Straße ΟΔΟΣ ﬁn é " * 1200).casefold(), 400)] and time.time() - began < 15
+
+
+def test_packets_are_read_once_and_files_cut_once(spark):
+    """300 packets of one file of 3,000 lines, two of them damaged: rules and places don't read the JSON again."""
+    lines = [f"line é {i}" for i in range(3000)]
+    text = "\n".join(lines)
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+
+    def packet(i, col):
+        row = {"path": "f", "span": [i + 1, 0, i + 1, col], "file_sha256": sha(text), "coverage": {"symbol_span": None, "complete": False}, "source": lines[i], "source_sha256": sha(lines[i]), "reason": "x", "score": 1.0, "aliases": []}
+        limits = {"packet_bytes": 8192, "fragments": 5, "candidates": packets.CANDIDATES, "unit": "UTF-8 bytes"}
+        return json.dumps({"schema": "tessera-packet", "version": 2, "status": "OK", "snapshot_sha256": "0" * 64, "refreshed": False, "limits": limits, "selected": [row], "omitted": {"duplicate": 0, "budget": 0, "limit": 0}})
+
+    width = [len(x.encode()) for x in lines]
+    asked = [(i, packet(i, width[i] + {1510: 1, 2990: -1}.get(i, 0))) for i in range(0, 3000, 10)]
+    now = spark.createDataFrame([("f", text)], "rel_path string, now string")
+    told = packets.verdicts(spark.createDataFrame(asked, "packet_id int, packet string"), lambda paths: now)
+    assert "from_json" not in told._jdf.queryExecution().toString()
+    want = {1510: "INVALID_SPAN", 2990: "PROVENANCE_MISMATCH"}
+    assert {r.packet_id: r.verdict for r in told.collect()} == {i: want.get(i, "OK") for i, _ in asked}
