@@ -86,28 +86,45 @@ def _values(columns) -> Column:
     return F.array(*[F.col(c).cast("string") for c in columns])
 
 
+def _keys(sides: list[tuple[DataFrame, tuple[str, ...]]]) -> list[Column]:
+    """What stands for the values of each side: whole numbers or texts as they are, if all sides have single ones, else arrays of texts."""
+    kinds = {t.schema[columns[0]].dataType.typeName() if len(columns) == 1 else "" for t, columns in sides}
+    if kinds <= {"byte", "short", "integer", "long"}:
+        return [F.col(columns[0]).cast("long") for _, columns in sides]
+    if kinds == {"string"}:
+        return [F.col(columns[0]) for _, columns in sides]
+    return [_values(columns) for _, columns in sides]
+
+
+def _shown(rows: DataFrame, v: str) -> Column:
+    return F.array_join(v, ",") if rows.schema[v].dataType.typeName() == "array" else F.col(v).cast("string")
+
+
 def violations(tables: dict[str, DataFrame], constraints: list) -> DataFrame:
     """constraint, broken (rows, or values that recur), example (the least such value, comma-joined), of each declared constraint that is broken."""
     found = []
-    for c in constraints:
-        t, said = tables[c.table], F.lit(name_of(c)).alias("constraint")
+    for i, c in enumerate(constraints):
+        t, said = tables[c.table], F.lit(i).alias("constraint")  # names are as long as rows, and come last
         if isinstance(c, Unique):
             known = reduce(lambda x, y: x & y, [F.col(k).isNotNull() for k in c.columns])
-            found.append(t.where(known).groupBy(_values(c.columns).alias("v")).agg(F.count("*").alias("n")).where("n > 1").select(said, F.array_join("v", ",").alias("example")))
+            seen = t.where(known).groupBy(_keys([(t, c.columns)])[0].alias("v")).agg(F.count("*").alias("n")).where("n > 1")
+            found.append(seen.select(said, _shown(seen, "v").alias("example")))
         elif isinstance(c, Present):
             found.append(t.where(F.col(c.column).isNull()).select(said, F.lit("").alias("example")))
     by_parent: dict[tuple, list] = {}
-    for c in constraints:
+    for i, c in enumerate(constraints):
         if isinstance(c, Reference):
-            by_parent.setdefault((c.parent, c.keys), []).append(c)
+            by_parent.setdefault((c.parent, c.keys), []).append((i, c))
     for (parent, keys), of in by_parent.items():
-        asked = []
-        for c in of:
+        asked, (own, *values) = [], _keys([(tables[parent], keys), *[(tables[c.table], c.columns) for _, c in of]])
+        for (i, c), v in zip(of, values):
             known = reduce(lambda x, y: x & y, [F.col(k).isNotNull() for k in c.columns])
-            asked.append(tables[c.table].where(known).groupBy(_values(c.columns).alias("v")).agg(F.count("*").alias("n")).select(F.lit(name_of(c)).alias("constraint"), "v", "n"))
+            asked.append(tables[c.table].where(known).groupBy(v.alias("v")).agg(F.count("*").alias("n")).select(F.lit(i).alias("constraint"), "v", "n"))
         every = reduce(DataFrame.unionByName, asked)
-        held = tables[parent].select(_values(keys).alias("v")).distinct()
+        held = tables[parent].select(own.alias("v"))
         # values that recur are asked once; the parent is read once for all that refer to it
-        found.append(every.join(held, "v", "left_anti").select("constraint", F.array_join("v", ",").alias("example"), "n"))
+        found.append(every.join(held, "v", "left_anti").select("constraint", _shown(every, "v").alias("example"), "n"))
     rows = reduce(DataFrame.unionByName, [f if "n" in f.columns else f.withColumn("n", F.lit(1).cast("long")) for f in found])
-    return rows.groupBy("constraint").agg(F.sum("n").alias("broken"), F.min("example").alias("example"))
+    total = rows.groupBy("constraint").agg(F.sum("n").alias("broken"), F.min("example").alias("example"))
+    names = F.array(*[F.lit(name_of(c)) for c in constraints])
+    return total.select(F.get(names, F.col("constraint")).alias("constraint"), "broken", "example")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tessera import runtime
 from tessera.functions.fold import fold
-from tessera.operators import graph, intervals, packets, resolve, trigrams
+from tessera.operators import admission, graph, intervals, packets, resolve, trigrams
 from tessera.sources import syntax
 
 
@@ -137,3 +137,18 @@ def test_packets_are_read_once_and_files_cut_once(spark):
     assert "from_json" not in told._jdf.queryExecution().toString()
     want = {1510: "INVALID_SPAN", 2990: "PROVENANCE_MISMATCH"}
     assert {r.packet_id: r.verdict for r in told.collect()} == {i: want.get(i, "OK") for i, _ in asked}
+
+
+def test_keys_of_one_column_are_compared_as_they_are(spark):
+    """Whole numbers of any width and texts are no arrays of texts; keys of several columns or kinds are."""
+    t = {
+        "a": spark.createDataFrame([(1, "x", 7), (2, "y", 8), (None, None, None), (10, "x", 8)], "k int, v string, w short"),
+        "b": spark.createDataFrame([(1, "x"), (1, "x"), (8, "z")], "k long, v string"),
+    }
+    single = [admission.Unique("b", ("k",)), admission.Reference("a", ("k",), "b", ("k",)), admission.Reference("a", ("w",), "b", ("k",)), admission.Reference("a", ("v",), "b", ("v",))]
+    got = admission.violations(t, single)
+    assert "array(cast" not in got._jdf.queryExecution().optimizedPlan().toString()
+    want = {("b(k) unique", 1, "1"), ("a(k) -> b(k)", 2, "10"), ("a(w) -> b(k)", 1, "7"), ("a(v) -> b(v)", 1, "y")}
+    assert {tuple(r) for r in got.collect()} == want
+    other = [admission.Reference("a", ("k", "v"), "b", ("k", "v")), admission.Reference("a", ("k",), "b", ("v",)), admission.Unique("b", ("k", "v"))]
+    assert {tuple(r) for r in admission.violations(t, other).collect()} == {("a(k,v) -> b(k,v)", 2, "10,x"), ("a(k) -> b(v)", 3, "1"), ("b(k,v) unique", 1, "1,x")}
