@@ -51,7 +51,8 @@ def neighbours(relations: DataFrame, entity_ids: DataFrame, side: str, limit: in
 
 def preferred(entities: DataFrame, chunks: DataFrame) -> DataFrame:
     """entity_id, chunk_id: of the chunks of an entity's file (file_id, span) the one of exactly its span, else of those that hold its start the one of fewest lines."""
-    own, c = entities.select("entity_id", "file_id", F.col("span").alias("_own")), chunks.select("chunk_id", "file_id", "span")
+    # stored once: the joins and what they look at first read the chunks several times
+    own, c = entities.select("entity_id", "file_id", F.col("span").alias("_own")), runtime.settled(chunks.select("chunk_id", "file_id", "span"))
     exact = own.join(c.withColumn("_own", F.col("span")), ["file_id", "_own"]).select("entity_id", "chunk_id", "span", F.lit(0).alias("fit"))
     begin = intervals.ends(F.col("_own"))[0]
     around = intervals.overlap_join(c, own, ["file_id"], intervals.ends(F.col("span")), (begin, begin + 1)).select("entity_id", "chunk_id", "span", F.lit(1).alias("fit"))

@@ -7,6 +7,7 @@ import time
 from pyspark.sql import functions as F
 
 from tessera import runtime
+from tessera.functions import spans
 from tessera.functions.fold import fold
 from tessera.operators import admission, graph, intervals, packets, resolve, trigrams
 from tessera.sources import syntax
@@ -119,6 +120,16 @@ def test_long_texts_are_folded_in_batches(spark):
     assert [tuple(r) for r in got] == [(("Straße ΟΔΟΣ ﬁn é " * 1200).casefold(), 400)] and time.time() - began < 15
 
 
+def test_chunks_are_made_once_for_the_preferred_ones(spark):
+    """5,000 chunks that take a shuffle to make, asked for 10 entities: they are not made again for each join."""
+    span = lambda a, b: spans.span(F.col("id") + a, 0, F.col("id") + b, 0).alias("span")
+    chunks = spark.range(5000).select(F.concat(F.lit("k"), F.col("id").cast("string")).alias("chunk_id"), F.lit("f").alias("file_id"), span(1, 3)).distinct()
+    entities = spark.range(10).select(F.col("id").alias("entity_id"), F.lit("f").alias("file_id"), span(1, 3))
+    got, n = moved(spark, lambda: graph.preferred(entities, chunks).collect())
+    assert {(r.entity_id, r.chunk_id) for r in got} == {(i, f"k{i}") for i in range(10)}
+    assert n < 15_000
+
+
 def test_packets_are_read_once_and_files_cut_once(spark):
     """300 packets of one file of 3,000 lines, two of them damaged: rules and places don't read the JSON again."""
     lines = [f"line é {i}" for i in range(3000)]
