@@ -339,3 +339,12 @@ def test_names_of_links_are_evidence_only_within_an_article():
     assert "words" not in alone(f'<body><div class="menu">Menu words here</div><article><p>{text}</p></article></body>')
     assert alone(f"<body><article><p>{text} <label>kept</label> end</p></article></body>").endswith("kept end")
     assert alone(f'<body><main><article><p>Short one here.</p></article></main><div class="col-right"><p>{text * 3}</p></div></body>') == "Short one here."
+
+
+def test_cells_of_copies_begin_by_the_last_bit():
+    """Contexts are cells of flat lists; each begins as its last bit says, the first as rarely copied."""
+    model = mixing.Copies()
+    assert len(model.odds) == len(model.zeros) == 299 and (model.zeros[0], model.ones[0]) == (4.0, 0.4)
+    assert [model.ones[k] for k in (1, 2, 3, 10, 11, 266, 267, 282, 283, 298)] == [0.1, 3.6, 0.1, 3.6, 0.1, 3.6, 0.1, 0.1, 3.6, 3.6]
+    first = model.next(True)
+    assert 0 < first < 0.1 and model.next(True) > first
