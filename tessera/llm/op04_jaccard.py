@@ -300,6 +300,11 @@ def _linking(pairs: DataFrame | None, reps: DataFrame) -> DataFrame | None:
     return None if found.isEmpty() else found
 
 
+def _joined(roots: DataFrame, more: DataFrame) -> DataFrame:
+    """node, root with the further links (a, b); what was linked goes on as stars, which takes few rounds."""
+    return components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
+
+
 def _sizes_allow(x: str, y: str) -> Column:
     n, m = F.col(f"{x}.n"), F.col(f"{y}.n")
     return 4 * F.least(n, m) >= 3 * F.greatest(n, m)
@@ -401,8 +406,7 @@ def linked(rows: DataFrame) -> DataFrame:
     votes = votes.join(classes.select(F.col("rep").alias("b"), "n"), "b").where(4 * F.col("count") >= least).select("a", "b", "count")
     best = _could_link(common.written(votes), classes).groupBy("b").agg(F.min(F.struct((-F.col("count")).alias("c"), "a")).alias("x"))
     first = common.written(best.select(F.col("x.a").alias("a"), "b"))
-    edges = common.written(verified(first, reps))
-    roots = common.written(components(edges))
+    roots = common.written(components(common.written(verified(first, reps))))
 
     # then hubs of larger components
     own = common.written(_with_enough(_open_keys(members, roots), classes))
@@ -410,15 +414,15 @@ def linked(rows: DataFrame) -> DataFrame:
     hubs = None if own.isEmpty() else common.written(_to_hubs(own, classes, tested))
     more = _linking(hubs, reps)
     if more is not None:
-        edges, tested = edges.unionByName(more), tested.unionByName(hubs)
-        roots = common.written(components(edges))
+        tested = tested.unionByName(hubs)
+        roots = common.written(_joined(roots, more))
         own = common.written(_with_enough(_open_keys(own.select(F.explode("all.key").alias("key"), "rep"), roots), classes))
 
     # then all classes of different components
     second = None if own.isEmpty() else common.written(_could_link(_between(own, classes).join(tested, ["a", "b"], "left_anti"), classes))
     more = _linking(second, reps)
     if more is not None:
-        roots = common.written(components(edges.unionByName(more)))
+        roots = common.written(_joined(roots, more))
 
     named = classes.select("rep", "least").join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("rep", "least", F.coalesce("root", "rep").alias("component"))
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))

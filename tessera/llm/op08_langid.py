@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import unicodedata
 from collections.abc import Iterator
+from functools import cmp_to_key
 
 import numpy as np
 import pyarrow as pa
@@ -151,10 +152,9 @@ class Ftrl:
         self.bias -= 0.1 * p.mean(axis=0)
 
 
-def _row(slots, counts, idf) -> tuple[np.ndarray, np.ndarray]:
-    s = np.asarray(slots, np.int32)
-    c = np.asarray(counts, np.float32)
-    return s, c / max(1.0, float(c.sum())) * idf[s] * SCALE
+def _values(s: np.ndarray, c: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    """TF-IDF of slots s with counts c."""
+    return c / max(1.0, float(c.sum())) * idf[s] * SCALE
 
 
 def temperature(logits: np.ndarray, y: np.ndarray) -> float:
@@ -186,15 +186,25 @@ def fit(docs: DataFrame) -> dict:
     part = F.when(F.pmod(F.xxhash64("doc_id", F.lit("part")), F.lit(5)) == 0, 1).otherwise(0)
     sample = train.where(draw < share).select("lang", part.alias("part"), "text").mapInArrow(_term_counts, "lang string, part int, slots array<int>, counts array<int>").toArrow()
     code = {x: i for i, x in enumerate(languages)}
-    rows, y, parts = [], [], []
-    for lang, p, s, c in zip(sample.column("lang"), sample.column("part"), sample.column("slots"), sample.column("counts")):
-        rows.append(_row(s.values.to_numpy(zero_copy_only=False), c.values.to_numpy(zero_copy_only=False), idf))
-        y.append(code[lang.as_py()])
-        parts.append(p.as_py())
+    y, parts = np.array([code[x] for x in sample.column("lang").to_pylist()], np.int64), sample.column("part").to_numpy()
+    slots, counts = (sample.column(k).combine_chunks() for k in ("slots", "counts"))
     del sample
+    # one array of values and one of slots, rows being parts of them: thousands of small arrays would stay with the driver
+    slot, value, off = slots.values.to_numpy(), counts.values.to_numpy().astype(np.float32), slots.offsets.to_numpy()
+    del counts
+    for a, b in zip(off, off[1:]):
+        value[a:b] = _values(slot[a:b], value[a:b], idf)
+    rows = [(slot[a:b], value[a:b]) for a, b in zip(off, off[1:])]
     # the sample arrives in any order; the updates go by content, so a rerun learns the same
-    order = sorted(range(len(rows)), key=lambda i: (y[i], len(rows[i][0]), rows[i][0].tobytes()))
-    rows, y, parts = [rows[i] for i in order], np.array([y[i] for i in order]), np.array([parts[i] for i in order])
+
+    def content(i: int, j: int) -> int:
+        x, y_ = ((int(y[k]), len(rows[k][0])) for k in (i, j))
+        if x == y_:  # bytes are made only of those that must be compared
+            x, y_ = (rows[k][0].tobytes() for k in (i, j))
+        return (x > y_) - (x < y_)
+
+    order = sorted(range(len(rows)), key=cmp_to_key(content))
+    rows, y, parts = [rows[i] for i in order], y[order], parts[order]
     learn = np.flatnonzero(parts == 0) if (parts == 0).any() else np.arange(len(rows))
     check = np.flatnonzero(parts == 1) if (parts == 1).any() else learn
     model = Ftrl(SLOTS, len(languages))
@@ -206,6 +216,8 @@ def fit(docs: DataFrame) -> dict:
             model.step([rows[i] for i in at], y[at])
     w = model.weights(np.arange(SLOTS))
     t = temperature(np.array([(w[s] * v[:, None]).sum(axis=0) for s, v in (rows[i] for i in check)]) + model.bias, y[check])
+    del rows, slot, value, slots
+    pa.default_memory_pool().release_unused()
     return {"languages": languages, "table": (w * idf[:, None] * (SCALE / t)).astype(np.float32), "bias": (model.bias / t).astype(np.float32)}
 
 

@@ -147,6 +147,14 @@ def test_languages_are_told_apart(spark, sf_dir):
     assert (got.lang == got.lang_pred).mean() > 0.97
 
 
+def test_the_driver_holds_the_sample_as_one_array(docs, monkeypatch):
+    """Not as an array for each document, whose memory stays with the driver in all later stages."""
+    seen, step = set(), language.Ftrl.step
+    monkeypatch.setattr(language.Ftrl, "step", lambda self, rows, y: seen.update(id(v.base) for _, v in rows) or step(self, rows, y))
+    language.fit(docs.withColumn("lang", F.when(F.col("doc_id") % 2 == 0, "a").otherwise("b")))
+    assert len(seen) == 1 and id(None) not in seen
+
+
 def test_language_edges(spark, docs, corpus, empty):
     model = language.fit(docs.withColumn("lang", F.when(F.col("doc_id") % 2 == 0, "a").when(F.col("doc_id") % 3 == 0, "b")))
     got = language.identify(docs, model).collect()
