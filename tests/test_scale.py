@@ -54,6 +54,28 @@ def test_parts_of_class_names_stay_where_they_are(spark):
     assert n < 10_000
 
 
+def test_targets_that_no_call_asks_for_stay_where_they_are(spark):
+    """One call, 3,000 classes with a method each: only what the call names is listed."""
+    calls = spark.createDataFrame([(1, "s", "f", "METHOD", "k0", "go", "p", "Box7")], "id int, source_id string, file_id string, source_kind string, source_parent string, callee string, receiver string, receiver_type string")
+    rows = [(f"k{i}", f"Box{i}", "CLASS", None, "f") for i in range(3000)] + [(f"m{i}", "go", "METHOD", f"k{i}", "f") for i in range(3000)]
+    targets = spark.createDataFrame(rows, "entity_id string, name string, kind string, parent_id string, file_id string")
+    none = spark.createDataFrame([], "entity_id string, parent_id string")
+    got, n = moved(spark, lambda: resolve.resolve(calls, targets, none, ["id"]).collect())
+    assert [tuple(r) for r in got] == [(1, "m7", "RESOLVED", "explicit_receiver_type")]
+    assert n < 10_000
+
+
+def test_definitions_and_calls_come_from_one_parse(spark):
+    text = "class A {\n go(p: B) { p.go(); q(); }\n}\nclass B { go() { this.x(); } }\nfunction f(a: A) { a.go(); }\n"
+    files = spark.createDataFrame([("a.ts", text), ("b.py", "def f():\n    g(1)\n"), ("c.txt", "x")], "rel_path string, content string")
+    both = syntax.both(files)
+    names = syntax.entities(files).columns
+    assert sorted(map(tuple, both.where("name IS NOT NULL").select(names).collect()), key=repr) == sorted(map(tuple, syntax.entities(files).collect()), key=repr)
+    calls = both.where("name IS NULL").select("rel_path", F.col("identity").alias("caller"), "callee", "receiver", "receiver_type", "line")
+    assert sorted(map(tuple, calls.collect()), key=repr) == sorted(map(tuple, syntax.calls(files).collect()), key=repr)
+    assert {(r.identity, r.kind, r.parent) for r in both.where("name IS NULL").collect()} == {("A.go", "METHOD", "A"), ("B.go", "METHOD", "B"), ("f", "FUNCTION", None)}
+
+
 def test_pairs_along_one_parent_are_not_shuffled(spark):
     """A chain of 400, a cycle of 60 and a tail into it: some 90,000 pairs come out, far fewer are moved."""
     edges = [(i, i + 1) for i in range(400)] + [(1000 + i, 1000 + (i + 1) % 60) for i in range(60)] + [(2000 + i, 2001 + i) for i in range(99)] + [(2099, 1007)]
