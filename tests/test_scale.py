@@ -54,6 +54,24 @@ def test_parts_of_class_names_stay_where_they_are(spark):
     assert n < 10_000
 
 
+def test_calls_of_one_key_that_share_targets_do_not_shuffle_them(spark):
+    """300 keys with three calls, of two names; two calls meet the same 100 targets: each pair comes out once, few rows are moved."""
+    schema = "id int, source_id string, file_id string, source_kind string, source_parent string, callee string, receiver string, receiver_type string"
+    types = [("go", "Box"), ("go", "m.Box"), ("run", "Box")]
+    calls = spark.createDataFrame([(i, "s", "f", "METHOD", "k0", callee, "x", kind) for i in range(300) for callee, kind in types], schema)
+    rows = [(f"k{i}", "Box", "m.Box", "CLASS", None, "f") for i in range(100)] + [(f"{x}{i}", x, x, "METHOD", f"k{i}", "f") for i in range(100) for x in ("go", "run")]
+    none = spark.createDataFrame([], "entity_id string, parent_id string")
+    entity = "entity_id string, name string, qualified_name string, kind string, parent_id string, file_id string"
+    got, n = moved(spark, lambda: resolve.resolve(calls, spark.createDataFrame(rows, entity), none, ["id"]).collect())
+    want = {(i, f"{x}{j}", "HEURISTIC", "ambiguous_explicit_receiver_type") for i in range(300) for j in range(100) for x in ("go", "run")}
+    assert len(got) == len(want) and {tuple(r) for r in got} == want
+    assert n < 20_000
+    # a target of two names is met by calls of both, once
+    rows += [("both", x, x, "METHOD", "k0", "f") for x in ("go", "run")]
+    got = resolve.resolve(calls, spark.createDataFrame(rows, entity), none, ["id"]).collect()
+    assert len(got) == len(want) + 300 == len(set(map(tuple, got)))
+
+
 def test_targets_that_no_call_asks_for_stay_where_they_are(spark):
     """One call, 3,000 classes with a method each: only what the call names is listed."""
     calls = spark.createDataFrame([(1, "s", "f", "METHOD", "k0", "go", "p", "Box7")], "id int, source_id string, file_id string, source_kind string, source_parent string, callee string, receiver string, receiver_type string")
