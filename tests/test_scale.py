@@ -1,5 +1,6 @@
 """What is moved between tasks follows the input, where the result is larger."""
 
+import ast
 import hashlib
 import json
 import time
@@ -94,6 +95,23 @@ def test_definitions_and_calls_come_from_one_parse(spark):
     assert {(r.identity, r.kind, r.parent) for r in both.where("name IS NULL").collect()} == {("A.go", "METHOD", "A"), ("B.go", "METHOD", "B"), ("f", "FUNCTION", None)}
 
 
+def test_code_that_files_share_is_parsed_once(monkeypatch):
+    """200 files of 20 of 30 functions in some order: the same results, and a parse for each function, not for each file's."""
+    one = lambda k: f"@d\ndef f{k}(a):\n    return g{k}(a)\n\n\nclass C{k}:\n    def m(self):\n        'x'\n        return f{k}(1)\n\n"
+    texts = ['"doc"\nimport x\n' + "".join(one((7 * i + 11 * j) % 30) for j in range(20)) for i in range(200)]
+    odd = ["x = \"\"\"\ndef f(): pass\n\"\"\"\ndef g(): pass\n", "@a(\n1)\ndef f(): pass\n", "def f(): pass\nelse:\n", "if a:\n    b\ndef f(): pass\n", "def f(): pass\ndef f(): pass\n", "", "\n\ndef f(): pass"]
+    odd += ["class Ab:\n    def g(self):\n        def Ab(): return Ab()\n    class Ab: pass\nif x:\n    def Ab(): pass\n", "def if(): pass\n", "def é(): pass\n", "def aé(): pass\n", "def ab(): pass\ndef xx(): return ab()\n", "async def ab(x): await x.ab()\n"]
+    odd += ["".join(f"def f_{w}():\n    return 1\n\n" for w in ("a", "bc", "de", "fgh", "a"))]
+    parsed, parse = [], ast.parse
+    with monkeypatch.context() as m:
+        m.setattr(ast, "parse", lambda *a: parsed.append(a) or parse(*a))
+        got = [syntax.python_file("a.py", t) for t in texts]
+    assert len(parsed) <= 100
+    got += [syntax.python_file("a.py", t) for t in odd]
+    monkeypatch.setattr(syntax, "_blocks", lambda text: None)  # each file as a whole
+    assert got == [syntax.python_file("a.py", t) for t in texts + odd]
+
+
 def test_pairs_along_one_parent_are_not_shuffled(spark):
     """A chain of 400, a cycle of 60 and a tail into it: some 90,000 pairs come out, far fewer are moved."""
     edges = [(i, i + 1) for i in range(400)] + [(1000 + i, 1000 + (i + 1) % 60) for i in range(60)] + [(2000 + i, 2001 + i) for i in range(99)] + [(2099, 1007)]
