@@ -140,6 +140,18 @@ def test_pairs_of_few_keys_are_spread(spark, monkeypatch):
         assert max(map(tasks.count, set(tasks))) < 400
 
 
+def test_rows_without_a_partner_are_not_dealt_out(spark, monkeypatch):
+    """30,000 rows of a of which 100 have partners, with either way of meeting."""
+    a = spark.range(30_000).select(F.col("id").alias("a"), (F.col("id") % 300).alias("x"))
+    b = spark.range(60).select(F.col("id").alias("b"), (F.col("id") % 3 + 299).alias("y"))
+    monkeypatch.setattr(resolve, "PAIRS_A_TASK", 50)
+    for most in (100, 10):
+        monkeypatch.setattr(resolve, "MAX_PAIRED", most, raising=False)
+        got, n = moved(spark, lambda: resolve.many_to_many(a, b, "x", "y").select("a", "b").collect())
+        assert sorted(map(tuple, got)) == [(i, j) for i in range(299, 30_000, 300) for j in range(0, 60, 3)]
+        assert n < 15_000
+
+
 def test_intervals_are_moved_about_once(spark):
     """Spans of nine sizes: rows don't go to each size that occurs; crowded bins are made smaller, with the same pairs."""
     n = 20_000
